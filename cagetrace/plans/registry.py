@@ -12,9 +12,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cagetrace.functions import rolling as R
+from cagetrace.operators import clean as C
+from cagetrace.operators import contacts as CT
 from cagetrace.operators import measures as ME
+from cagetrace.operators import motion as M
+from cagetrace.operators import reshape as RS
+from cagetrace.plans import pipeline as P
 from cagetrace.params import FIXTURE_CLEAN, FIXTURE_SWEEP, CleanParams
 from cagetrace.plans.pipeline import Behavior, behavior
 from cagetrace.sources import fixture as FX
@@ -53,3 +60,191 @@ def q_total_activity(spark, sf):
     b = fixture_behavior(spark, sf)
     t = ME.join_info(ME.total_activity(b.motion, FIXTURE_SWEEP.windows), info(spark, sf))
     return t.select(S, "id", r6("window_min"), r6("total_activity"), *INFO)
+
+
+def windows_info(df: DataFrame, spark, sf) -> DataFrame:
+    return ME.join_info(df, info(spark, sf))
+
+
+# ------------------------------------------------------------ cleaning
+@query
+def q_frames_dedup(spark, sf):
+    d = C.dedup_time(FX.frames(spark, sf).repartition(S))
+    return d.select(S, "frame_no", t_ms(), "id", "x", "y")
+
+
+@query
+def q_common_start(spark, sf):
+    d = C.common_start(C.dedup_time(FX.frames(spark, sf).repartition(S)))
+    seen = F.min(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("time")))
+    return (d.groupBy(S, "id")
+            .agg(F.unix_millis(seen).alias("first_seen_ms"),
+                 F.unix_millis(F.first("start")).alias("start_ms"),
+                 F.count_if(F.col("time") >= F.col("start")).alias("kept_rows")))
+
+
+@query
+def q_lerp(spark, sf):
+    c = P.clean(FX.frames(spark, sf), FIXTURE_CLEAN)
+    return c.select(S, "frame_no", t_ms(), "id", r6("x"), r6("y"))
+
+
+@query
+def q_motion(spark, sf):
+    m = fixture_behavior(spark, sf).motion
+    return m.select(S, t_ms(), "id", r6("time0"), r6("x"), r6("y"))
+
+
+@query
+def q_step_distance(spark, sf):
+    m = fixture_behavior(spark, sf).motion
+    return m.select(S, t_ms(), "id", r6("move"))
+
+
+@query
+def q_roll_move(spark, sf):
+    m = fixture_behavior(spark, sf).motion
+    return m.select(S, t_ms(), "id", r6("roll_r"), r6("roll_f"))
+
+
+@query
+def q_pair_distance(spark, sf):
+    p = M.pair_rows(fixture_behavior(spark, sf).wide, FIXTURE_CLEAN.ids, with_rolls=False)
+    return p.select(S, t_ms(), "ida", "idb", r6("time0"), r6("dist"))
+
+
+@query
+def q_roll_zscore(spark, sf):
+    f = FX.frames(spark, sf).repartition(S)
+    n = FIXTURE_CLEAN.z_rows
+    w = W.partitionBy(S, "id").orderBy("frame_no")
+    fr = R.centred(n)
+    z = C.z_flags(f, n, FIXTURE_CLEAN.z_threshold)
+    return z.select(S, "frame_no", "id",
+                    r6(R.edge_null_mean("x", w, fr), "mean_x"), r6(R.edge_null_sd("x", w, fr), "sd_x"),
+                    r6(R.edge_null_mean("y", w, fr), "mean_y"), r6(R.edge_null_sd("y", w, fr), "sd_y"),
+                    "z_flag")
+
+
+@query
+def q_z_mask(spark, sf):
+    f = FX.frames(spark, sf).repartition(S)
+    z = C.z_flags(f, FIXTURE_CLEAN.z_rows, FIXTURE_CLEAN.z_threshold)
+    return (z.groupBy(S, "frame_no")
+            .agg(F.count_if("z_flag").alias("n_flagged"), F.count("x").alias("n_removed_x"))
+            .filter(F.col("n_flagged") > 0))
+
+
+@query
+def q_cage_center(spark, sf):
+    d = C.dedup_time(FX.frames(spark, sf).repartition(S))
+    p = FIXTURE_CLEAN
+    cc = C.cage_center(d, p.cage_width, p.cage_height)
+    mx = C.exact_median(d, [S], "x").withColumnRenamed("median", "x_median")
+    my = C.exact_median(d, [S], "y").withColumnRenamed("median", "y_median")
+    return (cc.join(mx, S, "left").join(my, S, "left")
+            .select(S, r6("cx"), r6("cy"), "x_cover", "y_cover", "x_n", "y_n",
+                    r6("x_min"), r6("x_max"), r6("y_min"), r6("y_max"), r6("x_median"), r6("y_median")))
+
+
+@query
+def q_cage_mask(spark, sf):
+    d = C.dedup_time(FX.frames(spark, sf).repartition(S))
+    p = FIXTURE_CLEAN
+    m = C.cage_mask(d, p.cage_width, p.cage_height, p.cage_scale_threshold)
+    return m.select(S, "frame_no", t_ms(), "id", "x", "y")
+
+
+CLEAN_ALL = CleanParams(fps=FIXTURE_CLEAN.fps, rm_z_outlier=True, rm_cage_outlier=True)
+
+
+@query
+def q_motion_clean(spark, sf):
+    m = fixture_behavior(spark, sf, CLEAN_ALL).motion
+    return m.select(S, t_ms(), "id", r6("time0"), r6("x"), r6("y"), r6("move"),
+                    r6("roll_r"), r6("roll_f"))
+
+
+# ------------------------------------------------------------- reshape
+@query
+def q_frames_wide(spark, sf):
+    b = fixture_behavior(spark, sf)
+    w = M.wide_frames(b.motion, FIXTURE_CLEAN.ids, cols=("x", "y", "move"))
+    cols = [r6(c) for c in w.columns if c.startswith("id_")]
+    return w.select(S, t_ms(), r6("time0"), *cols)
+
+
+@query
+def q_frames_long(spark, sf):
+    """Raw frames to the log's wide layout (one row per frame) and back."""
+    f = FX.frames(spark, sf)
+    wide = RS.to_wide(f, FIXTURE_CLEAN.ids, keys=[S, "frame_no", "time"])
+    long = RS.to_long(wide, FIXTURE_CLEAN.ids, keys=[S, "frame_no", "time"])
+    return long.select(S, "frame_no", t_ms(), "id", "x", "y")
+
+
+# ------------------------------------------------------------ measures
+@query
+def q_bin_activity(spark, sf):
+    b = fixture_behavior(spark, sf)
+    sp = FIXTURE_SWEEP
+    t = windows_info(ME.bin_activity(b.motion, sp.bin_within, sp.bin_widths), spark, sf)
+    return t.select(S, "id", "bin_min", "bin", r6("bin_activity"), *INFO)
+
+
+@query
+def q_total_distance(spark, sf):
+    b = fixture_behavior(spark, sf)
+    t = windows_info(ME.total_distance(b.neighbours, FIXTURE_SWEEP.windows), spark, sf)
+    return t.select(S, "id", r6("window_min"), r6("total_mean_dist"), r6("total_closest_dist"), *INFO)
+
+
+@query
+def q_bin_distance(spark, sf):
+    b = fixture_behavior(spark, sf)
+    sp = FIXTURE_SWEEP
+    t = windows_info(ME.bin_distance(b.neighbours, sp.bin_within, sp.bin_widths), spark, sf)
+    return t.select(S, "id", "bin_min", "bin", r6("bin_mean_dist"), r6("bin_closest_dist"), *INFO)
+
+
+def fixture_bouts(spark, sf, thresholds=None):
+    b = fixture_behavior(spark, sf)
+    ev = CT.contact_events(b.pairs, thresholds or FIXTURE_SWEEP.thresholds)
+    return CT.contact_bouts(ev)
+
+
+@query
+def q_contact_events(spark, sf):
+    b = fixture_behavior(spark, sf)
+    ev = CT.contact_events(b.pairs, [FIXTURE_SWEEP.thresholds[0]])
+    return ev.select(S, r6("threshold"), t_ms(), "ida", "idb", r6("time0"), r6("dist"),
+                     F.col("nearing").cast("int").alias("nearing"),
+                     F.col("nearing_event").cast("int").alias("nearing_event"),
+                     "moving_r_id", "moving_f_id")
+
+
+@query
+def q_contact_bouts(spark, sf):
+    bo = fixture_bouts(spark, sf)
+    return bo.select(S, r6("threshold"), t_ms(), "ida", "idb",
+                     F.col("nearing_event").cast("int").alias("nearing_event"),
+                     "moving_r_id", "moving_f_id", "approach_id", "depart_id", r6("duration"))
+
+
+@query
+def q_total_interaction(spark, sf):
+    t = windows_info(ME.total_interaction(fixture_bouts(spark, sf), FIXTURE_SWEEP.windows), spark, sf)
+    return t.select(S, "id", r6("threshold"), r6("window_min"),
+                    *[r6(f"total_{f}") if "duration" in f else F.col(f"total_{f}").cast("bigint").alias(f"total_{f}")
+                      for f in ME.INTER_FIELDS], *INFO)
+
+
+@query
+def q_bin_interaction(spark, sf):
+    sp = FIXTURE_SWEEP
+    t = windows_info(ME.bin_interaction(fixture_bouts(spark, sf), sp.bin_within, sp.bin_widths), spark, sf)
+    counts = [f"bin_{f}" for f in ME.INTER_FIELDS if "count" in f] + \
+             [f"bin_{s}_cumul" for s in ("event", "approach", "receive")]
+    return t.select(S, "id", r6("threshold"), "bin_min", "bin",
+                    *[F.col(c).cast("bigint").alias(c) for c in counts],
+                    *[r6(f"bin_{f}") for f in ME.INTER_FIELDS if "duration" in f], *INFO)

@@ -116,3 +116,140 @@ oracle("total_activity", with_(clean_ctes() + [SUBJ, WIN, """ta AS (
     FROM mo JOIN wn ON time0 < window_min GROUP BY session, id, window_min)"""],
     f"""SELECT ta.session, ta.id, round(window_min, 6) AS window_min, {r6('total_activity', 'total_activity')},
         {INFO_COLS} FROM ta LEFT JOIN sj USING (session, id)"""))
+
+CL = clean_ctes()
+SW = FIXTURE_SWEEP
+BW = "bw AS (SELECT CAST(b AS INTEGER) AS bin_min FROM (VALUES " + ", ".join(f"({int(w)})" for w in SW.bin_widths) + ") v(b))"
+REG = "reg AS (SELECT CAST(a AS INTEGER) AS bin_min, CAST(b AS INTEGER) AS bin FROM (VALUES " + ", ".join(
+    f"({int(w)}, {b})" for w in SW.bin_widths for b in SW.regular_bins(int(w))) + ") v(a, b))"
+TH = "th AS (SELECT CAST(t AS DOUBLE) AS threshold FROM (VALUES " + ", ".join(f"({float(t)})" for t in SW.thresholds) + ") v(t))"
+WITHIN = float(SW.bin_within)
+
+
+def bin_expr(t: str = "time0", w: str = "bin_min") -> str:
+    return f"CAST(floor({t} / {w}) * {w} AS INTEGER)"
+
+
+def grid_ctes(src: str, keys: str, name: str) -> list[str]:
+    """Zero-fill grid (R9): items x (observed U regular bins) per table keys."""
+    return [f"""{name} AS (SELECT i.*, b.bin FROM (SELECT DISTINCT {keys}, id FROM {src}) i
+        JOIN (SELECT DISTINCT {keys}, bin FROM {src}
+              UNION SELECT t.*, reg.bin FROM (SELECT DISTINCT {keys} FROM {src}) t JOIN reg USING (bin_min)) b
+        USING ({keys}))"""]
+
+
+PAIRS = """pr AS (SELECT a.session, a.ms, a.time0, a.id AS ida, b.id AS idb,
+    sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS dist,
+    a.roll_r AS rra, b.roll_r AS rrb, a.roll_f AS rfa, b.roll_f AS rfb
+    FROM mo a JOIN mo b ON a.session = b.session AND a.ms = b.ms AND a.id <> b.id)"""
+NEIGH = """nd AS (SELECT session, ms, time0, ida AS id, avg(dist) AS mean_dist, min(dist) AS closest_dist
+    FROM pr GROUP BY session, ms, time0, ida)"""
+EVENTS = [PAIRS, TH,
+          """ne AS (SELECT pr.*, threshold, CASE WHEN dist < threshold THEN 1 WHEN dist >= threshold THEN 0 END AS nearing
+              FROM pr CROSS JOIN th)""",
+          """ev AS (SELECT *, lag(nearing) OVER (PARTITION BY session, threshold, ida, idb ORDER BY ms) - nearing AS nearing_event
+              FROM ne)""",
+          """ce AS (SELECT *,
+              CASE WHEN rra IS NULL OR rrb IS NULL THEN NULL WHEN rra > rrb THEN ida ELSE idb END AS moving_r_id,
+              CASE WHEN rfa IS NULL OR rfb IS NULL THEN NULL WHEN rfa > rfb THEN ida ELSE idb END AS moving_f_id
+              FROM ev WHERE nearing_event <> 0)""",
+          """cb AS (SELECT *, (lead(ms) OVER w - ms) / 1000.0 AS duration,
+              CASE WHEN nearing_event = -1 THEN lead(moving_f_id) OVER w END AS depart_id,
+              CASE WHEN nearing_event = 1 THEN lag(moving_r_id) OVER w END AS approach_id
+              FROM ce WINDOW w AS (PARTITION BY session, threshold, ida, idb ORDER BY ms))"""]
+
+
+def inter_aggs(prefix: str) -> str:
+    mine = "CASE WHEN moving_r_id = ida THEN 1 WHEN moving_r_id <> ida THEN 0 END"
+    other = "CASE WHEN moving_r_id <> ida THEN 1 WHEN moving_r_id = ida THEN 0 END"
+    return f"""count(*) AS {prefix}event_count,
+        count(*) FILTER (WHERE moving_r_id = ida) AS {prefix}approach_count,
+        count(*) FILTER (WHERE moving_r_id <> ida) AS {prefix}receive_count,
+        coalesce(sum(duration), 0) AS {prefix}duration,
+        coalesce(sum(duration * {mine}), 0) AS {prefix}approach_duration,
+        coalesce(sum(duration * {other}), 0) AS {prefix}receive_duration"""
+
+
+INTER = ["event_count", "approach_count", "receive_count", "duration", "approach_duration", "receive_duration"]
+
+
+oracle("frames_dedup", with_(CL, "SELECT session, frame_no, ms AS t_ms, id, x, y FROM dd"))
+oracle("common_start", with_(CL, """SELECT session, id,
+    min(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN ms END) AS first_seen_ms,
+    any_value(CASE WHEN NOT miss THEN start_ms END) AS start_ms,
+    count(*) FILTER (WHERE NOT miss AND ms >= start_ms) AS kept_rows
+    FROM st GROUP BY session, id"""))
+oracle("lerp", with_(CL, f"SELECT session, frame_no, ms AS t_ms, id, {r6('x', 'x')}, {r6('y', 'y')} FROM fl"))
+oracle("motion", with_(CL, f"SELECT session, ms AS t_ms, id, {r6('time0', 'time0')}, {r6('x', 'x')}, {r6('y', 'y')} FROM mo"))
+oracle("step_distance", with_(CL, f"SELECT session, ms AS t_ms, id, {r6('move', 'move')} FROM mo"))
+oracle("roll_move", with_(CL, f"SELECT session, ms AS t_ms, id, {r6('roll_r', 'roll_r')}, {r6('roll_f', 'roll_f')} FROM mo"))
+oracle("pair_distance", with_(CL + [PAIRS], f"""SELECT session, ms AS t_ms, ida, idb, {r6('time0', 'time0')},
+    {r6('dist', 'dist')} FROM pr"""))
+
+ZC = clean_ctes(z=True)
+oracle("roll_zscore", with_(ZC, f"""SELECT session, frame_no, id, {r6('mx', 'mean_x')}, {r6('sx', 'sd_x')},
+    {r6('my', 'mean_y')}, {r6('sy', 'sd_y')}, zflag AS z_flag FROM zf"""))
+oracle("z_mask", with_(ZC, """SELECT session, frame_no, count(*) FILTER (WHERE zflag) AS n_flagged,
+    count(x) AS n_removed_x FROM zf GROUP BY session, frame_no HAVING bool_or(zflag)"""))
+oracle("cage_center", with_(CL + cage_center_ctes("dd", 380, 225), f"""SELECT cc.session, {r6('cx', 'cx')}, {r6('cy', 'cy')},
+    CAST(x_cover AS BIGINT) AS x_cover, CAST(y_cover AS BIGINT) AS y_cover,
+    CAST(x_n AS BIGINT) AS x_n, CAST(y_n AS BIGINT) AS y_n,
+    {r6('x_min', 'x_min')}, {r6('x_max', 'x_max')}, {r6('y_min', 'y_min')}, {r6('y_max', 'y_max')},
+    {r6('x_median', 'x_median')}, {r6('y_median', 'y_median')}
+    FROM cc LEFT JOIN (SELECT session, median(x) AS x_median, median(y) AS y_median FROM dd GROUP BY session) md
+    ON cc.session = md.session"""))
+oracle("cage_mask", with_(clean_ctes(cage=True), "SELECT session, frame_no, ms AS t_ms, id, x, y FROM cm"))
+oracle("motion_clean", with_(clean_ctes(z=True, cage=True), f"""SELECT session, ms AS t_ms, id,
+    {r6('time0', 'time0')}, {r6('x', 'x')}, {r6('y', 'y')}, {r6('move', 'move')},
+    {r6('roll_r', 'roll_r')}, {r6('roll_f', 'roll_f')} FROM mo"""))
+
+_wide_cols = ", ".join(f"{r6(f'max(CASE WHEN id = {k} THEN {c} END)', f'id_{k}_{c}')}"
+                       for k in FIXTURE_CLEAN.ids for c in ("x", "y", "move"))
+oracle("frames_wide", with_(CL, f"SELECT session, ms AS t_ms, {r6('time0', 'time0')}, {_wide_cols} FROM mo GROUP BY session, ms, time0"))
+oracle("frames_long", with_(CL, "SELECT session, frame_no, ms AS t_ms, id, x, y FROM fx"))
+
+oracle("bin_activity", with_(CL + [SUBJ, BW, REG, f"""ba AS (SELECT session, id, bin_min, bin,
+        coalesce(sum(move), 0) / 1000 AS bin_activity
+        FROM (SELECT mo.*, bw.bin_min, {bin_expr()} AS bin FROM mo CROSS JOIN bw WHERE time0 < {WITHIN}) t
+        GROUP BY session, id, bin_min, bin)"""] + grid_ctes("ba", "session, bin_min", "g"),
+    f"""SELECT g.session, g.id, g.bin_min, g.bin, {r6('coalesce(ba.bin_activity, 0)', 'bin_activity')}, {INFO_COLS}
+    FROM g LEFT JOIN ba USING (session, bin_min, id, bin) LEFT JOIN sj USING (session, id)"""))
+oracle("total_distance", with_(CL + [SUBJ, WIN, PAIRS, NEIGH, """td AS (SELECT session, id, window_min,
+        avg(mean_dist) AS total_mean_dist, avg(closest_dist) AS total_closest_dist
+        FROM nd JOIN wn ON time0 < window_min GROUP BY session, id, window_min)"""],
+    f"""SELECT td.session, td.id, {r6('window_min', 'window_min')}, {r6('total_mean_dist', 'total_mean_dist')},
+    {r6('total_closest_dist', 'total_closest_dist')}, {INFO_COLS} FROM td LEFT JOIN sj USING (session, id)"""))
+oracle("bin_distance", with_(CL + [SUBJ, BW, PAIRS, NEIGH, f"""bd AS (SELECT session, id, bin_min, bin,
+        avg(mean_dist) AS bin_mean_dist, avg(closest_dist) AS bin_closest_dist
+        FROM (SELECT nd.*, bw.bin_min, {bin_expr()} AS bin FROM nd CROSS JOIN bw WHERE time0 < {WITHIN}) t
+        GROUP BY session, id, bin_min, bin)"""],
+    f"""SELECT bd.session, bd.id, bin_min, bin, {r6('bin_mean_dist', 'bin_mean_dist')},
+    {r6('bin_closest_dist', 'bin_closest_dist')}, {INFO_COLS} FROM bd LEFT JOIN sj USING (session, id)"""))
+
+EV = CL + EVENTS
+oracle("contact_events", with_(EV, f"""SELECT session, {r6('threshold', 'threshold')}, ms AS t_ms, ida, idb,
+    {r6('time0', 'time0')}, {r6('dist', 'dist')}, CAST(nearing AS INTEGER) AS nearing,
+    CAST(nearing_event AS INTEGER) AS nearing_event, moving_r_id, moving_f_id
+    FROM ce WHERE threshold = {float(SW.thresholds[0])}"""))
+oracle("contact_bouts", with_(EV, f"""SELECT session, {r6('threshold', 'threshold')}, ms AS t_ms, ida, idb,
+    CAST(nearing_event AS INTEGER) AS nearing_event, moving_r_id, moving_f_id, approach_id, depart_id,
+    {r6('duration', 'duration')} FROM cb"""))
+_ti_cols = ", ".join(r6(f"total_{f}", f"total_{f}") if "duration" in f else f"CAST(total_{f} AS BIGINT) AS total_{f}"
+                     for f in INTER)
+oracle("total_interaction", with_(EV + [SUBJ, WIN, f"""ti AS (SELECT session, threshold, ida AS id, window_min,
+        {inter_aggs('total_')} FROM cb JOIN wn ON time0 < window_min WHERE nearing_event = -1
+        GROUP BY session, threshold, ida, window_min)"""],
+    f"""SELECT ti.session, ti.id, {r6('threshold', 'threshold')}, {r6('window_min', 'window_min')}, {_ti_cols},
+    {INFO_COLS} FROM ti LEFT JOIN sj USING (session, id)"""))
+_cum = ", ".join(f"""CAST(sum(bin_{s}_count) OVER (PARTITION BY session, threshold, bin_min, id ORDER BY bin
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS bin_{s}_cumul""" for s in ("event", "approach", "receive"))
+_bi_fill = ", ".join(r6(f"coalesce(bi.bin_{f}, 0)", f"bin_{f}") if "duration" in f
+                     else f"CAST(coalesce(bi.bin_{f}, 0) AS BIGINT) AS bin_{f}" for f in INTER)
+oracle("bin_interaction", with_(EV + [SUBJ, BW, REG, f"""bi AS (SELECT session, threshold, ida AS id, bin_min, bin,
+        {inter_aggs('bin_')} FROM (SELECT cb.*, bw.bin_min, {bin_expr()} AS bin FROM cb CROSS JOIN bw
+        WHERE nearing_event = -1 AND time0 < {WITHIN}) t GROUP BY session, threshold, ida, bin_min, bin)"""]
+    + grid_ctes("bi", "session, threshold, bin_min", "g")
+    + [f"bf AS (SELECT g.session, g.threshold, g.bin_min, g.id, g.bin, {_bi_fill} FROM g LEFT JOIN bi USING (session, threshold, bin_min, id, bin))"],
+    f"""SELECT bf.session, bf.id, {r6('threshold', 'threshold')}, bin_min, bin, bin_event_count, bin_approach_count,
+    bin_receive_count, {_cum}, bin_duration, bin_approach_duration, bin_receive_duration, {INFO_COLS}
+    FROM bf LEFT JOIN sj USING (session, id)"""))
