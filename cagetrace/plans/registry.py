@@ -10,6 +10,7 @@ reported as epoch milliseconds (``t_ms``) so both engines agree on types.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,8 +22,11 @@ from cagetrace.operators import contacts as CT
 from cagetrace.operators import measures as ME
 from cagetrace.operators import motion as M
 from cagetrace.operators import reshape as RS
+from cagetrace.plans import compare as CP
 from cagetrace.plans import pipeline as P
-from cagetrace.params import FIXTURE_CLEAN, FIXTURE_SWEEP, CleanParams
+from cagetrace.plans import sweep as SW
+from cagetrace.params import (FIXTURE_CLEAN, FIXTURE_PAIRED, FIXTURE_SWEEP, FIXTURE_UNPAIRED,
+                              CleanParams)
 from cagetrace.plans.pipeline import Behavior, behavior
 from cagetrace.sources import fixture as FX
 
@@ -248,3 +252,89 @@ def q_bin_interaction(spark, sf):
     return t.select(S, "id", r6("threshold"), "bin_min", "bin",
                     *[F.col(c).cast("bigint").alias(c) for c in counts],
                     *[r6(f"bin_{f}") for f in ME.INTER_FIELDS if "duration" in f], *INFO)
+
+
+# --------------------------------------------------------------- sweep
+def fixture_sweep(spark, sf, families=("activity", "distance", "interaction")):
+    sp = replace(FIXTURE_SWEEP, activity="activity" in families, distance="distance" in families,
+                 interaction="interaction" in families)
+    return SW.sweep(fixture_behavior(spark, sf), sp, info(spark, sf)), sp
+
+
+def long_out(df: DataFrame, extra=()) -> DataFrame:
+    return df.select(S, "id", "family", "kind", r6("threshold"), r6("window_min"), "bin_min", "bin",
+                     "measure", r6("value"), *extra)
+
+
+@query
+def q_sweep_activity(spark, sf):
+    t, sp = fixture_sweep(spark, sf, ("activity",))
+    return long_out(SW.to_long(t, sp))
+
+
+@query
+def q_sweep_distance(spark, sf):
+    t, sp = fixture_sweep(spark, sf, ("distance",))
+    return long_out(SW.to_long(t, sp))
+
+
+@query
+def q_sweep_interaction(spark, sf):
+    t, sp = fixture_sweep(spark, sf, ("interaction",))
+    return long_out(SW.to_long(t, sp))
+
+
+@query
+def q_sweep_long(spark, sf):
+    t, sp = fixture_sweep(spark, sf)
+    return long_out(SW.to_long(t, sp, INFO), INFO)
+
+
+# ------------------------------------------------------------- compare
+def _test_out(df: DataFrame, keys: list[str]) -> DataFrame:
+    dbl = [c for c in ("mean_a", "mean_b", "var_a", "var_b", "mean_diff", "sd_diff", "t", "df", "p")
+           if c in df.columns]
+    ints = [F.col(c).cast("bigint").alias(c) for c in ("n_a", "n_b", "n", "n_unpaired", "n_duplicate")
+            if c in df.columns]
+    return df.select(*keys, *ints, *[r6(c) for c in dbl], "label")
+
+
+def _activity_long(spark, sf, kind="total"):
+    t, sp = fixture_sweep(spark, sf, ("activity",))
+    lg = SW.to_long(t, sp, INFO)
+    return lg.filter(F.col("measure") == f"{kind}_activity")
+
+
+@query
+def q_compare_unpaired(spark, sf):
+    out = CP.unpaired(_activity_long(spark, sf), FIXTURE_UNPAIRED, ["measure", "window_min"])
+    return _test_out(out.withColumn("window_min", r6("window_min")), ["measure", "window_min"])
+
+
+@query
+def q_compare_paired(spark, sf):
+    out = CP.paired(_activity_long(spark, sf), FIXTURE_PAIRED, ["measure", "window_min"])
+    return _test_out(out.withColumn("window_min", r6("window_min")), ["measure", "window_min"])
+
+
+@query
+def q_compare_bins(spark, sf):
+    out = CP.bin_summary(_activity_long(spark, sf, "bin"), FIXTURE_UNPAIRED, ["measure", "bin_min"],
+                         plot_within=FIXTURE_SWEEP.bin_within)
+    return out.select("measure", "bin_min", "grp", "group_ord", "bin_end", "n",
+                      r6("mean"), r6("sd"), r6("se"))
+
+
+@query
+def q_compare_sweep(spark, sf):
+    t, sp = fixture_sweep(spark, sf)
+    lg = SW.to_long(t, sp, INFO).filter(F.col("kind") == "total")
+    by = ["measure", "threshold", "window_min"]
+    u = CP.unpaired(lg, FIXTURE_UNPAIRED, by)
+    p = CP.paired(lg, FIXTURE_PAIRED, by)
+    keys = ["design", "measure", r6("threshold"), r6("window_min")]
+    u = u.select(F.lit("unpaired").alias("design"), *by, "n_a", "n_b", "mean_a", "mean_b",
+                 "t", "df", "p", "label")
+    p = p.select(F.lit("paired").alias("design"), *by, F.col("n").alias("n_a"), F.col("n").alias("n_b"),
+                 "mean_a", "mean_b", "t", "df", "p", "label")
+    return _test_out(u.unionByName(p), keys)

@@ -253,3 +253,136 @@ oracle("bin_interaction", with_(EV + [SUBJ, BW, REG, f"""bi AS (SELECT session,
     f"""SELECT bf.session, bf.id, {r6('threshold', 'threshold')}, bin_min, bin, bin_event_count, bin_approach_count,
     bin_receive_count, {_cum}, bin_duration, bin_approach_duration, bin_receive_duration, {INFO_COLS}
     FROM bf LEFT JOIN sj USING (session, id)"""))
+
+
+# ------------------------------------------------------------ sweep + compare
+def measure_ctes(families=("activity", "dist", "inter")) -> list[str]:
+    """m_ta, m_ba, m_td, m_bd, m_ti, m_bi measure tables and ``lg`` (long, with facts)."""
+    c = CL + [SUBJ, WIN, BW, REG]
+    longs = []
+    nul_d, nul_i = "CAST(NULL AS DOUBLE)", "CAST(NULL AS INTEGER)"
+
+    def unp(src, family, kind, measures, thr, win, bmin, b):
+        for m in measures:
+            longs.append(f"""SELECT session, id, '{family}' AS family, '{kind}' AS kind, {thr} AS threshold,
+                CAST({win} AS DOUBLE) AS window_min, {bmin} AS bin_min, {b} AS bin, '{m}' AS measure,
+                CAST({m} AS DOUBLE) AS value FROM {src}""")
+
+    if "activity" in families:
+        c.append("""m_ta AS (SELECT session, id, window_min, coalesce(sum(move), 0) / 1000 AS total_activity
+            FROM mo JOIN wn ON time0 < window_min GROUP BY session, id, window_min)""")
+        c.append(f"""m_ba0 AS (SELECT session, id, bin_min, bin, coalesce(sum(move), 0) / 1000 AS bin_activity
+            FROM (SELECT mo.*, bw.bin_min, {bin_expr()} AS bin FROM mo CROSS JOIN bw WHERE time0 < {WITHIN}) t
+            GROUP BY session, id, bin_min, bin)""")
+        c += grid_ctes("m_ba0", "session, bin_min", "m_bag")
+        c.append("""m_ba AS (SELECT g.session, g.id, g.bin_min, g.bin, coalesce(m_ba0.bin_activity, 0) AS bin_activity
+            FROM m_bag g LEFT JOIN m_ba0 USING (session, bin_min, id, bin))""")
+        unp("m_ta", "activity", "total", ["total_activity"], nul_d, "window_min", nul_i, nul_i)
+        unp("m_ba", "activity", "bin", ["bin_activity"], nul_d, WITHIN, "bin_min", "bin")
+    if "dist" in families:
+        c += [PAIRS, NEIGH]
+        c.append("""m_td AS (SELECT session, id, window_min, avg(mean_dist) AS total_mean_dist,
+            avg(closest_dist) AS total_closest_dist FROM nd JOIN wn ON time0 < window_min GROUP BY session, id, window_min)""")
+        c.append(f"""m_bd AS (SELECT session, id, bin_min, bin, avg(mean_dist) AS bin_mean_dist, avg(closest_dist) AS bin_closest_dist
+            FROM (SELECT nd.*, bw.bin_min, {bin_expr()} AS bin FROM nd CROSS JOIN bw WHERE time0 < {WITHIN}) t
+            GROUP BY session, id, bin_min, bin)""")
+        unp("m_td", "dist", "total", ["total_mean_dist", "total_closest_dist"], nul_d, "window_min", nul_i, nul_i)
+        unp("m_bd", "dist", "bin", ["bin_mean_dist", "bin_closest_dist"], nul_d, WITHIN, "bin_min", "bin")
+    if "inter" in families:
+        if "dist" not in families:
+            c.append(PAIRS)
+        c += EVENTS[1:]
+        c.append(f"""m_ti AS (SELECT session, threshold, ida AS id, window_min, {inter_aggs('total_')}
+            FROM cb JOIN wn ON time0 < window_min WHERE nearing_event = -1 GROUP BY session, threshold, ida, window_min)""")
+        c.append(f"""m_bi0 AS (SELECT session, threshold, ida AS id, bin_min, bin, {inter_aggs('bin_')}
+            FROM (SELECT cb.*, bw.bin_min, {bin_expr()} AS bin FROM cb CROSS JOIN bw
+                  WHERE nearing_event = -1 AND time0 < {WITHIN}) t GROUP BY session, threshold, ida, bin_min, bin)""")
+        c += grid_ctes("m_bi0", "session, threshold, bin_min", "m_big")
+        fills = ", ".join(f"coalesce(m_bi0.bin_{f}, 0) AS bin_{f}" for f in INTER)
+        c.append(f"""m_bi1 AS (SELECT g.session, g.threshold, g.bin_min, g.id, g.bin, {fills}
+            FROM m_big g LEFT JOIN m_bi0 USING (session, threshold, bin_min, id, bin))""")
+        cum = ", ".join(f"""sum(bin_{s}_count) OVER (PARTITION BY session, threshold, bin_min, id ORDER BY bin
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bin_{s}_cumul""" for s in ("event", "approach", "receive"))
+        c.append(f"m_bi AS (SELECT *, {cum} FROM m_bi1)")
+        unp("m_ti", "inter", "total", [f"total_{f}" for f in INTER], "threshold", "window_min", nul_i, nul_i)
+        bin_m = ([f"bin_{f}" for f in INTER if "count" in f] + [f"bin_{s}_cumul" for s in ("event", "approach", "receive")]
+                 + [f"bin_{f}" for f in INTER if "duration" in f])
+        unp("m_bi", "inter", "bin", bin_m, "threshold", WITHIN, "bin_min", "bin")
+    c.append("lg0 AS (" + "\nUNION ALL\n".join(longs) + ")")
+    c.append(f"lg AS (SELECT lg0.*, {INFO_COLS} FROM lg0 LEFT JOIN sj USING (session, id))")
+    return c
+
+
+LONG_SEL = f"""SELECT session, id, family, kind, {r6('threshold', 'threshold')}, {r6('window_min', 'window_min')},
+    bin_min, bin, measure, {r6('value', 'value')}"""
+oracle("sweep_activity", with_(measure_ctes(("activity",)), LONG_SEL + " FROM lg"))
+oracle("sweep_distance", with_(measure_ctes(("dist",)), LONG_SEL + " FROM lg"))
+oracle("sweep_interaction", with_(measure_ctes(("inter",)), LONG_SEL + " FROM lg"))
+oracle("sweep_long", with_(measure_ctes(), LONG_SEL + f", {INFO_COLS} FROM lg"))
+
+
+def unpaired_sql(src: str, col: str, a: str, b: str, by: str) -> str:
+    """Welch test rows per ``by`` over ``src`` (value, col)."""
+    def st(lab, tag):
+        f = f"FILTER (WHERE {col} = '{lab}')"
+        return f"count(value) {f} AS n_{tag}, avg(value) {f} AS mean_{tag}, var_samp(value) {f} AS var_{tag}"
+    return f"""(SELECT {by}, {st(a, 'a')}, {st(b, 'b')} FROM {src}
+        WHERE {col} IN ('{a}', '{b}') AND value IS NOT NULL GROUP BY {by})"""
+
+
+def welch_sql(src: str) -> str:
+    return f"""(SELECT *, CASE WHEN ok THEN (mean_a - mean_b) / sqrt(se2) END AS t,
+        CASE WHEN ok THEN (se2 * se2) / (qa * qa / (n_a - 1) + qb * qb / (n_b - 1)) END AS df
+        FROM (SELECT *, qa + qb AS se2, n_a >= 2 AND n_b >= 2 AND qa + qb > 0 AS ok
+              FROM (SELECT *, var_a / n_a AS qa, var_b / n_b AS qb FROM {src}) s0) s1)"""
+
+
+def paired_sql(src: str, col: str, a: str, b: str, pair: str, by: str) -> str:
+    return f"""(SELECT *, CASE WHEN n >= 2 AND sd_diff > 0 THEN mean_diff / (sd_diff / sqrt(n)) END AS t,
+        CASE WHEN n >= 2 AND sd_diff > 0 THEN CAST(n - 1 AS DOUBLE) END AS df FROM (
+        SELECT {by}, count(CASE WHEN ok THEN va - vb END) AS n,
+            count(*) FILTER (WHERE NOT ok AND NOT dup) AS n_unpaired, count(*) FILTER (WHERE dup) AS n_duplicate,
+            avg(CASE WHEN ok THEN va END) AS mean_a, avg(CASE WHEN ok THEN vb END) AS mean_b,
+            avg(CASE WHEN ok THEN va - vb END) AS mean_diff, stddev_samp(CASE WHEN ok THEN va - vb END) AS sd_diff
+        FROM (SELECT *, (ca > 1 OR cb > 1) AS dup,
+                     NOT (ca > 1 OR cb > 1) AND va IS NOT NULL AND vb IS NOT NULL AS ok
+              FROM (SELECT {by}, {pair}, count(*) FILTER (WHERE {col} = '{a}') AS ca,
+                           count(*) FILTER (WHERE {col} = '{b}') AS cb,
+                           max(value) FILTER (WHERE {col} = '{a}') AS va, max(value) FILTER (WHERE {col} = '{b}') AS vb
+                    FROM {src} WHERE {col} IN ('{a}', '{b}') GROUP BY {by}, {pair}) p0) p1
+        GROUP BY {by}) p2)"""
+
+
+def test_cols(extra_ints=("n_a", "n_b"), dbl=("mean_a", "mean_b", "var_a", "var_b")) -> str:
+    p = t_two_sided_p_sql("t", "df")
+    ints = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in extra_ints)
+    d = ", ".join(r6(c, c) for c in dbl)
+    return f"{ints}, {d}, {r6('t', 't')}, {r6('df', 'df')}, {r6(p, 'p')}, {signif_label_sql(p)} AS label"
+
+
+UA, UB = "A", "B"
+TOT_ACT = "(SELECT * FROM lg WHERE measure = 'total_activity')"
+TOT_ALL = "(SELECT * FROM lg WHERE kind = 'total')"
+PA, PB = "CNO", "SAL"
+oracle("compare_unpaired", with_(measure_ctes(("activity",)) + [
+    f"ua AS {welch_sql(unpaired_sql(TOT_ACT, 'line', UA, UB, 'measure, window_min'))}"],
+    f"SELECT measure, {r6('window_min', 'window_min')}, {test_cols()} FROM ua"))
+oracle("compare_paired", with_(measure_ctes(("activity",)) + [
+    f"pa AS {paired_sql(TOT_ACT, 'drug', PA, PB, 'mouse', 'measure, window_min')}"],
+    f"""SELECT measure, {r6('window_min', 'window_min')},
+    {test_cols(('n', 'n_unpaired', 'n_duplicate'), ('mean_a', 'mean_b', 'mean_diff', 'sd_diff'))} FROM pa"""))
+oracle("compare_bins", with_(measure_ctes(("activity",)), f"""SELECT measure, bin_min, line AS grp,
+    CAST(list_position(['{UA}', '{UB}'], line) AS INTEGER) AS group_ord, bin + bin_min AS bin_end, count(*) AS n,
+    {r6('CASE WHEN count(value) = count(*) THEN avg(value) END', 'mean')},
+    {r6('CASE WHEN count(value) = count(*) THEN stddev_samp(value) END', 'sd')},
+    {r6('CASE WHEN count(value) = count(*) THEN stddev_samp(value) END / sqrt(count(*))', 'se')}
+    FROM lg WHERE measure = 'bin_activity' AND line IN ('{UA}', '{UB}') AND bin < {WITHIN}
+    GROUP BY measure, bin_min, line, bin + bin_min"""))
+_by = "measure, threshold, window_min"
+oracle("compare_sweep", with_(measure_ctes() + [
+    f"ua AS {welch_sql(unpaired_sql(TOT_ALL, 'line', UA, UB, _by))}",
+    f"pa AS {paired_sql(TOT_ALL, 'drug', PA, PB, 'mouse', _by)}",
+    f"""tt AS (SELECT 'unpaired' AS design, {_by}, n_a, n_b, mean_a, mean_b, t, df FROM ua
+        UNION ALL SELECT 'paired' AS design, {_by}, n AS n_a, n AS n_b, mean_a, mean_b, t, df FROM pa)"""],
+    f"SELECT design, measure, {r6('threshold', 'threshold')}, {r6('window_min', 'window_min')}, "
+    f"{test_cols(dbl=('mean_a', 'mean_b'))} FROM tt"))
