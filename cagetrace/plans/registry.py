@@ -17,18 +17,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cagetrace.functions import rolling as R
+from cagetrace.operators import checks as CK
 from cagetrace.operators import clean as C
 from cagetrace.operators import contacts as CT
 from cagetrace.operators import measures as ME
 from cagetrace.operators import motion as M
 from cagetrace.operators import reshape as RS
+from cagetrace.operators import series as SR
 from cagetrace.plans import compare as CP
+from cagetrace.plans import inspect as IN
 from cagetrace.plans import pipeline as P
 from cagetrace.plans import sweep as SW
 from cagetrace.params import (FIXTURE_CLEAN, FIXTURE_PAIRED, FIXTURE_SWEEP, FIXTURE_UNPAIRED,
-                              CleanParams)
+                              CleanParams, StudyDesign)
 from cagetrace.plans.pipeline import Behavior, behavior
 from cagetrace.sources import fixture as FX
+from cagetrace.sources import logs as L
+from cagetrace.sources import subjects as SJ
 
 S = "session"
 INFO = ("marker_id", "line", "drug", "mouse")
@@ -338,3 +343,140 @@ def q_compare_sweep(spark, sf):
     p = p.select(F.lit("paired").alias("design"), *by, F.col("n").alias("n_a"), F.col("n").alias("n_b"),
                  "mean_a", "mean_b", "t", "df", "p", "label")
     return _test_out(u.unionByName(p), keys)
+
+
+# -------------------------------------------------------------- ingest
+def fixture_lines(spark, sf) -> DataFrame:
+    """The fixture positions written as tracker log lines (one file per session).
+
+    Odd sessions use the older header dialect, every third session has a
+    trailing comma on frame lines, sessions s % 7 == 3 lack the
+    ``Analysis No`` key and sessions s % 11 == 5 list three markers.
+    """
+    s = F.col("session")
+    return L.render_lines(
+        FX.frames(spark, sf), FX.IDS,
+        path=F.concat(F.lit("/logs/session_"), s.cast("string"), F.lit(".csv")),
+        session=s.cast("string"), marker_dialect=(s % 2 == 1), trailing_comma=(s % 3 == 0),
+        drop_key=F.when(s % 7 == 3, F.lit("Analysis No")),
+        n_markers=F.when(s % 11 == 5, F.lit(3)).otherwise(F.lit(4)))
+
+
+def fixture_subject_list(spark, sf) -> DataFrame:
+    """The subject view as a subject-list CSV would read: all strings."""
+    sj = FX.subjects(spark, sf)
+    return sj.select(F.col(S).cast("string").alias("Session"), F.lit("1").alias("Camera"),
+                     F.col("marker_id").alias("ID"), "line", "drug",
+                     F.col("mouse").cast("string").alias("mouse"))
+
+
+@query
+def q_ingest_metadata(spark, sf):
+    m = L.parse_metadata(fixture_lines(spark, sf))
+    return m.select("path", "session", "project", "camera_no", "analysis_no",
+                    F.unix_millis("exp_date").alias("exp_date_ms"),
+                    F.unix_millis("start_time").alias("start_ms"),
+                    F.unix_millis("finish_time").alias("finish_ms"))
+
+
+@query
+def q_ingest_markers(spark, sf):
+    return L.parse_markers(fixture_lines(spark, sf))
+
+
+@query
+def q_ingest_frames(spark, sf):
+    f = L.frames_from_logs(fixture_lines(spark, sf))
+    return f.select(S, "frame_no", t_ms(), "id", "x", "y")
+
+
+@query
+def q_subjects_validated(spark, sf):
+    return SJ.validated(fixture_subject_list(spark, sf), FIXTURE_PAIRED)
+
+
+@query
+def q_subject_info(spark, sf):
+    return SJ.subject_info(fixture_lines(spark, sf), fixture_subject_list(spark, sf)).select(
+        "path", S, "camera", "id", "marker_id", "description", "line", "drug", "mouse")
+
+
+@query
+def q_check_report(spark, sf):
+    return (CK.log_report(fixture_lines(spark, sf))
+            .unionByName(CK.position_report(FX.frames(spark, sf))))
+
+
+# ------------------------------------------------------------- inspect
+TRAJ = dict(time_point=3.0, duration=0.5, ids=FX.IDS)
+
+
+@query
+def q_trajectory_slice(spark, sf):
+    t = IN.trajectory(fixture_behavior(spark, sf).motion, **TRAJ)
+    return t.select(S, t_ms(), "id", r6("time0"), r6("x"), r6("y"), r6("x_last"), r6("y_last"),
+                    r6("cx"), r6("cy"), r6("box_xmin"), r6("box_xmax"), r6("box_ymin"), r6("box_ymax"))
+
+
+@query
+def q_trajectory_last(spark, sf):
+    t = IN.last_points(fixture_behavior(spark, sf).motion, **TRAJ)
+    return t.select(S, "id", t_ms(), r6("x_last"), r6("y_last"), "n_points")
+
+
+# ------------------------------------------------ generic driver tables
+@query
+def q_events_roll_zscore(spark, sf):
+    ev = FX.table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    z = SR.rolling_zscore(ev, ["event_type"], "ts", "value", n=2 * FIXTURE_CLEAN.fps,
+                          z=FIXTURE_CLEAN.z_threshold)
+    return z.select("event_id", "event_type", r6("roll_mean"), r6("roll_sd"), "z_flag")
+
+
+@query
+def q_events_lerp(spark, sf):
+    ev = FX.table(spark, sf, "events").select(
+        "event_id", "ts", "event_type",
+        F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
+    f = C.gap_fill(ev, ["event_type"], "ts", ["value"])
+    return f.select("event_id", "event_type", r6("value"))
+
+
+def _hourly(spark, sf):
+    ev = FX.table(spark, sf, "events")
+    agg = (ev.groupBy("user_id", F.hour("ts").cast("int").alias("hour"))
+           .agg(F.sum("value").alias("total")))
+    return SR.complete_domain(agg, ["user_id"], "hour", list(range(24)), {"total": 0.0})
+
+
+@query
+def q_events_bin_fill(spark, sf):
+    return _hourly(spark, sf).select("user_id", "hour", r6("total"))
+
+
+@query
+def q_events_cumul(spark, sf):
+    c = SR.running_total(_hourly(spark, sf), ["user_id"], "hour", "total", "cumul")
+    return c.select("user_id", "hour", r6("total"), r6("cumul"))
+
+
+@query
+def q_lineitem_group_ttest(spark, sf):
+    li = FX.table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("value"))
+    out = CP.unpaired(li, StudyDesign("l_returnflag", ("A", "N")), [])
+    return _test_out(out, [])
+
+
+@query
+def q_orders_paired_ttest(spark, sf):
+    o = FX.table(spark, sf, "orders")
+    per = (o.groupBy("o_custkey", "o_orderpriority").agg(F.avg("o_totalprice").alias("value")))
+    out = CP.paired(per, StudyDesign("o_orderpriority", ("1-URGENT", "5-LOW"), paired_col="o_custkey"), [])
+    return _test_out(out, [])
+
+
+@query
+def q_lineitem_densest_window(spark, sf):
+    li = FX.table(spark, sf, "lineitem")
+    d = C.densest_interval(li, ["l_returnflag"], "l_quantity", 10)
+    return d.select("l_returnflag", r6("lo"), r6("hi"), "cover", r6("center"), "n", r6("vmin"), r6("vmax"))

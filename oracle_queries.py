@@ -386,3 +386,89 @@ oracle("compare_sweep", with_(measure_ctes() + [
         UNION ALL SELECT 'paired' AS design, {_by}, n AS n_a, n AS n_b, mean_a, mean_b, t, df FROM pa)"""],
     f"SELECT design, measure, {r6('threshold', 'threshold')}, {r6('window_min', 'window_min')}, "
     f"{test_cols(dbl=('mean_a', 'mean_b'))} FROM tt"))
+
+
+# --------------------------------------------------------------- ingest
+SESS = "ss AS (SELECT session, min(ms) AS t0, max(ms) AS t1 FROM fx GROUP BY session)"
+KS = "ks AS (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4)"
+PATH = "'/logs/session_' || CAST(session AS VARCHAR) || '.csv'"
+oracle("ingest_metadata", with_(CL[:1] + [SESS], f"""SELECT {PATH} AS path, CAST(session AS VARCHAR) AS session,
+    'fixture' AS project, '1A' AS camera_no,
+    CASE WHEN session % 7 = 3 THEN NULL ELSE CAST(session AS VARCHAR) END AS analysis_no,
+    t0 - t0 % 86400000 AS exp_date_ms, t0 AS start_ms, t1 AS finish_ms FROM ss"""))
+oracle("ingest_markers", with_(CL[:1] + [SESS, KS], f"""SELECT {PATH} AS path, k AS id, CAST(k AS VARCHAR) AS marker_id,
+    'subject ' || CAST(k AS VARCHAR) AS description FROM ss CROSS JOIN ks WHERE NOT (session % 11 = 5 AND k > 3)"""))
+oracle("ingest_frames", with_(CL[:1], """SELECT CAST(session AS VARCHAR) AS session, CAST(15 + frame_no % 500 AS BIGINT) AS frame_no,
+    ms AS t_ms, id, x, y FROM fx"""))
+oracle("subjects_validated", with_([SUBJ], """SELECT CAST(session AS VARCHAR) AS Session, '1' AS Camera, marker_id AS ID,
+    line, drug, CAST(mouse AS VARCHAR) AS mouse FROM sj"""))
+oracle("subject_info", with_(CL[:1] + [SESS, KS, SUBJ], f"""SELECT '/logs/session_' || CAST(ss.session AS VARCHAR) || '.csv' AS path, CAST(ss.session AS VARCHAR) AS session,
+    '1' AS camera, k AS id, CAST(k AS VARCHAR) AS marker_id, 'subject ' || CAST(k AS VARCHAR) AS description,
+    sj.line, sj.drug, CAST(sj.mouse AS VARCHAR) AS mouse
+    FROM ss CROSS JOIN ks LEFT JOIN sj ON sj.session = ss.session AND sj.marker_id = CAST(k AS VARCHAR)
+    WHERE NOT (ss.session % 11 = 5 AND k > 3)"""))
+oracle("check_report", with_(CL[:2] + [SESS, """du AS (SELECT session, count(*) FILTER (WHERE frame_no <> f0) AS n
+        FROM (SELECT *, min(frame_no) OVER (PARTITION BY session, ms) AS f0 FROM fx) t GROUP BY session)""",
+    """pi AS (SELECT session, id, count(x) AS nx, count(y) AS ny,
+        count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS nxy FROM dd GROUP BY session, id)"""],
+    f"""SELECT {PATH} AS source, 'metadata_missing_key' AS check_name, 'Analysis No' AS detail, CAST(0 AS BIGINT) AS n
+        FROM ss WHERE session % 7 = 3
+    UNION ALL SELECT {PATH}, 'marker_count', '4', CAST(3 AS BIGINT) FROM ss WHERE session % 11 = 5
+    UNION ALL SELECT CAST(session AS VARCHAR), 'duplicate_time', '', n FROM du WHERE n > 0
+    UNION ALL SELECT CAST(session AS VARCHAR), 'sparse_series', 'id=' || CAST(id AS VARCHAR) || ' axis=x', nx FROM pi WHERE nx < 2
+    UNION ALL SELECT CAST(session AS VARCHAR), 'sparse_series', 'id=' || CAST(id AS VARCHAR) || ' axis=y', ny FROM pi WHERE ny < 2
+    UNION ALL SELECT CAST(session AS VARCHAR), 'subject_never_seen', 'id=' || CAST(id AS VARCHAR), nxy FROM pi WHERE nxy = 0"""))
+
+# -------------------------------------------------------------- inspect
+TP, DUR = 3.0, 0.5
+SLICE = f"sl AS (SELECT * FROM mo WHERE time0 > {TP - DUR} AND time0 <= {TP})"
+oracle("trajectory_slice", with_(CL + cage_center_ctes("mo", 380, 225) + [SLICE], f"""SELECT sl.session, ms AS t_ms, id,
+    {r6('time0', 'time0')}, {r6('x', 'x')}, {r6('y', 'y')},
+    {r6('arg_max(x, ms) OVER (PARTITION BY sl.session, id)', 'x_last')},
+    {r6('arg_max(y, ms) OVER (PARTITION BY sl.session, id)', 'y_last')},
+    {r6('cx', 'cx')}, {r6('cy', 'cy')}, {r6('cx - 190', 'box_xmin')}, {r6('cx + 190', 'box_xmax')},
+    {r6('cy - 112.5', 'box_ymin')}, {r6('cy + 112.5', 'box_ymax')}
+    FROM sl LEFT JOIN cc ON sl.session = cc.session"""))
+oracle("trajectory_last", with_(CL + [SLICE], f"""SELECT session, id, max(ms) AS t_ms, {r6('arg_max(x, ms)', 'x_last')},
+    {r6('arg_max(y, ms)', 'y_last')}, count(*) AS n_points FROM sl GROUP BY session, id"""))
+
+# ------------------------------------------------------- generic tables
+_zn = 2 * FPS
+_zlo, _zhi = (_zn - 1) // 2, _zn // 2
+oracle("events_roll_zscore", f"""SELECT event_id, event_type, {r6('m', 'roll_mean')}, {r6('s', 'roll_sd')},
+    coalesce(abs(value - m) > s * 3.0, false) AS z_flag FROM (
+    SELECT *, CASE WHEN count(*) OVER w = {_zn} THEN avg(value) OVER w END AS m,
+              CASE WHEN count(*) OVER w = {_zn} THEN stddev_samp(value) OVER w END AS s
+    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN {_zlo} PRECEDING AND {_zhi} FOLLOWING)) t""")
+oracle("events_lerp", f"""WITH v AS (SELECT event_id, ts, event_type, CASE WHEN event_id % 7 <> 0 THEN value END AS x FROM events),
+    ix AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM v),
+    lp AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN i END) OVER wu AS pi, last_value(x IGNORE NULLS) OVER wu AS pv,
+        min(CASE WHEN x IS NOT NULL THEN i END) OVER wd AS ni, first_value(x IGNORE NULLS) OVER wd AS nv,
+        count(x) OVER (PARTITION BY event_type) AS k FROM ix
+        WINDOW wu AS (PARTITION BY event_type ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+               wd AS (PARTITION BY event_type ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT event_id, event_type, {r6('CASE WHEN k < 2 THEN NULL WHEN x IS NOT NULL THEN x WHEN pi IS NULL THEN nv WHEN ni IS NULL THEN pv ELSE pv + (nv - pv) * (i - pi) / (ni - pi) END', 'value')}
+    FROM lp""")
+HOURLY = """hr AS (SELECT u.user_id, CAST(h.hour AS INTEGER) AS hour, coalesce(a.total, 0) AS total
+    FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT range AS hour FROM range(24)) h
+    LEFT JOIN (SELECT user_id, hour(ts) AS hour, sum(value) AS total FROM events GROUP BY user_id, hour(ts)) a
+    ON a.user_id = u.user_id AND a.hour = h.hour)"""
+oracle("events_bin_fill", with_([HOURLY], f"SELECT user_id, hour, {r6('total', 'total')} FROM hr"))
+oracle("events_cumul", with_([HOURLY], f"""SELECT user_id, hour, {r6('total', 'total')},
+    {r6('sum(total) OVER (PARTITION BY user_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'cumul')}
+    FROM hr"""))
+oracle("lineitem_group_ttest", with_([
+    f"ua AS {welch_sql(unpaired_sql('(SELECT l_returnflag, 1 AS g, l_extendedprice AS value FROM lineitem)', 'l_returnflag', 'A', 'N', 'g'))}"],
+    f"SELECT {test_cols()} FROM ua"))
+oracle("orders_paired_ttest", with_([
+    "po AS (SELECT o_custkey, o_orderpriority, 1 AS g, avg(o_totalprice) AS value FROM orders GROUP BY o_custkey, o_orderpriority)",
+    f"pa AS {paired_sql('po', 'o_orderpriority', '1-URGENT', '5-LOW', 'o_custkey', 'g')}"],
+    f"SELECT {test_cols(('n', 'n_unpaired', 'n_duplicate'), ('mean_a', 'mean_b', 'mean_diff', 'sd_diff'))} FROM pa"))
+oracle("lineitem_densest_window", f"""WITH h AS (SELECT l_returnflag, l_quantity AS v, count(*) AS c FROM lineitem
+        WHERE l_quantity IS NOT NULL GROUP BY l_returnflag, l_quantity),
+    cv AS (SELECT *, sum(c) OVER w AS cover, max(v) OVER w AS hi FROM h
+        WINDOW w AS (PARTITION BY l_returnflag ORDER BY v RANGE BETWEEN CURRENT ROW AND 10 FOLLOWING)),
+    b AS (SELECT l_returnflag, arg_max(v, cover * 1e9 - v) AS lo, arg_max(hi, cover * 1e9 - v) AS hi,
+        max(cover) AS cover, sum(c) AS n, min(v) AS vmin, max(v) AS vmax FROM cv GROUP BY l_returnflag)
+    SELECT l_returnflag, {r6('lo', 'lo')}, {r6('hi', 'hi')}, CAST(cover AS BIGINT) AS cover, {r6('(lo + hi) / 2', 'center')},
+        CAST(n AS BIGINT) AS n, {r6('vmin', 'vmin')}, {r6('vmax', 'vmax')} FROM b""")
