@@ -65,19 +65,26 @@ def complete_bins(agg: DataFrame, keys: list[str], item: str, regular: dict[int,
                   fill: dict[str, object]) -> DataFrame:
     """Zero-fill a bin table: every item x (regular bins of its width U observed bins).
 
-    ``keys`` identify an independent table (session, [threshold,] bin_min);
-    items are the subjects present in it.  Both sides of the grid come
-    from the aggregated table (a handful of rows per session), so the
-    join is between small aggregates, never raw frames.
+    ``keys`` identify an independent table (session, [threshold,] bin_min).
+    One aggregation per table gathers its items, observed bins and values
+    (at most items x bins entries: bounded by the id list and the bin
+    grid, never by frame count), then the grid is exploded and looked up.
+    Keyed by session first, so no shuffle beyond the session partitioning.
     """
+    vals = [c for c in agg.columns if c not in (*keys, item, "bin")]
     reg_map = F.create_map(*[x for w, bins in regular.items()
                              for x in (F.lit(int(w)), F.array(*[F.lit(int(b)) for b in bins]))])
-    tables = agg.select(*keys).distinct()
-    reg = tables.select(*keys, F.explode(F.element_at(reg_map, F.col("bin_min"))).alias("bin"))
-    bins = agg.select(*keys, "bin").unionByName(reg).distinct()
-    items = agg.select(*keys, item).distinct()
-    grid = items.join(bins, keys)
-    out = grid.join(agg, keys + [item, "bin"], "left")
+    cell = F.struct(F.col(item).alias("i"), F.col("bin").alias("b"))
+    g = agg.groupBy(*keys).agg(
+        F.collect_set(item).alias("_items"),
+        F.collect_set("bin").alias("_obs"),
+        F.map_from_entries(F.collect_list(F.struct(cell, F.struct(*vals)))).alias("_vals"))
+    reg = F.coalesce(F.element_at(reg_map, F.col("bin_min")), F.array().cast("array<int>"))
+    g = g.select(*keys, "_items", "_vals", F.array_union("_obs", reg).alias("_bins"))
+    grid = (g.select(*keys, F.explode("_items").alias(item), "_bins", "_vals")
+            .select(*keys, item, F.explode("_bins").alias("bin"), "_vals"))
+    hit = F.element_at(F.col("_vals"), F.struct(F.col(item).alias("i"), F.col("bin").alias("b")))
+    out = grid.select(*keys, item, "bin", *[hit[c].alias(c) for c in vals])
     for c, v in fill.items():
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
     return out

@@ -40,11 +40,12 @@ def roll_move(df: DataFrame, n: int, session: str = S) -> DataFrame:
     """roll_r / roll_f: sum of ``move`` over the n rows ending / starting here.
 
     Null when the frame is cut off or holds a null (so roll_r is null on
-    the first n rows: the first move is null).
+    the first n rows: the first move is null).  Both frames share one
+    window spec, so one WindowExec computes them.
     """
     w = W.partitionBy(session, "id").orderBy("time")
-    return (df.withColumn("roll_r", strict_sum("move", w, trailing(n)))
-            .withColumn("roll_f", strict_sum("move", w, leading(n))))
+    return df.select("*", strict_sum("move", w, trailing(n)).alias("roll_r"),
+                     strict_sum("move", w, leading(n)).alias("roll_f"))
 
 
 MOTION_COLS = ("x", "y", "move", "roll_r", "roll_f")

@@ -11,11 +11,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cagetrace.functions.rolling import running
 from cagetrace.operators import clean as C
 from cagetrace.operators import motion as M
+from cagetrace.operators import reshape as RS
 from cagetrace.params import CleanParams
+from cagetrace.session import cut_lineage
 
 S = "session"
 
@@ -31,12 +35,58 @@ def clean(frames: DataFrame, p: CleanParams, session: str = S,
     f = frames if partitioned else partition_sessions(frames, session)
     if p.rm_z_outlier:
         f = C.z_mask(f, p.z_rows, p.z_threshold, session)
-    f = C.dedup_time(f, session)
     if p.rm_cage_outlier:
+        # the cage centre is estimated on de-duplicated positions
+        f = C.dedup_time(f, session)
         f = C.cage_mask(f, p.cage_width, p.cage_height, p.cage_scale_threshold, session)
-    f = C.common_start(f, session)
-    f = C.gap_fill(f, [session, "id"], "time", ["x", "y"])
-    return f.filter(F.col("time") >= F.col("start")).drop("start")
+    return fill_and_trim(f, session)
+
+
+def fill_and_trim(f: DataFrame, session: str = S) -> DataFrame:
+    """Time dedup, common start and linear gap fill in two ordered passes.
+
+    One sort per subject series in each direction (descending, then
+    ascending) instead of one per column and direction.  Dedup keeps the
+    first frame of a repeated time: every frame carries every subject, so
+    per subject the smallest frame_no of a time is the frame's first row.
+    """
+    si = W.partitionBy(session, "id")
+    desc = si.orderBy(F.col("time").desc(), F.col("frame_no").desc())
+    asc = si.orderBy(F.col("time").asc())
+    x, y = F.col("x"), F.col("y")
+
+    # descending pass: dedup (the last row of a time in this order is its
+    # first frame), index, next known value, per-subject counts
+    f = f.withColumn("_nt", F.lead("time").over(desc))
+    f = f.filter(F.col("_nt").isNull() | (F.col("_nt") != F.col("time"))).drop("_nt")
+    f = f.withColumn("_i", F.row_number().over(desc))
+    i = F.col("_i")
+
+    def known(c):
+        return F.when(F.col(c).isNotNull(), F.struct(i.alias("i"), F.col(c).alias("v")))
+
+    f = f.select("*", *[F.last(known(c), ignorenulls=True).over(running(desc)).alias(f"_n_{c}")
+                        for c in ("x", "y")])
+    seen = F.min(F.when(x.isNotNull() & y.isNotNull(), F.col("time")))
+    f = f.select("*", F.count(x).over(si).alias("_k_x"), F.count(y).over(si).alias("_k_y"),
+                 seen.over(si).alias("_mt"))
+    ws = W.partitionBy(session)
+    f = f.select("*", F.max(F.col("_mt").isNull()).over(ws).alias("_miss"),
+                 F.max("_mt").over(ws).alias("_start"))
+
+    # ascending pass: previous known value, fill, trim
+    f = f.select("*", *[F.last(known(c), ignorenulls=True).over(running(asc)).alias(f"_p_{c}")
+                        for c in ("x", "y")])
+    for c in ("x", "y"):
+        pv, nv, k = F.col(f"_p_{c}"), F.col(f"_n_{c}"), F.col(f"_k_{c}")
+        filled = (F.when(k < 2, F.lit(None).cast("double"))
+                  .when(F.col(c).isNotNull(), F.col(c))
+                  .when(pv.isNull(), nv["v"])
+                  .when(nv.isNull(), pv["v"])
+                  .otherwise(pv["v"] + (nv["v"] - pv["v"]) * (i - pv["i"]) / (nv["i"] - pv["i"])))
+        f = f.withColumn(c, filled)
+    f = f.filter(~F.col("_miss") & (F.col("time") >= F.col("_start")))
+    return f.drop("_i", "_n_x", "_n_y", "_p_x", "_p_y", "_k_x", "_k_y", "_mt", "_miss", "_start")
 
 
 def derive(cleaned: DataFrame, p: CleanParams, session: str = S) -> DataFrame:
@@ -48,14 +98,23 @@ def derive(cleaned: DataFrame, p: CleanParams, session: str = S) -> DataFrame:
 
 @dataclass
 class Behavior:
-    """The derived tables of one clean-and-derive run."""
+    """The derived tables of one clean-and-derive run.
+
+    ``wide`` (one row per session and time, every subject's x, y, move and
+    rolling sums) is the shared intermediate of every measure family;
+    ``materialized()`` writes it once to the shared checkpoint folder so
+    the families read it instead of re-running the cleaning windows.
+    """
 
     motion: DataFrame
     ids: tuple[int, ...]
     session: str = S
+    wide_table: DataFrame | None = None
 
     @property
     def wide(self) -> DataFrame:
+        if self.wide_table is not None:
+            return self.wide_table
         return M.wide_frames(self.motion, self.ids, session=self.session)
 
     @property
@@ -64,9 +123,14 @@ class Behavior:
 
     @property
     def neighbours(self) -> DataFrame:
-        return M.neighbour_distance(
-            M.wide_frames(self.motion, self.ids, cols=("x", "y"), session=self.session),
-            self.ids, session=self.session)
+        xy = [f"id_{k}_{c}" for k in self.ids for c in ("x", "y")]
+        return M.neighbour_distance(self.wide.select(self.session, "time", "time0", *xy),
+                                    self.ids, session=self.session)
+
+    def materialized(self) -> "Behavior":
+        w = cut_lineage(self.wide)
+        motion = RS.to_long(w, self.ids, keys=[self.session, "time", "time0"], cols=M.MOTION_COLS)
+        return Behavior(motion, self.ids, self.session, w)
 
 
 def behavior(frames: DataFrame, p: CleanParams, session: str = S) -> Behavior:

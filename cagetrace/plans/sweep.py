@@ -61,9 +61,16 @@ class SweepTables:
         return [(k, v) for k, v in vars(self).items() if v is not None]
 
 
-def sweep(b: Behavior, sp: SweepParams, info: DataFrame | None = None) -> SweepTables:
-    """All requested families for the whole grid (lazy DataFrames)."""
+def sweep(b: Behavior, sp: SweepParams, info: DataFrame | None = None,
+          materialize: bool = True) -> SweepTables:
+    """All requested families for the whole grid.
+
+    With ``materialize`` the per-frame table is checkpointed once (an
+    eager job) and every family reads it; the returned tables are lazy.
+    """
     out = SweepTables()
+    if materialize:
+        b = b.materialized()
     if sp.activity:
         out.activity_total = ME.join_info(ME.total_activity(b.motion, sp.windows), info)
         out.activity_bin = ME.join_info(ME.bin_activity(b.motion, sp.bin_within, sp.bin_widths), info)
