@@ -27,15 +27,18 @@ def _mover(a_roll: str, b_roll: str):
             .when(ra > rb, F.col("ida")).otherwise(F.col("idb")))
 
 
-def contact_events(pairs: DataFrame, thresholds, session: str = S) -> DataFrame:
+def contact_events(pairs: DataFrame, thresholds, session: str = S, part=(),
+                   keep: str | None = None) -> DataFrame:
     """Event rows (nearing_event != 0) per threshold with who moved.
 
     Output: session, threshold, time, time0, ida, idb, dist, nearing,
     nearing_event, moving_r_id (larger trailing move sum before the
     event), moving_f_id (larger leading sum after it); ties go to idb,
-    a null sum gives null.
+    a null sum gives null.  ``part`` adds partition keys (chunks) and
+    ``keep`` names a boolean column of rows to emit after the lag (halo
+    rows serve as previous frames only).
     """
-    w = W.partitionBy(session, "ida", "idb").orderBy("time")
+    w = W.partitionBy(session, *part, "ida", "idb").orderBy("time")
     prev = F.lag("dist").over(w)
     per_t = F.array(*[
         F.struct(F.lit(float(t)).alias("threshold"),
@@ -44,10 +47,12 @@ def contact_events(pairs: DataFrame, thresholds, session: str = S) -> DataFrame:
                   - _nearing(F.col("dist"), F.lit(float(t)))).alias("nearing_event"))
         for t in thresholds])
     fired = F.filter(per_t, lambda e: e["nearing_event"] != 0)
-    ev = (pairs.withColumn("_prev", prev)
-          .select(session, "time", "time0", "ida", "idb", "dist",
-                  "roll_r_a", "roll_r_b", "roll_f_a", "roll_f_b", F.inline(fired)))
-    return ev.select(session, "threshold", "time", "time0", "ida", "idb", "dist",
+    ev = pairs.withColumn("_prev", prev)
+    if keep:
+        ev = ev.filter(F.col(keep))
+    ev = ev.select(session, *part, "time", "time0", "ida", "idb", "dist",
+                   "roll_r_a", "roll_r_b", "roll_f_a", "roll_f_b", F.inline(fired))
+    return ev.select(session, *part, "threshold", "time", "time0", "ida", "idb", "dist",
                      "nearing", "nearing_event",
                      _mover("roll_r_a", "roll_r_b").alias("moving_r_id"),
                      _mover("roll_f_a", "roll_f_b").alias("moving_f_id"))

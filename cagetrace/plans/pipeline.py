@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cagetrace.functions.rolling import running
 from cagetrace.operators import clean as C
+from cagetrace.operators import contacts as CT
 from cagetrace.operators import motion as M
 from cagetrace.operators import reshape as RS
 from cagetrace.params import CleanParams
@@ -127,11 +128,32 @@ class Behavior:
         return M.neighbour_distance(self.wide.select(self.session, "time", "time0", *xy),
                                     self.ids, session=self.session)
 
+    def bouts(self, thresholds) -> DataFrame:
+        """Contact events with bout attributes for every threshold."""
+        return CT.contact_bouts(CT.contact_events(self.pairs, thresholds, self.session), self.session)
+
     def materialized(self) -> "Behavior":
         w = cut_lineage(self.wide)
         motion = RS.to_long(w, self.ids, keys=[self.session, "time", "time0"], cols=M.MOTION_COLS)
         return Behavior(motion, self.ids, self.session, w)
 
 
-def behavior(frames: DataFrame, p: CleanParams, session: str = S) -> Behavior:
+def behavior(frames: DataFrame, p: CleanParams, session: str = S, strategy: str = "session",
+             chunk_ms: int = 300_000, chunk_rows: int = 20_000, max_session_rows: int = 4_000_000):
+    """Clean-and-derive.
+
+    strategy "session": one shuffle, a session per task (fast when sessions
+    are recording-sized); "chunked": sessions split into chunks (see
+    ``plans.chunked``), for sessions too large for one task; "auto": look
+    up the largest session (one small aggregation) and choose.
+    """
+    if strategy == "auto":
+        biggest = frames.groupBy(session).count().agg(F.max("count")).first()[0] or 0
+        strategy = "chunked" if biggest > max_session_rows and not (
+            p.rm_z_outlier or p.rm_cage_outlier) else "session"
+    if strategy == "chunked":
+        from cagetrace.plans import chunked
+        return chunked.behavior(frames, p, chunk_ms, chunk_rows, session)
+    if strategy != "session":
+        raise ValueError(f"unknown strategy {strategy!r}")
     return Behavior(derive(clean(frames, p, session), p, session), p.ids, session)

@@ -55,8 +55,14 @@ def t_ms(c: str = "time") -> Column:
     return F.unix_millis(F.col(c)).alias("t_ms")
 
 
-def fixture_behavior(spark: SparkSession, sf: str, p: CleanParams = FIXTURE_CLEAN) -> Behavior:
-    return behavior(FX.frames(spark, sf), p)
+def fixture_behavior(spark: SparkSession, sf: str, p: CleanParams = FIXTURE_CLEAN,
+                     strategy: str = "session") -> Behavior:
+    return behavior(FX.frames(spark, sf), p, strategy=strategy, **CHUNKS)
+
+
+# Chunk sizes for the chunked plan on the fixture (250 s sessions): small
+# enough that every session spans many chunks, so boundaries are exercised.
+CHUNKS = dict(chunk_ms=60_000, chunk_rows=150)
 
 
 def info(spark: SparkSession, sf: str) -> DataFrame:
@@ -480,3 +486,31 @@ def q_lineitem_densest_window(spark, sf):
     li = FX.table(spark, sf, "lineitem")
     d = C.densest_interval(li, ["l_returnflag"], "l_quantity", 10)
     return d.select("l_returnflag", r6("lo"), r6("hi"), "cover", r6("center"), "n", r6("vmin"), r6("vmax"))
+
+
+# ------------------------------------------- chunked plan, same oracles
+@query
+def q_motion_chunked(spark, sf):
+    m = fixture_behavior(spark, sf, strategy="chunked").motion
+    return m.select(S, t_ms(), "id", r6("time0"), r6("x"), r6("y"))
+
+
+@query
+def q_roll_move_chunked(spark, sf):
+    m = fixture_behavior(spark, sf, strategy="chunked").motion
+    return m.select(S, t_ms(), "id", r6("roll_r"), r6("roll_f"))
+
+
+@query
+def q_contact_bouts_chunked(spark, sf):
+    bo = fixture_behavior(spark, sf, strategy="chunked").bouts(FIXTURE_SWEEP.thresholds)
+    return bo.select(S, r6("threshold"), t_ms(), "ida", "idb",
+                     F.col("nearing_event").cast("int").alias("nearing_event"),
+                     "moving_r_id", "moving_f_id", "approach_id", "depart_id", r6("duration"))
+
+
+@query
+def q_sweep_long_chunked(spark, sf):
+    sp = FIXTURE_SWEEP
+    t = SW.sweep(fixture_behavior(spark, sf, strategy="chunked"), sp, info(spark, sf))
+    return long_out(SW.to_long(t, sp, INFO), INFO)

@@ -15,11 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cagetrace.operators import contacts as CT
 from cagetrace.operators import measures as ME
 from cagetrace.operators.reshape import unpivot_measures
 from cagetrace.params import SweepParams
-from cagetrace.plans.pipeline import Behavior
+from cagetrace.plans.pipeline import Behavior  # or ChunkedBehavior: same interface
 
 S = "session"
 
@@ -79,7 +78,7 @@ def sweep(b: Behavior, sp: SweepParams, info: DataFrame | None = None,
         out.dist_total = ME.join_info(ME.total_distance(nb, sp.windows), info)
         out.dist_bin = ME.join_info(ME.bin_distance(nb, sp.bin_within, sp.bin_widths), info)
     if sp.interaction:
-        bouts = CT.contact_bouts(CT.contact_events(b.pairs, sp.thresholds))
+        bouts = b.bouts(sp.thresholds)
         out.inter_total = ME.join_info(ME.total_interaction(bouts, sp.windows), info)
         out.inter_bin = ME.join_info(ME.bin_interaction(bouts, sp.bin_within, sp.bin_widths), info)
     return out

@@ -472,3 +472,8 @@ oracle("lineitem_densest_window", f"""WITH h AS (SELECT l_returnflag, l_quantity
         max(cover) AS cover, sum(c) AS n, min(v) AS vmin, max(v) AS vmax FROM cv GROUP BY l_returnflag)
     SELECT l_returnflag, {r6('lo', 'lo')}, {r6('hi', 'hi')}, CAST(cover AS BIGINT) AS cover, {r6('(lo + hi) / 2', 'center')},
         CAST(n AS BIGINT) AS n, {r6('vmin', 'vmin')}, {r6('vmax', 'vmax')} FROM b""")
+
+
+# the chunked plan answers the same questions: same oracle text
+for _n in ("motion", "roll_move", "contact_bouts", "sweep_long"):
+    oracle(f"{_n}_chunked", ORACLE[_n])
