@@ -40,7 +40,7 @@ def position_report(frames: DataFrame, session: str = S) -> DataFrame:
     - sparse_series: a subject axis with < 2 known values (stays unfilled)
     - subject_never_seen: a subject without a complete position (session dropped)
     """
-    f = frames.repartition(session)
+    f = frames    # windows keyed (session, time): no session-sized task
     first = F.min("frame_no").over(W.partitionBy(session, "time"))
     dup = (f.withColumn("_first", first).groupBy(session)
            .agg(F.count_if(F.col("frame_no") != F.col("_first")).alias("n"))

@@ -84,7 +84,7 @@ def windows_info(df: DataFrame, spark, sf) -> DataFrame:
 # ------------------------------------------------------------ cleaning
 @query
 def q_frames_dedup(spark, sf):
-    d = C.dedup_time(FX.frames(spark, sf).repartition(S))
+    d = C.dedup_time(FX.frames(spark, sf))
     return d.select(S, "frame_no", t_ms(), "id", "x", "y")
 
 
@@ -152,7 +152,7 @@ def q_z_mask(spark, sf):
 
 @query
 def q_cage_center(spark, sf):
-    d = C.dedup_time(FX.frames(spark, sf).repartition(S))
+    d = C.dedup_time(FX.frames(spark, sf))
     p = FIXTURE_CLEAN
     cc = C.cage_center(d, p.cage_width, p.cage_height)
     mx = C.exact_median(d, [S], "x").withColumnRenamed("median", "x_median")

@@ -38,18 +38,43 @@ FIRST_FRAME_LINE = 15
 N_MARKERS = 4
 
 
-def read_lines(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
-    """Every log in ``folder`` as (path, line_no, value), one scan.
-
-    Line numbers: files may be split into several blocks, so lines are
-    ordered by (block start, position within the scan) per file.
+def read_lines(spark: SparkSession, folder: str, glob: str = "*.csv",
+               broadcast_blocks: int = 200_000) -> DataFrame:
+    """Every log in ``folder`` as (path, line_no, value), one scan, no per-file task.
+
+    A file may be split into many blocks read by different tasks.  Within
+    one block the scan position (``monotonically_increasing_id``) is
+    consecutive, so line_no = lines in earlier blocks of the file + the
+    position within the block.  Only the block table (one row per file
+    block: count and first position) is aggregated and prefix-summed; it
+    is broadcast when its size, checked first, is at most
+    ``broadcast_blocks`` rows, else joined by (path, block).
     """
     raw = (spark.read.option("pathGlobFilter", glob).text(folder)
            .select(F.col("_metadata.file_path").alias("path"),
                    F.col("_metadata.file_block_start").alias("_blk"),
                    F.monotonically_increasing_id().alias("_pos"), "value"))
-    w = W.partitionBy("path").orderBy("_blk", "_pos")
-    return raw.select("path", F.row_number().over(w).alias("line_no"), "value")
+    blocks = raw.groupBy("path", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
+    before = F.sum("_n").over(W.partitionBy("path").orderBy("_blk").rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select("path", "_blk", "_p0", F.coalesce(before, F.lit(0)).alias("_off"))
+    side = F.broadcast(blocks) if block_bound(spark, folder, glob) <= broadcast_blocks else blocks
+    j = raw.join(side, ["path", "_blk"])
+    return j.select("path", (F.col("_off") + F.col("_pos") - F.col("_p0") + 1).alias("line_no"), "value")
+
+
+def block_bound(spark: SparkSession, folder: str, glob: str) -> int:
+    """Upper bound on file blocks from the listing alone (no scan).
+
+    Spark never splits a file finer than min(maxPartitionBytes,
+    openCostInBytes), so sum(ceil(size / that)) bounds the block count.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
+    path = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/" + glob)
+    fs = path.getFileSystem(conf)
+    stats = fs.globStatus(path) or []
+    sql_conf = spark._jsparkSession.sessionState().conf()  # noqa: SLF001
+    unit = max(1, min(sql_conf.filesMaxPartitionBytes(), sql_conf.filesOpenCostInBytes()))
+    return sum(max(1, -(-st.getLen() // unit)) for st in stats if st.isFile())
 
 
 def parse_time(c: Column) -> Column:
