@@ -50,15 +50,27 @@ def read_lines(spark: SparkSession, folder: str, glob: str = "*.csv",
     is broadcast when its size, checked first, is at most
     ``broadcast_blocks`` rows, else joined by (path, block).
     """
-    raw = (spark.read.option("pathGlobFilter", glob).text(folder)
-           .select(F.col("_metadata.file_path").alias("path"),
-                   F.col("_metadata.file_block_start").alias("_blk"),
-                   F.monotonically_increasing_id().alias("_pos"), "value"))
+    raw = spark.read.option("pathGlobFilter", glob).text(folder).select(*file_cols(), "value")
+    return number_lines(with_positions(raw), broadcast=block_bound(spark, folder, glob) <= broadcast_blocks)
+
+
+def file_cols():
+    """File path and block start of each scanned line (batch and stream scans)."""
+    return (F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("_blk"))
+
+
+def with_positions(raw: DataFrame) -> DataFrame:
+    """Scan position: consecutive within a block, since a block is read by one task."""
+    return raw.withColumn("_pos", F.monotonically_increasing_id())
+
+
+def number_lines(raw: DataFrame, broadcast: bool = False) -> DataFrame:
+    """(path, _blk, _pos, value) -> (path, line_no, value) from block offsets."""
     blocks = raw.groupBy("path", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
     before = F.sum("_n").over(W.partitionBy("path").orderBy("_blk").rowsBetween(W.unboundedPreceding, -1))
     blocks = blocks.select("path", "_blk", "_p0", F.coalesce(before, F.lit(0)).alias("_off"))
-    side = F.broadcast(blocks) if block_bound(spark, folder, glob) <= broadcast_blocks else blocks
-    j = raw.join(side, ["path", "_blk"])
+    j = raw.join(F.broadcast(blocks) if broadcast else blocks, ["path", "_blk"])
     return j.select("path", (F.col("_off") + F.col("_pos") - F.col("_p0") + 1).alias("line_no"), "value")
 
 

@@ -1,4 +1,5 @@
 """Log files on disk: both header dialects, trailing commas, odd names, checks."""
+import datetime as dt
 import os
 
 from pyspark.sql import functions as F
@@ -25,8 +26,9 @@ def write_log(folder, name, session, dialect="plain", trailing="none", markers=4
     lines.append(",".join(["Marker"] + mk))
     lines += ["-", "-", "-", "-"]
     lines.append(",".join(["date time"] + hdr))
+    t0 = dt.datetime(2024, 5, 22, 10, 0, 0)
     for i, row in enumerate(frames):
-        t = f"2024/05/22 10:00:{i // 2:02d}.{(i % 2) * 500:03d}"
+        t = (t0 + dt.timedelta(milliseconds=500 * i)).strftime("%Y/%m/%d %H:%M:%S.%f")[:-3]
         line = ",".join([t] + ["" if v is None else str(v) for v in row])
         if trailing == "all" or (trailing == "some" and i % 2 == 0):
             line += ","
