@@ -28,13 +28,13 @@ def dedup_time(frames: DataFrame, session: str = S) -> DataFrame:
 
 
 def z_flags(frames: DataFrame, n: int, z: float, order: str = "frame_no",
-            session: str = S) -> DataFrame:
+            session: str = S, part=()) -> DataFrame:
     """Per-row z-outlier flag from centred rolling mean and sd of x and y.
 
     Adds ``z_flag`` (never null): |v - mean| > z * sd on x or y, null
     comparisons count as false.  Frames cut off at an edge are null.
     """
-    w = W.partitionBy(session, "id").orderBy(order)
+    w = W.partitionBy(session, *part, "id").orderBy(order)
     fr = centred(n)
 
     def out(c: str):

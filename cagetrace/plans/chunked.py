@@ -32,6 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cagetrace.functions.rolling import leading, running, strict_sum, trailing
+from cagetrace.operators import clean as C
 from cagetrace.operators import contacts as CT
 from cagetrace.operators import motion as M
 from cagetrace.operators import reshape as RS
@@ -51,12 +52,63 @@ def _shift(s: Column, off: Column) -> Column:
     return F.when(s.isNotNull(), F.struct((off + s["i"]).alias("i"), s["v"].alias("v")))
 
 
-def stage1(frames: DataFrame, chunk_ms: int, session: str = S) -> DataFrame:
-    """Dedup, local index and local known neighbours, keyed (session, _tc)."""
+def z_stage(frames: DataFrame, n: int, z: float, k_frames: int, session: str = S) -> DataFrame:
+    """z mask in file order on frame-number chunks with halos of n/2 + 1 frames.
+
+    Exact when frame numbers are consecutive within a session (line
+    numbers are); ``frames_consecutive`` checks it.
+    """
+    h = n // 2 + 1
+    if k_frames < h:
+        raise ValueError("z chunk must be at least the z halo")
+    fn = F.col("frame_no")
+    zc, pos = F.floor(fn / k_frames), F.pmod(fn, F.lit(k_frames))
+    copies = F.array(
+        F.struct(zc.alias("_zc"), F.lit(True).alias("_zown")),
+        F.when(pos >= k_frames - h, F.struct((zc + 1).alias("_zc"), F.lit(False).alias("_zown"))),
+        F.when(pos < h, F.struct((zc - 1).alias("_zc"), F.lit(False).alias("_zown"))))
+    r = frames.select("*", F.inline(F.filter(copies, lambda c: c.isNotNull()))).repartition(session, "_zc")
+    flagged = C.z_flags(r, n, z, session=session, part=("_zc",)).filter(F.col("_zown"))
+    any_flag = F.max("z_flag").over(W.partitionBy(session, "_zc", "frame_no"))
+    return (flagged.withColumn("_any", any_flag)
+            .withColumn("x", F.when(~F.col("_any"), F.col("x")))
+            .withColumn("y", F.when(~F.col("_any"), F.col("y")))
+            .drop("_any", "z_flag", "_zc", "_zown"))
+
+
+def frames_consecutive(frames: DataFrame, session: str = S) -> bool:
+    """True when every session's frame numbers run without gaps (one aggregation)."""
+    per = frames.groupBy(session, "frame_no").agg(F.count(F.lit(1)).alias("_n"))
+    bad = (per.groupBy(session)
+           .agg((F.max("frame_no") - F.min("frame_no") + 1 - F.count(F.lit(1))).alias("gap"))
+           .filter(F.col("gap") != 0))
+    return bad.isEmpty()
+
+
+def cage_stage(f: DataFrame, width: float, height: float, scale: float,
+               session: str = S) -> DataFrame:
+    """Cage mask on rows keyed (session, _tc): centres from value histograms
+    (partial counts per session), joined back through the (session, _tc) keys."""
+    centre = C.cage_center(f, width, height, session).select(session, "cx", "cy")
+    keys = f.select(session, "_tc").distinct().join(centre, session, "left")
+    m = f.join(keys, [session, "_tc"])
+    hx, hy = width / 2 * scale, height / 2 * scale
+    x, y = F.col("x"), F.col("y")
+    m = (m.withColumn("x", F.when(~((x > F.col("cx") + hx) | (x < F.col("cx") - hx)), x))
+         .withColumn("y", F.when(~((y > F.col("cy") + hy) | (y < F.col("cy") - hy)), y)))
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    return (m.withColumn("x", F.when(both, F.col("x")))
+            .withColumn("y", F.when(both, F.col("y"))).drop("cx", "cy"))
+
+
+def stage1(frames: DataFrame, chunk_ms: int, session: str = S, cage=None) -> DataFrame:
+    """Dedup, [cage mask,] local index and local known neighbours, keyed (session, _tc)."""
     f = (frames.withColumn("_tc", F.floor(F.unix_millis("time") / F.lit(int(chunk_ms))))
          .repartition(session, "_tc"))
     first = F.min("frame_no").over(W.partitionBy(session, "_tc", "time"))
     f = f.withColumn("_f0", first).filter(F.col("frame_no") == F.col("_f0")).drop("_f0")
+    if cage is not None:
+        f = cage_stage(f, *cage, session=session)
     part = W.partitionBy(session, "_tc", "id")
     asc, desc = part.orderBy("time"), part.orderBy(F.col("time").desc())
     f = f.withColumn("_li", F.row_number().over(asc))
@@ -240,11 +292,14 @@ def chunked_bouts(pairs: DataFrame, thresholds, session: str = S) -> DataFrame:
 
 
 def behavior(frames: DataFrame, p: CleanParams, chunk_ms: int = 300_000, chunk_rows: int = 20_000,
-             session: str = S) -> ChunkedBehavior:
-    """Chunked clean-and-derive; cleaning options z / cage are not chunked yet."""
-    if p.rm_z_outlier or p.rm_cage_outlier:
-        raise NotImplementedError("z and cage masks run on the session-partitioned plan")
-    f1 = stage1(frames, chunk_ms, session)
+             session: str = S, z_frames: int | None = None, check_frames: bool = True) -> ChunkedBehavior:
+    """Chunked clean-and-derive with the same options as the session plan."""
+    if p.rm_z_outlier:
+        if check_frames and not frames_consecutive(frames, session):
+            raise ValueError("z mask in chunks needs consecutive frame numbers per session")
+        frames = z_stage(frames, p.z_rows, p.z_threshold, z_frames or chunk_rows, session)
+    cage = (p.cage_width, p.cage_height, p.cage_scale_threshold) if p.rm_cage_outlier else None
+    f1 = stage1(frames, chunk_ms, session, cage)
     rows = filled(f1, chunk_summary(f1, session), session)
     rows = with_halo(rows, chunk_rows, p.fps + 2, session)
     return ChunkedBehavior(derive(rows, p.fps, session), p.ids, session)

@@ -149,8 +149,7 @@ def behavior(frames: DataFrame, p: CleanParams, session: str = S, strategy: str
     """
     if strategy == "auto":
         biggest = frames.groupBy(session).count().agg(F.max("count")).first()[0] or 0
-        strategy = "chunked" if biggest > max_session_rows and not (
-            p.rm_z_outlier or p.rm_cage_outlier) else "session"
+        strategy = "chunked" if biggest > max_session_rows else "session"
     if strategy == "chunked":
         from cagetrace.plans import chunked
         return chunked.behavior(frames, p, chunk_ms, chunk_rows, session)

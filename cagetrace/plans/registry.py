@@ -495,6 +495,13 @@ def q_motion_chunked(spark, sf):
     return m.select(S, t_ms(), "id", r6("time0"), r6("x"), r6("y"))
 
 
+@query
+def q_motion_clean_chunked(spark, sf):
+    m = fixture_behavior(spark, sf, CLEAN_ALL, strategy="chunked").motion
+    return m.select(S, t_ms(), "id", r6("time0"), r6("x"), r6("y"), r6("move"),
+                    r6("roll_r"), r6("roll_f"))
+
+
 @query
 def q_roll_move_chunked(spark, sf):
     m = fixture_behavior(spark, sf, strategy="chunked").motion

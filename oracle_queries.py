@@ -475,5 +475,5 @@ oracle("lineitem_densest_window", f"""WITH h AS (SELECT l_returnflag, l_quantity
 
 
 # the chunked plan answers the same questions: same oracle text
-for _n in ("motion", "roll_move", "contact_bouts", "sweep_long"):
+for _n in ("motion", "roll_move", "contact_bouts", "sweep_long", "motion_clean"):
     oracle(f"{_n}_chunked", ORACLE[_n])

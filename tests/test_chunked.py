@@ -58,6 +58,15 @@ def test_one_session_spreads_over_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_clean_options_equal(spark):
+    from cagetrace.params import CleanParams
+    p = CleanParams(fps=10, rm_z_outlier=True, rm_cage_outlier=True)
+    fr = FX.frames(spark, SF_SMALL)
+    a = P.behavior(fr, p)
+    b = CH.behavior(fr, p, chunk_ms=7_000, chunk_rows=37, z_frames=23)
+    assert_same(a.motion, b.motion, ["session", "time", "id", "time0", "x", "y", "move", "roll_r", "roll_f"])
+
+
 def test_halo_must_fit(spark):
     fr = FX.frames(spark, SF_SMALL)
     with pytest.raises(ValueError):
