@@ -36,17 +36,20 @@ def ensure_checkpoint_dir(spark: SparkSession, scratch: str | None = None) -> st
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) a scratch folder is made.
+    as is; if it is unset there, this raises rather than pick a
+    machine-local folder.  Only in local mode (tests) is a scratch folder
+    made when the setting is unset.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS/S3)")
         base = scratch or tempfile.mkdtemp(prefix="cagetrace-ckpt-")
         d = os.path.join(base, "checkpoints")
         spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 

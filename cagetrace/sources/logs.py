@@ -142,13 +142,13 @@ def parse_header(lines: DataFrame) -> DataFrame:
 
 
 def header_map(lines: DataFrame) -> DataFrame:
-    """(path, ids array<int>, cols map<string,int>) with key '{id}_{axis}' -> field position."""
+    """(path, cols array<struct<id, px, py>>): field positions of each id's x and y."""
     h = parse_header(lines)
-    return (h.groupBy("path")
-            .agg(F.array_sort(F.array_distinct(F.collect_list("id"))).alias("ids"),
-                 F.map_from_entries(F.collect_list(F.struct(
-                     F.concat_ws("_", F.col("id").cast("string"), F.col("axis")), F.col("pos"))))
-                 .alias("cols")))
+    per_id = (h.groupBy("path", "id")
+              .agg(F.max(F.when(F.col("axis") == "x", F.col("pos"))).alias("px"),
+                   F.max(F.when(F.col("axis") == "y", F.col("pos"))).alias("py")))
+    return per_id.groupBy("path").agg(
+        F.array_sort(F.collect_list(F.struct("id", "px", "py"))).alias("cols"))
 
 
 def parse_frames(lines: DataFrame, header: DataFrame | None = None) -> DataFrame:
@@ -156,19 +156,19 @@ def parse_frames(lines: DataFrame, header: DataFrame | None = None) -> DataFrame
 
     Trailing commas are stripped (the reference instead cuts one character
     off the last field, which also eats a digit on clean lines).  A field
-    that is empty or not a number is null.  Works for any number of ids.
+    that is empty or not a number is null.  Works for any number of ids:
+    each file's header gives the field positions of every id.
     """
     header = header if header is not None else header_map(lines)
     body = lines.filter(F.col("line_no") >= FIRST_FRAME_LINE)
-    fields = F.split(F.regexp_replace(F.col("value"), ",+\\s*$", ""), ",")
-    rows = body.join(header, "path").select("path", "line_no", fields.alias("f"), "ids", "cols")
+    fields = F.split(F.expr("TRIM(TRAILING ',' FROM rtrim(value))"), ",")
+    rows = body.join(header, "path").select("path", "line_no", fields.alias("f"), "cols")
 
-    def val(k, axis):
-        pos = F.element_at(F.col("cols"), F.concat_ws("_", k.cast("string"), F.lit(axis)))
+    def val(pos):
         return F.nullif(F.trim(F.get(F.col("f"), pos)), F.lit("")).try_cast("double")
 
-    per_id = F.transform(F.col("ids"), lambda k: F.struct(k.alias("id"), val(k, "x").alias("x"),
-                                                           val(k, "y").alias("y")))
+    per_id = F.transform(F.col("cols"), lambda c: F.struct(c["id"].alias("id"), val(c["px"]).alias("x"),
+                                                           val(c["py"]).alias("y")))
     return rows.select("path", "line_no", parse_time(F.get(F.col("f"), 0)).alias("time"),
                        F.inline(per_id))
 
