@@ -72,6 +72,19 @@ def paired(df: DataFrame, d: StudyDesign, by: list[str], value: str = "value") -
     return out.withColumn("label", signif_label(F.col("p")))
 
 
+def paired_values(df: DataFrame, d: StudyDesign, by: list[str], value: str = "value") -> DataFrame:
+    """Per pair key: the value under each condition (the data behind a paired
+    plot), ordered by the run-time columns (by..., pair key)."""
+    if not d.paired_col:
+        raise ValueError("paired values need `paired_col`")
+    a, b = d.comparison
+    g, v = F.col(d.comp_col), F.col(value)
+    x = _in_design(df, d, value)
+    return (x.groupBy(*by, d.paired_col)
+            .agg(F.max(F.when(g == a, v)).alias(f"value_{a}"), F.max(F.when(g == b, v)).alias(f"value_{b}"))
+            .orderBy(*by, d.paired_col))
+
+
 def bin_summary(df: DataFrame, d: StudyDesign, by: list[str], plot_within: float,
                 value: str = "value") -> DataFrame:
     """Group mean and SEM per bin; bins labelled by their right edge.

@@ -132,7 +132,10 @@ def write_sweep(t: SweepTables, out_dir: str, fmt: str = "parquet") -> dict[str,
             continue
         kind = key.split("_")[1]
         parts = [c for c in PARTITIONS[kind] if c in df.columns]
-        (df.write.mode("overwrite").partitionBy(*parts).format(fmt).save(path))
+        w = df.write.mode("overwrite").partitionBy(*parts).format(fmt)
+        if fmt == "csv":
+            w = w.option("header", True)
+        w.save(path)
         written[key] = path
     return written
 
@@ -141,6 +144,8 @@ def read_table(spark: SparkSession, out_dir: str, measure: str, **params) -> Dat
     """Re-scan the table holding ``measure``; parameters prune partitions."""
     family, kind = measure_table(measure)
     df = spark.read.parquet(os.path.join(out_dir, f"{family}_{kind}"))
+    if measure not in df.columns:
+        raise ValueError(f"{measure} is not in {family}_{kind}")
     for k, v in params.items():
         if v is not None:
             df = df.filter(F.col(k).isin(list(v)) if isinstance(v, (list, tuple)) else (F.col(k) == v))

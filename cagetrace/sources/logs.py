@@ -89,6 +89,21 @@ def block_bound(spark: SparkSession, folder: str, glob: str) -> int:
     return sum(max(1, -(-st.getLen() // unit)) for st in stats if st.isFile())
 
 
+def largest_file_bytes(spark: SparkSession, folder: str, glob: str = "*.csv") -> int:
+    """Size of the largest log (one log = one session), from the listing alone."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
+    path = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/" + glob)
+    stats = path.getFileSystem(conf).globStatus(path) or []
+    return max((st.getLen() for st in stats if st.isFile()), default=0)
+
+
+def strategy_for(spark: SparkSession, folder: str, glob: str = "*.csv",
+                 max_session_bytes: int = 256 << 20) -> str:
+    """Clean-and-derive strategy for a log folder without scanning it:
+    "chunked" when one session's file is larger than one task should hold."""
+    return "chunked" if largest_file_bytes(spark, folder, glob) > max_session_bytes else "session"
+
+
 def parse_time(c: Column) -> Column:
     """First format that parses; null when none does."""
     c = F.trim(c)

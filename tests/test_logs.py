@@ -83,6 +83,13 @@ def test_metadata_markers_and_checks(spark, tmp_dir):
     assert rep == {("b.csv", "metadata_missing_key", "Analysis No", 0), ("b.csv", "marker_count", "4", 3)}
 
 
+def test_strategy_from_listing(spark, tmp_dir):
+    write_log(tmp_dir, "a.csv", "S1", frames=ROWS)
+    assert L.largest_file_bytes(spark, tmp_dir) == os.path.getsize(os.path.join(tmp_dir, "a.csv"))
+    assert L.strategy_for(spark, tmp_dir) == "session"
+    assert L.strategy_for(spark, tmp_dir, max_session_bytes=10) == "chunked"
+
+
 def test_line_numbers_across_file_blocks(spark, tmp_dir):
     rows = [[float(i), float(i)] * 4 for i in range(4000)]
     write_log(tmp_dir, "big.csv", "S9", frames=rows)

@@ -200,6 +200,13 @@ def test_paired_by_key_not_position(spark):
     assert out.t == pytest.approx(2.0 / (1.0 / math.sqrt(3)))
 
 
+def test_paired_values_ordered(spark):
+    rows = [("m2", "CNO", 4.0), ("m1", "SAL", 3.0), ("m2", "SAL", 1.0), ("m1", "CNO", 5.0)]
+    df = spark.createDataFrame(rows, "mouse string, drug string, value double")
+    out = CP.paired_values(df, StudyDesign("drug", ("CNO", "SAL"), "mouse"), []).collect()
+    assert [(r.mouse, r.value_CNO, r.value_SAL) for r in out] == [("m1", 5.0, 3.0), ("m2", 4.0, 1.0)]
+
+
 def test_unpaired_welch(spark):
     rows = [("A", v) for v in (1.0, 2.0, 3.0, 4.0)] + [("B", v) for v in (2.0, 4.0, 6.0, None)]
     df = spark.createDataFrame(rows, "g string, value double")

@@ -35,3 +35,13 @@ def test_measure_catalogue():
     assert SW.measure_table("total_closest_dist") == ("dist", "total")
     with pytest.raises(ValueError):
         SW.measure_table("total_speed")
+
+
+def test_csv_export(spark, tmp_dir):
+    b = P.behavior(FX.frames(spark, SF_SMALL), FIXTURE_CLEAN)
+    t = SW.sweep(b, FIXTURE_SWEEP, materialize=False)
+    only = SW.SweepTables(activity_total=t.activity_total)
+    SW.write_sweep(only, tmp_dir, fmt="csv")
+    back = spark.read.option("header", True).csv(os.path.join(tmp_dir, "activity_total"))
+    assert back.count() == t.activity_total.count()
+    assert "total_activity" in back.columns
