@@ -1,7 +1,7 @@
 """Cleaning operators on long positions (session, frame_no, time, id, x, y).
 
 Every window here is keyed by ``session`` first, so one hash partitioning
-by session (done once in ``plans.pipeline``) satisfies all of them and no
+by session (done once in ``plans.clean_derive``) satisfies all of them and no
 further Exchange is planned; only local sorts.
 """
 
@@ -150,11 +150,14 @@ def gap_fill(df: DataFrame, part: list[str], order: str, cols: list[str]) -> Dat
     down = running(base.orderBy(F.col(order).desc()))
     out = df.withColumn("_i", F.row_number().over(base.orderBy(F.col(order).asc())))
     i = F.col("_i")
-    for c in cols:
-        known = F.when(F.col(c).isNotNull(), F.struct(i.alias("i"), F.col(c).alias("v")))
-        out = (out.withColumn(f"_p_{c}", F.last(known, ignorenulls=True).over(up))
-               .withColumn(f"_n_{c}", F.last(known, ignorenulls=True).over(down))
-               .withColumn(f"_k_{c}", F.count(c).over(base)))
+
+    def known(c):
+        return F.when(F.col(c).isNotNull(), F.struct(i.alias("i"), F.col(c).alias("v")))
+
+    out = out.select("*", *[F.last(known(c), ignorenulls=True).over(up).alias(f"_p_{c}") for c in cols])
+    out = out.select("*", *[F.last(known(c), ignorenulls=True).over(down).alias(f"_n_{c}") for c in cols],
+                     *[F.count(c).over(base).alias(f"_k_{c}") for c in cols])
+    fills = {}
     for c in cols:
         p, nx, k = F.col(f"_p_{c}"), F.col(f"_n_{c}"), F.col(f"_k_{c}")
         filled = (F.when(k < 2, F.lit(None).cast("double"))
@@ -162,7 +165,8 @@ def gap_fill(df: DataFrame, part: list[str], order: str, cols: list[str]) -> Dat
                   .when(p.isNull(), nx["v"])
                   .when(nx.isNull(), p["v"])
                   .otherwise(p["v"] + (nx["v"] - p["v"]) * (i - p["i"]) / (nx["i"] - p["i"])))
-        out = out.withColumn(c, filled)
+        fills[c] = filled
+    out = out.withColumns(fills)
     return out.drop("_i", *[f"_{t}_{c}" for c in cols for t in "pnk"])
 
 

@@ -84,10 +84,8 @@ def complete_bins(agg: DataFrame, keys: list[str], item: str, regular: dict[int,
     grid = (g.select(*keys, F.explode("_items").alias(item), "_bins", "_vals")
             .select(*keys, item, F.explode("_bins").alias("bin"), "_vals"))
     hit = F.element_at(F.col("_vals"), F.struct(F.col(item).alias("i"), F.col("bin").alias("b")))
-    out = grid.select(*keys, item, "bin", *[hit[c].alias(c) for c in vals])
-    for c, v in fill.items():
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
-    return out
+    return grid.select(*keys, item, "bin", *[
+        (F.coalesce(hit[c], F.lit(fill[c])) if c in fill else hit[c]).alias(c) for c in vals])
 
 
 def bin_activity(motion: DataFrame, within: float, widths, session: str = S) -> DataFrame:
@@ -182,9 +180,8 @@ def bin_interaction(bouts: DataFrame, within: float, widths, session: str = S) -
     fill = {f"bin_{f}": (0.0 if "duration" in f else 0) for f in INTER_FIELDS}
     done = complete_bins(agg, [session, "threshold", "bin_min"], "id", reg, fill)
     w = running(W.partitionBy(session, "threshold", "bin_min", "id").orderBy("bin"))
-    for short in ("event", "approach", "receive"):
-        done = done.withColumn(f"bin_{short}_cumul", F.sum(f"bin_{short}_count").over(w))
-    return done
+    return done.withColumns({f"bin_{short}_cumul": F.sum(f"bin_{short}_count").over(w)
+                             for short in ("event", "approach", "receive")})
 
 
 def join_info(measures: DataFrame, info: DataFrame | None, session: str = S) -> DataFrame:

@@ -30,9 +30,7 @@ def complete_domain(agg: DataFrame, item: list[str], bin_col: str, domain: list[
     items = agg.select(*item).distinct()
     grid = items.select(*item, F.explode(F.array(*[F.lit(int(b)) for b in domain])).alias(bin_col))
     out = grid.join(agg, item + [bin_col], "left")
-    for c, v in fill.items():
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
-    return out
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items()})
 
 
 def running_total(df: DataFrame, part: list[str], order: str, value: str, out: str) -> DataFrame:

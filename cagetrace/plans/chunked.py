@@ -155,6 +155,7 @@ def filled(f1: DataFrame, summ: DataFrame, session: str = S) -> DataFrame:
     e = F.element_at(F.col("_m"), F.col("id"))
     gi = e["off"] + F.col("_li")
     j = j.withColumn("_gi", gi)
+    fills = {}
     for c in ("x", "y"):
         pv = F.coalesce(_shift(F.col(f"_lp_{c}"), e["off"]), e[f"p_{c}"])
         nv = F.coalesce(_shift(F.col(f"_ln_{c}"), e["off"]), e[f"n_{c}"])
@@ -164,7 +165,8 @@ def filled(f1: DataFrame, summ: DataFrame, session: str = S) -> DataFrame:
                .when(pv.isNull(), nv["v"])
                .when(nv.isNull(), pv["v"])
                .otherwise(pv["v"] + (nv["v"] - pv["v"]) * (i - pv["i"]) / (nv["i"] - pv["i"])))
-        j = j.withColumn(f"_fill_{c}", val)
+        fills[f"_fill_{c}"] = val
+    j = j.withColumns(fills)
     j = j.filter(~F.col("_miss") & (F.col("time") >= F.col("_start")))
     t0 = (F.unix_micros("time") - F.unix_micros("_start")) / F.lit(M.US_PER_MIN)
     return j.select(session, "frame_no", "time", t0.alias("time0"), "id",
@@ -197,7 +199,7 @@ def derive(rows: DataFrame, fps: int, session: str = S) -> DataFrame:
 
 @dataclass
 class ChunkedBehavior:
-    """Same interface as ``pipeline.Behavior``; all tables keyed (session, _ic)."""
+    """Same interface as ``clean_derive.Behavior``; all tables keyed (session, _ic)."""
 
     rows: DataFrame          # motion rows incl. halo copies (_ic, _own, _gi)
     ids: tuple[int, ...]

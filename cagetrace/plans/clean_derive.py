@@ -78,14 +78,15 @@ def fill_and_trim(f: DataFrame, session: str = S) -> DataFrame:
     # ascending pass: previous known value, fill, trim
     f = f.select("*", *[F.last(known(c), ignorenulls=True).over(running(asc)).alias(f"_p_{c}")
                         for c in ("x", "y")])
-    for c in ("x", "y"):
+    def filled(c):
         pv, nv, k = F.col(f"_p_{c}"), F.col(f"_n_{c}"), F.col(f"_k_{c}")
-        filled = (F.when(k < 2, F.lit(None).cast("double"))
-                  .when(F.col(c).isNotNull(), F.col(c))
-                  .when(pv.isNull(), nv["v"])
-                  .when(nv.isNull(), pv["v"])
-                  .otherwise(pv["v"] + (nv["v"] - pv["v"]) * (i - pv["i"]) / (nv["i"] - pv["i"])))
-        f = f.withColumn(c, filled)
+        return (F.when(k < 2, F.lit(None).cast("double"))
+                .when(F.col(c).isNotNull(), F.col(c))
+                .when(pv.isNull(), nv["v"])
+                .when(nv.isNull(), pv["v"])
+                .otherwise(pv["v"] + (nv["v"] - pv["v"]) * (i - pv["i"]) / (nv["i"] - pv["i"])))
+
+    f = f.withColumns({c: filled(c) for c in ("x", "y")})
     f = f.filter(~F.col("_miss") & (F.col("time") >= F.col("_start")))
     return f.drop("_i", "_n_x", "_n_y", "_p_x", "_p_y", "_k_x", "_k_y", "_mt", "_miss", "_start")
 

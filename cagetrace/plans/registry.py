@@ -26,11 +26,11 @@ from cagetrace.operators import reshape as RS
 from cagetrace.operators import series as SR
 from cagetrace.plans import compare as CP
 from cagetrace.plans import inspect as IN
-from cagetrace.plans import pipeline as P
+from cagetrace.plans import clean_derive as P
 from cagetrace.plans import sweep as SW
 from cagetrace.params import (FIXTURE_CLEAN, FIXTURE_PAIRED, FIXTURE_SWEEP, FIXTURE_UNPAIRED,
                               CleanParams, StudyDesign)
-from cagetrace.plans.pipeline import Behavior, behavior
+from cagetrace.plans.clean_derive import Behavior, behavior
 from cagetrace.sources import fixture as FX
 from cagetrace.sources import logs as L
 from cagetrace.sources import subjects as SJ

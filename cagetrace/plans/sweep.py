@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cagetrace.operators import measures as ME
 from cagetrace.operators.reshape import unpivot_measures
 from cagetrace.params import SweepParams
-from cagetrace.plans.pipeline import Behavior  # or ChunkedBehavior: same interface
+from cagetrace.plans.clean_derive import Behavior  # or ChunkedBehavior: same interface
 
 S = "session"
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cagetrace.params import CleanParams, SweepParams
-from cagetrace.plans import pipeline as P
+from cagetrace.plans import clean_derive as P
 from cagetrace.plans import sweep as SW
 from cagetrace.sources import logs as L
 from cagetrace.sources import subjects as SJ

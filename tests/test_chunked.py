@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cagetrace.params import FIXTURE_CLEAN
 from cagetrace.plans import chunked as CH
-from cagetrace.plans import pipeline as P
+from cagetrace.plans import clean_derive as P
 from cagetrace.sources import fixture as FX
 
 from conftest import SF_SMALL

@@ -14,7 +14,7 @@ from cagetrace.operators import measures as ME
 from cagetrace.operators import series as SR
 from cagetrace.params import CleanParams, StudyDesign, SweepParams
 from cagetrace.plans import compare as CP
-from cagetrace.plans import pipeline as P
+from cagetrace.plans import clean_derive as P
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "session long, frame_no long, time timestamp, id int, x double, y double"

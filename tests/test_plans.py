@@ -4,7 +4,7 @@ import re
 import pytest
 
 from cagetrace.params import FIXTURE_CLEAN
-from cagetrace.plans import pipeline as P
+from cagetrace.plans import clean_derive as P
 from cagetrace.plans.registry import QUERIES
 from cagetrace.sources import fixture as FX
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cagetrace.params import FIXTURE_CLEAN, FIXTURE_SWEEP
-from cagetrace.plans import pipeline as P
+from cagetrace.plans import clean_derive as P
 from cagetrace.plans import sweep as SW
 from cagetrace.sources import fixture as FX
 
