@@ -392,7 +392,14 @@ def q_ingest_markers(spark, sf):
 
 @query
 def q_ingest_frames(spark, sf):
-    f = L.frames_from_logs(fixture_lines(spark, sf))
+    """Frames through the file-scan path: each rendered log is cut into
+    blocks of 173 lines with scan positions that jump between blocks, as
+    a split file read by several tasks would be."""
+    ln = F.col("line_no")
+    blk = F.floor((ln - 1) / 173)
+    raw = fixture_lines(spark, sf).select(
+        "path", (blk * 65536).alias("_blk"), (ln + blk * 1_000_003).alias("_pos"), "value")
+    f = L.frames_from_raw(raw)
     return f.select(S, "frame_no", t_ms(), "id", "x", "y")
 
 

@@ -177,22 +177,117 @@ def parse_frames(lines: DataFrame, header: DataFrame | None = None) -> DataFrame
     header = header if header is not None else header_map(lines)
     body = lines.filter(F.col("line_no") >= FIRST_FRAME_LINE)
     fields = F.split(F.expr("TRIM(TRAILING ',' FROM rtrim(value))"), ",")
-    rows = body.join(header, "path").select("path", "line_no", fields.alias("f"), "cols")
+    extra = [c for c in header.columns if c not in ("path", "cols")]
+    rows = body.join(header, "path").select("path", "line_no", fields.alias("f"), "cols", *extra)
 
     def val(pos):
         return F.nullif(F.trim(F.get(F.col("f"), pos)), F.lit("")).try_cast("double")
 
     per_id = F.transform(F.col("cols"), lambda c: F.struct(c["id"].alias("id"), val(c["px"]).alias("x"),
                                                            val(c["py"]).alias("y")))
-    return rows.select("path", "line_no", parse_time(F.get(F.col("f"), 0)).alias("time"),
+    return rows.select("path", *extra, "line_no", parse_time(F.get(F.col("f"), 0)).alias("time"),
                        F.inline(per_id))
 
 
-def frames_from_logs(lines: DataFrame) -> DataFrame:
-    """Engine frames (session, frame_no, time, id, x, y): session from metadata, frame_no = line."""
-    meta = parse_metadata(lines).select("path", "session")
-    return (parse_frames(lines).join(meta, "path")
-            .select("session", F.col("line_no").cast("bigint").alias("frame_no"), "time", "id", "x", "y"))
+def file_facts(lines: DataFrame) -> DataFrame:
+    """One row per file from its preamble (lines 1-14) in one aggregation:
+    path, session (the ``Session Name`` value) and the header layout
+    ``cols`` (array of id, x position, y position)."""
+    pre = lines.filter(F.col("line_no") <= HEADER_LINE)
+    kv = F.split(F.col("value"), ",", 2)
+    is_session = (F.col("line_no").between(*META_LINES)) & (F.trim(_field(kv, 0)) == "Session Name")
+    named = pre.select("path", "line_no", "value",
+                       F.when(is_session, F.trim(_field(kv, 1))).alias("_sess"))
+    facts = named.groupBy("path").agg(F.max("_sess").alias("session"))
+    return facts.join(header_map(pre), "path")
+
+
+def frames_from_logs(lines: DataFrame, broadcast_facts: bool = False) -> DataFrame:
+    """Engine frames (session, frame_no, time, id, x, y): session from metadata, frame_no = line.
+
+    The frame lines join a single per-file table (session name + header
+    layout).  ``broadcast_facts`` broadcasts it; use it when the file count
+    is known to be small (``facts_broadcastable``), else the join shuffles
+    by path (AQE splits a skewed file).
+    """
+    facts = file_facts(lines)
+    frames = parse_frames(lines, F.broadcast(facts) if broadcast_facts else facts)
+    return frames.select("session", F.col("line_no").cast("bigint").alias("frame_no"), "time", "id", "x", "y")
+
+
+def read_frames(spark: SparkSession, folder: str, glob: str = "*.csv",
+                broadcast_blocks: int = 200_000) -> DataFrame:
+    """Frames of every log in ``folder`` with two text scans and no shuffle.
+
+    The block table (one row per file block) also carries each block's
+    first header line and ``Session Name`` line, found by content, so line
+    offsets, session name and header layout reach the frame lines in one
+    join; broadcast when the listing bounds the block count.
+    """
+    raw = spark.read.option("pathGlobFilter", glob).text(folder).select(*file_cols(), "value")
+    return frames_from_raw(with_positions(raw),
+                           broadcast=block_bound(spark, folder, glob) <= broadcast_blocks)
+
+
+def _layout(header: Column) -> Column:
+    """Header line -> array<struct<id, px, py>> sorted by id (pure array functions)."""
+    fields = F.split(header, ",")
+    named = F.transform(fields, lambda f, i: F.struct(
+        F.regexp_extract(F.trim(f), HEADER_PATTERN, 1).alias("id"),
+        F.lower(F.regexp_extract(F.trim(f), HEADER_PATTERN, 2)).alias("axis"), i.alias("pos")))
+    named = F.filter(named, lambda e: e["id"] != "")
+    ids = F.array_sort(F.array_distinct(F.transform(named, lambda e: e["id"].cast("int"))))
+
+    def pos(k, axis):
+        hit = F.filter(named, lambda e: (e["id"].cast("int") == k) & (e["axis"] == axis))
+        return F.get(F.transform(hit, lambda e: e["pos"]), 0)
+
+    return F.transform(ids, lambda k: F.struct(k.alias("id"), pos(k, "x").alias("px"),
+                                                pos(k, "y").alias("py")))
+
+
+def frames_from_raw(raw: DataFrame, broadcast: bool = False) -> DataFrame:
+    """(path, _blk, _pos, value) -> frames (session, frame_no, time, id, x, y)."""
+    v = F.col("value")
+    first_field = F.trim(_field(F.split(v, ",", 2), 0))
+    is_header = F.trim(v).startswith("date time")
+    is_session = first_field == "Session Name"
+    at = F.struct(F.col("_blk"), F.col("_pos"))
+    blocks = raw.groupBy("path", "_blk").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"),
+        F.min(F.when(is_header, F.struct(at.alias("at"), v.alias("v")))).alias("_h"),
+        F.min(F.when(is_session, F.struct(at.alias("at"), F.trim(_field(F.split(v, ",", 2), 1)).alias("v"))))
+        .alias("_s"))
+    per_file = W.partitionBy("path")
+    before = F.sum("_n").over(per_file.orderBy("_blk").rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select(
+        "path", "_blk", "_p0", F.coalesce(before, F.lit(0)).alias("_off"),
+        F.min("_h").over(per_file)["v"].alias("_header"),
+        F.min("_s").over(per_file)["v"].alias("session"))
+    blocks = blocks.select("path", "_blk", "_p0", "_off", "session", _layout(F.col("_header")).alias("cols"))
+    j = raw.join(F.broadcast(blocks) if broadcast else blocks, ["path", "_blk"])
+    line_no = F.col("_off") + F.col("_pos") - F.col("_p0") + 1
+    body = j.select("path", "session", "cols", "value", line_no.alias("line_no")) \
+        .filter(F.col("line_no") >= FIRST_FRAME_LINE)
+    fields = F.split(F.expr("TRIM(TRAILING ',' FROM rtrim(value))"), ",")
+    rows = body.select("session", "line_no", fields.alias("f"), "cols")
+
+    def val(pos):
+        return F.nullif(F.trim(F.get(F.col("f"), pos)), F.lit("")).try_cast("double")
+
+    per_id = F.transform(F.col("cols"), lambda c: F.struct(c["id"].alias("id"), val(c["px"]).alias("x"),
+                                                           val(c["py"]).alias("y")))
+    return rows.select("session", F.col("line_no").cast("bigint").alias("frame_no"),
+                       parse_time(F.get(F.col("f"), 0)).alias("time"), F.inline(per_id))
+
+
+def facts_broadcastable(spark: SparkSession, folder: str, glob: str = "*.csv",
+                        max_files: int = 50_000) -> bool:
+    """Listing-only bound: one facts row per file, so the file count bounds its size."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
+    path = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/" + glob)
+    stats = path.getFileSystem(conf).globStatus(path) or []
+    return sum(1 for st in stats if st.isFile()) <= max_files
 
 
 # ---------------------------------------------------------------- checks
