@@ -109,16 +109,52 @@ def exact_median(values: DataFrame, keys: list[str], value: str) -> DataFrame:
             .select(*keys, ((F.col("lo") + F.col("hi")) / 2).alias("median")))
 
 
+def axis_summary(frames: DataFrame, widths: dict[str, float], session: str = S) -> DataFrame:
+    """Per (session, axis): densest interval of the given width, exact median,
+    n, min, max -- all from one histogram of pooled values (x and y together)."""
+    vals = frames.select(session, F.inline(F.array(*[
+        F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("v")) for a in widths])))
+    hist = (vals.filter(F.col("v").isNotNull())
+            .groupBy(session, "axis", "v").agg(F.count(F.lit(1)).alias("c")))
+    w = W.partitionBy(session, "axis").orderBy("v")
+    covers = {a: w.rangeBetween(0, int(wd)) for a, wd in widths.items() if float(wd) == int(wd)}
+    if len(covers) != len(widths):
+        raise ValueError("cage sizes must be whole millimetres")
+    axis = F.col("axis")
+
+    def by_axis(f):
+        out = None
+        for a, spec in covers.items():
+            out = (F.when(axis == a, f(spec)) if out is None else out.when(axis == a, f(spec)))
+        return out
+
+    cov = hist.select(session, "axis", "v", "c",
+                      by_axis(lambda sp: F.sum("c").over(sp)).alias("cover"),
+                      by_axis(lambda sp: F.max("v").over(sp)).alias("hi"),
+                      F.sum("c").over(running(w)).alias("cum"),
+                      F.sum("c").over(W.partitionBy(session, "axis")).alias("n"))
+    lo_rank = F.floor((F.col("n") + 1) / 2)
+    hi_rank = F.floor(F.col("n") / 2) + 1
+    below = F.col("cum") - F.col("c")
+    best = F.max(F.struct(F.col("cover"), (-F.col("v")).alias("neg"), F.col("v"), F.col("hi")))
+    g = cov.groupBy(session, "axis").agg(
+        best.alias("b"), F.first("n").alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"),
+        F.max(F.when((below < lo_rank) & (F.col("cum") >= lo_rank), F.col("v"))).alias("_m1"),
+        F.max(F.when((below < hi_rank) & (F.col("cum") >= hi_rank), F.col("v"))).alias("_m2"))
+    return g.select(session, "axis", F.col("b.v").alias("lo"), F.col("b.hi").alias("hi"),
+                    F.col("b.cover").alias("cover"), ((F.col("b.v") + F.col("b.hi")) / 2).alias("center"),
+                    "n", "vmin", "vmax", ((F.col("_m1") + F.col("_m2")) / 2).alias("median"))
+
+
 def cage_center(frames: DataFrame, width: float, height: float, session: str = S) -> DataFrame:
-    """Cage centre per session: densest interval of pooled x (width) and y (height)."""
-    cx = densest_interval(frames, [session], "x", width)
-    cy = densest_interval(frames, [session], "y", height)
-    return (cx.select(session, F.col("center").alias("cx"), F.col("cover").alias("x_cover"),
-                      F.col("n").alias("x_n"), F.col("vmin").alias("x_min"),
-                      F.col("vmax").alias("x_max"))
-            .join(cy.select(session, F.col("center").alias("cy"), F.col("cover").alias("y_cover"),
-                            F.col("n").alias("y_n"), F.col("vmin").alias("y_min"),
-                            F.col("vmax").alias("y_max")), session, "full"))
+    """Cage centre per session: densest interval of pooled x (width) and y (height),
+    with the covered counts, n, min, max and median of each axis."""
+    s = axis_summary(frames, {"x": width, "y": height}, session)
+    cols = {"center": "c{a}", "cover": "{a}_cover", "n": "{a}_n", "vmin": "{a}_min",
+            "vmax": "{a}_max", "median": "{a}_median"}
+    return s.groupBy(session).agg(*[
+        F.max(F.when(F.col("axis") == a, F.col(src))).alias(dst.format(a=a))
+        for a in ("x", "y") for src, dst in cols.items()])
 
 
 def cage_mask(frames: DataFrame, width: float, height: float, scale: float,

@@ -155,10 +155,7 @@ def q_cage_center(spark, sf):
     d = C.dedup_time(FX.frames(spark, sf))
     p = FIXTURE_CLEAN
     cc = C.cage_center(d, p.cage_width, p.cage_height)
-    mx = C.exact_median(d, [S], "x").withColumnRenamed("median", "x_median")
-    my = C.exact_median(d, [S], "y").withColumnRenamed("median", "y_median")
-    return (cc.join(mx, S, "left").join(my, S, "left")
-            .select(S, r6("cx"), r6("cy"), "x_cover", "y_cover", "x_n", "y_n",
+    return (cc.select(S, r6("cx"), r6("cy"), "x_cover", "y_cover", "x_n", "y_n",
                     r6("x_min"), r6("x_max"), r6("y_min"), r6("y_max"), r6("x_median"), r6("y_median")))
 
 
