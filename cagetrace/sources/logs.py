@@ -74,27 +74,40 @@ def number_lines(raw: DataFrame, broadcast: bool = False) -> DataFrame:
     return j.select("path", (F.col("_off") + F.col("_pos") - F.col("_p0") + 1).alias("line_no"), "value")
 
 
+def list_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> list[tuple[str, int]]:
+    """(path, size) of the files a scan of ``folder`` with ``glob`` reads, from the
+    listing only: recursive (partition folders), names matching ``glob``,
+    hidden and ``_``-prefixed files skipped as Spark does."""
+    from fnmatch import fnmatch
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    it = root.getFileSystem(conf).listFiles(root, True)
+    out = []
+    while it.hasNext():
+        st = it.next()
+        p = st.getPath()
+        rel = str(p.toUri().getPath())
+        if any(part.startswith(("_", ".")) for part in rel.split("/")[-1:]):
+            continue
+        if fnmatch(p.getName(), glob):
+            out.append((str(p), st.getLen()))
+    return out
+
+
 def block_bound(spark: SparkSession, folder: str, glob: str) -> int:
     """Upper bound on file blocks from the listing alone (no scan).
 
     Spark never splits a file finer than min(maxPartitionBytes,
     openCostInBytes), so sum(ceil(size / that)) bounds the block count.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
-    path = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/" + glob)
-    fs = path.getFileSystem(conf)
-    stats = fs.globStatus(path) or []
     sql_conf = spark._jsparkSession.sessionState().conf()  # noqa: SLF001
     unit = max(1, min(sql_conf.filesMaxPartitionBytes(), sql_conf.filesOpenCostInBytes()))
-    return sum(max(1, -(-st.getLen() // unit)) for st in stats if st.isFile())
+    return sum(max(1, -(-size // unit)) for _, size in list_files(spark, folder, glob))
 
 
 def largest_file_bytes(spark: SparkSession, folder: str, glob: str = "*.csv") -> int:
     """Size of the largest log (one log = one session), from the listing alone."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
-    path = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/" + glob)
-    stats = path.getFileSystem(conf).globStatus(path) or []
-    return max((st.getLen() for st in stats if st.isFile()), default=0)
+    return max((size for _, size in list_files(spark, folder, glob)), default=0)
 
 
 def strategy_for(spark: SparkSession, folder: str, glob: str = "*.csv",
@@ -284,10 +297,7 @@ def frames_from_raw(raw: DataFrame, broadcast: bool = False) -> DataFrame:
 def facts_broadcastable(spark: SparkSession, folder: str, glob: str = "*.csv",
                         max_files: int = 50_000) -> bool:
     """Listing-only bound: one facts row per file, so the file count bounds its size."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
-    path = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/" + glob)
-    stats = path.getFileSystem(conf).globStatus(path) or []
-    return sum(1 for st in stats if st.isFile()) <= max_files
+    return len(list_files(spark, folder, glob)) <= max_files
 
 
 # ---------------------------------------------------------------- checks
@@ -364,7 +374,12 @@ def render_lines(frames: DataFrame, ids, path: Column, session: Column,
 
 
 def write_logs(lines: DataFrame, folder: str) -> None:
-    """One text file per path under ``folder`` (partition folder per file)."""
-    (lines.repartition("path").sortWithinPartitions("path", "line_no")
-     .select(F.regexp_extract("path", r"([^/]+)\.csv$", 1).alias("file"), "value")
+    """One text file per path under ``folder`` (a ``file=<name>`` folder each).
+
+    Rows are sorted by (file, line_no) inside each task, which also meets
+    the writer's own ordering by ``file``, so lines keep their order.
+    """
+    name = F.regexp_extract("path", r"([^/]+)\.csv$", 1).alias("file")
+    (lines.select(name, "line_no", "value").repartition("file")
+     .sortWithinPartitions("file", "line_no").drop("line_no")
      .write.mode("overwrite").partitionBy("file").text(folder))

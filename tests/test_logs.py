@@ -134,3 +134,21 @@ def test_subject_list_and_info(spark, tmp_dir):
         SJ.validated(SJ.read_subjects(spark, lst), StudyDesign("Strain", ("BTBR", "B6")))
     with pytest.raises(ValueError):
         StudyDesign("Line", ("BTBR",))
+
+
+def test_fixture_round_trip_through_files(spark, tmp_dir):
+    """Driver-table positions written as log files (both dialects, trailing
+    commas) and read back: same positions, same session facts."""
+    from cagetrace.plans.registry import fixture_lines
+    from cagetrace.sources import fixture as FX
+    sf = "/root/testdata/sf0.001"
+    L.write_logs(fixture_lines(spark, sf), tmp_dir)
+    assert len(L.list_files(spark, tmp_dir, "*.txt")) == 2
+    back = L.read_frames(spark, tmp_dir, glob="*.txt")
+    want = FX.frames(spark, sf).select(F.col("session").cast("string").alias("session"),
+                                       (F.col("frame_no") % 500 + 15).alias("frame_no"),
+                                       "time", "id", "x", "y")
+    assert back.count() == want.count()
+    assert back.exceptAll(want).count() == 0
+    meta = L.parse_metadata(L.read_lines(spark, tmp_dir, glob="*.txt")).collect()
+    assert sorted(r.session for r in meta) == ["0", "1"]
