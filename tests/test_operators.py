@@ -225,3 +225,30 @@ def test_generic_zscore_and_domain_fill(spark):
     agg = spark.createDataFrame([(1, 3, 2.0)], "u int, h int, total double")
     out = SR.complete_domain(agg, ["u"], "h", list(range(4)), {"total": 0.0})
     assert sorted((r.h, r.total) for r in out.collect()) == [(0, 0.0), (1, 0.0), (2, 0.0), (3, 2.0)]
+
+
+def test_position_report(spark):
+    from cagetrace.operators import checks as CK
+    pts = {1: [(1.0, 1.0), (2.0, 2.0), (3.0, 3.0)],
+           2: [(None, 1.0), (5.0, None), (None, None)],
+           3: [(None, None)] * 3}
+    df = frames_df(spark, pts, times=[0, 500, 500])
+    rep = {(r.check_name, r.detail, r.n) for r in CK.position_report(df).collect()}
+    assert ("duplicate_time", "", 3) in rep                     # frame 2 repeats frame 1's time
+    assert ("sparse_series", "id=2 axis=x", 1) in rep           # one known x after dedup
+    assert ("sparse_series", "id=2 axis=y", 1) in rep
+    assert ("sparse_series", "id=3 axis=x", 0) in rep and ("sparse_series", "id=3 axis=y", 0) in rep
+    assert ("subject_never_seen", "id=2", 0) in rep and ("subject_never_seen", "id=3", 0) in rep
+    with pytest.raises(ValueError):
+        CK.raise_if_any(CK.position_report(df))
+
+
+def test_trajectory_slice_and_last(spark):
+    from cagetrace.plans import inspect as IN
+    pts = {1: [(float(i), 10.0) for i in range(6)], 2: [(100.0, float(i)) for i in range(6)]}
+    m = P.behavior(frames_df(spark, pts, step_ms=30000), CleanParams(fps=1, ids=(1, 2))).motion
+    t = IN.trajectory(m, time_point=2.0, duration=1.0, ids=[1], width=4, height=4)
+    rows = sorted((r.time0, r.x, r.x_last) for r in t.collect())
+    assert rows == [(1.5, 3.0, 4.0), (2.0, 4.0, 4.0)]          # (1.0, 2.0] minutes, id 1 only
+    last = IN.last_points(m, 2.0, 1.0, [1, 2]).orderBy("id").collect()
+    assert [(r.id, r.x_last, r.y_last, r.n_points) for r in last] == [(1, 4.0, 10.0, 2), (2, 100.0, 4.0, 2)]
