@@ -4,7 +4,6 @@ import os
 from pyspark.sql import functions as F
 
 from cagetrace.params import CleanParams, SweepParams
-from cagetrace.plans import sweep as SW
 from cagetrace.sources import logs as L
 from cagetrace.streaming import incremental as INC
 

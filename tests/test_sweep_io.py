@@ -2,7 +2,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from cagetrace.params import FIXTURE_CLEAN, FIXTURE_SWEEP
 from cagetrace.plans import clean_derive as P
