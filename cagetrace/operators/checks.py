@@ -8,7 +8,6 @@ report.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cagetrace.operators import clean as C
@@ -40,12 +39,14 @@ def position_report(frames: DataFrame, session: str = S) -> DataFrame:
     - sparse_series: a subject axis with < 2 known values (stays unfilled)
     - subject_never_seen: a subject without a complete position (session dropped)
     """
-    f = frames    # windows keyed (session, time): no session-sized task
-    first = F.min("frame_no").over(W.partitionBy(session, "time"))
-    dup = (f.withColumn("_first", first).groupBy(session)
-           .agg(F.count_if(F.col("frame_no") != F.col("_first")).alias("n"))
+    # rows dropped by the time dedup: two-level aggregation, so a time
+    # repeated many times never gathers in one task
+    per_frame = frames.groupBy(session, "time", "frame_no").agg(F.count(F.lit(1)).alias("c"))
+    per_time = per_frame.groupBy(session, "time").agg(
+        F.sum("c").alias("rows"), F.min(F.struct("frame_no", "c"))["c"].alias("kept"))
+    dup = (per_time.groupBy(session).agg(F.sum(F.col("rows") - F.col("kept")).alias("n"))
            .filter(F.col("n") > 0))
-    d = C.dedup_time(f, session)
+    d = C.dedup_time(frames, session)
     per_id = d.groupBy(session, "id").agg(
         F.count("x").alias("nx"), F.count("y").alias("ny"),
         F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("nxy"))

@@ -16,15 +16,23 @@ from cagetrace.functions.rolling import centred, edge_null_mean, edge_null_sd, r
 S = "session"
 
 
-def dedup_time(frames: DataFrame, session: str = S) -> DataFrame:
+def dedup_time(frames: DataFrame, session: str = S, within_sessions: bool = False) -> DataFrame:
     """Keep, per (session, time), the rows of the first frame in file order.
 
     Deterministic (unlike ``dropDuplicates``): the smallest ``frame_no``
-    wins.  Groups are the few rows sharing one timestamp.
+    wins.  Default: the first frame of each time comes from an aggregation
+    (copies collapse map-side) and a semi-join on (session, time,
+    frame_no) keeps its rows; the copies of one time have different frame
+    numbers, so even a time repeated across a third of the data spreads
+    over many tasks.  ``within_sessions``: rows are already clustered by
+    session (session plan), so a window over (session, time) needs no shuffle.
     """
-    first = F.min("frame_no").over(W.partitionBy(session, "time"))
-    return (frames.withColumn("_first", first)
-            .filter(F.col("frame_no") == F.col("_first")).drop("_first"))
+    if within_sessions:
+        first = F.min("frame_no").over(W.partitionBy(session, "time"))
+        return (frames.withColumn("_first", first)
+                .filter(F.col("frame_no") == F.col("_first")).drop("_first"))
+    firsts = frames.groupBy(session, "time").agg(F.min("frame_no").alias("frame_no"))
+    return frames.join(firsts, [session, "time", "frame_no"], "left_semi")
 
 
 def z_flags(frames: DataFrame, n: int, z: float, order: str = "frame_no",

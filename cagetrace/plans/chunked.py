@@ -4,9 +4,11 @@ The session-partitioned plan puts every row of a session in one task.
 Here no task ever holds more than one chunk of one session, and results
 are identical (tests compare both plans row for row):
 
-Stage 1, key (session, time chunk):  time dedup (a time never spans two
-  chunks), local row index, local previous/next known value, and per
-  (session, chunk, id) counts and first/last known values.
+Dedup first: first frame per (session, time) by aggregation, kept by a
+  semi-join on (session, time, frame_no), so repeated times never gather.
+Stage 1, key (session, time chunk): local row index, local previous/next
+  known value, and per (session, chunk, id) counts and first/last known
+  values.
 Summary, one row per (session, chunk, id): running offsets (global index
   = offset + local index), previous/next known value of other chunks,
   per-subject known counts, first complete time and the session start.
@@ -103,10 +105,9 @@ def cage_stage(f: DataFrame, width: float, height: float, scale: float,
 
 def stage1(frames: DataFrame, chunk_ms: int, session: str = S, cage=None) -> DataFrame:
     """Dedup, [cage mask,] local index and local known neighbours, keyed (session, _tc)."""
-    f = (frames.withColumn("_tc", F.floor(F.unix_millis("time") / F.lit(int(chunk_ms))))
+    f = (C.dedup_time(frames, session)          # skew-free: copies never meet in one task
+         .withColumn("_tc", F.floor(F.unix_millis("time") / F.lit(int(chunk_ms))))
          .repartition(session, "_tc"))
-    first = F.min("frame_no").over(W.partitionBy(session, "_tc", "time"))
-    f = f.withColumn("_f0", first).filter(F.col("frame_no") == F.col("_f0")).drop("_f0")
     if cage is not None:
         f = cage_stage(f, *cage, session=session)
     part = W.partitionBy(session, "_tc", "id")

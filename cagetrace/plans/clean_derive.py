@@ -38,7 +38,7 @@ def clean(frames: DataFrame, p: CleanParams, session: str = S,
         f = C.z_mask(f, p.z_rows, p.z_threshold, session)
     if p.rm_cage_outlier:
         # the cage centre is estimated on de-duplicated positions
-        f = C.dedup_time(f, session)
+        f = C.dedup_time(f, session, within_sessions=True)
         f = C.cage_mask(f, p.cage_width, p.cage_height, p.cage_scale_threshold, session)
     return fill_and_trim(f, session)
 

@@ -252,3 +252,19 @@ def test_trajectory_slice_and_last(spark):
     assert rows == [(1.5, 3.0, 4.0), (2.0, 4.0, 4.0)]          # (1.0, 2.0] minutes, id 1 only
     last = IN.last_points(m, 2.0, 1.0, [1, 2]).orderBy("id").collect()
     assert [(r.id, r.x_last, r.y_last, r.n_points) for r in last] == [(1, 4.0, 10.0, 2), (2, 100.0, 4.0, 2)]
+
+
+def test_dedup_hot_copies_spread(spark):
+    """Every frame repeats one timestamp: still exact, and the semi-join shuffles
+    on (session, time, frame_no), so the copies do not meet in one task."""
+    rows = [(7, i, T0, k, float(i), float(k)) for i in range(3000) for k in (1, 2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = C.dedup_time(df)
+    assert sorted((r.frame_no, r.id) for r in out.collect()) == [(0, 1), (0, 2)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    import re
+    assert re.search(r"hashpartitioning\(session#\d+L?, time#\d+, frame_no#\d+L?", plan)
