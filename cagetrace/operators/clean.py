@@ -185,7 +185,8 @@ def gap_fill(df: DataFrame, part: list[str], order: str, cols: list[str]) -> Dat
     """Linear interpolation by row index within ``part`` ordered by ``order``.
 
     Leading/trailing gaps take the nearest known value.  A series with
-    fewer than two known values stays null (the caller reports it).
+    fewer than two known values keeps them and leaves its gaps null (the
+    check report lists it).
     Previous and next known points come from running frames in both
     directions (O(n) each); an unbounded-following frame would be O(n^2).
     """
@@ -204,8 +205,8 @@ def gap_fill(df: DataFrame, part: list[str], order: str, cols: list[str]) -> Dat
     fills = {}
     for c in cols:
         p, nx, k = F.col(f"_p_{c}"), F.col(f"_n_{c}"), F.col(f"_k_{c}")
-        filled = (F.when(k < 2, F.lit(None).cast("double"))
-                  .when(F.col(c).isNotNull(), F.col(c))
+        filled = (F.when(F.col(c).isNotNull(), F.col(c))
+                  .when(k < 2, F.lit(None).cast("double"))
                   .when(p.isNull(), nx["v"])
                   .when(nx.isNull(), p["v"])
                   .otherwise(p["v"] + (nx["v"] - p["v"]) * (i - p["i"]) / (nx["i"] - p["i"])))

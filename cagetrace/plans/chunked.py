@@ -161,8 +161,8 @@ def filled(f1: DataFrame, summ: DataFrame, session: str = S) -> DataFrame:
         pv = F.coalesce(_shift(F.col(f"_lp_{c}"), e["off"]), e[f"p_{c}"])
         nv = F.coalesce(_shift(F.col(f"_ln_{c}"), e["off"]), e[f"n_{c}"])
         i = F.col("_gi")
-        val = (F.when(e[f"k{c}_t"] < 2, F.lit(None).cast("double"))
-               .when(F.col(c).isNotNull(), F.col(c))
+        val = (F.when(F.col(c).isNotNull(), F.col(c))
+               .when(e[f"k{c}_t"] < 2, F.lit(None).cast("double"))
                .when(pv.isNull(), nv["v"])
                .when(nv.isNull(), pv["v"])
                .otherwise(pv["v"] + (nv["v"] - pv["v"]) * (i - pv["i"]) / (nv["i"] - pv["i"])))

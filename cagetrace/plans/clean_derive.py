@@ -80,8 +80,8 @@ def fill_and_trim(f: DataFrame, session: str = S) -> DataFrame:
                         for c in ("x", "y")])
     def filled(c):
         pv, nv, k = F.col(f"_p_{c}"), F.col(f"_n_{c}"), F.col(f"_k_{c}")
-        return (F.when(k < 2, F.lit(None).cast("double"))
-                .when(F.col(c).isNotNull(), F.col(c))
+        return (F.when(F.col(c).isNotNull(), F.col(c))
+                .when(k < 2, F.lit(None).cast("double"))
                 .when(pv.isNull(), nv["v"])
                 .when(nv.isNull(), pv["v"])
                 .otherwise(pv["v"] + (nv["v"] - pv["v"]) * (i - pv["i"]) / (nv["i"] - pv["i"])))

@@ -435,20 +435,26 @@ def q_trajectory_last(spark, sf):
 
 
 # ------------------------------------------------ generic driver tables
+# index chunk size for event series; small enough that the fixture's
+# series span several chunks (boundaries exercised), large on real data
+EVENT_CHUNK_ROWS = 97
+
 @query
 def q_events_roll_zscore(spark, sf):
-    ev = FX.table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
-    z = SR.rolling_zscore(ev, ["event_type"], "ts", "value", n=2 * FIXTURE_CLEAN.fps,
-                          z=FIXTURE_CLEAN.z_threshold)
+    # few event types: each series is split by day (index chunks + halos)
+    ev = FX.table(spark, sf, "events").select("event_id", "ts", "event_type", "value",
+                                               F.to_date("ts").alias("day"))
+    z = SR.rolling_zscore_chunked(ev, ["event_type"], "ts", "value", n=2 * FIXTURE_CLEAN.fps,
+                                  z=FIXTURE_CLEAN.z_threshold, chunk="day", k_rows=EVENT_CHUNK_ROWS)
     return z.select("event_id", "event_type", r6("roll_mean"), r6("roll_sd"), "z_flag")
 
 
 @query
 def q_events_lerp(spark, sf):
     ev = FX.table(spark, sf, "events").select(
-        "event_id", "ts", "event_type",
+        "event_id", "ts", "event_type", F.to_date("ts").alias("day"),
         F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
-    f = C.gap_fill(ev, ["event_type"], "ts", ["value"])
+    f = SR.gap_fill_chunked(ev, ["event_type"], "ts", ["value"], chunk="day")
     return f.select("event_id", "event_type", r6("value"))
 
 

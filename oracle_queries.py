@@ -64,7 +64,7 @@ def clean_ctes(z: bool = False, cage: bool = False, fps: int = FPS) -> list[str]
                    wd AS (PARTITION BY session, id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""")
 
     def fill(a):
-        return (f"CASE WHEN {a}k < 2 THEN NULL WHEN {a} IS NOT NULL THEN {a} WHEN {a}pi IS NULL THEN {a}nv "
+        return (f"CASE WHEN {a} IS NOT NULL THEN {a} WHEN {a}k < 2 THEN NULL WHEN {a}pi IS NULL THEN {a}nv "
                 f"WHEN {a}ni IS NULL THEN {a}pv ELSE {a}pv + ({a}nv - {a}pv) * (i - {a}pi) / ({a}ni - {a}pi) END")
 
     c.append(f"""fl AS (SELECT session, frame_no, ms, id, {fill('x')} AS x, {fill('y')} AS y
@@ -447,7 +447,7 @@ oracle("events_lerp", f"""WITH v AS (SELECT event_id, ts, event_type, CASE WHEN
         count(x) OVER (PARTITION BY event_type) AS k FROM ix
         WINDOW wu AS (PARTITION BY event_type ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                wd AS (PARTITION BY event_type ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT event_id, event_type, {r6('CASE WHEN k < 2 THEN NULL WHEN x IS NOT NULL THEN x WHEN pi IS NULL THEN nv WHEN ni IS NULL THEN pv ELSE pv + (nv - pv) * (i - pi) / (ni - pi) END', 'value')}
+    SELECT event_id, event_type, {r6('CASE WHEN x IS NOT NULL THEN x WHEN k < 2 THEN NULL WHEN pi IS NULL THEN nv WHEN ni IS NULL THEN pv ELSE pv + (nv - pv) * (i - pi) / (ni - pi) END', 'value')}
     FROM lp""")
 HOURLY = """hr AS (SELECT u.user_id, CAST(h.hour AS INTEGER) AS hour, coalesce(a.total, 0) AS total
     FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT range AS hour FROM range(24)) h

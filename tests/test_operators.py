@@ -40,7 +40,7 @@ def test_gap_fill_by_index(spark):
         "g int, t int, v double")
     out = {(r.g, r.t): r.v for r in C.gap_fill(df, ["g"], "t", ["v"]).collect()}
     assert [out[(1, i)] for i in range(6)] == [1.0, 1.0, 2.0, 3.0, 4.0, 4.0]
-    assert [out[(2, i)] for i in range(3)] == [None, None, None]   # < 2 known values
+    assert [out[(2, i)] for i in range(3)] == [None, 5.0, None]    # < 2 known values: gaps stay
     assert out[(3, 1)] == 5.0
 
 
@@ -268,3 +268,27 @@ def test_dedup_hot_copies_spread(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     import re
     assert re.search(r"hashpartitioning\(session#\d+L?, time#\d+, frame_no#\d+L?", plan)
+
+
+def test_chunked_series_forms_equal_plain(spark):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for g in ("a", "b", "c"):
+        for t in range(400):
+            v = None if (rnd.random() < 0.3 or (g == "a" and 90 <= t < 130)) else rnd.uniform(0, 100)
+            if t == 200 and g == "b":
+                v = 5000.0
+            rows.append((g, t, t // 37, v))
+    rows += [("d", t, t // 37, 1.0 if t == 50 else None) for t in range(120)]   # < 2 known values
+    df = spark.createDataFrame(rows, "g string, t int, day int, v double")
+    plain = SR.rolling_zscore(df, ["g"], "t", "v", 10, 2.0).select("g", "t", "roll_mean", "roll_sd", "z_flag")
+    chunk = SR.rolling_zscore_chunked(df, ["g"], "t", "v", 10, 2.0, chunk="day", k_rows=23) \
+        .select("g", "t", "roll_mean", "roll_sd", "z_flag")
+    r = lambda d: d.select("g", "t", F.round("roll_mean", 9), F.round("roll_sd", 9), "z_flag")
+    assert r(plain).exceptAll(r(chunk)).count() == 0 and r(chunk).exceptAll(r(plain)).count() == 0
+    a = C.gap_fill(df, ["g"], "t", ["v"]).select("g", "t", F.round("v", 9).alias("v"))
+    b = SR.gap_fill_chunked(df, ["g"], "t", ["v"], chunk="day").select("g", "t", F.round("v", 9).alias("v"))
+    assert a.count() == b.count() == len(rows)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert b.filter("g = 'd'").filter(F.col("v").isNotNull()).count() == 1
