@@ -73,3 +73,57 @@ def contact_bouts(events: DataFrame, session: str = S) -> DataFrame:
             .withColumn("duration", (F.lead(us).over(w) - us) / F.lit(1e6))
             .withColumn("depart_id", F.when(ev == -1, F.lead("moving_f_id").over(w)))
             .withColumn("approach_id", F.when(ev == 1, F.lag("moving_r_id").over(w))))
+
+
+def contact_events_wide(wide: DataFrame, ids, thresholds, session: str = S, part=(),
+                        keep: str | None = None) -> DataFrame:
+    """``contact_events`` straight from per-frame wide rows.
+
+    A distance is symmetric, so each unordered pair's previous distance is
+    one lag over the frame order (a sort of frames, not of 12x as many
+    directed pair rows).  Frames where no threshold is crossed are dropped
+    by a plain predicate; only the rest build their directed event rows.
+    Same output as ``contact_events(pair_rows(wide))``.
+    """
+    from itertools import combinations
+    pairs = list(combinations(ids, 2))
+    w = W.partitionBy(session, *part).orderBy("time")
+
+    def dist(a, b):
+        dx = F.col(f"id_{a}_x") - F.col(f"id_{b}_x")
+        dy = F.col(f"id_{a}_y") - F.col(f"id_{b}_y")
+        return F.sqrt(dx * dx + dy * dy)
+
+    f = wide.select("*", *[dist(a, b).alias(f"_d_{a}_{b}") for a, b in pairs])
+    f = f.select("*", *[F.lag(f"_d_{a}_{b}").over(w).alias(f"_p_{a}_{b}") for a, b in pairs])
+    if keep:
+        f = f.filter(F.col(keep))
+    ts = [float(t) for t in thresholds]
+
+    def crossed(a, b, t):
+        d, p = F.col(f"_d_{a}_{b}"), F.col(f"_p_{a}_{b}")
+        return (_nearing(p, F.lit(t)) - _nearing(d, F.lit(t))) != 0
+
+    fired = None
+    for a, b in pairs:
+        for t in ts:
+            c = F.coalesce(crossed(a, b, t), F.lit(False))
+            fired = c if fired is None else fired | c
+    f = f.filter(fired)
+
+    def entry(a, b, t):
+        lo, hi = min(a, b), max(a, b)
+        d, p = F.col(f"_d_{lo}_{hi}"), F.col(f"_p_{lo}_{hi}")
+        return F.struct(F.lit(t).alias("threshold"), F.lit(a).alias("ida"), F.lit(b).alias("idb"),
+                        d.alias("dist"), _nearing(d, F.lit(t)).alias("nearing"),
+                        (_nearing(p, F.lit(t)) - _nearing(d, F.lit(t))).alias("nearing_event"),
+                        F.col(f"id_{a}_roll_r").alias("roll_r_a"), F.col(f"id_{b}_roll_r").alias("roll_r_b"),
+                        F.col(f"id_{a}_roll_f").alias("roll_f_a"), F.col(f"id_{b}_roll_f").alias("roll_f_b"))
+
+    cand = F.array(*[entry(a, b, t) for t in ts for a in ids for b in ids if a != b])
+    ev = f.select(session, *part, "time", "time0",
+                  F.inline(F.filter(cand, lambda e: e["nearing_event"] != 0)))
+    return ev.select(session, *part, "threshold", "time", "time0", "ida", "idb", "dist",
+                     "nearing", "nearing_event",
+                     _mover("roll_r_a", "roll_r_b").alias("moving_r_id"),
+                     _mover("roll_f_a", "roll_f_b").alias("moving_f_id"))

@@ -234,7 +234,9 @@ class ChunkedBehavior:
         return M.neighbour_distance(w, self.ids, session=self.session)
 
     def bouts(self, thresholds) -> DataFrame:
-        return chunked_bouts(self._pairs_chunked(), thresholds, self.session)
+        ev = CT.contact_events_wide(self._wide_all(), self.ids, thresholds, self.session,
+                                    part=("_ic",), keep="_own")
+        return chunked_bouts(ev, self.session)
 
     def _pairs_chunked(self) -> DataFrame:
         """Pair rows with chunk keys, computed in one projection of the wide table."""
@@ -263,9 +265,9 @@ def pair_rows_keyed(wide_all: DataFrame, ids, session: str = S) -> DataFrame:
                     F.inline(F.array(*[entry(a, b) for a in ids for b in ids if a != b])))
 
 
-def chunked_bouts(pairs: DataFrame, thresholds, session: str = S) -> DataFrame:
-    """Events (lag over own + halo frames) and bouts with cross-chunk neighbours."""
-    ev = CT.contact_events(pairs, thresholds, session, part=("_ic",), keep="_own")
+def chunked_bouts(ev: DataFrame, session: str = S) -> DataFrame:
+    """Bouts of chunk-keyed events (lag taken over own + halo frames), with
+    lead/lag across chunks from each chunk's first/last event."""
     key = [session, "_ic", "threshold", "ida", "idb"]
     w = W.partitionBy(*key).orderBy("time")
     us = F.unix_micros("time")

@@ -131,7 +131,8 @@ class Behavior:
 
     def bouts(self, thresholds) -> DataFrame:
         """Contact events with bout attributes for every threshold."""
-        return CT.contact_bouts(CT.contact_events(self.pairs, thresholds, self.session), self.session)
+        ev = CT.contact_events_wide(self.wide, self.ids, thresholds, self.session)
+        return CT.contact_bouts(ev, self.session)
 
     def materialized(self) -> "Behavior":
         w = cut_lineage(self.wide)

@@ -220,9 +220,7 @@ def q_bin_distance(spark, sf):
 
 
 def fixture_bouts(spark, sf, thresholds=None):
-    b = fixture_behavior(spark, sf)
-    ev = CT.contact_events(b.pairs, thresholds or FIXTURE_SWEEP.thresholds)
-    return CT.contact_bouts(ev)
+    return fixture_behavior(spark, sf).bouts(thresholds or FIXTURE_SWEEP.thresholds)
 
 
 @query

@@ -33,6 +33,11 @@ def test_clean_and_derive_single_exchange(static):
     from cagetrace.operators import contacts as CT
     assert exchanges(plan(CT.contact_bouts(CT.contact_events(b.pairs, [20.0])))) == 1
     assert exchanges(plan(b.neighbours)) == 1
+    # events from per-frame rows: still one Exchange, and no window over directed pairs
+    p = plan(b.bouts([20.0, 40.0]))
+    assert exchanges(p) == 1
+    assert re.search(r"Window \[lag\(_d_1_2", p)                        # lag on the frame rows
+    assert not re.search(r"Window \[lag\([^\n]*\], \[[^\]]*ida#", p)  # never over directed pairs
 
 
 def test_scan_reads_one_column(static):
