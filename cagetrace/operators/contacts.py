@@ -121,8 +121,8 @@ def contact_events_wide(wide: DataFrame, ids, thresholds, session: str = S, part
                         F.col(f"id_{a}_roll_f").alias("roll_f_a"), F.col(f"id_{b}_roll_f").alias("roll_f_b"))
 
     cand = F.array(*[entry(a, b, t) for t in ts for a in ids for b in ids if a != b])
-    ev = f.select(session, *part, "time", "time0",
-                  F.inline(F.filter(cand, lambda e: e["nearing_event"] != 0)))
+    ev = (f.select(session, *part, "time", "time0", F.inline(cand))
+          .filter(F.col("nearing_event") != 0))
     return ev.select(session, *part, "threshold", "time", "time0", "ida", "idb", "dist",
                      "nearing", "nearing_event",
                      _mover("roll_r_a", "roll_r_b").alias("moving_r_id"),
