@@ -261,10 +261,16 @@ def q_bin_interaction(spark, sf):
 
 
 # --------------------------------------------------------------- sweep
-def fixture_sweep(spark, sf, families=("activity", "distance", "interaction")):
+def fixture_sweep(spark, sf, families=("activity", "distance", "interaction"), strategy="session"):
     sp = replace(FIXTURE_SWEEP, activity="activity" in families, distance="distance" in families,
                  interaction="interaction" in families)
-    return SW.sweep(fixture_behavior(spark, sf), sp, info(spark, sf)), sp
+    return SW.sweep(fixture_behavior(spark, sf, strategy=strategy), sp), sp
+
+
+def fixture_long(spark, sf, families=("activity", "distance", "interaction"), strategy="session"):
+    """Long measure table of the sweep, subject facts joined once after the union."""
+    t, sp = fixture_sweep(spark, sf, families, strategy)
+    return SW.to_long(t, sp, info=info(spark, sf))
 
 
 def long_out(df: DataFrame, extra=()) -> DataFrame:
@@ -292,8 +298,7 @@ def q_sweep_interaction(spark, sf):
 
 @query
 def q_sweep_long(spark, sf):
-    t, sp = fixture_sweep(spark, sf)
-    return long_out(SW.to_long(t, sp, INFO), INFO)
+    return long_out(fixture_long(spark, sf), INFO)
 
 
 # ------------------------------------------------------------- compare
@@ -306,8 +311,7 @@ def _test_out(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _activity_long(spark, sf, kind="total"):
-    t, sp = fixture_sweep(spark, sf, ("activity",))
-    lg = SW.to_long(t, sp, INFO)
+    lg = fixture_long(spark, sf, ("activity",))
     return lg.filter(F.col("measure") == f"{kind}_activity")
 
 
@@ -333,8 +337,7 @@ def q_compare_bins(spark, sf):
 
 @query
 def q_compare_sweep(spark, sf):
-    t, sp = fixture_sweep(spark, sf)
-    lg = SW.to_long(t, sp, INFO).filter(F.col("kind") == "total")
+    lg = fixture_long(spark, sf).filter(F.col("kind") == "total")
     by = ["measure", "threshold", "window_min"]
     u = CP.unpaired(lg, FIXTURE_UNPAIRED, by)
     p = CP.paired(lg, FIXTURE_PAIRED, by)
@@ -526,6 +529,4 @@ def q_contact_bouts_chunked(spark, sf):
 
 @query
 def q_sweep_long_chunked(spark, sf):
-    sp = FIXTURE_SWEEP
-    t = SW.sweep(fixture_behavior(spark, sf, strategy="chunked"), sp, info(spark, sf))
-    return long_out(SW.to_long(t, sp, INFO), INFO)
+    return long_out(fixture_long(spark, sf, strategy="chunked"), INFO)

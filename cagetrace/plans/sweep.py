@@ -87,8 +87,13 @@ def sweep(b: Behavior, sp: SweepParams, info: DataFrame | None = None,
 LONG_KEYS = [S, "id", "family", "kind", "threshold", "window_min", "bin_min", "bin"]
 
 
-def to_long(t: SweepTables, sp: SweepParams, info_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Union of every family as (keys, measure, value) rows (+ subject facts)."""
+def to_long(t: SweepTables, sp: SweepParams, info_cols: tuple[str, ...] = (),
+            info: DataFrame | None = None) -> DataFrame:
+    """Union of every family as (keys, measure, value) rows (+ subject facts).
+
+    ``info_cols`` are carried from tables that already hold subject facts;
+    ``info`` (session, id, facts...) is instead joined once after the union.
+    """
     parts = []
     within = F.lit(float(sp.bin_within))
     null_d, null_i = F.lit(None).cast("double"), F.lit(None).cast("int")
@@ -106,7 +111,7 @@ def to_long(t: SweepTables, sp: SweepParams, info_cols: tuple[str, ...] = ()) ->
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return ME.join_info(out, info) if info is not None else out
 
 
 # ------------------------------------------------------------------ sinks
