@@ -54,6 +54,31 @@ def read_lines(spark: SparkSession, folder: str, glob: str = "*.csv",
     return number_lines(with_positions(raw), broadcast=block_bound(spark, folder, glob) <= broadcast_blocks)
 
 
+def read_preamble(spark: SparkSession, folder: str, glob: str = "*.csv",
+                  materialize: bool = True, broadcast_files: int = 200_000) -> DataFrame:
+    """Lines 1-14 of every log as (path, line_no, value), for the metadata,
+    marker and header parsers.
+
+    Only each file's first block is kept (the preamble starts the file);
+    line numbers within it come from its first scan position, one small
+    aggregation broadcast-joined when the listing bounds the file count.
+    The result (14 rows per file) is checkpointed once so every preamble
+    parser reads it instead of rescanning the logs.
+    """
+    raw = (spark.read.option("pathGlobFilter", glob).text(folder).select(*file_cols(), "value")
+           .filter(F.col("_blk") == 0))
+    raw = with_positions(raw)
+    first = raw.groupBy("path").agg(F.min("_pos").alias("_p0"))
+    small = len(list_files(spark, folder, glob)) <= broadcast_files
+    j = raw.join(F.broadcast(first) if small else first, "path")
+    pre = (j.select("path", (F.col("_pos") - F.col("_p0") + 1).alias("line_no"), "value")
+           .filter(F.col("line_no") <= HEADER_LINE))
+    if materialize:
+        from cagetrace.session import cut_lineage
+        pre = cut_lineage(pre)
+    return pre
+
+
 def file_cols():
     """File path and block start of each scanned line (batch and stream scans)."""
     return (F.col("_metadata.file_path").alias("path"),

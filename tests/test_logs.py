@@ -101,6 +101,18 @@ def test_strategy_from_listing(spark, tmp_dir):
     assert L.strategy_for(spark, tmp_dir, max_session_bytes=10) == "chunked"
 
 
+def test_preamble_matches_numbered_lines(spark, tmp_dir):
+    write_log(tmp_dir, "a.csv", "S1", frames=ROWS)
+    write_log(tmp_dir, "b.csv", "S2", frames=ROWS, markers=3, drop_key="Analysis No")
+    pre = L.read_preamble(spark, tmp_dir)
+    lines = L.read_lines(spark, tmp_dir)
+    assert pre.count() == 2 * 14
+    for parse in (L.parse_metadata, L.parse_markers, L.header_map):
+        a, b = parse(pre), parse(lines)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert {r.check for r in L.marker_violations(pre).collect()} == {"marker_count"}
+
+
 def test_line_numbers_across_file_blocks(spark, tmp_dir):
     rows = [[float(i), float(i)] * 4 for i in range(4000)]
     write_log(tmp_dir, "big.csv", "S9", frames=rows)
