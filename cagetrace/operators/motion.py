@@ -98,22 +98,22 @@ def neighbour_distance(wide: DataFrame, ids: tuple[int, ...], session: str = S)
     """Per frame and subject: mean and minimum distance to the other subjects.
 
     Nulls are skipped (mean of what is there; least ignores nulls); both
-    are null when no distance is known.
+    are null when no distance is known.  Written as SQL text: one call per
+    projection however many subjects there are.
     """
-    dists = {(a, b): _dist(a, b) for a, b in combinations(ids, 2)}
-
-    def d(a, b):
-        return F.col(f"_d_{min(a, b)}_{max(a, b)}")
-
-    w = wide.select(session, "time", "time0",
-                    *[c.alias(f"_d_{a}_{b}") for (a, b), c in dists.items()])
-
-    def entry(a: int):
-        others = [d(a, b) for b in ids if b != a]
-        total = sum((F.coalesce(o, F.lit(0.0)) for o in others[1:]), F.coalesce(others[0], F.lit(0.0)))
-        cnt = sum((o.isNotNull().cast("int") for o in others[1:]), others[0].isNotNull().cast("int"))
-        mean = F.when(cnt > 0, total / cnt)
-        return F.struct(F.lit(a).alias("id"), mean.alias("mean_dist"),
-                        F.least(*others).alias("closest_dist"))
-
-    return w.select(session, "time", "time0", F.inline(F.array(*[entry(a) for a in ids])))
+    def dist(a, b):
+        dx, dy = f"(id_{a}_x - id_{b}_x)", f"(id_{a}_y - id_{b}_y)"
+        return f"sqrt({dx} * {dx} + {dy} * {dy}) AS _d_{a}_{b}"
+
+    w = wide.selectExpr(f"`{session}`", "time", "time0", *[dist(a, b) for a, b in combinations(ids, 2)])
+
+    def entry(a: int) -> str:
+        others = [f"_d_{min(a, b)}_{max(a, b)}" for b in ids if b != a]
+        total = " + ".join(f"coalesce({o}, 0D)" for o in others)
+        cnt = " + ".join(f"CAST({o} IS NOT NULL AS INT)" for o in others)
+        mean = f"CASE WHEN ({cnt}) > 0 THEN ({total}) / ({cnt}) END"
+        return (f"named_struct('id', {a}, 'mean_dist', {mean}, "
+                f"'closest_dist', least({', '.join(others)}))")
+
+    return w.selectExpr(f"`{session}`", "time", "time0",
+                        f"inline(array({', '.join(entry(a) for a in ids)}))")

@@ -26,6 +26,6 @@ def to_long(wide: DataFrame, ids, keys: list[str], cols=("x", "y")) -> DataFrame
 
 def unpivot_measures(df: DataFrame, keys: list[str], measures: list[str],
                      name: str = "measure", value: str = "value") -> DataFrame:
-    """Measure columns -> (measure, value) rows, all cast to double."""
-    structs = [F.struct(F.lit(m).alias(name), F.col(m).cast("double").alias(value)) for m in measures]
-    return df.select(*keys, F.inline(F.array(*structs)))
+    """Measure columns -> (measure, value) rows, all cast to double (one projection)."""
+    arr = ", ".join(f"named_struct('{name}', '{m}', '{value}', CAST(`{m}` AS DOUBLE))" for m in measures)
+    return df.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({arr}))")
