@@ -118,26 +118,34 @@ def to_long(t: SweepTables, sp: SweepParams, info_cols: tuple[str, ...] = (),
 PARTITIONS = {"total": ["threshold", "window_min"], "bin": ["threshold", "bin_min"]}
 
 
-def _done(path: str) -> bool:
-    return os.path.exists(os.path.join(path, "_SUCCESS"))
+def _done(spark: SparkSession, path: str) -> bool:
+    """``_SUCCESS`` present, checked through the cluster file system (HDFS, S3, local)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
+    marker = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return bool(marker.getFileSystem(conf).exists(marker))
 
 
-def write_sweep(t: SweepTables, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
+def write_sweep(t: SweepTables, out_dir: str, fmt: str = "parquet",
+                max_records_per_file: int = 5_000_000) -> dict[str, str]:
     """One table per family/kind, partitioned by parameter columns.
 
-    A table whose folder already holds ``_SUCCESS`` is skipped (the
-    reference skips any existing folder; a half-written one is redone
-    here).  ``out_dir`` must be a shared folder on a cluster.
+    Rows are first hash-partitioned by those columns, so each parameter
+    cell is written by one task (files bounded by the grid, not by tasks x
+    cells); ``max_records_per_file`` splits a large cell.  A table whose
+    folder already holds ``_SUCCESS`` is skipped (the reference skips any
+    existing folder; a half-written one is redone here).  ``out_dir`` must
+    be a shared folder on a cluster.
     """
     written = {}
     for key, df in t.items():
         path = os.path.join(out_dir, key)
-        if _done(path):
+        if _done(df.sparkSession, path):
             written[key] = path
             continue
         kind = key.split("_")[1]
         parts = [c for c in PARTITIONS[kind] if c in df.columns]
-        w = df.write.mode("overwrite").partitionBy(*parts).format(fmt)
+        w = (df.repartition(*parts).write.mode("overwrite").partitionBy(*parts).format(fmt)
+             .option("maxRecordsPerFile", int(max_records_per_file)))
         if fmt == "csv":
             w = w.option("header", True)
         w.save(path)

@@ -16,7 +16,9 @@ def test_write_skip_and_read(spark, tmp_dir):
     t = SW.sweep(b, FIXTURE_SWEEP, FX.subjects(spark, SF_SMALL).select("session", "id", "line"))
     out = SW.write_sweep(t, tmp_dir)
     assert set(out) == {"activity_total", "activity_bin", "dist_total", "dist_bin", "inter_total", "inter_bin"}
-    assert os.path.isdir(os.path.join(tmp_dir, "inter_total", "threshold=20.0", "window_min=4.0"))
+    cell = os.path.join(tmp_dir, "inter_total", "threshold=20.0", "window_min=4.0")
+    assert os.path.isdir(cell)
+    assert len([f for f in os.listdir(cell) if f.startswith("part-")]) == 1   # one writer per cell
     stamp = os.path.getmtime(os.path.join(tmp_dir, "activity_total", "_SUCCESS"))
     SW.write_sweep(t, tmp_dir)                      # complete tables are skipped
     assert os.path.getmtime(os.path.join(tmp_dir, "activity_total", "_SUCCESS")) == stamp
