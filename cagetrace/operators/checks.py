@@ -38,6 +38,7 @@ def position_report(frames: DataFrame, session: str = S) -> DataFrame:
     - duplicate_time: positions dropped by the time dedup
     - sparse_series: a subject axis with < 2 known values (stays unfilled)
     - subject_never_seen: a subject without a complete position (session dropped)
+    - unparsed_time: positions whose frame time did not parse (dropped)
     """
     # rows dropped by the time dedup: two-level aggregation, so a time
     # repeated many times never gathers in one task
@@ -54,7 +55,10 @@ def position_report(frames: DataFrame, session: str = S) -> DataFrame:
         F.struct(F.lit("x").alias("axis"), F.col("nx").alias("n")),
         F.struct(F.lit("y").alias("axis"), F.col("ny").alias("n"))))).filter(F.col("n") < 2)
     never = per_id.filter(F.col("nxy") == 0)
+    bad_time = (frames.groupBy(session).agg(F.count_if(F.col("time").isNull()).alias("n"))
+                .filter(F.col("n") > 0))
     return (_rows(dup, session, "duplicate_time", "", F.col("n"))
+            .unionByName(_rows(bad_time, session, "unparsed_time", "", F.col("n")))
             .unionByName(_rows(sparse, session, "sparse_series",
                                F.concat(F.lit("id="), F.col("id").cast("string"), F.lit(" axis="), F.col("axis")),
                                F.col("n")))

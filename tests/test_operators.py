@@ -241,6 +241,8 @@ def test_position_report(spark):
     assert ("subject_never_seen", "id=2", 0) in rep and ("subject_never_seen", "id=3", 0) in rep
     with pytest.raises(ValueError):
         CK.raise_if_any(CK.position_report(df))
+    bad = df.withColumn("time", F.when(F.col("frame_no") == 0, F.lit(None)).otherwise(F.col("time")))
+    assert ("unparsed_time", "", 3) in {(r.check_name, r.detail, r.n) for r in CK.position_report(bad).collect()}
 
 
 def test_trajectory_slice_and_last(spark):
