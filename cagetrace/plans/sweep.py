@@ -163,3 +163,35 @@ def read_table(spark: SparkSession, out_dir: str, measure: str, **params) -> Dat
         if v is not None:
             df = df.filter(F.col(k).isin(list(v)) if isinstance(v, (list, tuple)) else (F.col(k) == v))
     return df
+
+
+def run_project(spark: SparkSession, project_dir: str, subject_list: str, design,
+                clean=None, sp: SweepParams | None = None, glob: str = "*.csv",
+                fmt: str = "parquet") -> dict[str, str]:
+    """The batch entry point: logs in ``<project>/data``, results in ``<project>/temp``.
+
+    Reads every log and the subject list, checks the design, derives and
+    sweeps all sessions in one plan and writes one table per family/kind.
+    Families whose tables are already complete are not recomputed; when
+    all are, nothing runs.
+    """
+    from dataclasses import replace
+
+    from cagetrace.params import CleanParams
+    from cagetrace.plans.clean_derive import behavior
+    from cagetrace.sources import logs as L
+    from cagetrace.sources import subjects as SJ
+
+    clean = clean or CleanParams()
+    sp = sp or SweepParams()
+    data, out = f"{project_dir.rstrip('/')}/data", f"{project_dir.rstrip('/')}/temp"
+    need = {fam: flag and not all(_done(spark, f"{out}/{fam}_{kind}") for kind in ("total", "bin"))
+            for fam, flag in (("activity", sp.activity), ("dist", sp.distance), ("inter", sp.interaction))}
+    if not any(need.values()):
+        return {}
+    sp = replace(sp, activity=need["activity"], distance=need["dist"], interaction=need["inter"])
+    frames = L.read_frames(spark, data, glob)
+    info = SJ.subject_info(L.read_preamble(spark, data, glob),
+                           SJ.validated(SJ.read_subjects(spark, subject_list), design))
+    b = behavior(frames, clean, strategy=L.strategy_for(spark, data, glob))
+    return write_sweep(sweep(b, sp, info), out, fmt)

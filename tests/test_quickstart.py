@@ -35,3 +35,22 @@ def test_quick_start_flow(spark, tmp_dir):
     assert all(r.n == 4 and r.p is not None for r in act)         # 4 mice, each under CNO and SAL
     back = sweep.read_table(spark, out, "total_activity", window_min=4.0)
     assert back.count() == 8 and back.filter(F.col("drug").isNull()).count() == 0
+
+
+def test_run_project_and_skip(spark, tmp_dir):
+    proj = os.path.join(tmp_dir, "proj")
+    logs.write_logs(fixture_lines(spark, SF_SMALL), os.path.join(proj, "data"))
+    lst = os.path.join(tmp_dir, "mice.csv")
+    rows = fixture_subject_list(spark, SF_SMALL).collect()
+    with open(lst, "w") as fh:
+        fh.write("Session,Camera,ID,line,drug,mouse\n")
+        fh.writelines(f"{r.Session},{r.Camera},{r.ID},{r.line},{r.drug},{r.mouse}\n" for r in rows)
+    design = StudyDesign("line", ("A", "B"))
+    written = sweep.run_project(spark, proj, lst, design, FIXTURE_CLEAN, FIXTURE_SWEEP, glob="*.txt")
+    assert set(written) == {"activity_total", "activity_bin", "dist_total", "dist_bin",
+                            "inter_total", "inter_bin"}
+    stamp = os.path.getmtime(os.path.join(proj, "temp", "inter_bin", "_SUCCESS"))
+    assert sweep.run_project(spark, proj, lst, design, FIXTURE_CLEAN, FIXTURE_SWEEP, glob="*.txt") == {}
+    assert os.path.getmtime(os.path.join(proj, "temp", "inter_bin", "_SUCCESS")) == stamp
+    t = sweep.read_table(spark, os.path.join(proj, "temp"), "total_mean_dist")
+    assert t.count() == 2 * 4 * 2 and "line" in t.columns
