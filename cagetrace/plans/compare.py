@@ -102,3 +102,29 @@ def bin_summary(df: DataFrame, d: StudyDesign, by: list[str], plot_within: float
                 F.when(full, F.avg(v)).alias("mean"),
                 F.when(full, F.stddev_samp(v)).alias("sd")))
     return agg.withColumn("se", F.col("sd") / F.sqrt(F.col("n").cast("double")))
+
+
+def measure_tests(spark, out_dir: str, measure: str, d: StudyDesign, **params) -> DataFrame:
+    """Tests of one measure read back from the sweep tables, per window (and
+    threshold); paired when the design names a pair key, else Welch.
+    ``params`` (window_min=..., threshold=...) prune partitions."""
+    from cagetrace.plans.sweep import measure_table, read_table
+    family, kind = measure_table(measure)
+    if kind != "total":
+        raise ValueError(f"{measure} is a per-bin measure; use measure_bins")
+    df = read_table(spark, out_dir, measure, **params).withColumn("value", F.col(measure).cast("double"))
+    by = [c for c in ("threshold", "window_min") if c in df.columns]
+    df = df.withColumn("measure", F.lit(measure))
+    return (paired if d.paired_col else unpaired)(df, d, ["measure", *by])
+
+
+def measure_bins(spark, out_dir: str, measure: str, d: StudyDesign, plot_within: float,
+                 **params) -> DataFrame:
+    """Group mean ± SEM per bin of one per-bin measure read back from the sweep tables."""
+    from cagetrace.plans.sweep import measure_table, read_table
+    family, kind = measure_table(measure)
+    if kind != "bin":
+        raise ValueError(f"{measure} is a whole-window measure; use measure_tests")
+    df = read_table(spark, out_dir, measure, **params).withColumn("value", F.col(measure).cast("double"))
+    by = ["measure", *[c for c in ("threshold", "bin_min") if c in df.columns]]
+    return bin_summary(df.withColumn("measure", F.lit(measure)), d, by, plot_within)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cagetrace.params import FIXTURE_CLEAN, FIXTURE_SWEEP, StudyDesign
 from cagetrace.plans import clean_derive, compare, sweep
 from cagetrace.plans.registry import fixture_lines, fixture_subject_list
+from cagetrace.sources import fixture as FX
 from cagetrace.sources import logs, subjects
 
 from conftest import SF_SMALL
@@ -54,3 +55,22 @@ def test_run_project_and_skip(spark, tmp_dir):
     assert os.path.getmtime(os.path.join(proj, "temp", "inter_bin", "_SUCCESS")) == stamp
     t = sweep.read_table(spark, os.path.join(proj, "temp"), "total_mean_dist")
     assert t.count() == 2 * 4 * 2 and "line" in t.columns
+
+
+def test_compare_from_tables(spark, tmp_dir):
+    from cagetrace.params import FIXTURE_PAIRED, FIXTURE_UNPAIRED
+    from cagetrace.plans.registry import QUERIES, info
+    b = clean_derive.behavior(FX.frames(spark, SF_SMALL), FIXTURE_CLEAN)
+    sweep.write_sweep(sweep.sweep(b, FIXTURE_SWEEP, info(spark, SF_SMALL)), tmp_dir)
+    got = compare.measure_tests(spark, tmp_dir, "total_activity", FIXTURE_PAIRED).orderBy("window_min")
+    want = QUERIES["compare_paired"](spark, SF_SMALL).orderBy("window_min")
+    g, w = got.collect(), want.collect()
+    assert [(r.window_min, r.n) for r in g] == [(r.window_min, r.n) for r in w]
+    assert all(abs(a.p - b.p) < 1e-6 for a, b in zip(g, w))
+    u = compare.measure_tests(spark, tmp_dir, "total_event_count", FIXTURE_UNPAIRED, threshold=20.0)
+    assert u.select("threshold").distinct().collect()[0][0] == 20.0
+    bins = compare.measure_bins(spark, tmp_dir, "bin_activity", FIXTURE_UNPAIRED, plot_within=4)
+    assert bins.count() == QUERIES["compare_bins"](spark, SF_SMALL).count()
+    import pytest
+    with pytest.raises(ValueError):
+        compare.measure_tests(spark, tmp_dir, "bin_activity", FIXTURE_UNPAIRED)
