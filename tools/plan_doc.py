@@ -60,7 +60,9 @@ def main():
     lines += ["", "Reading the table:", "",
               "* The clean-and-derive queries (motion, lerp, step_distance, roll_move, pair_distance,",
               "  contact_events, contact_bouts) plan one Exchange: the session partitioning serves every",
-              "  window, the per-frame pivot, the pair lag and the bouts.",
+              "  window, the per-frame pivot, the frame-order lag of the pair distances and the bouts.",
+              "* `contact_bouts` takes its lag on frame rows (`Window [lag(_d_1_2 ...`), never on the",
+              "  12x directed pair rows; `pair_distance` builds that table only because it is asked for.",
               "* Measure queries add one small Exchange (or broadcast) for the subject facts join.",
               "* Sweep queries start from the checkpointed per-frame table (a scan of the checkpoint, not",
               "  counted as parquet) and keep its partitioning; their exchanges move aggregated rows only.",
