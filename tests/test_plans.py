@@ -55,3 +55,12 @@ def test_lineitem_filter_pushed(spark):
     p = plan(QUERIES["lineitem_group_ttest"](spark, SF_SMALL))
     assert "PushedFilters: [In(l_returnflag, [A,N])" in p or "l_returnflag IN (A,N)" in p
     assert "ReadSchema: struct<l_extendedprice:double,l_returnflag:string>" in p
+
+
+def test_checkpoint_keeps_session_partitioning(static):
+    """Measure families read the checkpointed per-frame table without a new shuffle."""
+    from cagetrace.operators import measures as ME
+    b = P.behavior(FX.frames(static, SF_SMALL), FIXTURE_CLEAN).materialized()
+    assert exchanges(plan(ME.total_activity(b.motion, [2.0, 4.0]))) == 0
+    assert exchanges(plan(ME.total_distance(b.neighbours, [2.0, 4.0]))) == 0
+    assert exchanges(plan(b.bouts([20.0]))) == 0
