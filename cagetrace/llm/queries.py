@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cagetrace.llm import near_dup, winnow
+from cagetrace.llm import near_dup, records, separators, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -19,9 +23,20 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op6_separator_scan": op6_separator_scan,
     "op7_winnowing": op7_winnowing,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_records": op9_records,
+    "op10_warc": op10_warc,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -52,5 +67,12 @@ r AS (SELECT doc_id, doc_id root FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e
 c AS (SELECT doc_id, min(root) component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.c, 0) n_shingles, component_id, d.doc_id = component_id kept
 FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha256(coalesce(html, '')) payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END record_type,
+       CASE WHEN page_id <> first THEN first END refers_to
+FROM p LEFT JOIN f USING (payload_digest)
 """,
 }
