@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cagetrace.llm import chat, near_dup, packing, records, separators, warc, winnow
+from cagetrace.llm import ann, chat, near_dup, packing, quality, records, separators, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,18 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(two)))
 
 
+def op2_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_adaptive_scan": op2_adaptive_scan,
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
     "op6_separator_scan": op6_separator_scan,
     "op7_winnowing": op7_winnowing,
     "op8_near_duplicates": op8_near_duplicates,
