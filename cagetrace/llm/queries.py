@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cagetrace.llm import ann, chat, near_dup, packing, quality, records, separators, warc, winnow
+from cagetrace.llm import ann, chat, line_dedup, near_dup, packing, quality, records, separators, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_adaptive_scan": op2_adaptive_scan,
+    "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op6_separator_scan": op6_separator_scan,
