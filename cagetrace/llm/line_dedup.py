@@ -177,7 +177,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
-    """(rid, gone): the numbers of the lines that go, for each row of *docs* (doc_id, text) that loses any."""
+    """(rid, gone, emptied) for each row of *docs* (doc_id, text) that loses lines: their numbers, and whether no line that took part is left."""
     rows = _rows(docs)
     rare = rarity(rows.select("text"), least)
     schema = "rid long, ord long, line int, key long, n int, tokens array<long>, pos array<int>, m0 long, m1 long"
@@ -198,8 +198,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     similar = stage(settled.unionByName(_verify(stage(rest, "rest"), rows, percent)), "similar")
     # a class without a similar earlier one keeps its first line
     kept = classes.select("key", "first").join(similar, "key", "left_anti")
-    gone = lines.select("rid", "line", "key", place.alias("at")).join(kept, "key", "left").where(F.col("first").isNull() | (F.col("first") != F.col("at")))
-    return gone.groupBy("rid").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    goes = F.col("first").isNull() | (F.col("first") != F.col("at"))
+    marked = lines.select("rid", "line", "key", place.alias("at")).join(kept, "key", "left").select("rid", "line", goes.alias("goes"))
+    return marked.groupBy("rid").agg(F.sort_array(F.collect_set(F.when(F.col("goes"), F.col("line")))).alias("gone"), F.bool_and("goes").alias("emptied")).where("size(gone) > 0")
 
 
 @F.pandas_udf(StringType())
@@ -213,11 +214,16 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
-    """*docs* with later matching lines taken out of ``text``, and ``lines_removed``."""
-    gone = stage(removed_lines(docs.select("doc_id", "text"), percent, least), "gone").withColumnRenamed("rid", "__rid")
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, removed: str = "lines_removed", emptied: str = "emptied") -> DataFrame:
+    """*docs* with later matching lines taken out of ``text``.
+
+    Adds two columns under the names given: the number of lines removed, and
+    whether no line that took part is left.
+    """
+    gone = stage(removed_lines(docs.select("doc_id", "text"), percent, least), "gone").toDF("__rid", "__gone", "__emptied")
     out = docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(gone, "__rid", "left")
-    return out.withColumn("text", _without("text", "gone")).withColumn("lines_removed", F.coalesce(F.size("gone"), F.lit(0))).drop("__rid", "gone")
+    out = out.withColumn("text", _without("text", "__gone"))
+    return out.withColumns({removed: F.coalesce(F.size("__gone"), F.lit(0)), emptied: F.coalesce("__emptied", F.lit(False))}).drop("__rid", "__gone", "__emptied")
 
 
 def line_report(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:

@@ -1,42 +1,73 @@
-"""The document pipeline: quality, line dedup, near duplicates, decontamination, packing."""
+"""The document pipeline: quality, line dedup, near duplicates, decontamination, packing.
+
+Each stage takes what the one before it kept, written as Parquet and read
+again; all but the last return the columns of ``documents``.  Decisions are
+made per doc_id; rows without a doc_id are kept wherever a decision needs it.
+No stage is expressed in SQL as a whole (the classifier and the packing are
+fitted), so ``ORACLE_SQL`` is None and the tests hold the stages against
+brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cagetrace.llm import near_dup, winnow
+from cagetrace.llm import line_dedup, near_dup, packing, quality, winnow
 from cagetrace.llm.queries import table
 from cagetrace.llm.store import stage
 
 
 def _keep(docs: DataFrame, decisions: DataFrame, good) -> DataFrame:
     """Rows of *docs* that no decision of their id rejects; rows without an id stay."""
-    bad = decisions.where(~good).select(decisions["doc_id"].alias("__gone")).where("__gone is not null").distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__gone"], "left_anti")
+    bad = decisions.where(~good).select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct()
+    return docs.join(bad, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier rejects go."""
+    found = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return _keep(docs, found, F.col("predicted") == 1)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later matching lines go, and documents left without any line that could match."""
+    out = line_dedup.dedup_lines(docs, removed="__removed", emptied="__none_left").where(~F.col("__none_left"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, 0.8) stays."""
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays."""
     found = near_dup.near_duplicates(docs)
-    return _keep(docs, found, found["kept"])
+    return _keep(docs, found, F.col("kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by the benchmark go."""
     found = winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _keep(docs, found, ~found["contaminated"])
+    return _keep(docs, found, ~F.col("contaminated"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents as packed pieces."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [
+    ("quality", classify_quality),
+    ("line_dedup", dedup_lines),
     ("near_duplicates", near_duplicates),
-    ("decontaminate", decontaminate),
+    ("decontamination", decontaminate),
+    ("packing", pack),
 ]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name)
