@@ -7,7 +7,7 @@ further Exchange is planned; only local sorts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,27 +64,41 @@ def z_mask(frames: DataFrame, n: int, z: float, session: str = S) -> DataFrame:
             .drop("_any", "z_flag"))
 
 
+def _cover(hist: DataFrame, keys: list[str], width: Column) -> DataFrame:
+    """Adds to a value histogram (keys, v, c) the count in [v, v + width], the
+    largest value there (``hi``), the running count ``cum`` and the total ``n``.
+
+    One ascending pass in place of a range frame, whose buffer would be
+    re-aggregated per row: each value also sends a probe row to v + width,
+    which finds there the running count and the last value so far; what
+    was counted before v is taken off.  O(n log n) whatever the width.
+    """
+    w = W.partitionBy(*keys).orderBy("v")
+    hist = hist.select(*keys, "v", "c", F.sum("c").over(running(w)).alias("cum"))
+    rows = hist.select(*keys, F.inline(F.array(
+        F.struct(F.col("v").cast("double").alias("p"), F.lit(0).alias("probe"), "v", "c", "cum"),
+        F.struct((F.col("v") + width).cast("double").alias("p"), F.lit(1).alias("probe"), "v", "c", "cum"))))
+    w = W.partitionBy(*keys).orderBy("p", "probe")
+    own = F.col("probe") == 0
+    rows = rows.select("*", F.sum(F.when(own, F.col("c"))).over(running(w)).alias("_upto"),
+                       F.last(F.when(own, F.col("v")), ignorenulls=True).over(running(w)).alias("hi"))
+    return rows.filter(~own).select(*keys, "v", "c", "cum", (F.col("_upto") - F.col("cum") + F.col("c")).alias("cover"), "hi")
+
+
 def densest_interval(values: DataFrame, keys: list[str], value: str, width: float) -> DataFrame:
     """Closed interval [lo, lo + width] covering the most values, per key.
 
     Exact: an optimal interval can always slide right until its left end
     is a data value, so only data values need to be tried as ``lo``.
     Values are first counted per distinct value (a partial aggregation,
-    so a hot key never ships its raw rows), then a range frame sums the
-    counts in [v, v + width].  Ties go to the smallest ``lo``.  Returns
-    keys, lo, hi (largest covered value), cover, center = (lo + hi) / 2
-    (the middle of all centres with that cover), n, vmin, vmax.
+    so a hot key never ships its raw rows).  Ties go to the smallest
+    ``lo``.  Returns keys, lo, hi (largest covered value), cover,
+    center = (lo + hi) / 2 (the middle of all centres with that cover),
+    n, vmin, vmax.
     """
     hist = (values.filter(F.col(value).isNotNull())
             .groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    if float(width) == int(width):
-        w = W.partitionBy(*keys).orderBy("v").rangeBetween(0, int(width))
-        cover, hi = F.sum("c").over(w), F.max("v").over(w)
-    else:  # fractional widths: the SQL frame takes a decimal offset
-        frame = (f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY v "
-                 f"RANGE BETWEEN CURRENT ROW AND {float(width)!r} FOLLOWING)")
-        cover, hi = F.expr(f"sum(c) {frame}"), F.expr(f"max(v) {frame}")
-    cov = hist.select(*keys, "v", "c", cover.alias("cover"), hi.alias("hi"))
+    cov = _cover(hist, keys, F.lit(float(width)))
     best = F.max(F.struct(F.col("cover"), (-F.col("v")).alias("neg"), F.col("v"), F.col("hi")))
     return (cov.groupBy(*keys)
             .agg(best.alias("b"), F.sum("c").alias("n"), F.min("v").alias("vmin"),
@@ -95,28 +109,6 @@ def densest_interval(values: DataFrame, keys: list[str], value: str, width: floa
                     "n", "vmin", "vmax"))
 
 
-def exact_median(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact median per key from a value histogram (mean of the two middles).
-
-    Distributed: counts per distinct value, cumulative counts over the
-    (small) histogram, no collection of a group's raw values.
-    """
-    hist = (values.filter(F.col(value).isNotNull())
-            .groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    w = W.partitionBy(*keys).orderBy("v")
-    cum = hist.select(*keys, "v", "c",
-                      F.sum("c").over(running(w)).alias("cum"),
-                      F.sum("c").over(W.partitionBy(*keys)).alias("n"))
-    lo_rank = F.floor((F.col("n") + 1) / 2)
-    hi_rank = F.floor(F.col("n") / 2) + 1
-    hit_lo = (F.col("cum") - F.col("c") < lo_rank) & (F.col("cum") >= lo_rank)
-    hit_hi = (F.col("cum") - F.col("c") < hi_rank) & (F.col("cum") >= hi_rank)
-    return (cum.groupBy(*keys)
-            .agg(F.max(F.when(hit_lo, F.col("v"))).alias("lo"),
-                 F.max(F.when(hit_hi, F.col("v"))).alias("hi"))
-            .select(*keys, ((F.col("lo") + F.col("hi")) / 2).alias("median")))
-
-
 def axis_summary(frames: DataFrame, widths: dict[str, float], session: str = S) -> DataFrame:
     """Per (session, axis): densest interval of the given width, exact median,
     n, min, max -- all from one histogram of pooled values (x and y together)."""
@@ -124,23 +116,9 @@ def axis_summary(frames: DataFrame, widths: dict[str, float], session: str = S)
         F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("v")) for a in widths])))
     hist = (vals.filter(F.col("v").isNotNull())
             .groupBy(session, "axis", "v").agg(F.count(F.lit(1)).alias("c")))
-    w = W.partitionBy(session, "axis").orderBy("v")
-    covers = {a: w.rangeBetween(0, int(wd)) for a, wd in widths.items() if float(wd) == int(wd)}
-    if len(covers) != len(widths):
-        raise ValueError("cage sizes must be whole millimetres")
-    axis = F.col("axis")
-
-    def by_axis(f):
-        out = None
-        for a, spec in covers.items():
-            out = (F.when(axis == a, f(spec)) if out is None else out.when(axis == a, f(spec)))
-        return out
-
-    cov = hist.select(session, "axis", "v", "c",
-                      by_axis(lambda sp: F.sum("c").over(sp)).alias("cover"),
-                      by_axis(lambda sp: F.max("v").over(sp)).alias("hi"),
-                      F.sum("c").over(running(w)).alias("cum"),
-                      F.sum("c").over(W.partitionBy(session, "axis")).alias("n"))
+    width = F.element_at(F.create_map(*[F.lit(x) for a, wd in widths.items() for x in (a, float(wd))]), F.col("axis"))
+    cov = _cover(hist, [session, "axis"], width)
+    cov = cov.withColumn("n", F.sum("c").over(W.partitionBy(session, "axis")))
     lo_rank = F.floor((F.col("n") + 1) / 2)
     hi_rank = F.floor(F.col("n") / 2) + 1
     below = F.col("cum") - F.col("c")

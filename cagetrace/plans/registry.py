@@ -159,6 +159,17 @@ def q_cage_center(spark, sf):
                     r6("x_min"), r6("x_max"), r6("y_min"), r6("y_max"), r6("x_median"), r6("y_median")))
 
 
+@query
+def q_cage_center_real(spark, sf):
+    """The cage centre on positions with a fractional part, nearly all distinct."""
+    d = C.dedup_time(FX.frames(spark, sf))
+    part = (F.col("frame_no") * 7919 + F.col("id") * 104729) % 1000003 / F.lit(1048576.0)
+    d = d.withColumns({a: F.col(a) + part for a in ("x", "y")})
+    cc = C.cage_center(d, FIXTURE_CLEAN.cage_width, FIXTURE_CLEAN.cage_height)
+    return cc.select(S, r6("cx"), r6("cy"), "x_cover", "y_cover", "x_n", "y_n", r6("x_min"), r6("x_max"),
+                     r6("y_min"), r6("y_max"))
+
+
 @query
 def q_cage_mask(spark, sf):
     d = C.dedup_time(FX.frames(spark, sf).repartition(S))

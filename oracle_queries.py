@@ -198,6 +198,12 @@ oracle("cage_center", with_(CL + cage_center_ctes("dd", 380, 225), f"""SELECT cc
     {r6('x_median', 'x_median')}, {r6('y_median', 'y_median')}
     FROM cc LEFT JOIN (SELECT session, median(x) AS x_median, median(y) AS y_median FROM dd GROUP BY session) md
     ON cc.session = md.session"""))
+_PART = "((frame_no * 7919 + id * 104729) % 1000003) / 1048576.0"
+oracle("cage_center_real", with_(CL + [f"rv AS (SELECT session, x + {_PART} AS x, y + {_PART} AS y FROM dd)"]
+    + cage_center_ctes("rv", 380, 225), f"""SELECT session, {r6('cx', 'cx')}, {r6('cy', 'cy')},
+    CAST(x_cover AS BIGINT) AS x_cover, CAST(y_cover AS BIGINT) AS y_cover,
+    CAST(x_n AS BIGINT) AS x_n, CAST(y_n AS BIGINT) AS y_n,
+    {r6('x_min', 'x_min')}, {r6('x_max', 'x_max')}, {r6('y_min', 'y_min')}, {r6('y_max', 'y_max')} FROM cc"""))
 oracle("cage_mask", with_(clean_ctes(cage=True), "SELECT session, frame_no, ms AS t_ms, id, x, y FROM cm"))
 oracle("motion_clean", with_(clean_ctes(z=True, cage=True), f"""SELECT session, ms AS t_ms, id,
     {r6('time0', 'time0')}, {r6('x', 'x')}, {r6('y', 'y')}, {r6('move', 'move')},

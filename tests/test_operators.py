@@ -111,8 +111,8 @@ def test_cage_centre_is_optimal(spark):
     brute = max(sum(1 for v in xs if lo <= v <= lo + 100) for lo in xs)
     assert best.cover == brute
     assert sum(1 for v in xs if best.center - 50 <= v <= best.center + 50) == brute
-    med = C.exact_median(spark.createDataFrame([(1, v) for v in [1.0, 5.0, 2.0, 8.0]], "s int, x double"),
-                         ["s"], "x").first()
+    med = C.axis_summary(spark.createDataFrame([(1, v) for v in [1.0, 5.0, 2.0, 8.0]], "session int, x double"),
+                         {"x": 3}).first()
     assert med.median == 3.5
 
 
