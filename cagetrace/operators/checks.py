@@ -24,12 +24,14 @@ def _rows(df: DataFrame, source, check: str, detail, n) -> DataFrame:
 
 
 def log_report(lines: DataFrame) -> DataFrame:
-    """Metadata keys missing/repeated and marker counts, per file."""
-    md = L.metadata_violations(lines).select(
-        F.col("path").alias("source"), F.col("check").alias("check_name"), "detail", "n")
-    mk = L.marker_violations(lines).select(
-        F.col("path").alias("source"), F.col("check").alias("check_name"), "detail", "n")
-    return md.unionByName(mk)
+    """Metadata keys, marker count, header and ids of each file."""
+    return L.violations(lines).select(F.col("path").alias("source"), F.col("check").alias("check_name"), "detail", "n")
+
+
+def unparsed_times(frames: DataFrame, session: str = S) -> DataFrame:
+    """Positions whose frame time did not parse, per recording."""
+    bad = frames.groupBy(session).agg(F.count_if(F.col("time").isNull()).alias("n")).filter(F.col("n") > 0)
+    return _rows(bad, session, "unparsed_time", "", F.col("n"))
 
 
 def position_report(frames: DataFrame, session: str = S) -> DataFrame:
@@ -55,10 +57,8 @@ def position_report(frames: DataFrame, session: str = S) -> DataFrame:
         F.struct(F.lit("x").alias("axis"), F.col("nx").alias("n")),
         F.struct(F.lit("y").alias("axis"), F.col("ny").alias("n"))))).filter(F.col("n") < 2)
     never = per_id.filter(F.col("nxy") == 0)
-    bad_time = (frames.groupBy(session).agg(F.count_if(F.col("time").isNull()).alias("n"))
-                .filter(F.col("n") > 0))
     return (_rows(dup, session, "duplicate_time", "", F.col("n"))
-            .unionByName(_rows(bad_time, session, "unparsed_time", "", F.col("n")))
+            .unionByName(unparsed_times(frames, session))
             .unionByName(_rows(sparse, session, "sparse_series",
                                F.concat(F.lit("id="), F.col("id").cast("string"), F.lit(" axis="), F.col("axis")),
                                F.col("n")))

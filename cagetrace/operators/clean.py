@@ -1,8 +1,7 @@
 """Cleaning operators on long positions (session, frame_no, time, id, x, y).
 
-Every window here is keyed by ``session`` first, so one hash partitioning
-by session (done once in ``plans.clean_derive``) satisfies all of them and no
-further Exchange is planned; only local sorts.
+The masks and the gap fill of the pipeline run on wide frames, in
+``plans.clean_derive``.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cagetrace.functions.rolling import centred, edge_null_mean, edge_null_sd, running
+from cagetrace.functions.rolling import running
 
 S = "session"
 
@@ -35,35 +34,6 @@ def dedup_time(frames: DataFrame, session: str = S, within_sessions: bool = Fals
     return frames.join(firsts, [session, "time", "frame_no"], "left_semi")
 
 
-def z_flags(frames: DataFrame, n: int, z: float, order: str = "frame_no",
-            session: str = S, part=()) -> DataFrame:
-    """Per-row z-outlier flag from centred rolling mean and sd of x and y.
-
-    Adds ``z_flag`` (never null): |v - mean| > z * sd on x or y, null
-    comparisons count as false.  Frames cut off at an edge are null.
-    """
-    w = W.partitionBy(session, *part, "id").orderBy(order)
-    fr = centred(n)
-
-    def out(c: str):
-        return F.abs(F.col(c) - edge_null_mean(c, w, fr)) > edge_null_sd(c, w, fr) * F.lit(z)
-
-    return frames.withColumn("z_flag", F.coalesce(out("x") | out("y"), F.lit(False)))
-
-
-def z_mask(frames: DataFrame, n: int, z: float, session: str = S) -> DataFrame:
-    """Null every subject of a frame in which any subject is a z outlier.
-
-    Runs in file order (``frame_no``), before the time dedup.
-    """
-    flagged = z_flags(frames, n, z, session=session)
-    any_flag = F.max("z_flag").over(W.partitionBy(session, "frame_no"))
-    return (flagged.withColumn("_any", any_flag)
-            .withColumn("x", F.when(~F.col("_any"), F.col("x")))
-            .withColumn("y", F.when(~F.col("_any"), F.col("y")))
-            .drop("_any", "z_flag"))
-
-
 def _cover(hist: DataFrame, keys: list[str], width: Column) -> DataFrame:
     """Adds to a value histogram (keys, v, c) the count in [v, v + width], the
     largest value there (``hi``), the running count ``cum`` and the total ``n``.
@@ -143,22 +113,6 @@ def cage_center(frames: DataFrame, width: float, height: float, session: str = S
         for a in ("x", "y") for src, dst in cols.items()])
 
 
-def cage_mask(frames: DataFrame, width: float, height: float, scale: float,
-              session: str = S) -> DataFrame:
-    """Null positions outside centre +- size/2 * scale; a null axis nulls both."""
-    c = cage_center(frames, width, height, session).select(session, "cx", "cy")
-    hx, hy = width / 2 * scale, height / 2 * scale
-    x, y = F.col("x"), F.col("y")
-    x_out = (x > F.col("cx") + hx) | (x < F.col("cx") - hx)
-    y_out = (y > F.col("cy") + hy) | (y < F.col("cy") - hy)
-    m = (frames.join(c, session, "left")
-         .withColumn("x", F.when(~x_out, x))
-         .withColumn("y", F.when(~y_out, y)))
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    return (m.withColumn("x", F.when(both, F.col("x")))
-            .withColumn("y", F.when(both, F.col("y"))).drop("cx", "cy"))
-
-
 def gap_fill(df: DataFrame, part: list[str], order: str, cols: list[str]) -> DataFrame:
     """Linear interpolation by row index within ``part`` ordered by ``order``.
 
@@ -191,18 +145,3 @@ def gap_fill(df: DataFrame, part: list[str], order: str, cols: list[str]) -> Dat
         fills[c] = filled
     out = out.withColumns(fills)
     return out.drop("_i", *[f"_{t}_{c}" for c in cols for t in "pnk"])
-
-
-def common_start(df: DataFrame, session: str = S) -> DataFrame:
-    """Adds ``start``: first time at which every subject has been seen.
-
-    Per subject the first time with both axes present; the session start
-    is the latest of those.  A session with a subject never seen gets a
-    null start (the caller drops it and reports it).
-    """
-    seen = F.min(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("time")))
-    ws = W.partitionBy(session)
-    return (df.withColumn("_mt", seen.over(W.partitionBy(session, "id")))
-            .withColumn("_miss", F.max(F.col("_mt").isNull()).over(ws))
-            .withColumn("start", F.when(~F.col("_miss"), F.max("_mt").over(ws)))
-            .drop("_mt", "_miss"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from math import gcd
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -35,7 +34,6 @@ class CleanParams:
 class SweepParams:
     """Grid of the batch sweep: windows x bin widths x thresholds."""
 
-    fps: int = 20
     windows: tuple[float, ...] = (30, 60, 90)
     bin_within: float = 90
     bin_widths: tuple[int, ...] = (5, 10, 15, 30)
@@ -57,13 +55,6 @@ class SweepParams:
         last = (int(self.bin_within // width) - 1) * width
         return list(range(0, last + 1, width))
 
-    @property
-    def bin_grain(self) -> int:
-        g = 0
-        for w in self.bin_widths:
-            g = gcd(g, int(w))
-        return g
-
 
 @dataclass(frozen=True)
 class StudyDesign:
@@ -75,24 +66,16 @@ class StudyDesign:
 
     def __post_init__(self):
         if len(self.comparison) != 2:
-            raise ValueError("`comparison` must be of length 2")
+            raise ValueError(f"two groups are compared, not {len(self.comparison)}")
         if self.comparison[0] == self.comparison[1]:
-            raise ValueError("`comparison` values must differ")
-
-
-@dataclass(frozen=True)
-class Experiment:
-    """A project: clean options, sweep grid and study designs."""
-
-    clean: CleanParams = field(default_factory=CleanParams)
-    sweep: SweepParams = field(default_factory=SweepParams)
+            raise ValueError("the two groups must differ")
 
 
 # Parameters of the fixture views derived from the driver tables
 # (FIXTURES.md section 4): 0.5 s frames, fps 10 as a row count.
 FIXTURE_CLEAN = CleanParams(fps=10)
 FIXTURE_SWEEP = SweepParams(
-    fps=10, windows=(2, 4), bin_within=4, bin_widths=(1, 2), thresholds=(20, 40)
+    windows=(2, 4), bin_within=4, bin_widths=(1, 2), thresholds=(20, 40)
 )
 FIXTURE_UNPAIRED = StudyDesign("line", ("A", "B"))
 FIXTURE_PAIRED = StudyDesign("drug", ("CNO", "SAL"), paired_col="mouse")

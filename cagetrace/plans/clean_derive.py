@@ -1,123 +1,269 @@
 """Clean-and-derive job (frames -> motion, wide frames, pairs, neighbours).
 
-Order: z mask -> time dedup -> cage mask -> common start + gap fill ->
-trim -> time0, move, rolling sums.  The input is hash partitioned by
-session once; every later window and aggregation is keyed by session
-first, so the whole job plans a single Exchange (checked in tests).
+One plan for recordings of any length; no task holds more than one chunk of
+a recording.  Rows without a time are dropped first.  Frames are carried as
+wide rows, one per time with every subject's position; a subject without a
+row in a frame has a null position there, so that every subject's row index
+is the frame index.
+
+z mask (optional), in file order: frames are ranked across chunks of frame
+  numbers and cut by rank into chunks with halos of half a window.
+Dedup: the first frame of a time, by an aggregation with map-side combine.
+Cage mask (optional): centres from value histograms.
+Stage 1, key (session, time chunk): local frame index, local previous and
+  next known values.  A summary row per chunk gives offsets, the known
+  values of other chunks, counts and the common start, joined back on the
+  same key.  Fill and trim follow per row.
+Stage 2, key (session, index chunk) plus halo copies of fps + 2 frames on
+  each side: step length, rolling sums, pair distances and the event lag
+  see their neighbours; only a chunk's own frames are emitted.
+Bouts: lead/lag of events inside a chunk, and across chunks from a summary
+  of each chunk's first and last event per pair and threshold.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cagetrace.functions.rolling import running
+from cagetrace.functions.rolling import (centred, edge_null_mean, edge_null_sd, leading, running,
+                                         strict_sum, trailing)
 from cagetrace.operators import clean as C
 from cagetrace.operators import contacts as CT
 from cagetrace.operators import motion as M
 from cagetrace.operators import reshape as RS
 from cagetrace.params import CleanParams
-from cagetrace.session import cut_lineage
+from cagetrace.session import stage
 
 S = "session"
-
-
-def partition_sessions(frames: DataFrame, session: str = S) -> DataFrame:
-    """The one shuffle: all rows of a session in one partition."""
-    return frames.repartition(session)
-
-
-def clean(frames: DataFrame, p: CleanParams, session: str = S,
-          partitioned: bool = False) -> DataFrame:
-    """Cleaned long positions: session, frame_no, time, id, x, y (trimmed, filled)."""
-    f = frames if partitioned else partition_sessions(frames, session)
+UNB = W.unboundedPreceding
+CHUNK_MS, CHUNK_ROWS = 300_000, 20_000
+
+
+def _xy(ids) -> list[str]:
+    return [f"id_{k}_{a}" for k in ids for a in ("x", "y")]
+
+
+def _cells(ids) -> list[Column]:
+    """Per subject: its row of the smallest frame number among the grouped rows."""
+    row = F.struct("frame_no", "x", "y")
+    return [F.min(F.when(F.col("id") == k, row)).alias(f"_r{k}") for k in ids]
+
+
+def _open(ids, frame_no: Column) -> list[Column]:
+    """Positions of the frame ``frame_no`` and whether the subject has rows."""
+    out = []
+    for k in ids:
+        r = F.col(f"_r{k}")
+        here = r["frame_no"] == frame_no
+        out += [F.when(here, r["x"]).alias(f"id_{k}_x"), F.when(here, r["y"]).alias(f"id_{k}_y"),
+                r.isNotNull().alias(f"id_{k}_in")]
+    return out
+
+
+def _frame_cols(ids) -> list[str]:
+    return _xy(ids) + [f"id_{k}_in" for k in ids]
+
+
+def long_rows(wide: DataFrame, ids, keys, cols=("x", "y")) -> DataFrame:
+    """Rows of the subjects that have any."""
+    return RS.to_long(wide, ids, keys=list(keys), cols=(*cols, "in")).filter("in").drop("in")
+
+
+def usable(frames: DataFrame, ids, session: str = S) -> DataFrame:
+    """Rows with a recording, a time and a listed subject (the check report lists the others)."""
+    return frames.filter(F.col(session).isNotNull() & F.col("time").isNotNull() & F.col("id").isin(list(ids)))
+
+
+def _halos(rows: DataFrame, index: str, k: int, halo: int, chunk: str, own: str, session: str) -> DataFrame:
+    """Chunks of ``k`` consecutive indices (from 1) with ``halo`` copies on each side."""
+    if k < halo:
+        raise ValueError("chunk rows must be at least the halo size")
+    pos = (F.col(index) - 1) % k
+    c = F.floor((F.col(index) - 1) / k)
+    copies = F.array(
+        F.struct(c.alias(chunk), F.lit(True).alias(own)),
+        F.when(pos >= k - halo, F.struct((c + 1).alias(chunk), F.lit(False).alias(own))),
+        F.when((pos < halo) & (c > 0), F.struct((c - 1).alias(chunk), F.lit(False).alias(own))))
+    return rows.select("*", F.inline(F.filter(copies, lambda s: s.isNotNull()))).repartition(session, chunk)
+
+
+def z_scores(frames: DataFrame, ids, n: int, z: float, session: str = S, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Wide frames in file order with centred rolling mean and sd over ``n`` frames of
+    every axis (``id_k_x_mean``, ``id_k_x_sd``, ...) and each subject's flag ``id_k_z``:
+    |v - mean| > z * sd on x or y; null comparisons count as false, frames cut
+    off at an edge are null."""
+    f = usable(frames, ids, session).withColumn("_fc", F.floor(F.col("frame_no") / chunk_rows)).repartition(session, "_fc")
+    f = f.groupBy(session, "_fc", "frame_no", "time").agg(*_cells(ids))
+    f = f.select(session, "_fc", "frame_no", "time", *_open(ids, F.col("frame_no")))
+    f = f.withColumn("_l", F.row_number().over(W.partitionBy(session, "_fc").orderBy("frame_no", "time")))
+    counts = f.groupBy(session, "_fc").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(session).orderBy("_fc").rowsBetween(UNB, -1))
+    f = f.join(counts.select(session, "_fc", F.coalesce(before, F.lit(0)).alias("_o")), [session, "_fc"])
+    f = f.withColumn("_zr", F.col("_o") + F.col("_l")).drop("_fc", "_o", "_l")
+    f = _halos(f, "_zr", chunk_rows, n // 2 + 1, "_zc", "_zown", session)
+    w, fr = W.partitionBy(session, "_zc").orderBy("_zr"), centred(n)
+    f = f.select("*", *[g(c, w, fr).alias(f"{c}_{s}") for c in _xy(ids) for s, g in (("mean", edge_null_mean), ("sd", edge_null_sd))])
+    out = [F.abs(F.col(c) - F.col(f"{c}_mean")) > F.col(f"{c}_sd") * F.lit(z) for c in _xy(ids)]
+    flags = [F.coalesce(out[2 * i] | out[2 * i + 1], F.lit(False)).alias(f"id_{k}_z") for i, k in enumerate(ids)]
+    return f.filter("_zown").select("*", *flags).drop("_zr", "_zc", "_zown")
+
+
+def deduped(frames: DataFrame, p: CleanParams, session: str = S, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Wide frames, one per time (the first in file order), z mask applied if asked for."""
+    ids = p.ids
     if p.rm_z_outlier:
-        f = C.z_mask(f, p.z_rows, p.z_threshold, session)
-    if p.rm_cage_outlier:
-        # the cage centre is estimated on de-duplicated positions
-        f = C.dedup_time(f, session, within_sessions=True)
-        f = C.cage_mask(f, p.cage_width, p.cage_height, p.cage_scale_threshold, session)
-    return fill_and_trim(f, session)
+        f = z_scores(frames, ids, p.z_rows, p.z_threshold, session, chunk_rows)
+        bad = F.lit(False)
+        for k in ids:
+            bad = bad | F.col(f"id_{k}_z")
+        f = f.select(session, "frame_no", "time", *[F.when(~bad, F.col(c)).alias(c) for c in _xy(ids)], *[f"id_{k}_in" for k in ids])
+        first = F.min(F.struct("frame_no", *_frame_cols(ids))).alias("_f")
+        return f.groupBy(session, "time").agg(first).select(session, "time", "_f.*")
+    f = usable(frames, ids, session).groupBy(session, "time").agg(F.min("frame_no").alias("frame_no"), *_cells(ids))
+    return f.select(session, "time", "frame_no", *_open(ids, F.col("frame_no")))
+
+
+def cage_mask(d: DataFrame, p: CleanParams, session: str = S) -> DataFrame:
+    """Null positions outside centre +- size/2 * scale; a null axis nulls both.
+
+    The wide frames are stored once, so what comes before does not run
+    again for the centres.
+    """
+    d = stage(d, "deduped")
+    centre = C.cage_center(long_rows(d, p.ids, [session, "time"]), p.cage_width, p.cage_height, session).select(session, "cx", "cy")
+    keys = d.select(session, _tc(p)).distinct().join(centre, session, "left")
+    d = d.withColumn("_tc", _tc(p)).repartition(session, "_tc").join(keys, [session, "_tc"])
+    half = {"x": p.cage_width / 2 * p.cage_scale_threshold, "y": p.cage_height / 2 * p.cage_scale_threshold}
+    fix = {}
+    for k in p.ids:
+        v = {a: F.col(f"id_{k}_{a}") for a in ("x", "y")}
+        kept = {a: F.when(~((v[a] > F.col(f"c{a}") + half[a]) | (v[a] < F.col(f"c{a}") - half[a])), v[a]) for a in v}
+        both = kept["x"].isNotNull() & kept["y"].isNotNull()
+        fix |= {f"id_{k}_{a}": F.when(both, kept[a]) for a in v}
+    return d.withColumns(fix).drop("cx", "cy")
 
 
-def fill_and_trim(f: DataFrame, session: str = S) -> DataFrame:
-    """Time dedup, common start and linear gap fill in two ordered passes.
+def _tc(p: CleanParams, chunk_ms: int = CHUNK_MS) -> Column:
+    return F.floor(F.unix_millis("time") / F.lit(int(chunk_ms))).alias("_tc")
 
-    One sort per subject series in each direction (descending, then
-    ascending) instead of one per column and direction.  Dedup keeps the
-    first frame of a repeated time: every frame carries every subject, so
-    per subject the smallest frame_no of a time is the frame's first row.
-    """
-    si = W.partitionBy(session, "id")
-    desc = si.orderBy(F.col("time").desc(), F.col("frame_no").desc())
-    asc = si.orderBy(F.col("time").asc())
-    x, y = F.col("x"), F.col("y")
-
-    # descending pass: dedup (the last row of a time in this order is its
-    # first frame), index, next known value, per-subject counts
-    f = f.withColumn("_nt", F.lead("time").over(desc))
-    f = f.filter(F.col("_nt").isNull() | (F.col("_nt") != F.col("time"))).drop("_nt")
-    f = f.withColumn("_i", F.row_number().over(desc))
-    i = F.col("_i")
-
-    def known(c):
-        return F.when(F.col(c).isNotNull(), F.struct(i.alias("i"), F.col(c).alias("v")))
-
-    f = f.select("*", *[F.last(known(c), ignorenulls=True).over(running(desc)).alias(f"_n_{c}")
-                        for c in ("x", "y")])
-    seen = F.min(F.when(x.isNotNull() & y.isNotNull(), F.col("time")))
-    f = f.select("*", F.count(x).over(si).alias("_k_x"), F.count(y).over(si).alias("_k_y"),
-                 seen.over(si).alias("_mt"))
-    ws = W.partitionBy(session)
-    f = f.select("*", F.max(F.col("_mt").isNull()).over(ws).alias("_miss"),
-                 F.max("_mt").over(ws).alias("_start"))
 
-    # ascending pass: previous known value, fill, trim
-    f = f.select("*", *[F.last(known(c), ignorenulls=True).over(running(asc)).alias(f"_p_{c}")
-                        for c in ("x", "y")])
-    def filled(c):
-        pv, nv, k = F.col(f"_p_{c}"), F.col(f"_n_{c}"), F.col(f"_k_{c}")
-        return (F.when(F.col(c).isNotNull(), F.col(c))
-                .when(k < 2, F.lit(None).cast("double"))
-                .when(pv.isNull(), nv["v"])
-                .when(nv.isNull(), pv["v"])
-                .otherwise(pv["v"] + (nv["v"] - pv["v"]) * (i - pv["i"]) / (nv["i"] - pv["i"])))
+def _known(c: str, i: Column) -> Column:
+    return F.when(F.col(c).isNotNull(), F.struct(i.alias("i"), F.col(c).alias("v")))
 
-    f = f.withColumns({c: filled(c) for c in ("x", "y")})
-    f = f.filter(~F.col("_miss") & (F.col("time") >= F.col("_start")))
-    return f.drop("_i", "_n_x", "_n_y", "_p_x", "_p_y", "_k_x", "_k_y", "_mt", "_miss", "_start")
 
+def _shift(s: Column, off: Column) -> Column:
+    """Local (i, v) -> global (off + i, v); null stays null."""
+    return F.when(s.isNotNull(), F.struct((off + s["i"]).alias("i"), s["v"].alias("v")))
 
-def derive(cleaned: DataFrame, p: CleanParams, session: str = S) -> DataFrame:
-    """motion: cleaned + time0, move, roll_r, roll_f."""
-    m = M.elapsed_minutes(cleaned, session)
-    m = M.step_distance(m, session)
-    return M.roll_move(m, p.fps, session)
+
+def located(frames: DataFrame, p: CleanParams, session: str = S, chunk_ms: int = CHUNK_MS,
+            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Wide frames, key (session, _tc), with the chunk summary joined: frame index
+    ``_gi``, previous and next known value of each axis, the common start, and
+    each subject's first complete time."""
+    d = deduped(frames, p, session, chunk_rows)
+    if p.rm_cage_outlier:
+        d = cage_mask(d, p, session).drop("_tc")
+    cols = _xy(p.ids)
+    f = d.withColumn("_tc", _tc(p, chunk_ms)).repartition(session, "_tc")
+    part = W.partitionBy(session, "_tc")
+    asc, desc = part.orderBy("time"), part.orderBy(F.col("time").desc())
+    li = F.col("_li")
+    f = f.withColumn("_li", F.row_number().over(asc))
+    f = f.select("*", *[F.last(_known(c, li), ignorenulls=True).over(running(asc)).alias(f"_lp_{c}") for c in cols])
+    f = f.select("*", *[F.last(_known(c, li), ignorenulls=True).over(running(desc)).alias(f"_ln_{c}") for c in cols])
+    s = f.groupBy(session, "_tc").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"_k_{c}") for c in cols],
+        *[F.min(_known(c, li)).alias(f"f_{c}") for c in cols], *[F.max(_known(c, li)).alias(f"l_{c}") for c in cols],
+        *[F.min(F.when(F.col(f"id_{k}_x").isNotNull() & F.col(f"id_{k}_y").isNotNull(), F.col("time"))).alias(f"mt_{k}") for k in p.ids],
+        *[F.max(f"id_{k}_in").alias(f"in_{k}") for k in p.ids])
+    ws = W.partitionBy(session)
+    up, down = ws.orderBy("_tc").rowsBetween(UNB, -1), ws.orderBy(F.col("_tc").desc()).rowsBetween(UNB, -1)
+    s = s.withColumn("_off", F.coalesce(F.sum("n").over(up), F.lit(0)))
+    off = F.col("_off")
+    s = s.select("*", *[_shift(F.col(f"{e}_{c}"), off).alias(f"g{e}_{c}") for e in "fl" for c in cols])
+    s = s.select(session, "_tc", "_off", *[F.last(f"gl_{c}", ignorenulls=True).over(up).alias(f"_pp_{c}") for c in cols],
+                 *[F.last(f"gf_{c}", ignorenulls=True).over(down).alias(f"_nn_{c}") for c in cols],
+                 *[F.sum(f"_k_{c}").over(ws).alias(f"_k_{c}") for c in cols],
+                 *[F.min(f"mt_{k}").over(ws).alias(f"_mt_{k}") for k in p.ids],
+                 *[F.max(f"in_{k}").over(ws).alias(f"_in_{k}") for k in p.ids])
+    miss, seen = F.lit(False), []
+    for k in p.ids:
+        miss = miss | (F.col(f"_in_{k}") & F.col(f"_mt_{k}").isNull())
+        seen.append(F.when(F.col(f"_in_{k}"), F.col(f"_mt_{k}")))
+    s = s.withColumn("_start", F.when(~miss, F.greatest(*seen)))
+    j = f.drop(*[f"id_{k}_in" for k in p.ids]).join(s, [session, "_tc"])
+    return j.withColumn("_gi", F.col("_off") + li).withColumnsRenamed({f"_in_{k}": f"id_{k}_in" for k in p.ids})
+
+
+def starts(frames: DataFrame, p: CleanParams, session: str = S, **chunks) -> DataFrame:
+    """(session, id, first_seen, start, kept_rows): a subject's first complete time, the
+    recording's common start (null if a subject is never complete) and the frames from it on."""
+    j = located(frames, p, session, **chunks)
+    e = F.array(*[F.struct(F.lit(k).alias("id"), F.col(f"_mt_{k}").alias("first_seen"), F.col(f"id_{k}_in").alias("in")) for k in p.ids])
+    return (j.select(session, "time", "_start", F.inline(e)).filter("in").groupBy(session, "id")
+            .agg(F.min("first_seen").alias("first_seen"), F.min("_start").alias("start"),
+                 F.count_if(F.col("time") >= F.col("_start")).alias("kept_rows")))
+
+
+def _cleaned(frames: DataFrame, p: CleanParams, session: str, chunk_ms: int, chunk_rows: int) -> DataFrame:
+    """Wide frames from the common start on, gaps filled, with ``time0`` and ``_gi``.
+
+    Linear in the frame index; leading and trailing gaps take the nearest
+    known value; an axis with fewer than two known values keeps them and
+    leaves its gaps null.
+    """
+    j = located(frames, p, session, chunk_ms, chunk_rows)
+    i = F.col("_gi")
+    fills = {}
+    for c in _xy(p.ids):
+        pv = F.coalesce(_shift(F.col(f"_lp_{c}"), F.col("_off")), F.col(f"_pp_{c}"))
+        nv = F.coalesce(_shift(F.col(f"_ln_{c}"), F.col("_off")), F.col(f"_nn_{c}"))
+        fills[c] = (F.when(F.col(c).isNotNull(), F.col(c))
+                    .when(F.col(f"_k_{c}") < 2, F.lit(None).cast("double"))
+                    .when(pv.isNull(), nv["v"])
+                    .when(nv.isNull(), pv["v"])
+                    .otherwise(pv["v"] + (nv["v"] - pv["v"]) * (i - pv["i"]) / (nv["i"] - pv["i"])))
+    j = j.withColumns(fills).filter(F.col("time") >= F.col("_start"))
+    t0 = (F.unix_micros("time") - F.unix_micros("_start")) / F.lit(M.US_PER_MIN)
+    return j.select(session, "frame_no", "time", t0.alias("time0"), "_gi", *_frame_cols(p.ids))
+
+
+def clean(frames: DataFrame, p: CleanParams, session: str = S, chunk_ms: int = CHUNK_MS,
+          chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Cleaned long positions: session, frame_no, time, id, x, y (trimmed, filled)."""
+    return long_rows(_cleaned(frames, p, session, chunk_ms, chunk_rows), p.ids, [session, "frame_no", "time"])
 
 
 @dataclass
 class Behavior:
     """The derived tables of one clean-and-derive run.
 
-    ``wide`` (one row per session and time, every subject's x, y, move and
-    rolling sums) is the shared intermediate of every measure family;
-    ``materialized()`` writes it once to the shared checkpoint folder so
-    the families read it instead of re-running the cleaning windows.
+    ``wide_all`` (one row per recording and time, every subject's x, y, move and
+    rolling sums, halo copies included) is the shared intermediate of every
+    measure family; ``materialized()`` writes it once to the shared folder,
+    columnar, so the families read only their columns of it.
     """
 
-    motion: DataFrame
+    wide_all: DataFrame
     ids: tuple[int, ...]
     session: str = S
-    wide_table: DataFrame | None = None
 
     @property
     def wide(self) -> DataFrame:
-        if self.wide_table is not None:
-            return self.wide_table
-        return M.wide_frames(self.motion, self.ids, session=self.session)
+        return self.wide_all.filter("_own").drop("_ic", "_own", *[f"id_{k}_in" for k in self.ids])
+
+    def rows(self, cols) -> DataFrame:
+        """Long rows of some derived columns; only these are read from a stored table."""
+        return long_rows(self.wide_all.filter("_own"), self.ids, [self.session, "time", "time0"], cols)
+
+    @property
+    def motion(self) -> DataFrame:
+        return self.rows(M.MOTION_COLS)
 
     @property
     def pairs(self) -> DataFrame:
@@ -125,36 +271,62 @@ class Behavior:
 
     @property
     def neighbours(self) -> DataFrame:
-        xy = [f"id_{k}_{c}" for k in self.ids for c in ("x", "y")]
-        return M.neighbour_distance(self.wide.select(self.session, "time", "time0", *xy),
-                                    self.ids, session=self.session)
+        return M.neighbour_distance(self.wide.select(self.session, "time", "time0", *_xy(self.ids)), self.ids, session=self.session)
+
+    def events(self, thresholds) -> DataFrame:
+        """Contact events for every threshold, keyed (session, _ic)."""
+        return CT.contact_events_wide(self.wide_all, self.ids, thresholds, self.session, part=("_ic",), keep="_own")
 
     def bouts(self, thresholds) -> DataFrame:
         """Contact events with bout attributes for every threshold."""
-        ev = CT.contact_events_wide(self.wide, self.ids, thresholds, self.session)
-        return CT.contact_bouts(ev, self.session)
+        return chunked_bouts(self.events(thresholds), self.session)
 
     def materialized(self) -> "Behavior":
-        w = cut_lineage(self.wide)
-        motion = RS.to_long(w, self.ids, keys=[self.session, "time", "time0"], cols=M.MOTION_COLS)
-        return Behavior(motion, self.ids, self.session, w)
-
-
-def behavior(frames: DataFrame, p: CleanParams, session: str = S, strategy: str = "session",
-             chunk_ms: int = 300_000, chunk_rows: int = 20_000, max_session_rows: int = 4_000_000):
-    """Clean-and-derive.
-
-    strategy "session": one shuffle, a session per task (fast when sessions
-    are recording-sized); "chunked": sessions split into chunks (see
-    ``plans.chunked``), for sessions too large for one task; "auto": look
-    up the largest session (one small aggregation) and choose.
-    """
-    if strategy == "auto":
-        biggest = frames.groupBy(session).count().agg(F.max("count")).first()[0] or 0
-        strategy = "chunked" if biggest > max_session_rows else "session"
-    if strategy == "chunked":
-        from cagetrace.plans import chunked
-        return chunked.behavior(frames, p, chunk_ms, chunk_rows, session)
-    if strategy != "session":
-        raise ValueError(f"unknown strategy {strategy!r}")
-    return Behavior(derive(clean(frames, p, session), p, session), p.ids, session)
+        return Behavior(stage(self.wide_all, "behavior"), self.ids, self.session)
+
+
+def chunked_bouts(ev: DataFrame, session: str = S) -> DataFrame:
+    """Bouts of chunk-keyed events (lag taken over own + halo frames), with
+    lead/lag across chunks from each chunk's first/last event."""
+    key = [session, "_ic", "threshold", "ida", "idb"]
+    w = W.partitionBy(*key).orderBy("time")
+    us = F.unix_micros("time")
+    ev = ev.select("*", F.lead("time").over(w).alias("_nt"), F.lead("moving_f_id").over(w).alias("_nf"),
+                   F.lag("time").over(w).alias("_pt"), F.lag("moving_r_id").over(w).alias("_pr"))
+    first = F.min(F.struct(F.col("time").alias("t"), F.col("moving_f_id").alias("mf")))
+    last = F.max(F.struct(F.col("time").alias("t"), F.col("moving_r_id").alias("mr")))
+    e = ev.groupBy(*key).agg(first.alias("fst"), last.alias("lst"))
+    wp = W.partitionBy(session, "threshold", "ida", "idb").orderBy("_ic")
+    e = e.select(session, "_ic", "threshold", "ida", "idb",
+                 F.lead("fst").over(wp).alias("nxt"), F.lag("lst").over(wp).alias("prv"))
+    pk = F.struct("threshold", "ida", "idb")
+    m = e.groupBy(session, "_ic").agg(
+        F.map_from_entries(F.collect_list(F.struct(pk, F.struct("nxt", "prv")))).alias("_em"))
+    j = ev.join(m, [session, "_ic"])
+    hit = F.element_at(F.col("_em"), F.struct("threshold", "ida", "idb"))
+    last_local, first_local = F.col("_nt").isNull(), F.col("_pt").isNull()
+    nxt_t = F.when(last_local, hit["nxt"]["t"]).otherwise(F.col("_nt"))
+    nxt_f = F.when(last_local, hit["nxt"]["mf"]).otherwise(F.col("_nf"))
+    prv_r = F.when(first_local, hit["prv"]["mr"]).otherwise(F.col("_pr"))
+    evc = F.col("nearing_event")
+    return j.select(session, "threshold", "time", "time0", "ida", "idb", "dist", "nearing",
+                    "nearing_event", "moving_r_id", "moving_f_id",
+                    ((F.unix_micros(nxt_t) - us) / F.lit(1e6)).alias("duration"),
+                    F.when(evc == -1, nxt_f).alias("depart_id"),
+                    F.when(evc == 1, prv_r).alias("approach_id"))
+
+
+def behavior(frames: DataFrame, p: CleanParams, session: str = S, chunk_ms: int = CHUNK_MS,
+             chunk_rows: int = CHUNK_ROWS) -> Behavior:
+    """Clean-and-derive; chunk sizes change the tasks, not the result."""
+    rows = _halos(_cleaned(frames, p, session, chunk_ms, chunk_rows).drop("frame_no"), "_gi", chunk_rows, p.fps + 2, "_ic", "_own", session)
+    w = W.partitionBy(session, "_ic").orderBy("_gi")
+
+    def step(k):
+        dx, dy = (F.col(f"id_{k}_{a}") - F.lag(f"id_{k}_{a}").over(w) for a in ("x", "y"))
+        return F.sqrt(dx * dx + dy * dy).alias(f"id_{k}_move")
+
+    rows = rows.select("*", *[step(k) for k in p.ids])
+    rows = rows.select("*", *[strict_sum(f"id_{k}_move", w, fr).alias(f"id_{k}_{n}")
+                              for k in p.ids for n, fr in (("roll_r", trailing(p.fps)), ("roll_f", leading(p.fps)))])
+    return Behavior(rows.drop("_gi"), p.ids, session)

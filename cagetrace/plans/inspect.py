@@ -12,12 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cagetrace.operators.clean import cage_center
+from cagetrace.session import stage
 
 S = "session"
 
 
 def trajectory(motion: DataFrame, time_point: float, duration: float, ids,
                width: float = 380.0, height: float = 225.0, session: str = S) -> DataFrame:
+    # stored once: the centres need every position, the slice reads a few of them
+    motion = stage(motion.select(session, "time", "id", "time0", "x", "y"), "trajectory")
     centre = cage_center(motion, width, height, session).select(session, "cx", "cy")
     t0 = F.col("time0")
     sl = motion.filter(F.col("id").isin(list(ids)) & (t0 > F.lit(time_point - duration))

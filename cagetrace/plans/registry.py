@@ -16,10 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cagetrace.functions import rolling as R
 from cagetrace.operators import checks as CK
 from cagetrace.operators import clean as C
-from cagetrace.operators import contacts as CT
 from cagetrace.operators import measures as ME
 from cagetrace.operators import motion as M
 from cagetrace.operators import reshape as RS
@@ -31,6 +29,7 @@ from cagetrace.plans import compare as CP
 from cagetrace.plans import inspect as IN
 from cagetrace.plans import sweep as SW
 from cagetrace.plans.clean_derive import Behavior, behavior
+from cagetrace.session import stage
 from cagetrace.sources import fixture as FX
 from cagetrace.sources import logs as L
 from cagetrace.sources import subjects as SJ
@@ -55,14 +54,13 @@ def t_ms(c: str = "time") -> Column:
     return F.unix_millis(F.col(c)).alias("t_ms")
 
 
-# Chunk sizes for the chunked plan on the fixture (250 s sessions): small
-# enough that every session spans many chunks, so boundaries are exercised.
+# Small chunks for the ``*_chunked`` queries: every fixture recording spans
+# many, so boundaries are exercised.  The others run with the defaults.
 CHUNKS = dict(chunk_ms=60_000, chunk_rows=150)
 
 
-def fixture_behavior(spark: SparkSession, sf: str, p: CleanParams = FIXTURE_CLEAN,
-                     strategy: str = "session") -> Behavior:
-    return behavior(FX.frames(spark, sf), p, strategy=strategy, **CHUNKS)
+def fixture_behavior(spark: SparkSession, sf: str, p: CleanParams = FIXTURE_CLEAN, **chunks) -> Behavior:
+    return behavior(FX.frames(spark, sf), p, **chunks)
 
 
 def info(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,20 +80,19 @@ def windows_info(df: DataFrame, spark, sf) -> DataFrame:
 
 
 # ------------------------------------------------------------ cleaning
+def _dedup(spark, sf, p: CleanParams = FIXTURE_CLEAN) -> DataFrame:
+    return P.long_rows(P.deduped(FX.frames(spark, sf), p), p.ids, [S, "frame_no", "time"])
+
+
 @query
 def q_frames_dedup(spark, sf):
-    d = C.dedup_time(FX.frames(spark, sf))
-    return d.select(S, "frame_no", t_ms(), "id", "x", "y")
+    return _dedup(spark, sf).select(S, "frame_no", t_ms(), "id", "x", "y")
 
 
 @query
 def q_common_start(spark, sf):
-    d = C.common_start(C.dedup_time(FX.frames(spark, sf).repartition(S)))
-    seen = F.min(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("time")))
-    return (d.groupBy(S, "id")
-            .agg(F.unix_millis(seen).alias("first_seen_ms"),
-                 F.unix_millis(F.first("start")).alias("start_ms"),
-                 F.count_if(F.col("time") >= F.col("start")).alias("kept_rows")))
+    d = P.starts(FX.frames(spark, sf), FIXTURE_CLEAN)
+    return d.select(S, "id", F.unix_millis("first_seen").alias("first_seen_ms"), F.unix_millis("start").alias("start_ms"), "kept_rows")
 
 
 @query
@@ -128,32 +125,29 @@ def q_pair_distance(spark, sf):
     return p.select(S, t_ms(), "ida", "idb", r6("time0"), r6("dist"))
 
 
+def _z_rows(spark, sf, *cols) -> DataFrame:
+    z = P.z_scores(FX.frames(spark, sf), FIXTURE_CLEAN.ids, FIXTURE_CLEAN.z_rows, FIXTURE_CLEAN.z_threshold)
+    return P.long_rows(z, FIXTURE_CLEAN.ids, [S, "frame_no"], cols)
+
+
 @query
 def q_roll_zscore(spark, sf):
-    f = FX.frames(spark, sf).repartition(S)
-    n = FIXTURE_CLEAN.z_rows
-    w = W.partitionBy(S, "id").orderBy("frame_no")
-    fr = R.centred(n)
-    z = C.z_flags(f, n, FIXTURE_CLEAN.z_threshold)
-    return z.select(S, "frame_no", "id",
-                    r6(R.edge_null_mean("x", w, fr), "mean_x"), r6(R.edge_null_sd("x", w, fr), "sd_x"),
-                    r6(R.edge_null_mean("y", w, fr), "mean_y"), r6(R.edge_null_sd("y", w, fr), "sd_y"),
-                    "z_flag")
+    z = _z_rows(spark, sf, "x_mean", "x_sd", "y_mean", "y_sd", "z")
+    return z.select(S, "frame_no", "id", r6("x_mean", "mean_x"), r6("x_sd", "sd_x"), r6("y_mean", "mean_y"),
+                    r6("y_sd", "sd_y"), F.col("z").alias("z_flag"))
 
 
 @query
 def q_z_mask(spark, sf):
-    f = FX.frames(spark, sf).repartition(S)
-    z = C.z_flags(f, FIXTURE_CLEAN.z_rows, FIXTURE_CLEAN.z_threshold)
+    z = _z_rows(spark, sf, "x", "z")
     return (z.groupBy(S, "frame_no")
-            .agg(F.count_if("z_flag").alias("n_flagged"), F.count("x").alias("n_removed_x"))
+            .agg(F.count_if("z").alias("n_flagged"), F.count("x").alias("n_removed_x"))
             .filter(F.col("n_flagged") > 0))
 
 
 @query
 def q_cage_center(spark, sf):
-    d = C.dedup_time(FX.frames(spark, sf))
-    p = FIXTURE_CLEAN
+    d, p = _dedup(spark, sf), FIXTURE_CLEAN
     cc = C.cage_center(d, p.cage_width, p.cage_height)
     return (cc.select(S, r6("cx"), r6("cy"), "x_cover", "y_cover", "x_n", "y_n",
                     r6("x_min"), r6("x_max"), r6("y_min"), r6("y_max"), r6("x_median"), r6("y_median")))
@@ -162,7 +156,7 @@ def q_cage_center(spark, sf):
 @query
 def q_cage_center_real(spark, sf):
     """The cage centre on positions with a fractional part, nearly all distinct."""
-    d = C.dedup_time(FX.frames(spark, sf))
+    d = _dedup(spark, sf)
     part = (F.col("frame_no") * 7919 + F.col("id") * 104729) % 1000003 / F.lit(1048576.0)
     d = d.withColumns({a: F.col(a) + part for a in ("x", "y")})
     cc = C.cage_center(d, FIXTURE_CLEAN.cage_width, FIXTURE_CLEAN.cage_height)
@@ -172,10 +166,8 @@ def q_cage_center_real(spark, sf):
 
 @query
 def q_cage_mask(spark, sf):
-    d = C.dedup_time(FX.frames(spark, sf).repartition(S))
-    p = FIXTURE_CLEAN
-    m = C.cage_mask(d, p.cage_width, p.cage_height, p.cage_scale_threshold)
-    return m.select(S, "frame_no", t_ms(), "id", "x", "y")
+    m = P.cage_mask(P.deduped(FX.frames(spark, sf), FIXTURE_CLEAN), FIXTURE_CLEAN)
+    return P.long_rows(m, FIXTURE_CLEAN.ids, [S, "frame_no", "time"]).select(S, "frame_no", t_ms(), "id", "x", "y")
 
 
 CLEAN_ALL = CleanParams(fps=FIXTURE_CLEAN.fps, rm_z_outlier=True, rm_cage_outlier=True)
@@ -188,6 +180,28 @@ def q_motion_clean(spark, sf):
                     r6("roll_r"), r6("roll_f"))
 
 
+def ragged_frames(spark, sf) -> DataFrame:
+    """Positions with missing rows of single subjects, unparsed times and gaps in the frame numbers."""
+    n = F.col("frame_no")
+    f = FX.frames(spark, sf).filter(((n * 11 + F.col("id")) % 29 != 0) & (n % 101 != 0))
+    return f.withColumn("time", F.when(n % 83 != 0, F.col("time")))
+
+
+def _ragged(spark, sf, **chunks) -> DataFrame:
+    m = behavior(ragged_frames(spark, sf), CLEAN_ALL, **chunks).motion
+    return m.select(S, t_ms(), "id", r6("time0"), r6("x"), r6("y"), r6("move"), r6("roll_r"), r6("roll_f"))
+
+
+@query
+def q_motion_ragged(spark, sf):
+    return _ragged(spark, sf)
+
+
+@query
+def q_motion_ragged_chunked(spark, sf):
+    return _ragged(spark, sf, **CHUNKS)
+
+
 # ------------------------------------------------------------- reshape
 @query
 def q_frames_wide(spark, sf):
@@ -236,8 +250,7 @@ def fixture_bouts(spark, sf, thresholds=None):
 
 @query
 def q_contact_events(spark, sf):
-    b = fixture_behavior(spark, sf)
-    ev = CT.contact_events(b.pairs, [FIXTURE_SWEEP.thresholds[0]])
+    ev = fixture_behavior(spark, sf).events([FIXTURE_SWEEP.thresholds[0]])
     return ev.select(S, r6("threshold"), t_ms(), "ida", "idb", r6("time0"), r6("dist"),
                      F.col("nearing").cast("int").alias("nearing"),
                      F.col("nearing_event").cast("int").alias("nearing_event"),
@@ -272,15 +285,15 @@ def q_bin_interaction(spark, sf):
 
 
 # --------------------------------------------------------------- sweep
-def fixture_sweep(spark, sf, families=("activity", "distance", "interaction"), strategy="session"):
+def fixture_sweep(spark, sf, families=("activity", "distance", "interaction"), **chunks):
     sp = replace(FIXTURE_SWEEP, activity="activity" in families, distance="distance" in families,
                  interaction="interaction" in families)
-    return SW.sweep(fixture_behavior(spark, sf, strategy=strategy), sp), sp
+    return SW.sweep(fixture_behavior(spark, sf, **chunks), sp), sp
 
 
-def fixture_long(spark, sf, families=("activity", "distance", "interaction"), strategy="session"):
+def fixture_long(spark, sf, families=("activity", "distance", "interaction"), **chunks):
     """Long measure table of the sweep, subject facts joined once after the union."""
-    t, sp = fixture_sweep(spark, sf, families, strategy)
+    t, sp = fixture_sweep(spark, sf, families, **chunks)
     return SW.to_long(t, sp, info=info(spark, sf))
 
 
@@ -338,17 +351,32 @@ def q_compare_paired(spark, sf):
     return _test_out(out.withColumn("window_min", r6("window_min")), ["measure", "window_min"])
 
 
+def _bins(lg: DataFrame, by: list[str]) -> DataFrame:
+    out = CP.bin_summary(lg, FIXTURE_UNPAIRED, by, plot_within=FIXTURE_SWEEP.bin_within)
+    return out.select(*by, "grp", "group_ord", "bin_end", "n", r6("mean"), r6("sd"), r6("se"))
+
+
 @query
 def q_compare_bins(spark, sf):
-    out = CP.bin_summary(_activity_long(spark, sf, "bin"), FIXTURE_UNPAIRED, ["measure", "bin_min"],
-                         plot_within=FIXTURE_SWEEP.bin_within)
-    return out.select("measure", "bin_min", "grp", "group_ord", "bin_end", "n",
-                      r6("mean"), r6("sd"), r6("se"))
+    return _bins(_activity_long(spark, sf, "bin"), ["measure", "bin_min"])
+
+
+@query
+def q_compare_bins_all(spark, sf):
+    """Group means per bin of every per-bin measure."""
+    return _bins(fixture_long(spark, sf).filter(F.col("kind") == "bin"), ["measure", "threshold", "bin_min"])
+
+
+@query
+def q_paired_values(spark, sf):
+    """The paired listing: each pair key's value under both conditions."""
+    out = CP.paired_values(_activity_long(spark, sf), FIXTURE_PAIRED, ["measure", "window_min"])
+    return out.select("measure", r6("window_min"), "mouse", r6("value_CNO"), r6("value_SAL"))
 
 
 @query
 def q_compare_sweep(spark, sf):
-    lg = fixture_long(spark, sf).filter(F.col("kind") == "total")
+    lg = stage(fixture_long(spark, sf).filter(F.col("kind") == "total"), "long")   # both designs read it
     by = ["measure", "threshold", "window_min"]
     u = CP.unpaired(lg, FIXTURE_UNPAIRED, by)
     p = CP.paired(lg, FIXTURE_PAIRED, by)
@@ -399,17 +427,33 @@ def q_ingest_markers(spark, sf):
     return L.parse_markers(fixture_lines(spark, sf))
 
 
-@query
-def q_ingest_frames(spark, sf):
+def scanned(lines: DataFrame) -> DataFrame:
     """Frames through the file-scan path: each rendered log is cut into
     blocks of 173 lines with scan positions that jump between blocks, as
     a split file read by several tasks would be."""
     ln = F.col("line_no")
     blk = F.floor((ln - 1) / 173)
-    raw = fixture_lines(spark, sf).select(
-        "path", (blk * 65536).alias("_blk"), (ln + blk * 1_000_003).alias("_pos"), "value")
-    f = L.frames_from_raw(raw)
-    return f.select(S, "frame_no", t_ms(), "id", "x", "y")
+    return L.frames_from_raw(lines.select("path", (blk * 65536).alias("_blk"), (ln + blk * 1_000_003).alias("_pos"), "value"))
+
+
+@query
+def q_ingest_frames(spark, sf):
+    return scanned(fixture_lines(spark, sf)).select(S, "frame_no", t_ms(), "id", "x", "y")
+
+
+@query
+def q_sweep_two_cameras(spark, sf):
+    """Logs of two cameras share a session name and their times; each stays a recording of its own."""
+    s = F.col("session")
+    name, cam = ((s - s % 2) / 2).cast("bigint").cast("string"), (s % 2 + 1).cast("string")
+    fr = FX.frames(spark, sf).withColumn("time", F.timestamp_millis(F.unix_millis("time") - s % 2 * FX.SESSION_MS))
+    lines = L.render_lines(fr, FX.IDS, path=F.concat(F.lit("/logs/"), name, F.lit("-C"), cam, F.lit(".csv")), session=name,
+                           marker_dialect=(s % 2 == 1), trailing_comma=(s % 3 == 0), camera=F.concat(cam, F.lit("A")))
+    sj = FX.subjects(spark, sf).select(name.alias("Session"), cam.alias("Camera"), F.col("marker_id").alias("ID"), "line", "drug")
+    info = SJ.subject_info(lines, sj).withColumnRenamed("path", L.RECORDING).select(L.RECORDING, "id", S, "camera", "line", "drug")
+    b = behavior(scanned(lines), FIXTURE_CLEAN, L.RECORDING)
+    t = ME.join_info(ME.total_activity(b.rows(("move",)), FIXTURE_SWEEP.windows, L.RECORDING), info, L.RECORDING)
+    return t.select(L.RECORDING, S, "camera", "id", r6("window_min"), r6("total_activity"), "line", "drug")
 
 
 @query
@@ -447,26 +491,24 @@ def q_trajectory_last(spark, sf):
 
 
 # ------------------------------------------------ generic driver tables
-# index chunk size for event series; small enough that the fixture's
-# series span several chunks (boundaries exercised), large on real data
-EVENT_CHUNK_ROWS = 97
+# equal times are ordered by event, so row numbers are stable
+EVENT_ORDER = "struct(ts, event_id) AS at"
+
 
 @query
 def q_events_roll_zscore(spark, sf):
     # few event types: each series is split by day (index chunks + halos)
-    ev = FX.table(spark, sf, "events").select("event_id", "ts", "event_type", "value",
-                                               F.to_date("ts").alias("day"))
-    z = SR.rolling_zscore_chunked(ev, ["event_type"], "ts", "value", n=2 * FIXTURE_CLEAN.fps,
-                                  z=FIXTURE_CLEAN.z_threshold, chunk="day", k_rows=EVENT_CHUNK_ROWS)
+    ev = FX.table(spark, sf, "events").selectExpr("event_id", EVENT_ORDER, "event_type", "value", "to_date(ts) AS day")
+    z = SR.rolling_zscore_chunked(ev, ["event_type"], "at", "value", n=2 * FIXTURE_CLEAN.fps,
+                                  z=FIXTURE_CLEAN.z_threshold, chunk="day")
     return z.select("event_id", "event_type", r6("roll_mean"), r6("roll_sd"), "z_flag")
 
 
 @query
 def q_events_lerp(spark, sf):
-    ev = FX.table(spark, sf, "events").select(
-        "event_id", "ts", "event_type", F.to_date("ts").alias("day"),
-        F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
-    f = SR.gap_fill_chunked(ev, ["event_type"], "ts", ["value"], chunk="day")
+    ev = FX.table(spark, sf, "events").selectExpr(
+        "event_id", EVENT_ORDER, "event_type", "to_date(ts) AS day", "CASE WHEN event_id % 7 <> 0 THEN value END AS value")
+    f = SR.gap_fill_chunked(ev, ["event_type"], "at", ["value"], chunk="day")
     return f.select("event_id", "event_type", r6("value"))
 
 
@@ -513,26 +555,26 @@ def q_lineitem_densest_window(spark, sf):
 # ------------------------------------------- chunked plan, same oracles
 @query
 def q_motion_chunked(spark, sf):
-    m = fixture_behavior(spark, sf, strategy="chunked").motion
+    m = fixture_behavior(spark, sf, **CHUNKS).motion
     return m.select(S, t_ms(), "id", r6("time0"), r6("x"), r6("y"))
 
 
 @query
 def q_motion_clean_chunked(spark, sf):
-    m = fixture_behavior(spark, sf, CLEAN_ALL, strategy="chunked").motion
+    m = fixture_behavior(spark, sf, CLEAN_ALL, **CHUNKS).motion
     return m.select(S, t_ms(), "id", r6("time0"), r6("x"), r6("y"), r6("move"),
                     r6("roll_r"), r6("roll_f"))
 
 
 @query
 def q_roll_move_chunked(spark, sf):
-    m = fixture_behavior(spark, sf, strategy="chunked").motion
+    m = fixture_behavior(spark, sf, **CHUNKS).motion
     return m.select(S, t_ms(), "id", r6("roll_r"), r6("roll_f"))
 
 
 @query
 def q_contact_bouts_chunked(spark, sf):
-    bo = fixture_behavior(spark, sf, strategy="chunked").bouts(FIXTURE_SWEEP.thresholds)
+    bo = fixture_behavior(spark, sf, **CHUNKS).bouts(FIXTURE_SWEEP.thresholds)
     return bo.select(S, r6("threshold"), t_ms(), "ida", "idb",
                      F.col("nearing_event").cast("int").alias("nearing_event"),
                      "moving_r_id", "moving_f_id", "approach_id", "depart_id", r6("duration"))
@@ -540,4 +582,4 @@ def q_contact_bouts_chunked(spark, sf):
 
 @query
 def q_sweep_long_chunked(spark, sf):
-    return long_out(fixture_long(spark, sf, strategy="chunked"), INFO)
+    return long_out(fixture_long(spark, sf, **CHUNKS), INFO)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cagetrace.operators import measures as ME
 from cagetrace.operators.reshape import unpivot_measures
 from cagetrace.params import SweepParams
-from cagetrace.plans.clean_derive import Behavior  # or ChunkedBehavior: same interface
+from cagetrace.plans.clean_derive import Behavior
 
 S = "session"
 
@@ -44,7 +44,7 @@ def measure_table(name: str) -> tuple[str, str]:
     try:
         return MEASURES[name]
     except KeyError:
-        raise ValueError(f"Unexpected measure name: {name}") from None
+        raise ValueError(f"no table holds a measure called {name!r}") from None
 
 
 @dataclass
@@ -70,25 +70,27 @@ def sweep(b: Behavior, sp: SweepParams, info: DataFrame | None = None,
     out = SweepTables()
     if materialize:
         b = b.materialized()
+    key = b.session
     if sp.activity:
-        out.activity_total = ME.join_info(ME.total_activity(b.motion, sp.windows), info)
-        out.activity_bin = ME.join_info(ME.bin_activity(b.motion, sp.bin_within, sp.bin_widths), info)
+        moves = b.rows(("move",))
+        out.activity_total = ME.join_info(ME.total_activity(moves, sp.windows, key), info, key)
+        out.activity_bin = ME.join_info(ME.bin_activity(moves, sp.bin_within, sp.bin_widths, key), info, key)
     if sp.distance:
         nb = b.neighbours
-        out.dist_total = ME.join_info(ME.total_distance(nb, sp.windows), info)
-        out.dist_bin = ME.join_info(ME.bin_distance(nb, sp.bin_within, sp.bin_widths), info)
+        out.dist_total = ME.join_info(ME.total_distance(nb, sp.windows, key), info, key)
+        out.dist_bin = ME.join_info(ME.bin_distance(nb, sp.bin_within, sp.bin_widths, key), info, key)
     if sp.interaction:
         bouts = b.bouts(sp.thresholds)
-        out.inter_total = ME.join_info(ME.total_interaction(bouts, sp.windows), info)
-        out.inter_bin = ME.join_info(ME.bin_interaction(bouts, sp.bin_within, sp.bin_widths), info)
+        out.inter_total = ME.join_info(ME.total_interaction(bouts, sp.windows, key), info, key)
+        out.inter_bin = ME.join_info(ME.bin_interaction(bouts, sp.bin_within, sp.bin_widths, key), info, key)
     return out
 
 
-LONG_KEYS = [S, "id", "family", "kind", "threshold", "window_min", "bin_min", "bin"]
+LONG_KEYS = ["id", "family", "kind", "threshold", "window_min", "bin_min", "bin"]
 
 
 def to_long(t: SweepTables, sp: SweepParams, info_cols: tuple[str, ...] = (),
-            info: DataFrame | None = None) -> DataFrame:
+            info: DataFrame | None = None, session: str = S) -> DataFrame:
     """Union of every family as (keys, measure, value) rows (+ subject facts).
 
     ``info_cols`` are carried from tables that already hold subject facts;
@@ -101,62 +103,90 @@ def to_long(t: SweepTables, sp: SweepParams, info_cols: tuple[str, ...] = (),
         family, kind = key.split("_")
         names = [m for m, (f, k) in MEASURES.items() if f == family and k == kind]
         base = df.select(
-            S, "id", F.lit(family).alias("family"), F.lit(kind).alias("kind"),
+            session, "id", F.lit(family).alias("family"), F.lit(kind).alias("kind"),
             (F.col("threshold") if family == "inter" else null_d).alias("threshold"),
             (F.col("window_min") if kind == "total" else within).alias("window_min"),
             (F.col("bin_min").cast("int") if kind == "bin" else null_i).alias("bin_min"),
             (F.col("bin").cast("int") if kind == "bin" else null_i).alias("bin"),
             *info_cols, *names)
-        parts.append(unpivot_measures(base, LONG_KEYS + list(info_cols), names))
+        parts.append(unpivot_measures(base, [session, *LONG_KEYS] + list(info_cols), names))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return ME.join_info(out, info) if info is not None else out
+    return ME.join_info(out, info, session) if info is not None else out
 
 
 # ------------------------------------------------------------------ sinks
 PARTITIONS = {"total": ["threshold", "window_min"], "bin": ["threshold", "bin_min"]}
 
 
-def _done(spark: SparkSession, path: str) -> bool:
-    """``_SUCCESS`` present, checked through the cluster file system (HDFS, S3, local)."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
-    marker = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return bool(marker.getFileSystem(conf).exists(marker))
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p  # noqa: SLF001
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    f = fs.open(p)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8")  # noqa: SLF001
+    f.close()
+    return text
+
+
+def _done(spark: SparkSession, path: str, params: str = "") -> bool:
+    """Whether the table is complete and was written with the same parameters,
+    checked through the cluster file system (HDFS, S3, local)."""
+    fs, marker = _fs(spark, path.rstrip("/") + "/_SUCCESS")
+    return bool(fs.exists(marker)) and _read_text(spark, path.rstrip("/") + "/_params") == params
 
 
 def write_sweep(t: SweepTables, out_dir: str, fmt: str = "parquet",
-                max_records_per_file: int = 5_000_000) -> dict[str, str]:
+                max_records_per_file: int = 5_000_000, writers: int = 16,
+                params: str = "") -> dict[str, str]:
     """One table per family/kind, partitioned by parameter columns.
 
-    Rows are first hash-partitioned by those columns, so each parameter
-    cell is written by one task (files bounded by the grid, not by tasks x
-    cells); ``max_records_per_file`` splits a large cell.  A table whose
-    folder already holds ``_SUCCESS`` is skipped (the reference skips any
-    existing folder; a half-written one is redone here).  ``out_dir`` must
-    be a shared folder on a cluster.
+    Rows are first hash-partitioned by those columns and one of ``writers``
+    hash values of the recording, so a parameter cell is written by several
+    tasks and makes at most that many files (``max_records_per_file`` splits
+    larger ones).  A table whose folder holds ``_SUCCESS`` is skipped if it
+    was written with the same ``params`` text, which is kept beside it; a
+    half-written one, or one of other parameters, is redone.  ``out_dir``
+    must be a shared folder on a cluster.
     """
     written = {}
     for key, df in t.items():
         path = os.path.join(out_dir, key)
-        if _done(df.sparkSession, path):
+        if _done(df.sparkSession, path, params):
             written[key] = path
             continue
         kind = key.split("_")[1]
         parts = [c for c in PARTITIONS[kind] if c in df.columns]
-        w = (df.repartition(*parts).write.mode("overwrite").partitionBy(*parts).format(fmt)
+        spread = F.pmod(F.xxhash64(df.columns[0]), F.lit(int(writers)))
+        w = (df.repartition(*parts, spread).write.mode("overwrite").partitionBy(*parts).format(fmt)
              .option("maxRecordsPerFile", int(max_records_per_file)))
         if fmt == "csv":
             w = w.option("header", True)
         w.save(path)
+        _write_text(df.sparkSession, path.rstrip("/") + "/_params", params)
         written[key] = path
     return written
 
 
-def read_table(spark: SparkSession, out_dir: str, measure: str, **params) -> DataFrame:
+def read_table(spark: SparkSession, out_dir: str, measure: str, fmt: str = "parquet", **params) -> DataFrame:
     """Re-scan the table holding ``measure``; parameters prune partitions."""
     family, kind = measure_table(measure)
-    df = spark.read.parquet(os.path.join(out_dir, f"{family}_{kind}"))
+    path = os.path.join(out_dir, f"{family}_{kind}")
+    df = (spark.read.parquet(path) if fmt == "parquet"
+          else spark.read.option("header", True).option("inferSchema", True).csv(path))
     if measure not in df.columns:
         raise ValueError(f"{measure} is not in {family}_{kind}")
     for k, v in params.items():
@@ -167,16 +197,20 @@ def read_table(spark: SparkSession, out_dir: str, measure: str, **params) -> Dat
 
 def run_project(spark: SparkSession, project_dir: str, subject_list: str, design,
                 clean=None, sp: SweepParams | None = None, glob: str = "*.csv",
-                fmt: str = "parquet") -> dict[str, str]:
+                fmt: str = "parquet", strict: bool = True) -> dict[str, str]:
     """The batch entry point: logs in ``<project>/data``, results in ``<project>/temp``.
 
-    Reads every log and the subject list, checks the design, derives and
-    sweeps all sessions in one plan and writes one table per family/kind.
-    Families whose tables are already complete are not recomputed; when
-    all are, nothing runs.
+    Reads every log and the subject list, checks the logs and the design,
+    derives and sweeps all recordings (one log each) in one plan and writes
+    one table per family/kind.  Families whose tables are complete and of the
+    same parameters and logs are not recomputed; when all are, nothing runs.
+    ``strict`` raises on logs with missing or repeated metadata keys, a wrong
+    marker count, an unknown header, subjects outside the listed ids, or
+    frame times that do not parse.
     """
     from dataclasses import replace
 
+    from cagetrace.operators import checks as CK
     from cagetrace.params import CleanParams
     from cagetrace.plans.clean_derive import behavior
     from cagetrace.sources import logs as L
@@ -185,13 +219,16 @@ def run_project(spark: SparkSession, project_dir: str, subject_list: str, design
     clean = clean or CleanParams()
     sp = sp or SweepParams()
     data, out = f"{project_dir.rstrip('/')}/data", f"{project_dir.rstrip('/')}/temp"
-    need = {fam: flag and not all(_done(spark, f"{out}/{fam}_{kind}") for kind in ("total", "bin"))
+    params = f"{clean} {sp} {design} logs={L.folder_size(spark, data)}"
+    need = {fam: flag and not all(_done(spark, f"{out}/{fam}_{kind}", params) for kind in ("total", "bin"))
             for fam, flag in (("activity", sp.activity), ("dist", sp.distance), ("inter", sp.interaction))}
     if not any(need.values()):
         return {}
     sp = replace(sp, activity=need["activity"], distance=need["dist"], interaction=need["inter"])
     frames = L.read_frames(spark, data, glob)
-    info = SJ.subject_info(L.read_preamble(spark, data, glob),
-                           SJ.validated(SJ.read_subjects(spark, subject_list), design))
-    b = behavior(frames, clean, strategy=L.strategy_for(spark, data, glob))
-    return write_sweep(sweep(b, sp, info), out, fmt)
+    pre = L.read_preamble(spark, data, glob)
+    if strict:
+        CK.raise_if_any(CK.log_report(pre))
+        CK.raise_if_any(CK.unparsed_times(frames, L.RECORDING))
+    info = SJ.subject_info(pre, SJ.validated(SJ.read_subjects(spark, subject_list), design)).withColumnRenamed("path", L.RECORDING)
+    return write_sweep(sweep(behavior(frames, clean, L.RECORDING), sp, info), out, fmt, params=params)

@@ -61,3 +61,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write *df* once as Parquet in the shared folder and read it again.
+
+    Cuts lineage like a reliable checkpoint but keeps columns apart, so later
+    readers scan only what they use.  The folder goes when the JVM ends.
+    """
+    import uuid
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:16]}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)  # noqa: SLF001
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -28,14 +28,16 @@ META_KEYS = ("Exp.Date", "Start Time", "Finish Time", "Project Name", "Session N
 META_COLS = ("exp_date", "start_time", "finish_time", "project", "session", "camera_no",
              "analysis_no")
 META_TIMES = ("exp_date", "start_time", "finish_time")
-TIME_FORMATS = ("yyyy/MM/dd HH:mm:ss.SSS", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS",
-                "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "yyyy-MM-dd")
+TIME_FORMATS = ("yyyy/M/d H:m:s[.SSSSSSSSS]", "yyyy/M/d H:m", "yyyy/M/d")
 HEADER_PATTERN = r"^ID-(\d+) \[(?:Marker-)?([XY])\(mm\)\]$"
 META_LINES = (2, 8)
 MARKER_LINE = 9
 HEADER_LINE = 14
 FIRST_FRAME_LINE = 15
 N_MARKERS = 4
+HEADER_FIELD = r"ID-(\d+) \[(?:Marker-)?[XY]\(mm\)\]"
+#: Key of a recording: one log file.  Several cameras, and so several logs, share a session name.
+RECORDING = "recording"
 
 
 def read_lines(spark: SparkSession, folder: str, glob: str = "*.csv",
@@ -130,22 +132,18 @@ def block_bound(spark: SparkSession, folder: str, glob: str) -> int:
     return sum(max(1, -(-size // unit)) for _, size in list_files(spark, folder, glob))
 
 
-def largest_file_bytes(spark: SparkSession, folder: str, glob: str = "*.csv") -> int:
-    """Size of the largest log (one log = one session), from the listing alone."""
-    return max((size for _, size in list_files(spark, folder, glob)), default=0)
-
+def parse_time(c: Column) -> Column:
+    """Date with ``/`` or ``-``, one- or two-digit fields, blank or ``T``, up to nine
+    fraction digits, optional ``Z``; null when it does not parse."""
+    c = F.regexp_replace(F.trim(c), r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[T ]+(.*?))?Z?$", "$1/$2/$3 $4")
+    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in TIME_FORMATS])
 
-def strategy_for(spark: SparkSession, folder: str, glob: str = "*.csv",
-                 max_session_bytes: int = 256 << 20) -> str:
-    """Clean-and-derive strategy for a log folder without scanning it:
-    "chunked" when one session's file is larger than one task should hold."""
-    return "chunked" if largest_file_bytes(spark, folder, glob) > max_session_bytes else "session"
 
-
-def parse_time(c: Column) -> Column:
-    """First format that parses; null when none does."""
-    c = F.trim(c)
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in TIME_FORMATS])
+def folder_size(spark: SparkSession, folder: str) -> str:
+    """Number of files and bytes below a folder, from one file-system call."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001
+    c = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path)  # noqa: SLF001
+    return f"{c.getFileCount()} files, {c.getLength()} bytes"
 
 
 def _field(arr: Column, i: int) -> Column:
@@ -285,74 +283,79 @@ def _layout(header: Column) -> Column:
 
 
 def frames_from_raw(raw: DataFrame, broadcast: bool = False) -> DataFrame:
-    """(path, _blk, _pos, value) -> frames (session, frame_no, time, id, x, y)."""
+    """(path, _blk, _pos, value) -> frames (recording, session, camera, frame_no, time, id, x, y).
+
+    The recording is the file.  The header is the first line with a coordinate
+    field, whatever its time column is called.
+    """
     v = F.col("value")
     first_field = F.trim(_field(F.split(v, ",", 2), 0))
-    is_header = F.trim(v).startswith("date time")
-    is_session = first_field == "Session Name"
+    is_header = v.rlike(HEADER_FIELD)
     at = F.struct(F.col("_blk"), F.col("_pos"))
+
+    def fact(key):
+        return F.min(F.when(first_field == key, F.struct(at.alias("at"), F.trim(_field(F.split(v, ",", 2), 1)).alias("v"))))
+
     blocks = raw.groupBy("path", "_blk").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"),
         F.min(F.when(is_header, F.struct(at.alias("at"), v.alias("v")))).alias("_h"),
-        F.min(F.when(is_session, F.struct(at.alias("at"), F.trim(_field(F.split(v, ",", 2), 1)).alias("v"))))
-        .alias("_s"))
+        fact("Session Name").alias("_s"), fact("Camera No").alias("_c"))
     per_file = W.partitionBy("path")
     before = F.sum("_n").over(per_file.orderBy("_blk").rowsBetween(W.unboundedPreceding, -1))
     blocks = blocks.select(
         "path", "_blk", "_p0", F.coalesce(before, F.lit(0)).alias("_off"),
         F.min("_h").over(per_file)["v"].alias("_header"),
-        F.min("_s").over(per_file)["v"].alias("session"))
-    blocks = blocks.select("path", "_blk", "_p0", "_off", "session", _layout(F.col("_header")).alias("cols"))
+        F.min("_s").over(per_file)["v"].alias("session"),
+        F.substring(F.min("_c").over(per_file)["v"], 1, 1).alias("camera"))
+    blocks = blocks.select("path", "_blk", "_p0", "_off", "session", "camera", _layout(F.col("_header")).alias("cols"))
     j = raw.join(F.broadcast(blocks) if broadcast else blocks, ["path", "_blk"])
     line_no = F.col("_off") + F.col("_pos") - F.col("_p0") + 1
-    body = j.select("path", "session", "cols", "value", line_no.alias("line_no")) \
+    body = j.select("path", "session", "camera", "cols", "value", line_no.alias("line_no")) \
         .filter(F.col("line_no") >= FIRST_FRAME_LINE)
     fields = F.split(F.expr("TRIM(TRAILING ',' FROM rtrim(value))"), ",")
-    rows = body.select("session", "line_no", fields.alias("f"), "cols")
+    rows = body.select(F.col("path").alias(RECORDING), "session", "camera", "line_no", fields.alias("f"), "cols")
 
     def val(pos):
         return F.nullif(F.trim(F.get(F.col("f"), pos)), F.lit("")).try_cast("double")
 
     per_id = F.transform(F.col("cols"), lambda c: F.struct(c["id"].alias("id"), val(c["px"]).alias("x"),
                                                            val(c["py"]).alias("y")))
-    return rows.select("session", F.col("line_no").cast("bigint").alias("frame_no"),
+    return rows.select(RECORDING, "session", "camera", F.col("line_no").cast("bigint").alias("frame_no"),
                        parse_time(F.get(F.col("f"), 0)).alias("time"), F.inline(per_id))
 
 
-def facts_broadcastable(spark: SparkSession, folder: str, glob: str = "*.csv",
-                        max_files: int = 50_000) -> bool:
-    """Listing-only bound: one facts row per file, so the file count bounds its size."""
-    return len(list_files(spark, folder, glob)) <= max_files
-
-
 # ---------------------------------------------------------------- checks
-def metadata_violations(lines: DataFrame) -> DataFrame:
-    """C1/C2 on metadata: (path, check, detail, n) for missing or repeated keys."""
-    kv = metadata_pairs(lines)
-    counts = (kv.filter(F.col("key").isin(list(META_KEYS))).groupBy("path", "key")
-              .agg(F.count(F.lit(1)).alias("n")))
-    expected = (lines.select("path").distinct()
-                .select("path", F.explode(F.array(*[F.lit(k) for k in META_KEYS])).alias("key")))
-    j = expected.join(counts, ["path", "key"], "left").fillna(0, ["n"])
-    return (j.filter(F.col("n") != 1)
-            .select("path", F.when(F.col("n") == 0, "metadata_missing_key")
-                    .otherwise("metadata_repeated_key").alias("check"),
-                    F.col("key").alias("detail"), F.col("n").cast("bigint").alias("n")))
-
-
-def marker_violations(lines: DataFrame, expected: int = N_MARKERS) -> DataFrame:
-    """C2 on markers: files whose marker line does not hold ``expected`` markers."""
-    m = parse_markers(lines).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    files = lines.select("path").distinct()
-    return (files.join(m, "path", "left").fillna(0, ["n"]).filter(F.col("n") != expected)
-            .select("path", F.lit("marker_count").alias("check"),
-                    F.lit(str(expected)).alias("detail"), F.col("n").cast("bigint").alias("n")))
+def violations(lines: DataFrame, markers: int = N_MARKERS) -> DataFrame:
+    """(path, check, detail, n) from lines 1-14 of every file, in one aggregation:
+    missing or repeated metadata keys, a marker count other than ``markers``,
+    a line 14 without coordinate fields, and header ids outside 1..markers."""
+    m = F.map_from_entries(F.collect_list(F.struct("line_no", "value")))      # at most 14 lines a file
+    pre = lines.filter(F.col("line_no").between(1, HEADER_LINE)).groupBy("path").agg(m.alias("m"))
+    line = lambda n: F.coalesce(F.try_element_at("m", F.lit(n).cast(lines.schema["line_no"].dataType)), F.lit(""))
+    keys = F.array(*[F.trim(F.get(F.split(line(n), ",", 2), 0)) for n in range(META_LINES[0], META_LINES[1] + 1)])
+    row = lambda when, check, detail, n: F.when(when, F.struct(check.alias("check"), detail.cast("string").alias("detail"), n.cast("bigint").alias("n")))
+
+    def times(key):
+        return F.size(F.filter(keys, lambda x: x == F.lit(key)))
+
+    found = []
+    for k in META_KEYS:
+        n = times(k)
+        found.append(row(n != 1, F.when(n == 0, "metadata_missing_key").otherwise("metadata_repeated_key"), F.lit(k), n))
+    n = F.size(F.split(F.regexp_replace(line(MARKER_LINE), ",+$", ""), ",")) - 1
+    found.append(row(n != markers, F.lit("marker_count"), F.lit(str(markers)), n))
+    ids = F.array_distinct(F.regexp_extract_all(line(HEADER_LINE), F.lit(HEADER_FIELD), 1).cast("array<int>"))
+    found.append(row(F.size(ids) == 0, F.lit("header_unknown"), F.lit(""), F.lit(0)))
+    extra = F.transform(F.filter(ids, lambda x: (x < 1) | (x > markers)), lambda x: F.struct(
+        F.lit("extra_id").alias("check"), x.cast("string").alias("detail"), F.lit(1).cast("bigint").alias("n")))
+    return pre.select("path", F.inline(F.concat(F.filter(F.array(*found), lambda x: x.isNotNull()), extra)))
 
 
 # ------------------------------------------------------------------ sink
 def render_lines(frames: DataFrame, ids, path: Column, session: Column,
                  marker_dialect: Column, trailing_comma: Column,
-                 drop_key: Column | None = None, n_markers: Column | None = None) -> DataFrame:
+                 drop_key: Column | None = None, n_markers: Column | None = None,
+                 camera: Column | None = None) -> DataFrame:
     """Write positions back out as log lines (path, line_no, value).
 
     ``frames`` is (session, frame_no, time, id, x, y) with one session per
@@ -365,6 +368,7 @@ def render_lines(frames: DataFrame, ids, path: Column, session: Column,
                            marker_dialect.alias("dialect"), trailing_comma.alias("trail"),
                            (drop_key if drop_key is not None else F.lit(None).cast("string")).alias("drop_key"),
                            (n_markers if n_markers is not None else F.lit(len(ids))).alias("n_markers"),
+                           (camera if camera is not None else F.lit("1A")).alias("camera_no"),
                            "frame_no", "time")
             .agg(*[F.max(F.when(F.col("id") == k, F.col(c))).alias(f"{c}{k}")
                    for k in ids for c in ("x", "y")]))
@@ -374,10 +378,10 @@ def render_lines(frames: DataFrame, ids, path: Column, session: Column,
         "path", (rank + (FIRST_FRAME_LINE - 1)).alias("line_no"),
         F.concat(F.concat_ws(",", F.date_format("time", fmt), *cells),
                  F.when(F.col("trail"), F.lit(",")).otherwise(F.lit(""))).alias("value"))
-    per_file = wide.groupBy("path", "session_name", "dialect", "drop_key", "n_markers").agg(
+    per_file = wide.groupBy("path", "session_name", "dialect", "drop_key", "n_markers", "camera_no").agg(
         F.min("time").alias("t0"), F.max("time").alias("t1"))
     meta_vals = [F.date_format("t0", "yyyy/MM/dd"), F.date_format("t0", fmt), F.date_format("t1", fmt),
-                 F.lit("fixture"), F.col("session_name"), F.lit("1A"), F.col("session_name")]
+                 F.lit("fixture"), F.col("session_name"), F.col("camera_no"), F.col("session_name")]
     head = []
     head.append(F.struct(F.lit(1).alias("line_no"), F.lit("Tracking log").alias("value")))
     for i, (k, v) in enumerate(zip(META_KEYS, meta_vals)):

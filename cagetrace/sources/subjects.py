@@ -29,11 +29,11 @@ def check_columns(subjects: DataFrame, design: StudyDesign) -> None:
     cols = set(subjects.columns)
     missing = [k for k in KEYS if k not in cols]
     if missing:
-        raise DesignError(f"`Session`, `Camera`, and `ID` must exist in the subject list; missing {missing}")
+        raise DesignError(f"the subject list lacks the key columns {missing}")
     if design.comp_col not in cols:
-        raise DesignError("`comp_col` must be a column that exists in the subject list")
+        raise DesignError(f"the subject list has no comparison column {design.comp_col!r}")
     if design.paired_col and design.paired_col not in cols:
-        raise DesignError("`paired_col` must be a column that exists in the subject list")
+        raise DesignError(f"the subject list has no pair column {design.paired_col!r}")
 
 
 def comparison_present(subjects: DataFrame, design: StudyDesign) -> DataFrame:
@@ -50,7 +50,7 @@ def validated(subjects: DataFrame, design: StudyDesign) -> DataFrame:
                           *[c for c in subjects.columns if c not in KEYS])
     n = comparison_present(out, design).first()["n_present"]
     if n != 2:
-        raise DesignError("`comparison` must be values that exist in `comp_col`")
+        raise DesignError(f"column {design.comp_col!r} of the subject list holds {n} of the two groups {design.comparison}")
     return out
 
 

@@ -28,14 +28,14 @@ from cagetrace.sources import subjects as SJ
 
 
 def sweep_batch(lines: DataFrame, clean: CleanParams, sp: SweepParams,
-                subject_list: DataFrame | None = None, strategy: str = "auto") -> SW.SweepTables:
+                subject_list: DataFrame | None = None) -> SW.SweepTables:
     """The batch plan for one set of whole log files (lines already numbered)."""
     frames = L.frames_from_logs(lines)
     info = None
     if subject_list is not None:
         info = (SJ.subject_info(lines, subject_list)
                 .drop("path", "camera", "marker_id", "description"))
-    b = P.behavior(frames, clean, strategy=strategy)
+    b = P.behavior(frames, clean)
     return SW.sweep(b, sp, info)
 
 

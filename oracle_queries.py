@@ -19,9 +19,13 @@ def r6(expr: str, alias: str) -> str:
     return f"round(CAST({expr} AS DOUBLE), 6) AS {alias}"
 
 
-def clean_ctes(z: bool = False, cage: bool = False, fps: int = FPS) -> list[str]:
+def clean_ctes(z: bool = False, cage: bool = False, fps: int = FPS, ragged: bool = False) -> list[str]:
     """CTEs ending in ``mo``: session, ms, time0, id, x, y, move, roll_r, roll_f."""
     c = [f"fx AS (SELECT session_no AS session, frame_no, ms, id, x, y FROM ({FRAMES_SQL}) t0)"]
+    if ragged:  # a missing row is a null position; frames without a time or dropped are not there
+        c[0] = f"""fx AS (SELECT session_no AS session, frame_no, ms, id,
+            CASE WHEN (frame_no * 11 + id) % 29 <> 0 THEN x END AS x, CASE WHEN (frame_no * 11 + id) % 29 <> 0 THEN y END AS y
+            FROM ({FRAMES_SQL}) t0 WHERE frame_no % 101 <> 0 AND frame_no % 83 <> 0)"""
     src = "fx"
     if z:
         n = 2 * fps
@@ -209,6 +213,18 @@ oracle("motion_clean", with_(clean_ctes(z=True, cage=True), f"""SELECT session,
     {r6('time0', 'time0')}, {r6('x', 'x')}, {r6('y', 'y')}, {r6('move', 'move')},
     {r6('roll_r', 'roll_r')}, {r6('roll_f', 'roll_f')} FROM mo"""))
 
+_wide_cols = ", ".join(f"{r6(f'max(CASE WHEN id = {k} THEN {c} END)', f'id_{k}_{c}')}"
+                       for k in FIXTURE_CLEAN.ids for c in ("x", "y", "move"))
+oracle("motion_ragged", with_(clean_ctes(z=True, cage=True, ragged=True), f"""SELECT session, ms AS t_ms, id,
+    {r6('time0', 'time0')}, {r6('x', 'x')}, {r6('y', 'y')}, {r6('move', 'move')},
+    {r6('roll_r', 'roll_r')}, {r6('roll_f', 'roll_f')} FROM mo"""))
+
+_wide_cols = ", ".join(f"{r6(f'max(CASE WHEN id = {k} THEN {c} END)', f'id_{k}_{c}')}"
+                       for k in FIXTURE_CLEAN.ids for c in ("x", "y", "move"))
+oracle("motion_ragged_chunked", with_(clean_ctes(z=True, cage=True, ragged=True), f"""SELECT session, ms AS t_ms, id,
+    {r6('time0', 'time0')}, {r6('x', 'x')}, {r6('y', 'y')}, {r6('move', 'move')},
+    {r6('roll_r', 'roll_r')}, {r6('roll_f', 'roll_f')} FROM mo"""))
+
 _wide_cols = ", ".join(f"{r6(f'max(CASE WHEN id = {k} THEN {c} END)', f'id_{k}_{c}')}"
                        for k in FIXTURE_CLEAN.ids for c in ("x", "y", "move"))
 oracle("frames_wide", with_(CL, f"SELECT session, ms AS t_ms, {r6('time0', 'time0')}, {_wide_cols} FROM mo GROUP BY session, ms, time0"))
@@ -385,6 +401,23 @@ oracle("compare_bins", with_(measure_ctes(("activity",)), f"""SELECT measure, bi
     FROM lg WHERE measure = 'bin_activity' AND line IN ('{UA}', '{UB}') AND bin < {WITHIN}
     GROUP BY measure, bin_min, line, bin + bin_min"""))
 _by = "measure, threshold, window_min"
+oracle("compare_bins_all", with_(measure_ctes(), f"""SELECT measure, threshold, bin_min, line AS grp,
+    CAST(list_position(['{UA}', '{UB}'], line) AS INTEGER) AS group_ord, bin + bin_min AS bin_end, count(*) AS n,
+    {r6('CASE WHEN count(value) = count(*) THEN avg(value) END', 'mean')},
+    {r6('CASE WHEN count(value) = count(*) THEN stddev_samp(value) END', 'sd')},
+    {r6('CASE WHEN count(value) = count(*) THEN stddev_samp(value) END / sqrt(count(*))', 'se')}
+    FROM lg WHERE kind = 'bin' AND line IN ('{UA}', '{UB}') AND bin < {WITHIN}
+    GROUP BY measure, threshold, bin_min, line, bin + bin_min"""))
+oracle("paired_values", with_(measure_ctes(("activity",)), f"""SELECT measure, {r6('window_min', 'window_min')}, mouse,
+    {r6("max(CASE WHEN drug = 'CNO' THEN value END)", 'value_CNO')}, {r6("max(CASE WHEN drug = 'SAL' THEN value END)", 'value_SAL')}
+    FROM lg WHERE measure = 'total_activity' AND drug IN ('CNO', 'SAL') GROUP BY measure, window_min, mouse"""))
+oracle("sweep_two_cameras", with_(clean_ctes() + [SUBJ, WIN, """ta AS (
+    SELECT session, id, window_min, coalesce(sum(move), 0) / 1000 AS total_activity
+    FROM mo JOIN wn ON time0 < window_min GROUP BY session, id, window_min)""",
+    """nm AS (SELECT *, CAST(CAST((session - session % 2) / 2 AS BIGINT) AS VARCHAR) AS nm, CAST(session % 2 + 1 AS VARCHAR) AS cam FROM ta)"""],
+    f"""SELECT '/logs/' || nm || '-C' || cam || '.csv' AS recording, nm AS session, cam AS camera, nm.id,
+    round(window_min, 6) AS window_min, {r6('total_activity', 'total_activity')}, line, drug
+    FROM nm LEFT JOIN sj ON sj.session = nm.session AND sj.id = nm.id"""))
 oracle("compare_sweep", with_(measure_ctes() + [
     f"ua AS {welch_sql(unpaired_sql(TOT_ALL, 'line', UA, UB, _by))}",
     f"pa AS {paired_sql(TOT_ALL, 'drug', PA, PB, 'mouse', _by)}",
@@ -445,9 +478,9 @@ oracle("events_roll_zscore", f"""SELECT event_id, event_type, {r6('m', 'roll_mea
     coalesce(abs(value - m) > s * 3.0, false) AS z_flag FROM (
     SELECT *, CASE WHEN count(*) OVER w = {_zn} THEN avg(value) OVER w END AS m,
               CASE WHEN count(*) OVER w = {_zn} THEN stddev_samp(value) OVER w END AS s
-    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN {_zlo} PRECEDING AND {_zhi} FOLLOWING)) t""")
+    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN {_zlo} PRECEDING AND {_zhi} FOLLOWING)) t""")
 oracle("events_lerp", f"""WITH v AS (SELECT event_id, ts, event_type, CASE WHEN event_id % 7 <> 0 THEN value END AS x FROM events),
-    ix AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM v),
+    ix AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM v),
     lp AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN i END) OVER wu AS pi, last_value(x IGNORE NULLS) OVER wu AS pv,
         min(CASE WHEN x IS NOT NULL THEN i END) OVER wd AS ni, first_value(x IGNORE NULLS) OVER wd AS nv,
         count(x) OVER (PARTITION BY event_type) AS k FROM ix

@@ -1,15 +1,17 @@
-"""The chunked (hot-session) plan equals the session plan row for row."""
+"""Chunk sizes change the tasks, not the result."""
 import pytest
 from pyspark.sql import functions as F
 
 from cagetrace.params import FIXTURE_CLEAN
-from cagetrace.plans import chunked as CH
 from cagetrace.plans import clean_derive as P
+from cagetrace.plans.registry import CLEAN_ALL, ragged_frames
 from cagetrace.sources import fixture as FX
 
 from conftest import SF_SMALL
 
 DBL = ("x", "y", "move", "roll_r", "roll_f", "time0", "dist", "duration", "mean_dist", "closest_dist")
+SMALL = dict(chunk_ms=7_000, chunk_rows=37)   # many boundaries per recording
+MOTION = ["session", "time", "id", "time0", "x", "y", "move", "roll_r", "roll_f"]
 
 
 def rounded(df, cols):
@@ -18,63 +20,44 @@ def rounded(df, cols):
 
 def assert_same(a, b, cols):
     a, b = rounded(a, cols), rounded(b, cols)
-    assert a.count() == b.count()
+    assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
 @pytest.fixture(scope="module")
 def plans(spark):
     fr = FX.frames(spark, SF_SMALL)
-    # 7 s time chunks and 37-row index chunks: many boundaries per session
-    return P.behavior(fr, FIXTURE_CLEAN), CH.behavior(fr, FIXTURE_CLEAN, chunk_ms=7_000, chunk_rows=37)
+    return P.behavior(fr, FIXTURE_CLEAN), P.behavior(fr, FIXTURE_CLEAN, **SMALL)
 
 
 def test_motion_equal(plans):
-    a, b = plans
-    assert_same(a.motion, b.motion, ["session", "time", "id", "time0", "x", "y", "move", "roll_r", "roll_f"])
+    assert_same(plans[0].motion, plans[1].motion, MOTION)
+
+
+def test_ragged_equal(spark):
+    fr = ragged_frames(spark, SF_SMALL)
+    a, b = P.behavior(fr, CLEAN_ALL), P.behavior(fr, CLEAN_ALL, **SMALL)
+    assert_same(a.motion, b.motion, MOTION)
+    assert_same(a.neighbours, b.neighbours, ["session", "time", "id", "mean_dist", "closest_dist"])
 
 
 def test_bouts_equal(plans):
-    a, b = plans
     cols = ["session", "threshold", "time", "ida", "idb", "nearing_event", "moving_r_id", "moving_f_id",
             "approach_id", "depart_id", "duration"]
-    assert_same(a.bouts([20.0, 40.0]), b.bouts([20.0, 40.0]), cols)
+    assert_same(plans[0].bouts([20.0, 40.0]), plans[1].bouts([20.0, 40.0]), cols)
 
 
 def test_neighbours_equal(plans):
-    a, b = plans
-    assert_same(a.neighbours, b.neighbours, ["session", "time", "id", "mean_dist", "closest_dist"])
+    assert_same(plans[0].neighbours, plans[1].neighbours, ["session", "time", "id", "mean_dist", "closest_dist"])
 
 
 def test_one_session_spreads_over_tasks(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")   # no coalescing of the tiny shuffle
     try:
-        b = CH.behavior(FX.frames(spark, SF_SMALL), FIXTURE_CLEAN, chunk_ms=7_000, chunk_rows=37)
+        b = P.behavior(FX.frames(spark, SF_SMALL), FIXTURE_CLEAN, **SMALL)
         one = b.motion.filter(F.col("session") == 0)
         assert one.select(F.spark_partition_id().alias("p")).distinct().count() > 1
         plan = b.motion._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(session#" in plan and "_ic#" in plan
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-
-
-def test_clean_options_equal(spark):
-    from cagetrace.params import CleanParams
-    p = CleanParams(fps=10, rm_z_outlier=True, rm_cage_outlier=True)
-    fr = FX.frames(spark, SF_SMALL)
-    a = P.behavior(fr, p)
-    b = CH.behavior(fr, p, chunk_ms=7_000, chunk_rows=37, z_frames=23)
-    assert_same(a.motion, b.motion, ["session", "time", "id", "time0", "x", "y", "move", "roll_r", "roll_f"])
-
-
-def test_halo_must_fit(spark):
-    fr = FX.frames(spark, SF_SMALL)
-    with pytest.raises(ValueError):
-        CH.behavior(fr, FIXTURE_CLEAN, chunk_rows=5)
-
-
-def test_auto_strategy_picks_by_session_size(spark):
-    fr = FX.frames(spark, SF_SMALL)
-    small = P.behavior(fr, FIXTURE_CLEAN, strategy="auto", max_session_rows=10_000_000)
-    big = P.behavior(fr, FIXTURE_CLEAN, strategy="auto", max_session_rows=100)
-    assert isinstance(small, P.Behavior) and isinstance(big, CH.ChunkedBehavior)

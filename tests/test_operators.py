@@ -92,14 +92,14 @@ def test_move_time0_and_rolls(spark):
 
 
 def test_z_mask_nulls_whole_frame(spark):
-    n = 11
     base = [(100.0 + (i % 3), 50.0 + (i % 2)) for i in range(30)]
     spike = list(base)
     spike[15] = (5000.0, 50.0)
     df = frames_df(spark, {1: spike, 2: base})
-    out = C.z_mask(df, n, 3.0).filter(F.col("frame_no") == 15).collect()
-    assert {(r.id, r.x, r.y) for r in out} == {(1, None, None), (2, None, None)}
-    assert C.z_mask(df, n, 3.0).filter(F.col("x").isNull()).count() == 2
+    p = CleanParams(fps=6, rm_z_outlier=True, z_threshold=3.0, ids=(1, 2))    # window of 12 frames
+    out = P.long_rows(P.deduped(df, p), p.ids, ["session", "frame_no"])
+    assert {(r.id, r.x, r.y) for r in out.filter(F.col("frame_no") == 15).collect()} == {(1, None, None), (2, None, None)}
+    assert out.filter(F.col("x").isNull()).count() == 2
 
 
 def test_cage_centre_is_optimal(spark):

@@ -25,10 +25,11 @@ def test_quick_start_flow(spark, tmp_dir):
     pre = logs.read_preamble(spark, data, glob="*.txt")
     design = StudyDesign("drug", ("CNO", "SAL"), paired_col="mouse")
     info = subjects.subject_info(pre, subjects.validated(subjects.read_subjects(spark, lst), design))
-    b = clean_derive.behavior(frames, FIXTURE_CLEAN, strategy=logs.strategy_for(spark, data, "*.txt"))
+    info = info.withColumnRenamed("path", logs.RECORDING)
+    b = clean_derive.behavior(frames, FIXTURE_CLEAN, logs.RECORDING)
     tables = sweep.sweep(b, FIXTURE_SWEEP, info)
     sweep.write_sweep(tables, out)
-    long = sweep.to_long(tables, FIXTURE_SWEEP, ("drug", "mouse"))
+    long = sweep.to_long(tables, FIXTURE_SWEEP, ("drug", "mouse"), session=logs.RECORDING)
     tests = compare.paired(long.filter("kind = 'total'"), design, ["measure", "threshold", "window_min"])
 
     act = tests.filter(F.col("measure") == "total_activity").orderBy("window_min").collect()

@@ -10,7 +10,7 @@ from cagetrace.streaming import incremental as INC
 from test_logs import write_log
 
 CLEAN = CleanParams(fps=2)
-SP = SweepParams(fps=2, windows=(1, 2), bin_within=2, bin_widths=(1,), thresholds=(20, 40))
+SP = SweepParams(windows=(1, 2), bin_within=2, bin_widths=(1,), thresholds=(20, 40))
 
 
 def rows(seed, n=300):
