@@ -72,8 +72,10 @@ class _File:
 
 def write_files(df: DataFrame, order: list[str], columns: list[str], folder: str, ext: str, make, roll_bytes: int,
                 roll_records: int = 1 << 17, index=None) -> DataFrame:
-    """Write *df* (with ``shard``) and commit; the manifest: one row per file.
+    """Write *df* and commit; the manifest: one row per file.
 
+    With a column ``shard`` whole shards are dealt to tasks and sorted by
+    *order*; without one, each partition is written where it is, unshuffled.
     ``make()`` gives a task's function from the values of *columns*, the first
     of them the record's key, to (bytes, units).
     """
@@ -105,7 +107,10 @@ def write_files(df: DataFrame, order: list[str], columns: list[str], folder: str
                         raise FileNotFoundError(dst)
             yield pa.RecordBatch.from_arrays([b.column("name")], names=["name"])
 
-    dealt = df.select("shard", *dict.fromkeys([*columns, *order])).repartition("shard").sortWithinPartitions("shard", *order)
+    if "shard" in df.columns:
+        dealt = df.select("shard", *dict.fromkeys([*columns, *order])).repartition("shard").sortWithinPartitions("shard", *order)
+    else:
+        dealt = df.select(F.spark_partition_id().cast("long").alias("shard"), *columns)
     wrote = stage(dealt.select("shard", *columns).mapInArrow(run, MANIFEST), "manifest")
     moved = stage(wrote.select("tmp", "name").mapInArrow(move, "name string"), "moved")
     done = wrote.join(moved, "name", "left_semi").drop("tmp")

@@ -22,12 +22,12 @@ from cagetrace.llm import files
 from cagetrace.llm.bpe import encoder, vocabulary
 from cagetrace.llm.store import open_fs, stage
 
-SHARD_BYTES, ROLL_BYTES = 256 << 20, 64 << 20
+ROLL_BYTES = 64 << 20
 BLOCK_TOKENS = 1 << 20
 
 
 def write_flat(docs: DataFrame, folder: str, tokenizer: str, end: int) -> DataFrame:
-    """Encode (doc_id, text) into flat files in doc_id order; the manifest keeps the order of the ids."""
+    """Encode (doc_id, text) into flat files, in the rows' order and without a shuffle; the manifest keeps the order of the ids."""
     def make():
         enc = encoder(tokenizer)
         tail = np.array([end], enc.dtype).tobytes()
@@ -37,8 +37,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end: int) -> DataFr
             return data, len(data) // enc.dtype.itemsize
         return record
 
-    docs = files.with_shards(docs.select("doc_id", "text"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 16, SHARD_BYTES)
-    return files.write_files(docs, ["doc_id", "text"], ["doc_id", "text"], folder, ".bin", make, ROLL_BYTES)
+    return files.write_files(docs.select("doc_id", "text"), [], ["doc_id", "text"], folder, ".bin", make, ROLL_BYTES)
 
 
 def scan(listing: DataFrame, folder: str, end: int, width: int, block: int = BLOCK_TOKENS) -> DataFrame:
@@ -74,12 +73,10 @@ def scan(listing: DataFrame, folder: str, end: int, width: int, block: int = BLO
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, end: int = 50256) -> DataFrame:
-    """doc_id, n_tokens (without the end id) and start (ids before it) of each row, from flat files of *docs*."""
+    """doc_id and n_tokens (without the end id) of each row, counted in flat files of *docs*."""
     folder = files.new_folder(docs, "flat")
     tokenizer = tokenizer or vocabulary("byte_bpe_50k.json")
     manifest = write_flat(docs, folder, tokenizer, end)
-    width = encoder(tokenizer).dtype.itemsize
-    found = scan(manifest.select("name", "bytes"), folder, end, width)
+    found = scan(manifest.select("name", "bytes"), folder, end, encoder(tokenizer).dtype.itemsize)
     order = manifest.select("name", F.posexplode("keys").alias("ordinal", "doc_id"))
-    return (found.join(order, ["name", "ordinal"]).join(files.starts(manifest).select("name", "file_start"), "name")
-            .select("doc_id", "n_tokens", (F.col("file_start") + F.col("start")).alias("start")))
+    return found.join(order, ["name", "ordinal"]).select("doc_id", "n_tokens")
