@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cagetrace.llm.store import stage
+
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 5000, 24 << 20, 112 << 10, 3
 THRESHOLD = 0.3
 
@@ -86,21 +88,26 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> dict[int, tuple[int, list[bytes]]]:
-    """Per class: number of labelled documents, and a bounded sample of whole texts."""
+    """Per class: number of labelled documents, and a bounded sample of whole texts.
+
+    Only ids and lengths are joined with the labels; the texts of the sample
+    are then filtered out of one scan.
+    """
     own = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("__y"))
-    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").where(~held_out(F.col("doc_id"))).join(own, "doc_id")
-    out = {}
+    known = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
+        F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("__n"))
+    known = stage(known.join(own, "doc_id"), "labelled")
+    counts, label = {}, {}
     for y, count in known.groupBy("__y").count().collect():  # two rows
-        rows = (known.where(F.col("__y") == y).select(F.xxhash64("doc_id").alias("h"), "doc_id", F.octet_length("text").alias("n"))
-                .orderBy("h", "doc_id", "n").limit(SAMPLE_DOCS).collect())
-        ids, room = [], SAMPLE_BYTES
-        for _, doc_id, n in rows:
+        counts[y], room = count, SAMPLE_BYTES
+        rows = known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("doc_id", "__n").collect()
+        for doc_id, n in rows:
             if n <= room:
-                ids.append(doc_id)
+                label[doc_id] = y
                 room -= n
-        texts = docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).collect()
-        out[y] = (count, [(r["text"] or "").encode() for r in texts])
-    return out
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in
+             docs.where(F.col("doc_id").isin(list(label))).select("doc_id", "text").collect()}  # at most 2 * SAMPLE_BYTES
+    return {y: (n, [texts[d] for d in label if label[d] == y]) for y, n in counts.items()}
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
