@@ -13,8 +13,8 @@ banded buckets, star-shaped candidate edges, exact confirmation.
    differ far beyond chance are dropped, the rest confirmed on full sets.
 4. Components of the confirmed links are contracted.  Where a bucket still
    holds several components, members of different components are compared
-   too: a link inside a component can change nothing, so no link is lost
-   and no group is expanded into all its pairs.
+   too, block by block, by their signatures and then on full sets.  A link inside a component can change nothing, so no link is
+   lost and no group is expanded into all its pairs.
 
 Defined results: a null or wordless text has ``n_shingles`` 0 and is its own
 component; a text of fewer words than a shingle has its whole sequence as one
@@ -35,8 +35,10 @@ from cagetrace.llm.store import stage
 BINS_LOG2 = 8
 #: 42 bands of 6 of the 256 bins: at a similarity of 0.85 all bands miss with a chance of 2e-9, at 0.8 of 3e-6
 BAND_ROWS, BANDS = 6, 42
-#: Signature agreement below which a pair can't reach the threshold but by over five standard deviations
-SLACK = 0.15
+#: Signatures of a pair at the threshold agree less than this below it by over four standard deviations only
+SLACK = 0.1
+#: Members of a block of a bucket
+BLOCK = 512
 _U = np.uint64
 
 
@@ -127,11 +129,18 @@ def _sets_of(size: int):
     def run(batches):
         for batch in batches:
             for part, sets in shingle_sets(batch, size):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), W.array_column(
-                    np.concatenate([*sets, np.zeros(0, _U)]), np.array([len(s) for s in sets]))], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
     return run
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common * 100 >= percent * (len(both) - common)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every vertex of *edges* (a, b): the smallest reachable id.
 
@@ -167,9 +176,53 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    x = (pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-         .select("a", "b", (F.size("set_a") + F.size("set_b")).alias("n"), F.size(F.array_intersect("set_a", "set_b")).alias("common")))
-    return x.where(F.col("common") * 100 >= percent * (F.col("n") - F.col("common"))).select("a", "b").distinct()
+    def run(batches):
+        for b in batches:
+            x, y = ([np.frombuffer(s, _U) for s in b.column(c).to_pylist()] for c in ("set_a", "set_b"))
+            ok = pa.array([linked(p, q, percent) for p, q in zip(x, y)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
+    x = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+    return x.mapInArrow(run, "a long, b long").distinct()
+
+
+def _compare(percent: int):
+    """Links in a block of a bucket between members that differ in root and share no earlier band."""
+    def run(batches):
+        for batch in batches:
+            out = [[], []]
+            for k in range(batch.num_rows):
+                g = batch.slice(k, 1).to_pylist()[0]
+                m, block = g["m"], np.array([x["block"] for x in g["m"]])
+                ids, roots = (np.array([x[c] for x in m], np.int64) for c in ("id", "root"))
+                sig = np.frombuffer(b"".join(x["sig"] for x in m), np.uint8).reshape(len(m), -1)
+                bands = np.array([x["bands"] for x in m], np.int64)
+                sets = [np.frombuffer(x["set"], _U) for x in m]
+                here = int((bands[0] == g["bucket"]).argmax())
+                for i in range(len(m) - 1):
+                    j = np.flatnonzero((roots[i + 1:] != roots[i]) & ((block[i + 1:] != block[i]) | (g["lo"] == g["hi"]))) + i + 1
+                    j = j[(sig[j] == sig[i]).mean(axis=1) >= percent / 100 - SLACK]
+                    j = j[(bands[j] == bands[i]).argmax(axis=1) == here]
+                    for n in j:
+                        if linked(sets[i], sets[n], percent):
+                            out[0].append(min(ids[i], ids[n])), out[1].append(max(ids[i], ids[n]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+    return run
+
+
+def _across(labelled: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of different roots in one bucket of *labelled* (bucket, id, root).
+
+    A bucket is cut into blocks of about BLOCK members (fewer where sets are
+    large) and two blocks meet in one task; only confirmed links come out.
+    """
+    m = labelled.join(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"), "id").join(sets, "id")
+    n = labelled.join(reps.select(F.col("doc_id").alias("id"), "n_shingles"), "id").groupBy("bucket").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / (BLOCK * 512))).alias("blocks"))
+    m = (m.drop("n_shingles").join(n, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    m = m.groupBy("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(
+        F.collect_list(F.struct("id", "root", "block", "sig", "bands", "set")).alias("m"))  # at most two blocks
+    return m.where("size(m) > 1").mapInArrow(_compare(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -184,13 +237,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     known = sk.where("n_shingles > 0 and doc_id is not null")
     cls = stage(known.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"),
                                                            F.min_by("bands", "doc_id").alias("bands")), "classes")
-    reps = cls.select(F.col("rep").alias("doc_id"), "n_shingles", "sig")
+    reps = cls.select(F.col("rep").alias("doc_id"), "n_shingles", "sig", "bands")
     member = cls.select("rep", F.explode("bands").alias("bucket"))
     many = member.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last").select("bucket", "center")
     member = stage(member.join(many, "bucket"), "buckets")
     star = stage(_likely(member.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), reps, threshold), "star")
     needed = member.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stage(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets_of(shingle), "id long, set array<long>"), "sets")
+    sets = stage(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets_of(shingle), "id long, set binary"), "sets")
     links = stage(_confirm(star, sets, percent), "links")
     comp = stage(components(links), "components")
     # buckets that still hold several components
@@ -198,12 +251,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                      .select("bucket", "id", F.coalesce("root", "id").alias("root")), "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     labelled = stage(labelled.join(mixed, "bucket"), "mixed")
-    groups = labelled.select("bucket", "root").distinct()
-    across = groups.join(groups.withColumnRenamed("root", "other"), "bucket").where("root < other")
-    cross = (across.join(labelled.withColumnRenamed("id", "a"), ["bucket", "root"])
-             .join(labelled.select("bucket", F.col("root").alias("other"), F.col("id").alias("b")), ["bucket", "other"])
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = stage(_confirm(_likely(cross, reps, threshold), sets, percent), "cross")
+    more = stage(_across(labelled, reps, sets, percent).distinct(), "cross")
     edges = links.unionByName(more)
     # classes hang on their representative; a document of several texts is in several classes
     own = sk.select("doc_id", "n_shingles", "set_key").where("n_shingles > 0 and doc_id is not null").join(cls.select("set_key", "n_shingles", "rep"), ["set_key", "n_shingles"])
