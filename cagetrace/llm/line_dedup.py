@@ -38,7 +38,7 @@ from cagetrace.llm.store import stage
 _U = np.uint64
 PERCENT, LEAST = 80, 5
 #: Buckets of the rarity table (one byte each, sent to every task)
-TABLE_LOG2 = 22
+TABLE_LOG2 = 24
 _FLUSH = 1 << 22
 
 
@@ -65,7 +65,7 @@ def _frequencies(least: int):
     """Partial (token, lines) counts of the lines that take part."""
     def out(parts):
         t, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(t.view(np.int32)), pa.array(n, pa.int32())], names=["token", "n"])
 
     def run(batches):
         held, size = [], 0
@@ -73,7 +73,7 @@ def _frequencies(least: int):
             for part in W.slices(batch, "text"):
                 h, line, row, _ = line_sets(part)
                 h = h[np.bincount(line, minlength=len(row))[line] >= least]
-                held.append(h)
+                held.append((h & _U(0xFFFFFFFF)).astype(np.uint32))  # 32 bits do for an order
                 size += len(h)
                 if size >= _FLUSH:
                     yield out(held)
@@ -84,18 +84,14 @@ def _frequencies(least: int):
 
 
 def _index(rare: np.ndarray, percent: int, least: int):
-    """A row per line that takes part: its class, size, index words with their positions, bit map."""
+    """A row per class of lines in a slice: first place, size, index words with their positions, bit map."""
     mask = _U((1 << TABLE_LOG2) - 1)
 
     def run(batches):
         for batch in batches:
             for part in W.slices(batch, "text"):
                 h, line, row, number = line_sets(part)
-                size = np.bincount(line, minlength=len(row))
-                with np.errstate(over="ignore"):
-                    total = np.zeros(len(row), _U)
-                    np.add.at(total, line, W.mix(h))
-                    key = W.mix(total + size.astype(_U)).view(np.int64)
+                size, key = _classes(h, line, len(row))
                 q = rare[(h & mask).astype(np.int64)]
                 by = np.lexsort((q, line))  # h is in order already: by rarity, then hash
                 h, line, q = h[by], line[by], q[by]
@@ -109,6 +105,9 @@ def _index(rare: np.ndarray, percent: int, least: int):
                     here = (b >> 6) == k
                     np.bitwise_or.at(maps[k], line[here], _U(1) << (b[here] & 63).astype(_U))
                 rows = np.flatnonzero(size >= least)
+                rows = rows[np.lexsort((number[rows], part.column("rid").to_numpy()[row[rows]], part.column("ord").to_numpy()[row[rows]]))]
+                rows = np.sort(rows[np.unique(key[rows], return_index=True)[1]])
+                use &= np.isin(line, rows)
                 count = np.bincount(line[use], minlength=len(row))[rows]
                 yield pa.RecordBatch.from_arrays([
                     part.column("rid").take(pa.array(row[rows])), part.column("ord").take(pa.array(row[rows])),
@@ -119,24 +118,43 @@ def _index(rare: np.ndarray, percent: int, least: int):
     return run
 
 
+def _keys(least: int):
+    """The class of every line that takes part."""
+    def run(batches):
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                h, line, row, number = line_sets(part)
+                size, key = _classes(h, line, len(row))
+                rows = np.flatnonzero(size >= least)
+                at = pa.array(row[rows])
+                yield pa.RecordBatch.from_arrays([part.column("rid").take(at), part.column("ord").take(at), pa.array(number[rows], pa.int32()), pa.array(key[rows])],
+                                                 names=["rid", "ord", "line", "key"])
+    return run
+
+
+def _classes(h: np.ndarray, line: np.ndarray, lines: int):
+    """(size, key) of each line's word set."""
+    size = np.bincount(line, minlength=lines)
+    with np.errstate(over="ignore"):
+        total = np.zeros(lines, _U)
+        np.add.at(total, line, W.mix(h))
+        return size, W.mix(total + size.astype(_U)).view(np.int64)
+
+
 def _sets(batches):
     for batch in batches:
         for part in W.slices(batch, "text"):
             h, line, row, _ = line_sets(part)
-            size = np.bincount(line, minlength=len(row))
-            with np.errstate(over="ignore"):
-                total = np.zeros(len(row), _U)
-                np.add.at(total, line, W.mix(h))
-                key = W.mix(total + size.astype(_U)).view(np.int64)
+            _, key = _classes(h, line, len(row))
             cuts = np.searchsorted(line, np.arange(len(row) + 1))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["key", "set"])
 
 
 def rarity(docs: DataFrame, least: int) -> np.ndarray:
     """Per hash bucket the largest frequency class of its words, 0 where none is in two lines."""
-    n = docs.mapInArrow(_frequencies(least), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+    n = docs.mapInArrow(_frequencies(least), "token int, n int").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
     cls = F.least(F.lit(255), F.ceil(F.log2("n") * 8)).cast("short")
-    top = n.groupBy(F.col("token").bitwiseAND((1 << TABLE_LOG2) - 1).cast("int").alias("b")).agg(F.max(cls).alias("c"))
+    top = n.groupBy(F.col("token").bitwiseAND((1 << TABLE_LOG2) - 1).alias("b")).agg(F.max(cls).alias("c"))
     # at most 2**TABLE_LOG2 rows of six bytes, packed by bucket range
     packed = top.groupBy((F.col("b") / 4096).cast("int").alias("p")).agg(F.collect_list(F.struct("b", "c")).alias("r"))
     packed = packed.select(F.transform("r", lambda x: x["b"]).alias("b"), F.transform("r", lambda x: x["c"]).alias("c"))
@@ -147,28 +165,36 @@ def rarity(docs: DataFrame, least: int) -> np.ndarray:
     return out
 
 
+def _need(x: str, y: str, percent: int) -> F.Column:
+    """Words that two lines must share."""
+    return F.ceil((F.col(f"{x}.n") + F.col(f"{y}.n")) * percent / (100 + percent) - 1e-9)
+
+
 def _bounded(x: str, y: str, percent: int) -> F.Column:
-    """Whether length, position and bit maps allow the similarity."""
+    """Whether lengths and bit maps allow the similarity."""
     c = lambda s, n: F.col(f"{s}.{n}")
     both = c(x, "n") + c(y, "n")
-    need = F.ceil(both * percent / (100 + percent) - 1e-9)
     apart = F.bit_count(c(x, "m0").bitwiseXOR(c(y, "m0"))) + F.bit_count(c(x, "m1").bitwiseXOR(c(y, "m1")))
-    return ((F.least(c(x, "n"), c(y, "n")) * 100 >= F.greatest(c(x, "n"), c(y, "n")) * percent)
-            & (F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos")) >= need) & (apart <= both - 2 * need))
+    return ((F.least(c(x, "n"), c(y, "n")) * 100 >= F.greatest(c(x, "n"), c(y, "n")) * percent) & (apart <= both - 2 * _need(x, y, percent)))
+
+
+def _placed(x: str, y: str, percent: int) -> F.Column:
+    """Whether enough words follow the shared one, were it the first that is shared."""
+    return F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos")) >= _need(x, y, percent)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Keys of the later classes of *pairs* (key, first, other, other_first) that are similar to the earlier one."""
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The later classes (c) of *pairs* (c, other) that are similar to the earlier one."""
     def run(batches):
         for b in batches:
             ok = [linked(np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("key").filter(pa.array(ok, pa.bool_()))], names=["key"])
-    needed = stage(pairs.select(F.col("key"), F.col("first.rid").alias("rid")).unionByName(
-        pairs.select(F.col("other").alias("key"), F.col("other_first.rid").alias("rid"))).distinct(), "needed")
+            yield pa.RecordBatch.from_arrays([b.column("c").filter(pa.array(ok, pa.bool_()))], names=["c"])
+    needed = pairs.select("c").unionByName(pairs.select(F.col("other").alias("c"))).distinct()
+    needed = stage(classes.select("c", "key", F.col("first.rid").alias("rid")).join(needed, "c", "left_semi"), "needed")
     sets = docs.join(needed.select("rid").distinct(), "rid", "left_semi").select("text").mapInArrow(_sets, "key long, set binary")
-    sets = stage(sets.join(needed.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.any_value("set").alias("set")), "linesets")
-    x = pairs.select("key", "other").join(sets.toDF("key", "set_a"), "key").join(sets.toDF("other", "set_b"), "other")
-    return x.select("key", "set_a", "set_b").mapInArrow(run, "key long").distinct()
+    sets = stage(sets.join(needed.select("key", "c"), "key").groupBy("c").agg(F.any_value("set").alias("set")), "linesets")
+    x = pairs.select("c", "other").join(sets.toDF("c", "set_a"), "c").join(sets.toDF("other", "set_b"), "other")
+    return x.select("c", "set_a", "set_b").mapInArrow(run, "c long").distinct()
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -181,24 +207,29 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     rows = _rows(docs)
     rare = rarity(rows.select("text"), least)
     schema = "rid long, ord long, line int, key long, n int, tokens array<long>, pos array<int>, m0 long, m1 long"
-    lines = stage(rows.mapInArrow(_index(rare, percent, least), schema), "lines")
     place = F.struct("ord", "rid", "line")
-    classes = stage(lines.groupBy("key").agg(F.min(place).alias("first"), *(F.any_value(c).alias(c) for c in ("n", "m0", "m1")),
-                                             F.any_value("tokens").alias("tokens"), F.any_value("pos").alias("pos")), "lineclasses")
-    index = classes.select("key", "first", "n", "m0", "m1", F.explode(F.arrays_zip("tokens", "pos")).alias("t")).select(
-        F.col("t.tokens").alias("token"), "key", "first", "n", "m0", "m1", F.col("t.pos").alias("pos"))
-    me = F.struct("first", "key", "n", "pos", "m0", "m1")
-    many = index.groupBy("token").agg(F.min(me).alias("e"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "e.*")
-    index = stage(index.join(many.select("token"), "token", "left_semi"), "postings")
-    pick = lambda x: x.select(F.col("x.key").alias("key"), F.col("x.first").alias("first"), F.col("y.key").alias("other"), F.col("y.first").alias("other_first")).distinct()
-    early = pick(index.alias("x").join(many.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first")) & _bounded("x", "y", percent)))
-    settled = stage(_verify(stage(early, "early"), rows, percent), "settled")
-    open_ = index.join(settled, "key", "left_anti")
-    rest = pick(open_.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first")) & _bounded("x", "y", percent)))
-    similar = stage(settled.unionByName(_verify(stage(rest, "rest"), rows, percent)), "similar")
+    classes = rows.mapInArrow(_index(rare, percent, least), schema).groupBy("key").agg(
+        F.min(place).alias("first"), *(F.any_value(c).alias(c) for c in ("n", "m0", "m1", "tokens", "pos")))
+    # the running number of range-sorted rows: a class number in order of first place
+    classes = classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("c", F.monotonically_increasing_id())
+    classes = stage(classes, "lineclasses")
+    index = classes.select("c", F.explode(F.arrays_zip("tokens", "pos")).alias("t")).select(F.col("t.tokens").alias("token"), "c", F.col("t.pos").alias("pos"))
+    many = index.groupBy("token").agg(F.min("c").alias("e"), F.max("c").alias("last")).where("e < last").select("token", "e")
+    facts = classes.select("c", "n", "m0", "m1")
+    index = stage(index.join(many, "token").join(facts, "c"), "postings")
+    early = stage(index.where("c <> e").select("c", F.col("e").alias("other")).distinct(), "early")
+    likely = early.alias("p").join(facts.alias("x"), F.col("p.c") == F.col("x.c")).join(facts.alias("y"), F.col("p.other") == F.col("y.c"))
+    early = stage(likely.where(_bounded("x", "y", percent)).select("p.c", "p.other"), "likely")
+    settled = stage(_verify(early, classes, rows, percent), "settled")
+    open_ = index.drop("e").join(settled, "c", "left_anti")
+    rest = open_.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.c") < F.col("x.c"))
+                                 & _bounded("x", "y", percent) & _placed("x", "y", percent))
+    rest = stage(rest.select(F.col("x.c").alias("c"), F.col("y.c").alias("other")).distinct(), "rest")
+    similar = settled.unionByName(_verify(rest, classes, rows, percent))
     # a class without a similar earlier one keeps its first line
-    kept = classes.select("key", "first").join(similar, "key", "left_anti")
+    kept = stage(classes.select("c", "key", "first").join(similar, "c", "left_anti").select("key", "first"), "keptlines")
     goes = F.col("first").isNull() | (F.col("first") != F.col("at"))
+    lines = rows.mapInArrow(_keys(least), "rid long, ord long, line int, key long")
     marked = lines.select("rid", "line", "key", place.alias("at")).join(kept, "key", "left").select("rid", "line", goes.alias("goes"))
     return marked.groupBy("rid").agg(F.sort_array(F.collect_set(F.when(F.col("goes"), F.col("line")))).alias("gone"), F.bool_and("goes").alias("emptied")).where("size(gone) > 0")
 
