@@ -203,7 +203,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
-    """(rid, gone, emptied) for each row of *docs* (doc_id, text) that loses lines: their numbers, and whether no line that took part is left."""
+    """(rid, gone) for each row of *docs* (doc_id, text) that loses lines: their numbers."""
     rows = _rows(docs)
     rare = rarity(rows.select("text"), least)
     schema = "rid long, ord long, line int, key long, n int, tokens array<long>, pos array<int>, m0 long, m1 long"
@@ -231,7 +231,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -
     goes = F.col("first").isNull() | (F.col("first") != F.col("at"))
     lines = rows.mapInArrow(_keys(least), "rid long, ord long, line int, key long")
     marked = lines.select("rid", "line", "key", place.alias("at")).join(kept, "key", "left").select("rid", "line", goes.alias("goes"))
-    return marked.groupBy("rid").agg(F.sort_array(F.collect_set(F.when(F.col("goes"), F.col("line")))).alias("gone"), F.bool_and("goes").alias("emptied")).where("size(gone) > 0")
+    return marked.groupBy("rid").agg(F.sort_array(F.collect_set(F.when(F.col("goes"), F.col("line")))).alias("gone")).where("size(gone) > 0")
 
 
 @F.pandas_udf(StringType())
@@ -249,12 +249,13 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, rem
     """*docs* with later matching lines taken out of ``text``.
 
     Adds two columns under the names given: the number of lines removed, and
-    whether no line that took part is left.
+    whether that left no line with a word in it.
     """
-    gone = stage(removed_lines(docs.select("doc_id", "text"), percent, least), "gone").toDF("__rid", "__gone", "__emptied")
+    gone = stage(removed_lines(docs.select("doc_id", "text"), percent, least), "gone").toDF("__rid", "__gone")
     out = docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(gone, "__rid", "left")
     out = out.withColumn("text", _without("text", "__gone"))
-    return out.withColumns({removed: F.coalesce(F.size("__gone"), F.lit(0)), emptied: F.coalesce("__emptied", F.lit(False))}).drop("__rid", "__gone", "__emptied")
+    none = F.col("__gone").isNotNull() & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return out.withColumns({removed: F.coalesce(F.size("__gone"), F.lit(0)), emptied: F.coalesce(none, F.lit(False))}).drop("__rid", "__gone")
 
 
 def line_report(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:

@@ -39,3 +39,11 @@ def test_rows_without_an_id_and_empty_input(spark):
     none = docs.limit(0)
     for _, step in P.STAGES:
         assert step(spark, none, SF).count() == 0
+
+
+def test_line_dedup_keeps_what_is_left(spark):
+    """A document whose only long line was seen before keeps its short lines; one with nothing left goes."""
+    seen = "this licence line is shared by every text"
+    docs = spark.createDataFrame([(1, seen), (2, f"{seen}\nroses are red\n\nviolets"), (3, f" \n{seen}\n\t"), (4, "\n "), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in P.dedup_lines(spark, docs, SF).collect()}
+    assert got == {1: seen, 2: "roses are red\n\nviolets", 4: "\n ", 5: None}
