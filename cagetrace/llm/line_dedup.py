@@ -18,7 +18,8 @@ similarity of at least *percent* with it, whether or not that one went too.
    bound the overlap from above; pairs that pass are verified on full sets.
 
 Defined results: lines of fewer than *least* distinct words are never
-removed and remove none; null texts stay null, without lines; rows repeated
+removed and remove none (the query and the pipeline take EVERY line with a
+word); lines without a word stay; null texts stay null, without lines; rows repeated
 with one id and text are one document; rows without an id come last in order.
 """
 
@@ -37,6 +38,8 @@ from cagetrace.llm.store import stage
 
 _U = np.uint64
 PERCENT, LEAST = 80, 5
+#: The *least* with which every line that has a word takes part
+EVERY = 1
 #: Buckets of the rarity table (one byte each, sent to every task)
 TABLE_LOG2 = 24
 _FLUSH = 1 << 22
@@ -98,7 +101,9 @@ def _index(rare: np.ndarray, percent: int, least: int):
                 first = np.searchsorted(line, np.arange(len(row)))
                 pos = np.arange(len(h)) - first[line]
                 prefix = size - -(-percent * size // 100) + 1
-                use = (pos < prefix[line]) & (q > 0) & (size[line] >= least)
+                # a set too small to match with one word more or less matches only its equals, which are its class
+                alone = size * 100 < percent * (size + 1)
+                use = (pos < prefix[line]) & (q > 0) & (size[line] >= least) & ~alone[line]
                 b = (W.mix(h) >> _U(57)).astype(np.int64)
                 maps = np.zeros((2, len(row)), _U)
                 for k in (0, 1):
@@ -258,7 +263,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, rem
     return out.withColumns({removed: F.coalesce(F.size("__gone"), F.lit(0)), emptied: F.coalesce(none, F.lit(False))}).drop("__rid", "__gone")
 
 
-def line_report(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
+def line_report(docs: DataFrame, percent: int = PERCENT, least: int = EVERY) -> DataFrame:
     """Per row: doc_id, n_lines, n_removed, and length and digest of what is left."""
     text = F.coalesce("text", F.lit(""))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines")

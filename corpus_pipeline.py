@@ -32,7 +32,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later matching lines go, and documents that this leaves without a line with a word in it."""
-    out = line_dedup.dedup_lines(docs, removed="__removed", emptied="__none_left").where(~F.col("__none_left"))
+    out = line_dedup.dedup_lines(docs, least=line_dedup.EVERY, removed="__removed", emptied="__none_left").where(~F.col("__none_left"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

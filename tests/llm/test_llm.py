@@ -128,6 +128,22 @@ def test_line_dedup_brute(spark, odd):
             assert got[d] == (None if t is None else "\n".join(t.split("\n")[i] for i in keep)), d
 
 
+def test_line_dedup_takes_short_lines(spark):
+    """Lines of one to five words, and lines without spaces, against brute force."""
+    rng = random.Random(9)
+    lines = [" ".join(rng.sample(["a", "b", "c", "d", "e", "f", "g"], rng.randrange(1, 7))) for _ in range(40)]
+    lines += ["", " \t", "All rights reserved.", "all RIGHTS reserved.", "一行没有空格", "http://x/" + "y" * 300]
+    rows = [(d, "\n".join(rng.choices(lines, k=rng.randrange(1, 4)))) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, least=line_dedup.EVERY).collect()}
+    report = {r.doc_id: r.n_removed for r in line_dedup.line_report(docs).collect()}
+    for (d, t), keep in zip(rows, brute_lines(rows, 1, 80)):
+        parts = t.split("\n")
+        keep = sorted({*keep, *(i for i, x in enumerate(parts) if not x.strip())})
+        assert got[d] == "\n".join(parts[i] for i in keep), d
+        assert report[d] == len(parts) - len(keep), d
+
+
 def test_winnowing_brute_with_short_items_and_nulls(spark, odd):
     rng = random.Random(5)
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
