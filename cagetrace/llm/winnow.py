@@ -9,7 +9,8 @@ where the join puts it.  Items of fewer than 13 words are one window of
 their own length; documents give their n-grams of just those lengths.
 
 Defined results: a null or wordless text has no words and is clean; a null
-or wordless item has no window; rows repeat as they came; null item ids are
+or wordless item has no window; each row is judged by its own text, whatever
+its id, and rows repeat as they came; null item ids are
 left out of the item list but their passages still count as hits.
 """
 
@@ -124,7 +125,7 @@ def _covered(spans: F.Column) -> F.Column:
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """(scanned, spans): every document's (id, n_words), and the spans (id, item, start, end) of words it shares."""
+    """(scanned, spans): every row's (row, id, n_words), and the spans (row, item, start, end) of words it shares."""
     spark = docs.sparkSession
     schema = "id long, n_words long, marks array<struct<kind:long,hash:long,pos:long,ctx:binary>>"
     items = stage(benchmark.select("item_id", "text").mapInArrow(_scan("item_id", window, k, None, ()), schema)
@@ -136,16 +137,18 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     bits = np.zeros(1 << (BITMAP_LOG2 - 6), np.int64)
     for w, b in words64:
         bits[w] = b
-    scanned = stage(docs.select("doc_id", "text").mapInArrow(_scan("doc_id", window, k, bits.view(np.uint8), short), schema), "scanned")
-    marks = scanned.where(F.size("marks") > 0).select("id", F.explode("marks").alias("m")).select("id", "m.*")
+    scanned = docs.select("doc_id", "text").mapInArrow(_scan("doc_id", window, k, bits.view(np.uint8), short), schema)
+    # ids may be null or repeated: the stored number of a row tells the rows apart
+    scanned = stage(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    marks = scanned.where(F.size("marks") > 0).select("row", F.explode("marks").alias("m")).select(F.col("row").alias("id"), "m.*")
     # equal passages of several items are compared once; the items join afterwards
     passages = stage(items.groupBy("kind", "hash", "ctx").agg(F.min(F.struct(F.col("item").isNull(), "item", "pos")).alias("f"))
                      .select("kind", "hash", F.col("ctx").alias("item_ctx"), F.xxhash64("kind", "hash", "ctx").alias("item")), "passages")
     joined = marks.join(passages, ["kind", "hash"]).select("id", "kind", "pos", "ctx", "item_ctx", "item")
     spans = joined.mapInArrow(_extend(window, k), "id long, item long, start long, end long")
     whose = items.select(F.xxhash64("kind", "hash", "ctx").alias("passage"), F.col("item").alias("item_id")).distinct()
-    spans = spans.withColumnRenamed("item", "passage").join(whose, "passage", "left").select("id", F.col("item_id").alias("item"), "start", "end")
-    return scanned.select("id", "n_words"), spans
+    spans = spans.withColumnRenamed("item", "passage").join(whose, "passage", "left").select(F.col("id").alias("row"), F.col("item_id").alias("item"), "start", "end")
+    return scanned.select("row", "id", "n_words"), spans
 
 
 def _sha(ids: F.Column) -> F.Column:
@@ -153,16 +156,16 @@ def _sha(ids: F.Column) -> F.Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, percent: int = 5) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Contaminated: some word is hit, and at least *percent* of the words are.
     """
     scanned, spans = contaminated_spans(docs, benchmark, window, k)
-    # equal spans of a document are one; what is left is bounded by its words
-    per = (spans.groupBy("id", "start", "end").agg(F.collect_set("item").alias("items"))
-           .groupBy("id").agg(_covered(F.collect_list(F.struct("start", "end"))).alias("n_hit"),
+    # equal spans of a row are one; what is left is bounded by its words
+    per = (spans.groupBy("row", "start", "end").agg(F.collect_set("item").alias("items"))
+           .groupBy("row").agg(_covered(F.collect_list(F.struct("start", "end"))).alias("n_hit"),
                               F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")))
-    out = scanned.join(per, "id", "left")
+    out = scanned.join(per, "row", "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<long>"))
     return out.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),

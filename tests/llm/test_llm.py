@@ -170,6 +170,16 @@ def test_winnowing_brute_with_short_items_and_nulls(spark, odd):
         assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(w))
 
 
+def test_winnowing_judges_each_row_by_its_text(spark):
+    """Null and repeated ids: every row has the hits of its own text."""
+    passage, clean = " ".join(f"p{i}" for i in range(20)), " ".join(f"c{i}" for i in range(30))
+    rows = [(None, passage), (None, clean), (None, passage), (None, None), (1, passage), (1, clean), (1, f"x {passage} {clean}"), (2, clean), (3, passage), (3, passage)]
+    out = winnow.decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3),
+                               spark.createDataFrame([(7, passage)], "item_id long, text string")).collect()
+    want = [(d, len((t or "").split()), 20 * (passage in (t or "")), int(passage in (t or "")), passage in (t or "")) for d, t in rows]
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in out), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(spark, name):
     e = bpe.Encoder(bpe.vocabulary(name))
