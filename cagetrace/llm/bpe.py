@@ -4,7 +4,9 @@ Both pre-tokenizers used here never let a token cross from a non-space
 character into white space, so a text may be cut before any white space
 that follows a non-space character, and the parts encoded on their own.
 Distinct parts are encoded once per worker and kept as packed ids.
-Texts where a cut would fall inside a run of white space are encoded whole.
+Texts where a cut would fall inside a run of white space are encoded whole,
+and so are texts that hold a special token's literal, which has its own id
+unless the encoder is told to split it like any other text.
 """
 
 from __future__ import annotations
@@ -41,12 +43,18 @@ def vocabulary(name: str) -> str:
 
 
 class Encoder:
-    """Encodes texts to packed little-endian ids (uint16 if the vocabulary fits)."""
+    """Encodes texts to packed little-endian ids (uint16 if the vocabulary fits).
 
-    def __init__(self, path: str):
+    With *split_special* the literals of special tokens are ordinary text, so
+    that their ids occur in no document.
+    """
+
+    def __init__(self, path: str, split_special: bool = False):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = split_special
+        added = self.tok.get_added_tokens_decoder().values()
+        self.literals = [t.content for t in added if not (split_special and t.special)]
         self.model = self.tok.model
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         # A normalizer that folds white space drops it: any cut at a space is safe.
@@ -95,6 +103,9 @@ class Encoder:
         """Packed ids of one text; empty for an empty text."""
         if not text:
             return b""
+        for literal in self.literals:
+            if literal in text:
+                return self._whole([text])[0]
         cache = self.cache
         if self.drops_space:
             parts, head = text.replace("\n", " ").split(" "), b""
@@ -128,8 +139,8 @@ class Encoder:
         return b"".join([edge[0], *ids, edge[1]])
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, split_special: bool = False) -> Encoder:
     """The worker's encoder of a file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, split_special) not in _encoders:
+        _encoders[path, split_special] = Encoder(path, split_special)
+    return _encoders[path, split_special]

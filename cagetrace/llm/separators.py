@@ -29,7 +29,7 @@ BLOCK_TOKENS = 1 << 20
 def write_flat(docs: DataFrame, folder: str, tokenizer: str, end: int) -> DataFrame:
     """Encode (doc_id, text) into flat files, in the rows' order and without a shuffle; the manifest keeps the order of the ids."""
     def make():
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, split_special=True)  # the separator is in no document
         tail = np.array([end], enc.dtype).tobytes()
 
         def record(doc_id, text):

@@ -189,6 +189,39 @@ def test_encoder_equals_the_library(spark, name):
         assert np.frombuffer(e.encode(t), e.dtype).tolist() == e.tok.encode(t, add_special_tokens=False).ids, t[:60]
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y z", "a  <|ENDOFTEXT|>", "b\n<|endoftext|>\n\nc <|endoftext|"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_literals_as_the_library_encodes_them(spark, name):
+    from tokenizers import Tokenizer
+    path = bpe.vocabulary(name)
+    tok, split = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    split.encode_special_tokens = True
+    ids = lambda t, x: x.encode(t, add_special_tokens=False).ids
+    for t in SPECIAL + [t for _, t in odd_rows() if t]:
+        for e, x in ((bpe.Encoder(path), tok), (bpe.Encoder(path, split_special=True), split)):
+            assert np.frombuffer(e.encode(t), e.dtype).tolist() == ids(t, x), t[:60]
+
+
+def test_special_literals_in_the_operators(spark):
+    """op4 and op9 give a literal its special id; op6 splits it, so its separator is in no document."""
+    from tokenizers import Tokenizer
+    ids = lambda name, t: Tokenizer.from_file(bpe.vocabulary(name)).encode(t, add_special_tokens=False).ids
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in records.round_trip(df).collect()}
+    for d, t in enumerate(SPECIAL):
+        x = [*ids("byte_bpe_50k.json", t), records.END]
+        assert got[d] == (len(x), crc(x)), t
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(df).collect()}
+    for d, t in enumerate(SPECIAL):
+        x = [*ids("word_bpe_49k.json", t), packing.END]
+        assert got[d] == (len(x), crc(x)), t
+    counts = separators.token_counts(df).collect()
+    assert sorted(r.doc_id for r in counts) == list(range(len(SPECIAL))) and min(r.n_tokens for r in counts) > 1
+
+
 def test_records_and_separators_round_trip(spark, odd, monkeypatch):
     monkeypatch.setattr(records, "ROLL_BYTES", 20_000)
     tok = bpe.Encoder(bpe.vocabulary("byte_bpe_50k.json")).tok
