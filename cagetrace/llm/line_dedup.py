@@ -20,7 +20,8 @@ similarity of at least *percent* with it, whether or not that one went too.
 Defined results: lines of fewer than *least* distinct words are never
 removed and remove none (the query and the pipeline take EVERY line with a
 word); lines without a word stay; null texts stay null, without lines; rows repeated
-with one id and text are one document; rows without an id come last in order.
+with one id and text are one document, unless a column numbers the rows, which
+makes each a document of its own; rows without an id come last in order.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ EVERY = 1
 #: Buckets of the rarity table (one byte each, sent to every task)
 TABLE_LOG2 = 24
 _FLUSH = 1 << 22
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def line_sets(part: pa.RecordBatch):
@@ -202,14 +204,19 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     return x.select("c", "set_a", "set_b").mapInArrow(run, "c long").distinct()
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """Adds rid, the identity of a row's id and text, and ord, its place in order."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ord"), "text")
+def _identity(row: str | None) -> F.Column:
+    """What tells documents apart: the number of the row, or its id and text."""
+    return F.col(row) if row else F.xxhash64("doc_id", "text")
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
+def _rows(docs: DataFrame, row: str | None) -> DataFrame:
+    """Adds rid, the identity of a document, and ord, its place in order."""
+    return docs.select(_identity(row).alias("rid"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ord"), "text")
+
+
+def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, row: str | None = None) -> DataFrame:
     """(rid, gone) for each row of *docs* (doc_id, text) that loses lines: their numbers."""
-    rows = _rows(docs)
+    rows = _rows(docs, row)
     rare = rarity(rows.select("text"), least)
     schema = "rid long, ord long, line int, key long, n int, tokens array<long>, pos array<int>, m0 long, m1 long"
     place = F.struct("ord", "rid", "line")
@@ -250,17 +257,26 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, removed: str = "lines_removed", emptied: str = "emptied") -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, removed: str = "lines_removed", emptied: str = "emptied",
+                row: str | None = None) -> DataFrame:
     """*docs* with later matching lines taken out of ``text``.
 
     Adds two columns under the names given: the number of lines removed, and
-    whether that left no line with a word in it.
+    whether every line with a word in it, however short, matches an earlier
+    one.  *row* names a column of stored, distinct longs by which rows repeated
+    with one id and text are documents of their own, in the order of those
+    numbers.
     """
-    gone = stage(removed_lines(docs.select("doc_id", "text"), percent, least), "gone").toDF("__rid", "__gone")
-    out = docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(gone, "__rid", "left")
-    out = out.withColumn("text", _without("text", "__gone"))
-    none = F.col("__gone").isNotNull() & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return out.withColumns({removed: F.coalesce(F.size("__gone"), F.lit(0)), emptied: F.coalesce(none, F.lit(False))}).drop("__rid", "__gone")
+    of = docs.select("doc_id", "text", *([row] if row else []))
+    gone = stage(removed_lines(of, percent, least, row), "gone").toDF("__rid", "__gone")
+    out = docs.withColumn("__rid", _identity(row)).join(gone, "__rid", "left").withColumn("__left", _without("text", "__gone"))
+    left = "__left"
+    if least > EVERY:  # the lines that *least* spares may be repeats too
+        again = stage(removed_lines(of, percent, EVERY, row), "again").toDF("__rid", "__again")
+        out, left = out.join(again, "__rid", "left").withColumn("__new", _without("text", "__again")), "__new"
+    none = F.col("text").rlike(_WORD) & ~F.col(left).rlike(_WORD)
+    out = out.withColumns({removed: F.coalesce(F.size("__gone"), F.lit(0)), emptied: F.coalesce(none, F.lit(False)), "text": F.col("__left")})
+    return out.drop("__rid", "__gone", "__left", "__again", "__new")
 
 
 def line_report(docs: DataFrame, percent: int = PERCENT, least: int = EVERY) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cagetrace.llm.store import stage
 
@@ -133,14 +134,18 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(texts)[:DICTIONARY_BYTES] or b"\n" * 8
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of *docs*."""
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of *docs*, and its columns *carry* as they are."""
     model = fit(docs, labels)
 
     def run(batches):
         for b in batches:
             texts = [(t or "").encode() for t in b.column("text").to_pylist()]
             s = np.full(len(texts), 0.5) if model is None else model.score(texts) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64())], names=["doc_id", "held_out", "score"])
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), *(b.column(c) for c in carry)],
+                                             names=["doc_id", "held_out", "score", *carry])
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *carry)
+    schema = StructType().add("doc_id", "long").add("held_out", "boolean").add("score", "double")
+    for c in carry:
+        schema = schema.add(docs.schema[c])
+    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

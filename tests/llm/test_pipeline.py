@@ -47,3 +47,27 @@ def test_line_dedup_keeps_what_is_left(spark):
     docs = spark.createDataFrame([(1, seen), (2, f"{seen}\nroses are red\n\nviolets"), (3, f" \n{seen}\n\t"), (4, "\n "), (5, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in P.dedup_lines(spark, docs, SF).collect()}
     assert got == {1: seen, 2: "roses are red\n\nviolets", 4: "\n ", 5: None}
+
+
+def test_rows_are_judged_one_by_one(spark):
+    """Null and repeated ids: copies go, rejected rows go, and no row goes for another's text."""
+    item = next(r.text for r in queries.table(spark, SF, "benchmark").orderBy("item_id").collect() if len(r.text.split()) >= 13)
+    texts = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    rows = [(None, texts["a"])] * 3 + [(5, texts["a"]), (6, texts["b"]), (6, texts["b"]), (6, item), (None, item), (None, texts["c"]), (None, texts["c"]), (6, texts["d"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted([(5, texts["a"]), (6, texts["b"]), (6, texts["d"]), (None, texts["c"])], key=str)
+    unique = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    kept = want + [(6, item)]
+    assert unique(P.dedup_lines(spark, docs, SF)) == sorted(kept, key=str)
+    assert unique(P.near_duplicates(spark, docs, SF)) == sorted(kept, key=str)
+    assert unique(P.decontaminate(spark, docs, SF)) == sorted((r for r in rows if r[1] != item), key=str)
+    found = quality.classify(docs, queries.table(spark, SF, "labels"))
+    assert P.classify_quality(spark, docs, SF).count() == found.where("predicted = 1").count()
+
+
+def test_quality_rejects_rows_without_an_id(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = quality.classify(docs, queries.table(spark, SF, "labels")).select("doc_id", "predicted")
+    more = docs.unionByName(docs.join(good.where("predicted = 0"), "doc_id", "left_semi").withColumn("doc_id", F.lit(None).cast("long")))
+    out = P.classify_quality(spark, more, SF)
+    assert out.where("doc_id is null").count() == 0 and out.count() == good.where("predicted = 1").count() > 0
