@@ -92,6 +92,16 @@ def test_near_duplicates_chain_and_small_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == brute_components(rows, 3, 85)
 
 
+def test_signature_filter_spares_pairs_at_the_threshold():
+    """10,000 pairs of exactly 0.8, a union of 50 shingles."""
+    rng, least = np.random.default_rng(5), 1.0
+    for _ in range(10_000):
+        x = rng.integers(0, 1 << 64, 50, dtype=np.uint64)
+        a, b = (near_dup.signature(np.sort(s)) & np.uint64(255) for s in (x[:45], np.concatenate([x[:40], x[45:]])))
+        least = min(least, (a == b).mean())
+    assert 0.8 - near_dup.SLACK <= least < 0.7
+
+
 def brute_lines(rows, least, percent):
     """Kept line numbers per row, rows in order."""
     seen, kept = [], []
