@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cagetrace.llm import ann, chat, line_dedup, near_dup, packing, quality, records, separators, warc, winnow
+from cagetrace.llm import (adaptive_rules, ann, chat, line_dedup, near_dup, packing, prefix_trie, quality, records, separators, spelling, warc,
+                           winnow)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), least_length=6, least_count=5, noise=199))
+
+
+def op12_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return adaptive_rules.quality_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", *counts, "base_failed", "kept", "level", F.array_join("failed", ",").alias("failed"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_adaptive_scan": op2_adaptive_scan,
@@ -70,10 +85,37 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_records": op9_records,
     "op10_warc": op10_warc,
+    "op11_spelling": op11_spelling,
+    "op12_adaptive_rules": op12_adaptive_rules,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 (polynomial 0xEDB88320) of texts of code points below 0x100 in UTF-8
+_CRC_TABLE = ("crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], "
+              "lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) crc_table)")
+
+
+def _crc32(s: str) -> str:
+    points = f"flatten(list_transform(string_split({s}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, (unicode(x) - 64)::BIGINT] END))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {points}), lambda c, x: xor(c >> 8, crc_table[xor(c, x) % 256 + 1])), 4294967295)"
+
+
+def _rules_sql() -> tuple[str, str, str]:
+    """The values, thresholds and verdicts of the adaptive rules in SQL."""
+    rules = adaptive_rules.RULES
+    values = " UNION ALL ".join(f"SELECT lang, source, '{r.name}' AS rule, {r.value.replace(' div ', ' // ')} AS v FROM g" for r in rules)
+    reach = "least(q2 - q1, q3 - q2)"
+    cuts = ", ".join([f"max(q2 + {r.spread} * {reach} + {r.slack}) FILTER (q.rule = '{r.name}') AS high_{r.name}" for r in rules]
+                     + [f"max(q2 - {r.spread} * {reach} - {r.slack}) FILTER (q.rule = '{r.name}') AS low_{r.name}" for r in rules if r.low])
+    bad = ", ".join(f"CASE WHEN {r.value.replace(' div ', ' // ')} > high_{r.name}" + (f" OR {r.value.replace(' div ', ' // ')} < low_{r.name}" if r.low else "")
+                    + f" THEN '{r.name}' END" for r in rules)
+    return values, cuts, bad
+
+
+_VALUES, _CUTS, _BAD = _rules_sql()
+
 ORACLE = {
     "op1_chat": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') x FROM conversations
@@ -116,5 +158,72 @@ f AS (SELECT payload_digest, min(page_id) first FROM p WHERE payload_bytes >= 10
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END record_type,
        CASE WHEN page_id <> first THEN first END refers_to
 FROM p LEFT JOIN f USING (payload_digest)
+""",
+    "op11_spelling": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') doc, unnest(regexp_extract_all({_AZ}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) w FROM documents),
+g AS MATERIALIZED (SELECT doc, w, count(*) n FROM r WHERE length(w) >= 6 GROUP BY 1, 2),
+h AS MATERIALIZED (SELECT w, n, {_crc32("doc || ':' || w")} h FROM g, crc),
+x AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w) + 2)::BIGINT) ELSE w END word, n FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT n FROM x WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+d AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) rest FROM (SELECT word, unnest(range(1, length(word) + 1)) i FROM v)),
+e AS (SELECT DISTINCT d.word longer, v.word shorter FROM d JOIN v ON v.word = d.rest),
+p AS MATERIALIZED (SELECT a.word, b.word near FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION ALL SELECT longer, shorter FROM e UNION ALL SELECT shorter, longer FROM e),
+c AS (SELECT p.word, count(*) n_near, arg_min(near, (-v.n, near)) best, max(v.n) best_n FROM p JOIN v ON v.word = p.near GROUP BY 1),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) n_near, CASE WHEN best_n >= 5 * v.n THEN best END form, CASE WHEN best_n >= 5 * v.n THEN best_n END form_n
+      FROM v LEFT JOIN c USING (word)),
+t AS (SELECT word, word place, form AS next FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.next)
+SELECT f.word, form, t.place AS root, n, n_near, form_n FROM f JOIN t ON t.word = f.word AND t.next IS NULL
+""",
+    "op12_adaptive_rules": rf"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () k, doc_id, lang, source, coalesce(text, '') x FROM documents),
+w AS MATERIALIZED (SELECT k, regexp_extract_all(x, '[^\x20\x09-\x0D]+') w FROM t),
+i AS MATERIALIZED (SELECT k, w, unnest(range(1, len(w) - 1)) i FROM w),
+s AS MATERIALIZED (SELECT k, i, array_to_string(w[i:i + 2], ' ') s FROM i),
+m AS (SELECT k, count(DISTINCT i + o) n_repeat_words FROM s JOIN (SELECT k, s FROM s GROUP BY 1, 2 HAVING count(*) > 1) USING (k, s), range(3) r(o) GROUP BY 1),
+l AS (SELECT k, count(*) n_lines, count(*) - count(DISTINCT l) n_dup_lines
+      FROM (SELECT k, unnest(string_split(x, chr(10))) l FROM t) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+c AS MATERIALIZED (SELECT t.k, doc_id, lang, source, len(w)::BIGINT n_words, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) word_chars,
+      length(x) - length(regexp_replace(x, '[#*$%&|<>]+', '', 'g')) n_symbols, coalesce(n_lines, 0) n_lines, coalesce(n_dup_lines, 0) n_dup_lines,
+      coalesce(n_repeat_words, 0) n_repeat_words FROM t JOIN w USING (k) LEFT JOIN m USING (k) LEFT JOIN l USING (k)),
+b AS MATERIALIZED (SELECT *, {adaptive_rules.BASE} AS base_failed FROM c),
+g AS (SELECT * FROM b WHERE NOT base_failed),
+u AS (SELECT lang, source, rule, greatest(length(bin(v)) - {adaptive_rules.BITS}, 0)::INT sh, v FROM ({_VALUES})),
+k AS MATERIALIZED (SELECT lang, source, rule, (v >> sh) << sh bucket, count(*) n FROM u GROUP BY ALL),
+a AS (SELECT 'source' lv, lang, source, rule, bucket, n FROM k UNION ALL SELECT 'lang', lang, NULL, rule, bucket, sum(n) FROM k GROUP BY ALL
+      UNION ALL SELECT 'all', NULL, NULL, rule, bucket, sum(n) FROM k GROUP BY ALL),
+z AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, rule ORDER BY bucket) upto, sum(n) OVER (PARTITION BY lv, lang, source, rule) total FROM a),
+q AS MATERIALIZED (SELECT lv, lang, source, rule, max(total) total, min(bucket) FILTER (4 * upto >= total) q1, min(bucket) FILTER (4 * upto >= 2 * total) q2,
+      min(bucket) FILTER (4 * upto >= 3 * total) q3 FROM z GROUP BY ALL),
+j AS (SELECT x.lang, x.source, x.rule, CASE WHEN x.total >= {adaptive_rules.LEAST} THEN x.lv WHEN y.total >= {adaptive_rules.LEAST} THEN y.lv ELSE o.lv END AS level
+      FROM (SELECT * FROM q WHERE lv = 'source') x JOIN (SELECT * FROM q WHERE lv = 'lang') y ON x.lang IS NOT DISTINCT FROM y.lang AND x.rule = y.rule
+      JOIN (SELECT * FROM q WHERE lv = 'all') o ON o.rule = x.rule),
+h AS (SELECT j.lang, j.source, j.level, {_CUTS} FROM j JOIN q ON q.lv = j.level AND q.rule = j.rule AND (j.level = 'all' OR q.lang IS NOT DISTINCT FROM j.lang)
+      AND (j.level <> 'source' OR q.source IS NOT DISTINCT FROM j.source) GROUP BY 1, 2, 3),
+f AS (SELECT b.*, h.level, CASE WHEN base_failed THEN '' ELSE concat_ws(',', {_BAD}) END failed
+      FROM b LEFT JOIN h ON b.lang IS NOT DISTINCT FROM h.lang AND b.source IS NOT DISTINCT FROM h.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept,
+       CASE WHEN NOT base_failed THEN level END AS level, failed FROM f
+""",
+    "op13_prefix_trie": rf"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') x FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, sha256(length(r) || ':' || r || x) s, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) w FROM t),
+o AS MATERIALIZED (SELECT conv_id, s, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, to_base64(unhex(substr(s, 1, 30)))) i FROM k),
+c AS MATERIALIZED (SELECT DISTINCT conv_id, conv_id - conv_id % 20 base, {_crc32("conv_id::VARCHAR")} % 4 h FROM (SELECT DISTINCT conv_id FROM o), crc),
+b AS MATERIALIZED (SELECT c.conv_id, o.i, o.s, o.w FROM c JOIN o ON o.conv_id = c.base AND o.i <= c.h
+      UNION ALL SELECT c.conv_id, o.i + 10, o.s, o.w FROM c JOIN o ON o.conv_id = c.conv_id AND o.i > c.h),
+q AS MATERIALIZED (SELECT c.conv_id, coalesce(list(s ORDER BY i) FILTER (s IS NOT NULL), []) s, coalesce(list(w ORDER BY i) FILTER (w IS NOT NULL), []) w
+      FROM c LEFT JOIN b USING (conv_id) GROUP BY 1),
+p AS MATERIALIZED (SELECT conv_id, d AS depth, array_to_string(s[1:d], '') p, CASE WHEN d > 0 THEN w[d] ELSE 0 END w, d = len(s) AS ends
+      FROM (SELECT *, unnest(range(0, len(s) + 1)) d FROM q)),
+n AS MATERIALIZED (SELECT p, depth, min(conv_id) conv_id, count(*) n_convs, max(w) w, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) ends_sha256
+      FROM p GROUP BY 1, 2),
+u AS MATERIALIZED (SELECT substr(p, 1, 64 * (depth - 1)) p, count(*) n_children FROM n WHERE depth > 0 GROUP BY 1),
+a AS (SELECT substr(n.p, 1, 64 * g) p, sum((n_convs - 1) * w)::BIGINT saved_tokens, count(*) FILTER (u.p IS NULL) n_leaves
+      FROM (SELECT *, unnest(range(0, depth + 1)) g FROM n) n LEFT JOIN u ON u.p = n.p GROUP BY 1)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n m ON n.depth > 0 AND m.p = substr(n.p, 1, 64 * (n.depth - 1)) LEFT JOIN u ON u.p = n.p JOIN a ON a.p = n.p
 """,
 }

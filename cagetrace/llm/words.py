@@ -21,6 +21,7 @@ _pow: list[np.ndarray] = []
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+AS_IS = np.arange(256, dtype=np.uint8)
 _b = np.arange(256)
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after lower-casing
 ALNUM = ((_b >= 0x30) & (_b <= 0x39)) | ((_b >= 0x41) & (_b <= 0x5A)) | ((_b >= 0x61) & (_b <= 0x7A)) | (_b >= 0x80)
@@ -76,8 +77,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
         i = j
 
 
-def words(data: np.ndarray, off: np.ndarray, cls: np.ndarray):
-    """(hash per word, index of each text's first word (n+1), start byte, end byte)."""
+def words(data: np.ndarray, off: np.ndarray, cls: np.ndarray, fold: np.ndarray = LOWER):
+    """(hash per word, index of each text's first word (n+1), start byte, end byte).
+
+    Words are runs of bytes in *cls*; *fold* maps the bytes that are hashed
+    (``AS_IS`` keeps upper case apart).
+    """
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
@@ -98,7 +103,7 @@ def words(data: np.ndarray, off: np.ndarray, cls: np.ndarray):
     with np.errstate(over="ignore"):
         while k < len(starts):
             if ends[k] - starts[k] > _LONG:
-                d = LOWER[data[starts[k]:ends[k]]].tobytes()
+                d = fold[data[starts[k]:ends[k]]].tobytes()
                 out[k] = int.from_bytes(hashlib.blake2b(d, digest_size=8).digest(), "little")
                 k += 1
                 continue
@@ -109,7 +114,7 @@ def words(data: np.ndarray, off: np.ndarray, cls: np.ndarray):
                 e = min(e, int(long[nxt]))
             b = ends[e - 1]
             c = np.zeros(b - a + 1, U)
-            np.cumsum(LOWER[data[a:b]].astype(U) * pw[:b - a], out=c[1:])
+            np.cumsum(fold[data[a:b]].astype(U) * pw[:b - a], out=c[1:])
             s, t = starts[k:e] - a, ends[k:e] - a
             out[k:e] = (c[t] - c[s]) * ipw[s] + (t - s).astype(U) * U(0xD6E8FEB86659FD93)
             k = e
