@@ -75,53 +75,51 @@ def contact_bouts(events: DataFrame, session: str = S) -> DataFrame:
             .withColumn("approach_id", F.when(ev == 1, F.lag("moving_r_id").over(w))))
 
 
-def contact_events_wide(wide: DataFrame, ids, thresholds, session: str = S, part=(),
-                        keep: str | None = None) -> DataFrame:
-    """``contact_events`` straight from per-frame wide rows.
+def _dist(a, b) -> str:
+    dx, dy = f"(id_{a}_x - id_{b}_x)", f"(id_{a}_y - id_{b}_y)"
+    return f"sqrt({dx} * {dx} + {dy} * {dy})"
+
+
+def with_crossings(wide: DataFrame, ids, thresholds, session: str = S, part=()) -> DataFrame:
+    """Per-frame wide rows with ``_ev``: the pairs whose distance crosses a threshold in this frame, null where none does.
 
     A distance is symmetric, so each unordered pair's previous distance is
     one lag over the frame order (a sort of frames, not of 12x as many
-    directed pair rows).  Frames where no threshold is crossed are dropped
-    by a plain predicate; only the rest build their directed event rows.
-    Same output as ``contact_events(pair_rows(wide))``.  The generated
-    expressions (pairs x thresholds) are written as SQL text: one call
-    each instead of thousands of driver round trips.
+    directed pair rows).  Written as SQL text: one call however many pairs
+    and thresholds there are.
     """
     from itertools import combinations
-    pairs = list(combinations(ids, 2))
+    pairs = list(combinations(sorted(ids), 2))
     order = ", ".join(f"`{c}`" for c in (session, *part))
+    f = wide.selectExpr("*", *[f"{_dist(a, b)} AS _d_{a}_{b}" for a, b in pairs])
+    f = f.selectExpr("*", *[f"lag(_d_{a}_{b}) OVER (PARTITION BY {order} ORDER BY time) AS _p_{a}_{b}" for a, b in pairs])
+
+    def entry(a, b, t):
+        p, d = f"_p_{a}_{b}", f"_d_{a}_{b}"
+        return (f"CASE WHEN ({p} < {t}) <> ({d} < {t}) THEN named_struct('threshold', {t}, 'a', {a}, 'b', {b}, 'dist', {d}, 'nearing', int({d} < {t}), "
+                f"'nearing_event', int({p} < {t}) - int({d} < {t}), 'ra', id_{a}_roll_r, 'rb', id_{b}_roll_r, 'fa', id_{a}_roll_f, 'fb', id_{b}_roll_f) END")
+
     ts = [f"{float(t)!r}D" for t in thresholds]
+    hit = " OR ".join(f"(_p_{a}_{b} < {t}) <> (_d_{a}_{b} < {t})" for a, b in pairs for t in ts)
+    found = ", ".join(entry(a, b, t) for t in ts for a, b in pairs)
+    return f.selectExpr(*[f"`{c}`" for c in wide.columns], f"CASE WHEN {hit} THEN array_compact(array({found})) END AS _ev")
 
-    def dist(a, b):
-        dx, dy = f"(id_{a}_x - id_{b}_x)", f"(id_{a}_y - id_{b}_y)"
-        return f"sqrt({dx} * {dx} + {dy} * {dy})"
 
-    def near(v, t):
-        return f"(CASE WHEN {v} < {t} THEN 1 WHEN {v} >= {t} THEN 0 END)"
+def crossing_events(wide: DataFrame, session: str = S, part=()) -> DataFrame:
+    """Event rows, both directions of each entry of ``_ev``; same output as ``contact_events(pair_rows(wide))``."""
+    keys = [f"`{c}`" for c in (session, *part)]
 
-    def event(a, b, t):
-        lo, hi = min(a, b), max(a, b)
-        return f"({near(f'_p_{lo}_{hi}', t)} - {near(f'_d_{lo}_{hi}', t)})"
+    def mover(e, one, other):
+        return f"CASE WHEN {e}a IS NULL OR {e}b IS NULL THEN CAST(NULL AS INT) WHEN {e}{one} > {e}{other} THEN {one} ELSE {other} END"
 
-    f = wide.selectExpr("*", *[f"{dist(a, b)} AS _d_{a}_{b}" for a, b in pairs])
-    f = f.selectExpr("*", *[f"lag(_d_{a}_{b}) OVER (PARTITION BY {order} ORDER BY time) AS _p_{a}_{b}"
-                            for a, b in pairs])
-    if keep:
-        f = f.filter(F.col(keep))
-    f = f.filter(" OR ".join(f"coalesce({event(a, b, t)} <> 0, false)" for a, b in pairs for t in ts))
+    both = ", ".join(f"named_struct('ida', {x}, 'idb', {y}, 'moving_r_id', {mover('r', x, y)}, 'moving_f_id', {mover('f', x, y)})" for x, y in ("ab", "ba"))
+    ev = wide.filter("_ev IS NOT NULL").selectExpr(*keys, "time", "time0", "inline(_ev)")
+    ev = ev.selectExpr(*keys, "threshold", "time", "time0", "dist", "nearing", "nearing_event", f"inline(array({both}))")
+    return ev.select(session, *part, "threshold", "time", "time0", "ida", "idb", "dist", "nearing", "nearing_event", "moving_r_id", "moving_f_id")
 
-    def entry(a, b, t):
-        lo, hi = min(a, b), max(a, b)
-        return (f"named_struct('threshold', {t}, 'ida', {a}, 'idb', {b}, 'dist', _d_{lo}_{hi}, "
-                f"'nearing', {near(f'_d_{lo}_{hi}', t)}, 'nearing_event', {event(a, b, t)}, "
-                f"'roll_r_a', id_{a}_roll_r, 'roll_r_b', id_{b}_roll_r, "
-                f"'roll_f_a', id_{a}_roll_f, 'roll_f_b', id_{b}_roll_f)")
 
-    cand = ", ".join(entry(a, b, t) for t in ts for a in ids for b in ids if a != b)
-    keys = [f"`{c}`" for c in (session, *part)]
-    ev = (f.selectExpr(*keys, "time", "time0", f"inline(array({cand}))")
-          .filter(F.col("nearing_event") != 0))
-    return ev.select(session, *part, "threshold", "time", "time0", "ida", "idb", "dist",
-                     "nearing", "nearing_event",
-                     _mover("roll_r_a", "roll_r_b").alias("moving_r_id"),
-                     _mover("roll_f_a", "roll_f_b").alias("moving_f_id"))
+def contact_events_wide(wide: DataFrame, ids, thresholds, session: str = S, part=(),
+                        keep: str | None = None) -> DataFrame:
+    """``contact_events`` straight from per-frame wide rows."""
+    f = with_crossings(wide, ids, thresholds, session, part)
+    return crossing_events(f.filter(F.col(keep)) if keep else f, session, part)

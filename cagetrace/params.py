@@ -43,6 +43,8 @@ class SweepParams:
     interaction: bool = True
 
     def __post_init__(self):
+        if any(w != int(w) or w < 1 for w in self.bin_widths):
+            raise ValueError("bin widths must be whole minutes")   # 2 and 2.5 would share a column value
         for w in self.bin_widths:
             if self.bin_within < w:
                 # the reference would emit a bin at -w here

@@ -13,12 +13,12 @@ Cage mask (optional): centres from value histograms.
 Stage 1, key (session, time chunk): local frame index, local previous and
   next known values.  A summary row per chunk gives offsets, the known
   values of other chunks, counts and the common start, joined back on the
-  same key.  Fill and trim follow per row.
+  same key; both read one exchange.  Fill and trim follow per row.
 Stage 2, key (session, index chunk) plus halo copies of fps + 2 frames on
   each side: step length, rolling sums, pair distances and the event lag
   see their neighbours; only a chunk's own frames are emitted.
-Bouts: lead/lag of events inside a chunk, and across chunks from a summary
-  of each chunk's first and last event per pair and threshold.
+Bouts: lead/lag of events inside a chunk; each chunk's first and last event
+  per pair and threshold are stitched to those of its neighbours.
 """
 
 from __future__ import annotations
@@ -29,8 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cagetrace.functions.rolling import (centred, edge_null_mean, edge_null_sd, leading, running,
-                                         strict_sum, trailing)
+from cagetrace.functions.rolling import centred, edge_null_mean, edge_null_sd, leading, strict_sum, trailing
 from cagetrace.operators import clean as C
 from cagetrace.operators import contacts as CT
 from cagetrace.operators import motion as M
@@ -151,53 +150,53 @@ def _tc(p: CleanParams, chunk_ms: int = CHUNK_MS) -> Column:
     return F.floor(F.unix_millis("time") / F.lit(int(chunk_ms))).alias("_tc")
 
 
-def _known(c: str, i: Column) -> Column:
-    return F.when(F.col(c).isNotNull(), F.struct(i.alias("i"), F.col(c).alias("v")))
-
-
-def _shift(s: Column, off: Column) -> Column:
-    """Local (i, v) -> global (off + i, v); null stays null."""
-    return F.when(s.isNotNull(), F.struct((off + s["i"]).alias("i"), s["v"].alias("v")))
-
-
 def located(frames: DataFrame, p: CleanParams, session: str = S, chunk_ms: int = CHUNK_MS,
             chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Wide frames, key (session, _tc), with the chunk summary joined: frame index
     ``_gi``, previous and next known value of each axis, the common start, and
-    each subject's first complete time."""
+    each subject's first complete time.
+
+    Frames are shuffled by chunk once: the summary and the frames it is joined to
+    read the same columns of the same exchange (Spark reuses it).  Rows are
+    sorted in a chunk and numbered as they come, so the summary needs no window;
+    only differences of these numbers within a chunk are used.
+    """
     d = deduped(frames, p, session, chunk_rows)
     if p.rm_cage_outlier:
         d = cage_mask(d, p, session).drop("_tc")
     cols = _xy(p.ids)
-    f = d.withColumn("_tc", _tc(p, chunk_ms)).repartition(session, "_tc")
-    part = W.partitionBy(session, "_tc")
-    asc, desc = part.orderBy("time"), part.orderBy(F.col("time").desc())
-    li = F.col("_li")
-    f = f.withColumn("_li", F.row_number().over(asc))
-    f = f.select("*", *[F.last(_known(c, li), ignorenulls=True).over(running(asc)).alias(f"_lp_{c}") for c in cols])
-    f = f.select("*", *[F.last(_known(c, li), ignorenulls=True).over(running(desc)).alias(f"_ln_{c}") for c in cols])
-    s = f.groupBy(session, "_tc").agg(
-        F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"_k_{c}") for c in cols],
-        *[F.min(_known(c, li)).alias(f"f_{c}") for c in cols], *[F.max(_known(c, li)).alias(f"l_{c}") for c in cols],
-        *[F.min(F.when(F.col(f"id_{k}_x").isNotNull() & F.col(f"id_{k}_y").isNotNull(), F.col("time"))).alias(f"mt_{k}") for k in p.ids],
-        *[F.max(f"id_{k}_in").alias(f"in_{k}") for k in p.ids])
-    ws = W.partitionBy(session)
-    up, down = ws.orderBy("_tc").rowsBetween(UNB, -1), ws.orderBy(F.col("_tc").desc()).rowsBetween(UNB, -1)
-    s = s.withColumn("_off", F.coalesce(F.sum("n").over(up), F.lit(0)))
-    off = F.col("_off")
-    s = s.select("*", *[_shift(F.col(f"{e}_{c}"), off).alias(f"g{e}_{c}") for e in "fl" for c in cols])
-    s = s.select(session, "_tc", "_off", *[F.last(f"gl_{c}", ignorenulls=True).over(up).alias(f"_pp_{c}") for c in cols],
-                 *[F.last(f"gf_{c}", ignorenulls=True).over(down).alias(f"_nn_{c}") for c in cols],
-                 *[F.sum(f"_k_{c}").over(ws).alias(f"_k_{c}") for c in cols],
-                 *[F.min(f"mt_{k}").over(ws).alias(f"_mt_{k}") for k in p.ids],
-                 *[F.max(f"in_{k}").over(ws).alias(f"_in_{k}") for k in p.ids])
-    miss, seen = F.lit(False), []
-    for k in p.ids:
-        miss = miss | (F.col(f"_in_{k}") & F.col(f"_mt_{k}").isNull())
-        seen.append(F.when(F.col(f"_in_{k}"), F.col(f"_mt_{k}")))
-    s = s.withColumn("_start", F.when(~miss, F.greatest(*seen)))
-    j = f.drop(*[f"id_{k}_in" for k in p.ids]).join(s, [session, "_tc"])
-    return j.withColumn("_gi", F.col("_off") + li).withColumnsRenamed({f"_in_{k}": f"id_{k}_in" for k in p.ids})
+    f = d.withColumn("_tc", _tc(p, chunk_ms)).repartition(session, "_tc").sortWithinPartitions(session, "_tc", "time")
+    f = f.withColumn("_r", F.monotonically_increasing_id())
+
+    def known(c):
+        return f"CASE WHEN {c} IS NOT NULL THEN _r END"
+
+    s = f.groupBy(session, "_tc").agg(*[F.expr(e) for e in (
+        "count(1) AS n", "min(_r) AS _r0", *[f"count({c}) AS _k_{c}" for c in cols],
+        *[x for c in cols for x in (f"min({known(c)}) AS fi_{c}", f"min_by({c}, {known(c)}) AS fv_{c}", f"max({known(c)}) AS li_{c}", f"max_by({c}, {known(c)}) AS lv_{c}")],
+        *[f"min(CASE WHEN id_{k}_x IS NOT NULL AND id_{k}_y IS NOT NULL THEN time END) AS mt_{k}" for k in p.ids],
+        *[f"max(id_{k}_in) AS in_{k}" for k in p.ids])])
+    up, down = (f"(PARTITION BY `{session}` ORDER BY _tc{way} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for way in ("", " DESC"))
+    s = s.selectExpr("*", f"coalesce(sum(n) OVER {up}, 0L) AS _off")
+    s = s.selectExpr(f"`{session}`", "_tc", "_off", *[f"_k_{c}" for c in cols], *[f"{m}_{k}" for m in ("mt", "in") for k in p.ids],
+                     *[x for e in "fl" for c in cols for x in (f"_off + {e}i_{c} - _r0 + 1 AS {e}i_{c}", f"{e}v_{c}")])
+    s = s.selectExpr("*", *[x for c in cols for x in (f"last(li_{c}, true) OVER {up} AS _ppi_{c}", f"last(lv_{c}, true) OVER {up} AS _ppv_{c}",
+                                                      f"last(fi_{c}, true) OVER {down} AS _nni_{c}", f"last(fv_{c}, true) OVER {down} AS _nnv_{c}")],
+                     *[f"coalesce(sum(_k_{c}) OVER {w}, 0L) AS _k{i}_{c}" for i, w in enumerate((up, down)) for c in cols],
+                     *[f"min(mt_{k}) OVER {w} AS mt{i}_{k}" for i, w in enumerate((up, down)) for k in p.ids],
+                     *[f"coalesce(max(in_{k}) OVER {w}, false) AS in{i}_{k}" for i, w in enumerate((up, down)) for k in p.ids])
+    s = s.selectExpr(f"`{session}`", "_tc", "_off", *[f"_{e}_{c}" for e in ("ppi", "ppv", "nni", "nnv") for c in cols], *[f"_k_{c} + _k0_{c} + _k1_{c} AS _k_{c}" for c in cols],
+                     *[f"least(mt_{k}, mt0_{k}, mt1_{k}) AS _mt_{k}" for k in p.ids], *[f"in_{k} OR in0_{k} OR in1_{k} AS _in_{k}" for k in p.ids])
+    never = " OR ".join(f"(_in_{k} AND _mt_{k} IS NULL)" for k in p.ids)
+    seen = ", ".join(f"CASE WHEN _in_{k} THEN _mt_{k} END" for k in p.ids)
+    s = s.selectExpr("*", f"CASE WHEN NOT ({never}) THEN greatest({seen}) END AS _start")
+    asc, desc = (f"(PARTITION BY `{session}`, _tc ORDER BY time{way} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for way in ("", " DESC"))
+    f = f.selectExpr("*", f"first(_r) OVER {asc} AS _r0",
+                     *[x for c in cols for e, w in (("p", asc), ("n", desc)) for x in (f"last({known(c)}, true) OVER {w} AS _{e}i_{c}", f"last({c}, true) OVER {w} AS _{e}v_{c}")])
+    # true for every frame; with it both sides of the join read the same columns
+    f = f.filter(" OR ".join(f"id_{k}_in" for k in p.ids)).drop(*[f"id_{k}_in" for k in p.ids])
+    j = f.join(s, [session, "_tc"]).withColumn("_gi", F.expr("_off + _r - _r0 + 1"))
+    return j.withColumnsRenamed({f"_in_{k}": f"id_{k}_in" for k in p.ids})
 
 
 def starts(frames: DataFrame, p: CleanParams, session: str = S, **chunks) -> DataFrame:
@@ -217,20 +216,17 @@ def _cleaned(frames: DataFrame, p: CleanParams, session: str, chunk_ms: int, chu
     known value; an axis with fewer than two known values keeps them and
     leaves its gaps null.
     """
-    j = located(frames, p, session, chunk_ms, chunk_rows)
-    i = F.col("_gi")
-    fills = {}
-    for c in _xy(p.ids):
-        pv = F.coalesce(_shift(F.col(f"_lp_{c}"), F.col("_off")), F.col(f"_pp_{c}"))
-        nv = F.coalesce(_shift(F.col(f"_ln_{c}"), F.col("_off")), F.col(f"_nn_{c}"))
-        fills[c] = (F.when(F.col(c).isNotNull(), F.col(c))
-                    .when(F.col(f"_k_{c}") < 2, F.lit(None).cast("double"))
-                    .when(pv.isNull(), nv["v"])
-                    .when(nv.isNull(), pv["v"])
-                    .otherwise(pv["v"] + (nv["v"] - pv["v"]) * (i - pv["i"]) / (nv["i"] - pv["i"])))
-    j = j.withColumns(fills).filter(F.col("time") >= F.col("_start"))
-    t0 = (F.unix_micros("time") - F.unix_micros("_start")) / F.lit(M.US_PER_MIN)
-    return j.select(session, "frame_no", "time", t0.alias("time0"), "_gi", *_frame_cols(p.ids))
+    j = located(frames, p, session, chunk_ms, chunk_rows).filter("time >= _start")
+
+    def fill(c):
+        p0, n0 = (f"coalesce(_{e}i_{c} + _off - _r0 + 1, _{e}{e}i_{c})" for e in "pn")
+        p1, n1 = (f"coalesce(_{e}v_{c}, _{e}{e}v_{c})" for e in "pn")
+        return (f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN _k_{c} < 2 THEN CAST(NULL AS DOUBLE) WHEN {p0} IS NULL THEN {n1} WHEN {n0} IS NULL THEN {p1} "
+                f"ELSE {p1} + ({n1} - {p1}) * (_gi - {p0}) / ({n0} - {p0}) END AS {c}")
+
+    t0 = f"(unix_micros(time) - unix_micros(_start)) / {M.US_PER_MIN!r}D AS time0"
+    return j.selectExpr(f"`{session}`", "frame_no", "time", t0, "_gi", *[e for k in p.ids for e in (fill(f"id_{k}_x"), fill(f"id_{k}_y"))],
+                        *[f"id_{k}_in" for k in p.ids])
 
 
 def clean(frames: DataFrame, p: CleanParams, session: str = S, chunk_ms: int = CHUNK_MS,
@@ -252,10 +248,11 @@ class Behavior:
     wide_all: DataFrame
     ids: tuple[int, ...]
     session: str = S
+    crossed: tuple[float, ...] = ()   # thresholds whose crossings are stored in ``_ev``
 
     @property
     def wide(self) -> DataFrame:
-        return self.wide_all.filter("_own").drop("_ic", "_own", *[f"id_{k}_in" for k in self.ids])
+        return self.wide_all.filter("_own").drop("_ic", "_own", "_ev", *[f"id_{k}_in" for k in self.ids])
 
     def rows(self, cols) -> DataFrame:
         """Long rows of some derived columns; only these are read from a stored table."""
@@ -275,58 +272,54 @@ class Behavior:
 
     def events(self, thresholds) -> DataFrame:
         """Contact events for every threshold, keyed (session, _ic)."""
-        return CT.contact_events_wide(self.wide_all, self.ids, thresholds, self.session, part=("_ic",), keep="_own")
+        stored = bool(self.crossed) and self.crossed == tuple(thresholds)
+        rows = self.wide_all if stored else CT.with_crossings(self.wide_all.drop("_ev"), self.ids, thresholds, self.session, ("_ic",))
+        return CT.crossing_events(rows.filter("_own"), self.session, ("_ic",))
 
     def bouts(self, thresholds) -> DataFrame:
         """Contact events with bout attributes for every threshold."""
         return chunked_bouts(self.events(thresholds), self.session)
 
-    def materialized(self) -> "Behavior":
-        return Behavior(stage(self.wide_all, "behavior"), self.ids, self.session)
+    def materialized(self, thresholds=()) -> "Behavior":
+        """Stored; with *thresholds* their crossings too, found where the frames still lie in order, so that
+        reading the events later shuffles events only."""
+        rows = CT.with_crossings(self.wide_all, self.ids, thresholds, self.session, ("_ic",)) if thresholds else self.wide_all
+        return Behavior(stage(rows, "behavior"), self.ids, self.session, tuple(thresholds))
 
 
 def chunked_bouts(ev: DataFrame, session: str = S) -> DataFrame:
-    """Bouts of chunk-keyed events (lag taken over own + halo frames), with
-    lead/lag across chunks from each chunk's first/last event."""
-    key = [session, "_ic", "threshold", "ida", "idb"]
-    w = W.partitionBy(*key).orderBy("time")
-    us = F.unix_micros("time")
-    ev = ev.select("*", F.lead("time").over(w).alias("_nt"), F.lead("moving_f_id").over(w).alias("_nf"),
-                   F.lag("time").over(w).alias("_pt"), F.lag("moving_r_id").over(w).alias("_pr"))
-    first = F.min(F.struct(F.col("time").alias("t"), F.col("moving_f_id").alias("mf")))
-    last = F.max(F.struct(F.col("time").alias("t"), F.col("moving_r_id").alias("mr")))
-    e = ev.groupBy(*key).agg(first.alias("fst"), last.alias("lst"))
-    wp = W.partitionBy(session, "threshold", "ida", "idb").orderBy("_ic")
-    e = e.select(session, "_ic", "threshold", "ida", "idb",
-                 F.lead("fst").over(wp).alias("nxt"), F.lag("lst").over(wp).alias("prv"))
-    pk = F.struct("threshold", "ida", "idb")
-    m = e.groupBy(session, "_ic").agg(
-        F.map_from_entries(F.collect_list(F.struct(pk, F.struct("nxt", "prv")))).alias("_em"))
-    j = ev.join(m, [session, "_ic"])
-    hit = F.element_at(F.col("_em"), F.struct("threshold", "ida", "idb"))
-    last_local, first_local = F.col("_nt").isNull(), F.col("_pt").isNull()
-    nxt_t = F.when(last_local, hit["nxt"]["t"]).otherwise(F.col("_nt"))
-    nxt_f = F.when(last_local, hit["nxt"]["mf"]).otherwise(F.col("_nf"))
-    prv_r = F.when(first_local, hit["prv"]["mr"]).otherwise(F.col("_pr"))
-    evc = F.col("nearing_event")
-    return j.select(session, "threshold", "time", "time0", "ida", "idb", "dist", "nearing",
-                    "nearing_event", "moving_r_id", "moving_f_id",
-                    ((F.unix_micros(nxt_t) - us) / F.lit(1e6)).alias("duration"),
-                    F.when(evc == -1, nxt_f).alias("depart_id"),
-                    F.when(evc == 1, prv_r).alias("approach_id"))
+    """Bouts of chunk-keyed events (lag taken over own + halo frames).
+
+    Lead and lag run inside a chunk first.  Only the first and the last event of
+    each pair and threshold in a chunk lack a neighbour there; in a second pass
+    these form a series of their own over the chunks, where the next row of a
+    last event is the first one of the chunk after it.  All other events stay
+    dealt by chunk.
+    """
+    pair = f"PARTITION BY `{session}`, threshold, ida, idb, _ic"
+    ev = ev.selectExpr("*", *[f"{g}({c}) OVER ({pair} ORDER BY time) AS {a}" for g, c, a in (
+        ("lead", "time", "_nt"), ("lead", "moving_f_id", "_nf"), ("lag", "time", "_pt"), ("lag", "moving_r_id", "_pr"))])
+    ev = ev.selectExpr("*", "CASE WHEN _nt IS NOT NULL AND _pt IS NOT NULL THEN _ic END AS _inside")
+    edge = f"(PARTITION BY `{session}`, threshold, ida, idb, _inside ORDER BY time)"
+    ev = ev.selectExpr("*", f"lead(time) OVER {edge} AS _et", f"lead(moving_f_id) OVER {edge} AS _ef", f"lag(moving_r_id) OVER {edge} AS _er")
+    return ev.selectExpr(f"`{session}`", "threshold", "time", "time0", "ida", "idb", "dist", "nearing", "nearing_event", "moving_r_id", "moving_f_id",
+                         "(unix_micros(coalesce(_nt, _et)) - unix_micros(time)) / 1e6D AS duration",
+                         "CASE WHEN nearing_event = -1 THEN CASE WHEN _nt IS NULL THEN _ef ELSE _nf END END AS depart_id",
+                         "CASE WHEN nearing_event = 1 THEN CASE WHEN _pt IS NULL THEN _er ELSE _pr END END AS approach_id")
 
 
 def behavior(frames: DataFrame, p: CleanParams, session: str = S, chunk_ms: int = CHUNK_MS,
              chunk_rows: int = CHUNK_ROWS) -> Behavior:
     """Clean-and-derive; chunk sizes change the tasks, not the result."""
     rows = _halos(_cleaned(frames, p, session, chunk_ms, chunk_rows).drop("frame_no"), "_gi", chunk_rows, p.fps + 2, "_ic", "_own", session)
-    w = W.partitionBy(session, "_ic").orderBy("_gi")
+    w = f"(PARTITION BY `{session}`, _ic ORDER BY _gi)"
 
     def step(k):
-        dx, dy = (F.col(f"id_{k}_{a}") - F.lag(f"id_{k}_{a}").over(w) for a in ("x", "y"))
-        return F.sqrt(dx * dx + dy * dy).alias(f"id_{k}_move")
+        dx, dy = (f"(id_{k}_{a} - lag(id_{k}_{a}) OVER {w})" for a in "xy")
+        return f"sqrt({dx} * {dx} + {dy} * {dy}) AS id_{k}_move"
 
-    rows = rows.select("*", *[step(k) for k in p.ids])
+    rows = rows.selectExpr("*", *[step(k) for k in p.ids])
+    w = W.partitionBy(session, "_ic").orderBy("_gi")
     rows = rows.select("*", *[strict_sum(f"id_{k}_move", w, fr).alias(f"id_{k}_{n}")
                               for k in p.ids for n, fr in (("roll_r", trailing(p.fps)), ("roll_f", leading(p.fps)))])
     return Behavior(rows.drop("_gi"), p.ids, session)

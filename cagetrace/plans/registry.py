@@ -71,7 +71,7 @@ def info(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def q_total_activity(spark, sf):
     b = fixture_behavior(spark, sf)
-    t = ME.join_info(ME.total_activity(b.motion, FIXTURE_SWEEP.windows), info(spark, sf))
+    t = ME.join_info(ME.total_activity(b.rows(("move",)), FIXTURE_SWEEP.windows), info(spark, sf))
     return t.select(S, "id", r6("window_min"), r6("total_activity"), *INFO)
 
 
@@ -109,7 +109,7 @@ def q_motion(spark, sf):
 
 @query
 def q_step_distance(spark, sf):
-    m = fixture_behavior(spark, sf).motion
+    m = fixture_behavior(spark, sf).rows(("move",))
     return m.select(S, t_ms(), "id", r6("move"))
 
 
@@ -225,7 +225,7 @@ def q_frames_long(spark, sf):
 def q_bin_activity(spark, sf):
     b = fixture_behavior(spark, sf)
     sp = FIXTURE_SWEEP
-    t = windows_info(ME.bin_activity(b.motion, sp.bin_within, sp.bin_widths), spark, sf)
+    t = windows_info(ME.bin_activity(b.rows(("move",)), sp.bin_within, sp.bin_widths), spark, sf)
     return t.select(S, "id", "bin_min", "bin", r6("bin_activity"), *INFO)
 
 

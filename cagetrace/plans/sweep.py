@@ -1,10 +1,11 @@
 """Parameter sweep: every measure family for a grid of windows, bin widths
 and thresholds, over all sessions, in one plan per family.
 
-The cleaned per-frame table is checkpointed once (reliably, in the shared
-checkpoint folder) and feeds the three families; each family is a single
-aggregation keyed by session with the parameters as columns (see
-``operators.measures``), so no parameter loop reruns the job.
+The cleaned per-frame table is stored once in the shared folder, with the
+threshold crossings that were found while its frames lay in order.  Each family
+sums it per cell of a time lattice once (see ``operators.measures``); these
+small cell tables are stored too, and every window and bin table comes from
+them, dealt by recording once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from cagetrace.operators import measures as ME
 from cagetrace.operators.reshape import unpivot_measures
 from cagetrace.params import SweepParams
 from cagetrace.plans.clean_derive import Behavior
+from cagetrace.session import stage
 
 S = "session"
 
@@ -64,25 +66,26 @@ def sweep(b: Behavior, sp: SweepParams, info: DataFrame | None = None,
           materialize: bool = True) -> SweepTables:
     """All requested families for the whole grid.
 
-    With ``materialize`` the per-frame table is checkpointed once (an
-    eager job) and every family reads it; the returned tables are lazy.
+    With ``materialize`` the per-frame table and the cell tables are stored
+    (eager jobs); the returned tables are lazy.
     """
     out = SweepTables()
     if materialize:
-        b = b.materialized()
+        b = b.materialized(sp.thresholds if sp.interaction else ())
     key = b.session
+    lattice = ME.Lattice.of(sp.windows, sp.bin_within, sp.bin_widths)
+
+    def tables(cells, totals, bins):
+        cells = (stage(cells, "cells") if materialize else cells).repartition(key)
+        return (ME.join_info(totals(cells, lattice, sp.windows, key), info, key),
+                ME.join_info(bins(cells, lattice, sp.bin_within, sp.bin_widths, key), info, key))
+
     if sp.activity:
-        moves = b.rows(("move",))
-        out.activity_total = ME.join_info(ME.total_activity(moves, sp.windows, key), info, key)
-        out.activity_bin = ME.join_info(ME.bin_activity(moves, sp.bin_within, sp.bin_widths, key), info, key)
+        out.activity_total, out.activity_bin = tables(ME.move_cells(b.rows(("move",)), lattice, key), ME.activity_totals, ME.activity_bins)
     if sp.distance:
-        nb = b.neighbours
-        out.dist_total = ME.join_info(ME.total_distance(nb, sp.windows, key), info, key)
-        out.dist_bin = ME.join_info(ME.bin_distance(nb, sp.bin_within, sp.bin_widths, key), info, key)
+        out.dist_total, out.dist_bin = tables(ME.neighbour_cells(b.neighbours, lattice, key), ME.distance_totals, ME.distance_bins)
     if sp.interaction:
-        bouts = b.bouts(sp.thresholds)
-        out.inter_total = ME.join_info(ME.total_interaction(bouts, sp.windows, key), info, key)
-        out.inter_bin = ME.join_info(ME.bin_interaction(bouts, sp.bin_within, sp.bin_widths, key), info, key)
+        out.inter_total, out.inter_bin = tables(ME.contact_cells(b.bouts(sp.thresholds), lattice, key), ME.contact_totals, ME.contact_bins)
     return out
 
 

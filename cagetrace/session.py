@@ -17,12 +17,15 @@ def build_session(master: str = "local[8]", app: str = "cagetrace",
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")   # chunk stages cost CPU, not bytes
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")   # wide frames make many classes; 100 entries thrash
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")   # no call site per column expression
     )
     if scratch:
         b = b.config("spark.local.dir", scratch)

@@ -30,6 +30,9 @@ def _int_div(a: Column, b: int) -> Column:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long positions: session, frame_no, time, id, x, y (nullable doubles)."""
     ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("n"))
+    cores = spark.sparkContext.defaultParallelism
+    if len(ev.inputFiles()) < cores:   # a few small files make fewer tasks than there are cores
+        ev = ev.repartition(cores, "n")
     n = F.col("n")
     s = _int_div(n, FRAMES_PER_SESSION)
     fr = n % FRAMES_PER_SESSION

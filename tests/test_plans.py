@@ -66,3 +66,21 @@ def test_stored_frames_are_pruned(static):
     p = plan(ME.total_activity(b.rows(("move",)), [2.0, 4.0]))
     schema = re.search(r"ReadSchema: struct<([^>]*)>", p)[1]
     assert "id_1_move" in schema and "roll_r" not in schema and "id_1_x" not in schema
+
+
+def shape(df):
+    p = plan(df)
+    return len(re.findall(r"\bWindow \[", p)), len(re.findall(r"Exchange (?:hash|range|Single|RoundRobin)", p))
+
+
+def test_no_window_runs_twice(static):
+    """The chunk summary and the frames it joins read one exchange; bouts are stitched without a join."""
+    windows, moved = shape(QUERIES["contact_bouts"](static, SF_SMALL))
+    assert windows <= 10 and moved <= 7
+    assert "ReusedExchange" in plan(QUERIES["contact_bouts"](static, SF_SMALL))
+
+
+def test_sweep_tables_come_from_cells(static):
+    """Once cells are stored, each family is dealt by recording once, totals and bins alike."""
+    windows, moved = shape(QUERIES["sweep_long"](static, SF_SMALL))
+    assert windows == 1 and moved <= 7
