@@ -2,11 +2,14 @@
 
 Vectors get one more component that turns largest inner product into
 smallest distance, and are rotated at random.  Each belongs to the list of
-its nearest centroid; a query probes the lists nearest to it.  Within a list
-the rotated dimensions are read in blocks: after each block a hypothesis
-test compares the distance estimated from the dimensions so far with the
-20th best distance known, and abandons the candidates that are too far.
-Survivors are scored on the original vectors in double precision.
+its nearest centroid; a query probes the lists nearest to it.  The very nearest
+lists are searched first and give the query a threshold, its k-th distance
+there, which all its lists share.  Then the rotated dimensions of each probed
+list are read in blocks: after each block a hypothesis test compares the
+distance estimated from the dimensions so far with the threshold, and abandons
+the candidates that are too far.  A block is one matrix product at first, and
+one gather over the remaining pairs of a tile from then on.  Survivors are
+scored on the original vectors in double precision.
 
 Large lists are split into blocks of candidates and of queries, so that a
 hot list is many tasks.  The centroids are fitted on a bounded sample
@@ -27,10 +30,12 @@ from pyspark.sql import functions as F
 from cagetrace.llm.store import stage
 
 #: The share of all lists that a query probes: vectors without clusters need this much for a recall of 0.9
-SAMPLE, MOST_LISTS, PROBED = 20_000, 1024, 0.75
-CANDIDATES, QUERIES, DIMS = 4096, 512, 16
+SAMPLE, MOST_LISTS, PROBED = 20_000, 1024, 0.85
+#: The share of the lists that give a query its threshold
+SEEDS = 1 / 16
+CANDIDATES, QUERIES, DIMS, AT_ONCE = 4096, 512, 8, 1024
 #: Significance of the abandonment test: how far beyond its expectation an estimate must be
-EPSILON = 3.0
+EPSILON = 1.0
 
 
 def _matrix(col) -> np.ndarray:
@@ -64,51 +69,77 @@ def centroids(x: np.ndarray, count: int, rounds: int = 12) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """The *k* nearest centroids of each vector, nearest first."""
     d = (c * c).sum(axis=1)[None, :] - 2 * (x @ c.T)
     k = min(k, len(c))
-    return np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(c) else np.argsort(d, axis=1)
+    near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(c) else np.broadcast_to(np.arange(k), d.shape)
+    return np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, axis=1), axis=1), axis=1)
 
 
-def adaptive_scan(q: np.ndarray, v: np.ndarray, k: int, dims: int = DIMS, epsilon: float = EPSILON) -> list[np.ndarray]:
-    """Per rotated query, the rows of *v* that no test abandons (all of its *k* nearest, but for the test's error)."""
-    dim, kept = v.shape[1], []
-    known = min(len(v), max(4 * k, 128))
-    first = np.maximum(0, (q * q).sum(axis=1)[:, None] + (v[:known] ** 2).sum(axis=1)[None, :] - 2 * q @ v[:known].T)
-    worst = np.partition(first, min(k, known) - 1, axis=1)[:, min(k, known) - 1] if known >= k else np.full(len(q), np.inf)
+def _distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.maximum(0, (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * q @ v.T)
+
+
+def adaptive_scan(q: np.ndarray, v: np.ndarray, worst: np.ndarray, dims: int = DIMS, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (row of *q*, row of *v*) of rotated vectors that no test abandons, and how many dimensions were read.
+
+    *worst* is each query's threshold.  All pairs within it are returned, but for the test's error.
+    """
+    dim, read = v.shape[1], 0
     cuts = [*range(dims, dim, dims), dim]
-    vb, lo = v[:, :cuts[0]], q[:, :cuts[0]]
-    part = np.maximum(0, (lo * lo).sum(axis=1)[:, None] + (vb * vb).sum(axis=1)[None, :] - 2 * lo @ vb.T)
-    for i in range(len(q)):
-        at, d, seen = np.arange(len(v)), part[i], cuts[0]
-        for nxt in [*cuts[1:], None]:
-            reach = worst[i] * (1 + epsilon / np.sqrt(seen)) ** 2 if seen < dim else worst[i]
-            near = d * (dim / seen) <= reach * (1 + 1e-9) + 1e-12
-            at, d = at[near], d[near]
-            if nxt is None or not len(at):
+    left, right = [], []
+    for lo in range(0, len(v), AT_ONCE):
+        part, seen = v[lo:lo + AT_ONCE], cuts[0]
+        d = _distances(q[:, :seen], part[:, :seen])
+        read += d.size * seen
+        i, j = np.nonzero(d * (dim / seen) <= worst[:, None] * (1 + (epsilon / np.sqrt(seen) if seen < dim else 0)) ** 2 + 1e-9)
+        d = d[i, j]
+        for nxt in cuts[1:]:
+            if not len(i):
                 break
-            diff = v[at, seen:nxt] - q[i, seen:nxt]
-            d, seen = d + (diff * diff).sum(axis=1), nxt
-            if seen == dim and len(at) > k:
-                worst[i] = min(worst[i], np.partition(d, k - 1)[k - 1])
-        kept.append(at)
-    return kept
+            diff = part[j, seen:nxt] - q[i, seen:nxt]
+            d, read, seen = d + np.einsum("ij,ij->i", diff, diff), read + diff.size, nxt
+            near = d * (dim / seen) <= worst[i] * (1 + (epsilon / np.sqrt(seen) if seen < dim else 0)) ** 2 + 1e-9
+            i, j, d = i[near], j[near], d[near]
+        left.append(i), right.append(j + lo)
+    return np.concatenate(left), np.concatenate(right), read
+
+
+_FOUND = "query_id long, vec_id long, score double"
+
 
+def _best(q_ids, v_ids, i, j, score, k: int, *more) -> list[np.ndarray]:
+    """Of the pairs (i, j) of a tile, each query's *k* best: its id, the other's, the score, and the same of *more*."""
+    other = v_ids[j] != q_ids[i]
+    i, j, score, *more = (c[other] for c in (i, j, score, *more))
+    order = np.lexsort((v_ids[j], -score, i))
+    order = order[np.arange(len(i)) - np.searchsorted(i[order], i[order]) < k]
+    return [q_ids[i[order]], v_ids[j[order]], *(c[order] for c in (score, *more))]
+
+
+def _scan(norm: float, k: int, epsilon: float | None):
+    """A tile's function: each query's *k* best in the tile, by the adaptive scan; without *epsilon* by all distances, which are returned too."""
+    names = ["query_id", "vec_id", "score", *(["distance"] if epsilon is None else [])]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
-def _search(norm: float, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
         if not left.num_rows or not right.num_rows:
-            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=names)
+            return pa.Table.from_arrays([pa.array([], t) for t, _ in zip(kinds, names)], names=names)
         q, v = _matrix(left.column("embedding")), _matrix(right.column("embedding"))
         q_ids, v_ids = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
         rot = rotation(q.shape[1] + 1)
-        out = [[], [], []]
-        for i, at in enumerate(adaptive_scan(lift(q, norm, rot, True), lift(v, norm, rot), k + 1)):
-            at = at[v_ids[at] != q_ids[i]]
-            score = (v[at] * q[i]).sum(axis=1)
-            best = np.lexsort((v_ids[at], -score))[:k]
-            out[0].append(np.full(len(best), q_ids[i])), out[1].append(v_ids[at][best]), out[2].append(score[best])
-        return pa.Table.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, kinds)], names=names)
+        lq, lv = lift(q, norm, rot, True), lift(v, norm, rot)
+        if epsilon is None:
+            d = _distances(lq, lv)
+            few = min(k + 1 + int((q_ids[:, None] == v_ids[None, :]).sum(axis=1).max()), d.shape[1])   # beyond the query's own rows
+            j = np.argpartition(d, few - 1, axis=1)[:, :few]
+            i, j = np.repeat(np.arange(len(q)), few), j.ravel()
+            more = [d[i, j]]
+        else:
+            i, j, _ = adaptive_scan(lq, lv, left.column("worst").to_numpy(), epsilon=epsilon)
+            more = []
+        cols = _best(q_ids, v_ids, i, j, np.einsum("ij,ij->i", v[j], q[i]), k, *more)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
     return run
 
 
@@ -121,7 +152,20 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.size("embedding") == (common["n"] if common else 0)).dropDuplicates(["vec_id", "embedding"])
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, probed: float = PROBED) -> DataFrame:
+def _tiles(asked: DataFrame, indexed: DataFrame):
+    """*asked* and *indexed* (both by list) grouped into tiles: a block of a list's queries, a block of its candidates."""
+    # one row per list: how many blocks its candidates and its queries make
+    size = (indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CANDIDATES).alias("vs"))
+            .join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("qs")), "list"))
+    size = F.broadcast(stage(size, "lists"))  # at most MOST_LISTS rows
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    right = indexed.join(size, "list").select("list", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), "vs").alias("vb"), upto("qs").alias("qb"))
+    left = asked.join(size, "list").select(*asked.columns, F.pmod(F.xxhash64("query_id"), "qs").alias("qb"), upto("vs").alias("vb"))
+    key = ["list", "vb", "qb"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key))
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, probed: float = PROBED, epsilon: float = EPSILON) -> DataFrame:
     """query_id, rank, vec_id, score: the *k* nearest found of each query row of *vectors* (vec_id, embedding)."""
     v = stage(usable(vectors), "vectors")
     n, norm = v.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()
@@ -132,6 +176,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, probed: float = PROBED) ->
     rot = rotation(x.shape[1] + 1)
     cent = centroids(lift(x, norm, rot), int(np.clip(np.sqrt(n) / 2, 1, MOST_LISTS)))
     probes, kind = int(np.ceil(probed * len(cent))), v.schema["embedding"].dataType.simpleString()
+    seeds = min(probes, max(2, int(SEEDS * len(cent))))
 
     def assign(query: bool, many: int):
         def run(batches):
@@ -144,17 +189,16 @@ def search(vectors: DataFrame, is_query, k: int = 20, probed: float = PROBED) ->
     indexed = stage(v.mapInArrow(assign(False, 1), f"vec_id long, embedding {kind}, lists array<int>")
                     .select("vec_id", "embedding", F.col("lists")[0].alias("list")), "index")
     asked = stage(v.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
-                  .mapInArrow(assign(True, probes), f"query_id long, embedding {kind}, lists array<int>")
-                  .select("query_id", "embedding", F.explode("lists").alias("list")), "queries")
-    # one row per list: how many blocks its candidates and its queries make
-    size = (indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CANDIDATES).alias("vs"))
-            .join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("qs")), "list"))
-    size = F.broadcast(stage(size, "lists"))  # at most MOST_LISTS rows
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    right = indexed.join(size, "list").select("list", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), "vs").alias("vb"), upto("qs").alias("qb"))
-    left = asked.join(size, "list").select("list", "query_id", "embedding", F.pmod(F.xxhash64("query_id"), "qs").alias("qb"), upto("vs").alias("vb"))
-    key = ["list", "vb", "qb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_search(norm, k), "query_id long, vec_id long, score double")
+                  .mapInArrow(assign(True, probes), f"query_id long, embedding {kind}, lists array<int>"), "queries")
+    first = asked.select("query_id", "embedding", F.explode(F.slice("lists", 1, seeds)).alias("list"))
+    seen = _tiles(first, indexed).applyInArrow(_scan(norm, k, None), f"{_FOUND}, distance double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+    seen = stage(seen.withColumn("place", place).where(F.col("place") <= k), "seen")
+    # a query's k-th distance there; any, where they are fewer
+    worst = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d"))
+    worst = worst.select("query_id", F.when(F.col("n") >= k, F.col("d")).alias("worst"))
+    probe = asked.join(worst, "query_id", "left").select("query_id", "embedding", F.coalesce("worst", F.lit(float("inf"))).alias("worst"), F.explode("lists").alias("list"))
+    found = _tiles(stage(probe, "probes"), indexed).applyInArrow(_scan(norm, k, epsilon), _FOUND).unionByName(seen.drop("distance", "place"))
     # rows that share an id count once, by their best score
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
