@@ -17,6 +17,8 @@ import struct
 
 import numpy as np
 
+from cagetrace.llm.store import only
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _encoders: dict = {}
@@ -141,6 +143,7 @@ class Encoder:
 
 def encoder(path: str, split_special: bool = False) -> Encoder:
     """The worker's encoder of a file."""
+    only("bpe", _encoders.clear)
     if (path, split_special) not in _encoders:
         _encoders[path, split_special] = Encoder(path, split_special)
     return _encoders[path, split_special]

@@ -18,8 +18,8 @@ similarity of at least *percent* with it, whether or not that one went too.
    bound the overlap from above; pairs that pass are verified on full sets.
 
 Defined results: lines of fewer than *least* distinct words are never
-removed and remove none (the query and the pipeline take EVERY line with a
-word); lines without a word stay; null texts stay null, without lines; rows repeated
+removed and remove none (by default EVERY line with a
+word takes part); lines without a word stay; null texts stay null, without lines; rows repeated
 with one id and text are one document, unless a column numbers the rows, which
 makes each a document of its own; rows without an id come last in order.
 """
@@ -35,10 +35,10 @@ from pyspark.sql.types import StringType
 
 from cagetrace.llm import words as W
 from cagetrace.llm.near_dup import linked
-from cagetrace.llm.store import stage
+from cagetrace.llm.store import drop, stage
 
 _U = np.uint64
-PERCENT, LEAST = 80, 5
+PERCENT = 80
 #: The *least* with which every line that has a word takes part
 EVERY = 1
 #: Buckets of the rarity table (one byte each, sent to every task)
@@ -190,8 +190,14 @@ def _placed(x: str, y: str, percent: int) -> F.Column:
     return F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos")) >= _need(x, y, percent)
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The later classes (c) of *pairs* (c, other) that are similar to the earlier one."""
+def _likely(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The *pairs* (c, other) whose lengths and bit maps allow the similarity."""
+    x = pairs.alias("p").join(facts.alias("x"), F.col("p.c") == F.col("x.c")).join(facts.alias("y"), F.col("p.other") == F.col("y.c"))
+    return x.where(_bounded("x", "y", percent)).select("p.c", "p.other")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The later classes (c) of *pairs* (c, other) that are similar to the earlier one; stored."""
     def run(batches):
         for b in batches:
             ok = [linked(np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist())]
@@ -201,7 +207,9 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     sets = docs.join(needed.select("rid").distinct(), "rid", "left_semi").select("text").mapInArrow(_sets, "key long, set binary")
     sets = stage(sets.join(needed.select("key", "c"), "key").groupBy("c").agg(F.any_value("set").alias("set")), "linesets")
     x = pairs.select("c", "other").join(sets.toDF("c", "set_a"), "c").join(sets.toDF("other", "set_b"), "other")
-    return x.select("c", "set_a", "set_b").mapInArrow(run, "c long").distinct()
+    out = stage(x.select("c", "set_a", "set_b").mapInArrow(run, "c long").distinct(), "similar")
+    drop(docs.sparkSession, needed, sets)
+    return out
 
 
 def _identity(row: str | None) -> F.Column:
@@ -214,7 +222,7 @@ def _rows(docs: DataFrame, row: str | None) -> DataFrame:
     return docs.select(_identity(row).alias("rid"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ord"), "text")
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, row: str | None = None) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = EVERY, row: str | None = None) -> DataFrame:
     """(rid, gone) for each row of *docs* (doc_id, text) that loses lines: their numbers."""
     rows = _rows(docs, row)
     rare = rarity(rows.select("text"), least)
@@ -225,19 +233,26 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, r
     # the running number of range-sorted rows: a class number in order of first place
     classes = classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("c", F.monotonically_increasing_id())
     classes = stage(classes, "lineclasses")
-    index = classes.select("c", F.explode(F.arrays_zip("tokens", "pos")).alias("t")).select(F.col("t.tokens").alias("token"), "c", F.col("t.pos").alias("pos"))
+    spark, facts = docs.sparkSession, classes.select("c", "n", "m0", "m1")
+    drop(spark)
+    # the index holds a word's classes, their sizes and the word's positions; bit maps are joined to pairs only
+    index = classes.select("c", "n", F.explode(F.arrays_zip("tokens", "pos")).alias("t")).select(F.col("t.tokens").alias("token"), "c", "n", F.col("t.pos").alias("pos"))
     many = index.groupBy("token").agg(F.min("c").alias("e"), F.max("c").alias("last")).where("e < last").select("token", "e")
-    facts = classes.select("c", "n", "m0", "m1")
-    index = stage(index.join(many, "token").join(facts, "c"), "postings")
+    index = stage(index.join(many, "token"), "postings")
+    drop(spark)
     early = stage(index.where("c <> e").select("c", F.col("e").alias("other")).distinct(), "early")
-    likely = early.alias("p").join(facts.alias("x"), F.col("p.c") == F.col("x.c")).join(facts.alias("y"), F.col("p.other") == F.col("y.c"))
-    early = stage(likely.where(_bounded("x", "y", percent)).select("p.c", "p.other"), "likely")
-    settled = stage(_verify(early, classes, rows, percent), "settled")
+    likely = stage(_likely(early, facts, percent), "likely")
+    drop(spark, early)
+    settled = _verified(likely, classes, rows, percent)
+    drop(spark, likely)
     open_ = index.drop("e").join(settled, "c", "left_anti")
-    rest = open_.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.c") < F.col("x.c"))
-                                 & _bounded("x", "y", percent) & _placed("x", "y", percent))
+    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    rest = open_.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.c") < F.col("x.c")) & sizes & _placed("x", "y", percent))
     rest = stage(rest.select(F.col("x.c").alias("c"), F.col("y.c").alias("other")).distinct(), "rest")
-    similar = settled.unionByName(_verify(rest, classes, rows, percent))
+    drop(spark, index)
+    likely = stage(_likely(rest, facts, percent), "likely")
+    drop(spark, rest)
+    similar = settled.unionByName(_verified(likely, classes, rows, percent))
     # a class without a similar earlier one keeps its first line
     kept = stage(classes.select("c", "key", "first").join(similar, "c", "left_anti").select("key", "first"), "keptlines")
     goes = F.col("first").isNull() | (F.col("first") != F.col("at"))
@@ -257,7 +272,7 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, removed: str = "lines_removed", emptied: str = "emptied",
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = EVERY, removed: str = "lines_removed", emptied: str = "emptied",
                 row: str | None = None) -> DataFrame:
     """*docs* with later matching lines taken out of ``text``.
 

@@ -11,7 +11,8 @@ documents with the smallest hash of the id, and of those as many whole texts
 as fit SAMPLE_BYTES.  Class weights undo the sample's balance.
 
 Defined results: a null text is empty; without labels of both classes every
-score is 0.5; rows come back as often as they came.
+score is 0.5; rows come back as often as they came; an id with several texts is
+learnt from by its longest.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from cagetrace.llm.store import stage
+from cagetrace.llm.store import only, stage
+from cagetrace.llm.words import slices
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 5000, 24 << 20, 112 << 10, 3
 THRESHOLD = 0.3
@@ -106,8 +107,10 @@ def _sample(docs: DataFrame, labels: DataFrame) -> dict[int, tuple[int, list[byt
             if n <= room:
                 label[doc_id] = y
                 room -= n
-    texts = {r["doc_id"]: (r["text"] or "").encode() for r in
-             docs.where(F.col("doc_id").isin(list(label))).select("doc_id", "text").collect()}  # at most 2 * SAMPLE_BYTES
+    # of rows that share an id the longest text, of these the last in order: one row an id, at most 2 * SAMPLE_BYTES
+    picked = docs.where(F.col("doc_id").isin(list(label))).groupBy("doc_id").agg(
+        F.max(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)), F.coalesce("text", F.lit("")).alias("t")))["t"].alias("t")).collect()
+    texts = {r["doc_id"]: r["t"].encode() for r in picked}
     return {y: (n, [texts[d] for d in label if label[d] == y]) for y, n in counts.items()}
 
 
@@ -134,18 +137,31 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(texts)[:DICTIONARY_BYTES] or b"\n" * 8
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of *docs*, and its columns *carry* as they are."""
+def _scored(model: Model | None, batches):
+    """(slice, scores) of batches with a column ``text``, a few megabytes of text at a time."""
+    only("quality")
+    for batch in batches:
+        for b in slices(batch, "text"):
+            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
+            yield b, np.full(len(texts), 0.5) if model is None else model.score(texts)
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of *docs*."""
     model = fit(docs, labels)
 
     def run(batches):
-        for b in batches:
-            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
-            s = np.full(len(texts), 0.5) if model is None else model.score(texts) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), *(b.column(c) for c in carry)],
-                                             names=["doc_id", "held_out", "score", *carry])
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *carry)
-    schema = StructType().add("doc_id", "long").add("held_out", "boolean").add("score", "double")
-    for c in carry:
-        schema = schema.add(docs.schema[c])
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        for b, s in _scored(model, batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64())], names=["doc_id", "held_out", "score"])
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def good_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of *docs* that ``classify`` predicts good, each judged by its own text, with all their columns."""
+    model = fit(docs, labels)
+
+    def run(batches):
+        for b, s in _scored(model, batches):
+            yield b.filter(pa.array(s >= threshold))
+    return docs.mapInArrow(run, docs.schema)

