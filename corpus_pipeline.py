@@ -33,9 +33,7 @@ def _texts(rows: DataFrame) -> DataFrame:
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the compression classifier rejects go."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
-    found = quality.classify(rows, table(spark, sf_dir, "labels"), carry=("__row",))
-    return found.where("predicted = 1").select("__row.*")
+    return quality.good_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
