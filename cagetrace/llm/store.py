@@ -41,15 +41,19 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove staged *tables* that nothing reads any more, and let Spark drop the shuffle files of jobs that have ended.
 
     Spark's cleaner removes these once the driver's garbage collector has
-    found that no plan needs them, by itself only every half hour.
+    found that no plan needs them, by itself only every half hour.  The events
+    of a job that has just ended still hold its plan, so it runs twice.
     """
     import gc
+    import time
     jvm = spark.sparkContext._jvm
     for t in tables:
         path = jvm.org.apache.hadoop.fs.Path(t.staged_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):
+        time.sleep(0.4)
+        gc.collect()
+        jvm.System.gc()
 
 
 def open_fs(uri: str):
