@@ -235,8 +235,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = EVERY, r
     classes = stage(classes, "lineclasses")
     spark, facts = docs.sparkSession, classes.select("c", "n", "m0", "m1")
     drop(spark)
-    # the index holds a word's classes, their sizes and the word's positions; bit maps are joined to pairs only
-    index = classes.select("c", "n", F.explode(F.arrays_zip("tokens", "pos")).alias("t")).select(F.col("t.tokens").alias("token"), "c", "n", F.col("t.pos").alias("pos"))
+    # the index holds a word's classes, their sizes, the word's positions and a map folded to 64 bits; whole maps are joined to pairs only
+    index = classes.select("c", "n", F.col("m0").bitwiseOR(F.col("m1")).alias("m"), F.explode(F.arrays_zip("tokens", "pos")).alias("t"))
+    index = index.select(F.col("t.tokens").alias("token"), "c", "n", "m", F.col("t.pos").alias("pos"))
     many = index.groupBy("token").agg(F.min("c").alias("e"), F.max("c").alias("last")).where("e < last").select("token", "e")
     index = stage(index.join(many, "token"), "postings")
     drop(spark)
@@ -246,7 +247,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = EVERY, r
     settled = _verified(likely, classes, rows, percent)
     drop(spark, likely)
     open_ = index.drop("e").join(settled, "c", "left_anti")
-    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    sizes = ((F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+             & (F.bit_count(F.col("x.m").bitwiseXOR(F.col("y.m"))) <= F.col("x.n") + F.col("y.n") - 2 * _need("x", "y", percent)))
     rest = open_.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.c") < F.col("x.c")) & sizes & _placed("x", "y", percent))
     rest = stage(rest.select(F.col("x.c").alias("c"), F.col("y.c").alias("other")).distinct(), "rest")
     drop(spark, index)
