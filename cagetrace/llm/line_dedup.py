@@ -57,15 +57,24 @@ def line_sets(part: pa.RecordBatch):
     order = np.lexsort((start, row))
     row, start = row[order], start[order]
     number = np.arange(len(row)) - np.searchsorted(row, row)
-    line = np.searchsorted(start, st, side="right") - 1
-    by = np.argsort(h, kind="stable")
-    by = by[np.argsort(line[by], kind="stable")]
+    # words are in order of place, so a line's words lie between the starts of it and the next line
+    line = np.repeat(np.arange(len(start)), np.diff(np.searchsorted(st, np.append(start, len(data)))))
+    by = _by_line(h, line)
     h, line = h[by], line[by]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
     return h[new], line[new], row, number
 
 
+def _by_line(h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The order of words by line, then hash: one sort of both in 64 bits, two only where the cut hashes of a line tie."""
+    bits = _U(max(1, int(line[-1]).bit_length() if len(line) else 1))
+    key = (line.astype(_U) << (_U(64) - bits)) | (h >> bits)
+    by = np.argsort(key)
+    tie = np.flatnonzero(key[by[1:]] == key[by[:-1]])
+    return np.lexsort((h, line)) if (h[by[tie]] != h[by[tie + 1]]).any() else by
+
+
 def _frequencies(least: int):
     """Partial (token, lines) counts of the lines that take part."""
     def out(parts):

@@ -18,7 +18,7 @@ from cagetrace.llm.store import only
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BLOCK, _LONG = 1 << 21, 1 << 16
+_BLOCK, _LONG = 1 << 16, 1 << 16  # a block of products stays in a core's cache
 _pow: list[np.ndarray] = []
 
 LOWER = np.arange(256, dtype=np.uint8)
