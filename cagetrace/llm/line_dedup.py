@@ -247,20 +247,24 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, r
     # the index holds a word's classes, their sizes, the word's positions and a map folded to 64 bits; whole maps are joined to pairs only
     index = classes.select("c", "n", F.col("m0").bitwiseOR(F.col("m1")).alias("m"), F.explode(F.arrays_zip("tokens", "pos")).alias("t"))
     index = index.select(F.col("t.tokens").alias("token"), "c", "n", "m", F.col("t.pos").alias("pos"))
-    many = index.groupBy("token").agg(F.min("c").alias("e"), F.max("c").alias("last")).where("e < last").select("token", "e")
-    index = stage(index.join(many, "token"), "postings")
+    many = index.groupBy("token").agg(F.min(F.struct("c", "n", "m", "pos")).alias("e"), F.max("c").alias("last")).where("e.c < last").select("token", "e")
+    index = postings = stage(index.join(many, "token"), "postings")
     drop(spark)
-    early = stage(index.where("c <> e").select("c", F.col("e").alias("other")).distinct(), "early")
+    # a pair that its earliest class at another word rules out here comes back in the second round
+    near = ((F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+            & (F.bit_count(F.col("x.m").bitwiseXOR(F.col("y.m"))) <= F.col("x.n") + F.col("y.n") - 2 * _need("x", "y", percent))
+            & _placed("x", "y", percent))
+    early = index.where("c <> e.c").select(F.struct("c", "n", "m", "pos").alias("x"), F.col("e").alias("y")).where(near)
+    early = stage(early.select("x.c", F.col("y.c").alias("other")).distinct(), "early")
     likely = stage(_likely(early, facts, percent), "likely")
     drop(spark, early)
     settled = _verified(likely, classes, rows, percent)
     drop(spark, likely)
-    open_ = index.drop("e").join(settled, "c", "left_anti")
-    sizes = ((F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-             & (F.bit_count(F.col("x.m").bitwiseXOR(F.col("y.m"))) <= F.col("x.n") + F.col("y.n") - 2 * _need("x", "y", percent)))
-    rest = open_.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.c") < F.col("x.c")) & sizes & _placed("x", "y", percent))
+    index = index.drop("e")
+    open_ = index.join(settled, "c", "left_anti")
+    rest = open_.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.c") < F.col("x.c")) & near)
     rest = stage(rest.select(F.col("x.c").alias("c"), F.col("y.c").alias("other")).distinct(), "rest")
-    drop(spark, index)
+    drop(spark, postings)
     likely = stage(_likely(rest, facts, percent), "likely")
     drop(spark, rest)
     similar = settled.unionByName(_verified(likely, classes, rows, percent))
