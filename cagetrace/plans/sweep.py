@@ -119,6 +119,10 @@ def to_long(t: SweepTables, sp: SweepParams, info_cols: tuple[str, ...] = (),
     return ME.join_info(out, info, session) if info is not None else out
 
 
+#: Family -> the switch of it in the sweep parameters
+FAMILY_FLAGS = {"activity": "activity", "dist": "distance", "inter": "interaction"}
+
+
 # ------------------------------------------------------------------ sinks
 PARTITIONS = {"total": ["threshold", "window_min"], "bin": ["threshold", "bin_min"]}
 
@@ -186,6 +190,7 @@ def write_sweep(t: SweepTables, out_dir: str, fmt: str = "parquet",
 
 def read_table(spark: SparkSession, out_dir: str, measure: str, fmt: str = "parquet", **params) -> DataFrame:
     """Re-scan the table holding ``measure``; parameters prune partitions."""
+    from cagetrace.plans import ledger
     family, kind = measure_table(measure)
     path = os.path.join(out_dir, f"{family}_{kind}")
     df = (spark.read.parquet(path) if fmt == "parquet"
@@ -195,7 +200,24 @@ def read_table(spark: SparkSession, out_dir: str, measure: str, fmt: str = "parq
     for k, v in params.items():
         if v is not None:
             df = df.filter(F.col(k).isin(list(v)) if isinstance(v, (list, tuple)) else (F.col(k) == v))
-    return df
+    return ledger.newest(df, out_dir, family) if "run" in df.columns else df
+
+
+def append_family(t: SweepTables, family: str, out_dir: str, run: str, fmt: str = "parquet",
+                  max_records_per_file: int = 5_000_000, writers: int = 16) -> dict[str, str]:
+    """Append the two tables of *family* as the partition ``run`` of each."""
+    written = {}
+    for key, df in t.items():
+        name, kind = key.split("_")
+        if name != family:
+            continue
+        parts = [c for c in PARTITIONS[kind] if c in df.columns]
+        spread = F.pmod(F.xxhash64(df.columns[0]), F.lit(int(writers)))
+        w = (df.repartition(*parts, spread).withColumn("run", F.lit(run)).write.mode("append").partitionBy("run", *parts)
+             .format(fmt).option("maxRecordsPerFile", int(max_records_per_file)))
+        written[key] = os.path.join(out_dir, key)
+        (w.option("header", True) if fmt == "csv" else w).save(written[key])
+    return written
 
 
 def run_project(spark: SparkSession, project_dir: str, subject_list: str, design,
@@ -203,10 +225,12 @@ def run_project(spark: SparkSession, project_dir: str, subject_list: str, design
                 fmt: str = "parquet", strict: bool = True) -> dict[str, str]:
     """The batch entry point: logs in ``<project>/data``, results in ``<project>/temp``.
 
-    Reads every log and the subject list, checks the logs and the design,
-    derives and sweeps all recordings (one log each) in one plan and writes
-    one table per family/kind.  Families whose tables are complete and of the
-    same parameters and logs are not recomputed; when all are, nothing runs.
+    Reads the logs and the subject list, checks them and the design, derives
+    and sweeps all recordings (one log each) in one plan and appends to one
+    table per family/kind.  A ledger beside the tables (``plans.ledger``) tells
+    which recordings a family holds already, made from the same log, parameters,
+    subject list and format: only the others are read and written, and when
+    there are none, nothing runs.  Read the tables with ``read_table``.
     ``strict`` raises on logs with missing or repeated metadata keys, a wrong
     marker count, an unknown header, subjects outside the listed ids, or
     frame times that do not parse.
@@ -215,6 +239,7 @@ def run_project(spark: SparkSession, project_dir: str, subject_list: str, design
 
     from cagetrace.operators import checks as CK
     from cagetrace.params import CleanParams
+    from cagetrace.plans import ledger
     from cagetrace.plans.clean_derive import behavior
     from cagetrace.sources import logs as L
     from cagetrace.sources import subjects as SJ
@@ -222,16 +247,26 @@ def run_project(spark: SparkSession, project_dir: str, subject_list: str, design
     clean = clean or CleanParams()
     sp = sp or SweepParams()
     data, out = f"{project_dir.rstrip('/')}/data", f"{project_dir.rstrip('/')}/temp"
-    params = f"{clean} {sp} {design} logs={L.folder_size(spark, data)}"
-    need = {fam: flag and not all(_done(spark, f"{out}/{fam}_{kind}", params) for kind in ("total", "bin"))
-            for fam, flag in (("activity", sp.activity), ("dist", sp.distance), ("inter", sp.interaction))}
-    if not any(need.values()):
+    subjects = SJ.read_subjects(spark, subject_list)
+    grid = {k: v for k, v in vars(sp).items() if k not in FAMILY_FLAGS.values()}
+    settings = f"{clean} {sorted(grid.items())} {design} {fmt} {ledger.table_digest(subjects)}"
+    files = L.log_files(spark, data, glob)
+    todo, families = ledger.missing(spark, out, ledger.wanted(files, settings), [f for f, flag in FAMILY_FLAGS.items() if getattr(sp, flag)])
+    if not families:
         return {}
-    sp = replace(sp, activity=need["activity"], distance=need["dist"], interaction=need["inter"])
-    frames = L.read_frames(spark, data, glob)
-    pre = L.read_preamble(spark, data, glob)
+    sp = replace(sp, **{flag: f in families for f, flag in FAMILY_FLAGS.items()})
+    some = [r[0] for r in todo.select(L.RECORDING).limit(L.FEW_FILES + 1).collect()]
+    only = some if len(some) <= L.FEW_FILES else None   # few logs: the scan opens no others
+    frames = L.read_frames(spark, data, glob, only=only).join(todo.select(L.RECORDING), L.RECORDING, "left_semi")
+    pre = L.read_preamble(spark, data, glob, only=only).join(todo.select(F.col(L.RECORDING).alias("path")), "path", "left_semi")
     if strict:
         CK.raise_if_any(CK.log_report(pre))
         CK.raise_if_any(CK.unparsed_times(frames, L.RECORDING))
-    info = SJ.subject_info(pre, SJ.validated(SJ.read_subjects(spark, subject_list), design)).withColumnRenamed("path", L.RECORDING)
-    return write_sweep(sweep(behavior(frames, clean, L.RECORDING), sp, info), out, fmt, params=params)
+    info = SJ.subject_info(pre, SJ.validated(subjects, design)).withColumnRenamed("path", L.RECORDING)
+    tables = sweep(behavior(frames, clean, L.RECORDING), sp, info)
+    run, seq = ledger.new_run(spark, out)
+    written = {}
+    for family in families:
+        written.update(append_family(tables, family, out, run, fmt))
+        ledger.record(todo, out, family, run, seq)
+    return written

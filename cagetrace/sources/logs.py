@@ -38,6 +38,8 @@ N_MARKERS = 4
 HEADER_FIELD = r"ID-(\d+) \[(?:Marker-)?[XY]\(mm\)\]"
 #: Key of a recording: one log file.  Several cameras, and so several logs, share a session name.
 RECORDING = "recording"
+#: So many logs at most are named one by one in the filter of a scan
+FEW_FILES = 1000
 
 
 def read_lines(spark: SparkSession, folder: str, glob: str = "*.csv",
@@ -52,12 +54,12 @@ def read_lines(spark: SparkSession, folder: str, glob: str = "*.csv",
     is broadcast when its size, checked first, is at most
     ``broadcast_blocks`` rows, else joined by (path, block).
     """
-    raw = spark.read.option("pathGlobFilter", glob).text(folder).select(*file_cols(), "value")
+    raw = _scan(spark, folder, glob, None)
     return number_lines(with_positions(raw), broadcast=block_bound(spark, folder, glob) <= broadcast_blocks)
 
 
 def read_preamble(spark: SparkSession, folder: str, glob: str = "*.csv",
-                  materialize: bool = True, broadcast_files: int = 200_000) -> DataFrame:
+                  materialize: bool = True, broadcast_files: int = 200_000, only: list[str] | None = None) -> DataFrame:
     """Lines 1-14 of every log as (path, line_no, value), for the metadata,
     marker and header parsers.
 
@@ -67,11 +69,9 @@ def read_preamble(spark: SparkSession, folder: str, glob: str = "*.csv",
     The result (14 rows per file) is checkpointed once so every preamble
     parser reads it instead of rescanning the logs.
     """
-    raw = (spark.read.option("pathGlobFilter", glob).text(folder).select(*file_cols(), "value")
-           .filter(F.col("_blk") == 0))
-    raw = with_positions(raw)
+    raw = with_positions(_scan(spark, folder, glob, only).filter(F.col("_blk") == 0))
     first = raw.groupBy("path").agg(F.min("_pos").alias("_p0"))
-    small = len(list_files(spark, folder, glob)) <= broadcast_files
+    small = log_files(spark, folder, glob).count() <= broadcast_files
     j = raw.join(F.broadcast(first) if small else first, "path")
     pre = (j.select("path", (F.col("_pos") - F.col("_p0") + 1).alias("line_no"), "value")
            .filter(F.col("line_no") <= HEADER_LINE))
@@ -101,35 +101,33 @@ def number_lines(raw: DataFrame, broadcast: bool = False) -> DataFrame:
     return j.select("path", (F.col("_off") + F.col("_pos") - F.col("_p0") + 1).alias("line_no"), "value")
 
 
-def list_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> list[tuple[str, int]]:
-    """(path, size) of the files a scan of ``folder`` with ``glob`` reads, from the
-    listing only: recursive (partition folders), names matching ``glob``,
-    hidden and ``_``-prefixed files skipped as Spark does."""
-    from fnmatch import fnmatch
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    it = root.getFileSystem(conf).listFiles(root, True)
-    out = []
-    while it.hasNext():
-        st = it.next()
-        p = st.getPath()
-        rel = str(p.toUri().getPath())
-        if any(part.startswith(("_", ".")) for part in rel.split("/")[-1:]):
-            continue
-        if fnmatch(p.getName(), glob):
-            out.append((str(p), st.getLen()))
-    return out
+def log_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
+    """(path, size, changed) of the files a scan of ``folder`` with ``glob`` reads.
+
+    Spark lists the folders (in tasks where there are many); no file is opened.
+    """
+    m = F.col("_metadata")
+    return (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+            .select(m["file_path"].alias("path"), m["file_size"].alias("size"), m["file_modification_time"].alias("changed")))
 
 
 def block_bound(spark: SparkSession, folder: str, glob: str) -> int:
-    """Upper bound on file blocks from the listing alone (no scan).
+    """Upper bound on file blocks from the listing alone (no file is opened).
 
     Spark never splits a file finer than min(maxPartitionBytes,
     openCostInBytes), so sum(ceil(size / that)) bounds the block count.
     """
     sql_conf = spark._jsparkSession.sessionState().conf()  # noqa: SLF001
     unit = max(1, min(sql_conf.filesMaxPartitionBytes(), sql_conf.filesOpenCostInBytes()))
-    return sum(max(1, -(-size // unit)) for _, size in list_files(spark, folder, glob))
+    return log_files(spark, folder, glob).agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("size") / unit)))).first()[0] or 0
+
+
+def _scan(spark: SparkSession, folder: str, glob: str, only: list[str] | None) -> DataFrame:
+    """(path, _blk, value) of every line; with ``only``, of those logs, and no other is opened."""
+    text = spark.read.option("pathGlobFilter", glob).text(folder)
+    if only is not None:
+        text = text.where(F.col("_metadata.file_path").isin(only))
+    return text.select(*file_cols(), "value")
 
 
 def parse_time(c: Column) -> Column:
@@ -139,13 +137,6 @@ def parse_time(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in TIME_FORMATS])
 
 
-def folder_size(spark: SparkSession, folder: str) -> str:
-    """Number of files and bytes below a folder, from one file-system call."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001
-    c = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path)  # noqa: SLF001
-    return f"{c.getFileCount()} files, {c.getLength()} bytes"
-
-
 def _field(arr: Column, i: int) -> Column:
     return F.get(arr, i)
 
@@ -252,15 +243,15 @@ def frames_from_logs(lines: DataFrame, broadcast_facts: bool = False) -> DataFra
 
 
 def read_frames(spark: SparkSession, folder: str, glob: str = "*.csv",
-                broadcast_blocks: int = 200_000) -> DataFrame:
-    """Frames of every log in ``folder`` with two text scans and no shuffle.
+                broadcast_blocks: int = 200_000, only: list[str] | None = None) -> DataFrame:
+    """Frames of every log in ``folder`` (``only``: of these paths) with two text scans and no shuffle.
 
     The block table (one row per file block) also carries each block's
     first header line and ``Session Name`` line, found by content, so line
     offsets, session name and header layout reach the frame lines in one
     join; broadcast when the listing bounds the block count.
     """
-    raw = spark.read.option("pathGlobFilter", glob).text(folder).select(*file_cols(), "value")
+    raw = _scan(spark, folder, glob, only)
     return frames_from_raw(with_positions(raw),
                            broadcast=block_bound(spark, folder, glob) <= broadcast_blocks)
 

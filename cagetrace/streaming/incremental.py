@@ -27,16 +27,17 @@ from cagetrace.sources import logs as L
 from cagetrace.sources import subjects as SJ
 
 
-def sweep_batch(lines: DataFrame, clean: CleanParams, sp: SweepParams,
+def sweep_batch(raw: DataFrame, clean: CleanParams, sp: SweepParams,
                 subject_list: DataFrame | None = None) -> SW.SweepTables:
-    """The batch plan for one set of whole log files (lines already numbered)."""
-    frames = L.frames_from_logs(lines)
+    """The batch plan for one set of whole log files (``logs.with_positions``).
+
+    Keyed by recording, as in the batch path: several cameras may share a session.
+    """
+    frames = L.frames_from_raw(raw)
     info = None
     if subject_list is not None:
-        info = (SJ.subject_info(lines, subject_list)
-                .drop("path", "camera", "marker_id", "description"))
-    b = P.behavior(frames, clean)
-    return SW.sweep(b, sp, info)
+        info = SJ.subject_info(L.number_lines(raw), subject_list).withColumnRenamed("path", L.RECORDING)
+    return SW.sweep(P.behavior(frames, clean, L.RECORDING), sp, info)
 
 
 def start(spark: SparkSession, log_folder: str, out_dir: str, checkpoint: str,
@@ -57,8 +58,7 @@ def start(spark: SparkSession, log_folder: str, out_dir: str, checkpoint: str,
     def process(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        lines = L.number_lines(L.with_positions(batch))
-        tables = sweep_batch(lines, clean, sp, subject_list)
+        tables = sweep_batch(L.with_positions(batch), clean, sp, subject_list)
         for key, df in tables.items():
             kind = key.split("_")[1]
             parts = ["batch_id"] + [c for c in SW.PARTITIONS[kind] if c in df.columns]

@@ -149,7 +149,7 @@ def test_fixture_round_trip_through_files(spark, tmp_dir):
     from cagetrace.sources import fixture as FX
     sf = "/root/testdata/sf0.001"
     L.write_logs(fixture_lines(spark, sf), tmp_dir)
-    assert len(L.list_files(spark, tmp_dir, "*.txt")) == 2
+    assert L.log_files(spark, tmp_dir, "*.txt").count() == 2
     back = L.read_frames(spark, tmp_dir, glob="*.txt").drop("recording", "camera")
     want = FX.frames(spark, sf).select(F.col("session").cast("string").alias("session"),
                                        (F.col("frame_no") % 500 + 15).alias("frame_no"),

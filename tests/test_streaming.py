@@ -31,13 +31,16 @@ def test_incremental_equals_batch(spark, tmp_dir):
     write_log(logs, "s2.csv", "S2", dialect="marker", trailing="all", frames=rows(2))
     q = INC.start(spark, logs, out, ck, CLEAN, SP)
     q.awaitTermination()
-    write_log(logs, "s3.csv", "S3", frames=rows(3))
+    write_log(logs, "s3.csv", "S2", frames=rows(3))        # another camera's log under the same session name
     q = INC.start(spark, logs, out, ck, CLEAN, SP)
     q.awaitTermination()
     got = spark.read.parquet(os.path.join(out, "activity_total"))
     assert got.select("batch_id").distinct().count() == 2
-    assert sorted(r.session for r in got.select("session").distinct().collect()) == ["S1", "S2", "S3"]
-    batch = INC.sweep_batch(L.read_lines(spark, logs), CLEAN, SP)
+    per = got.groupBy("recording").count().collect()
+    assert sorted(os.path.basename(r.recording) for r in per) == ["s1.csv", "s2.csv", "s3.csv"]
+    assert {r["count"] for r in per} == {4 * 2}            # subjects x windows, none merged
+    raw = spark.read.text(logs).select(*L.file_cols(), "value")
+    batch = INC.sweep_batch(L.with_positions(raw), CLEAN, SP)
     for key, df in batch.items():
         inc = spark.read.parquet(os.path.join(out, key)).drop("batch_id")
         cols = sorted(df.columns)
