@@ -2,7 +2,8 @@
 
 ``paths`` enumerates the root-to-leaf paths of reply trees by iterative
 self-joins with doubled steps: after k rounds a leaf knows its 2**k nearest
-ancestors, so a path of n turns takes log2(n) rounds.  Branches are ranked
+ancestors, so a path of n turns takes log2(n) rounds.  The steps are doubled
+before any path is laid, so branches without a root are known by then.  Branches are ranked
 by the total score of their turns.  ``format_paths`` writes each path as one
 text and marks the code points that count for the loss.
 
@@ -11,8 +12,8 @@ texts a backslash, ``###`` and ``</turn>`` get a backslash in front (in roles
 a colon too), which ``parse`` takes away again, so any text comes back.
 
 Defined results: null text, role and score count as empty, empty and 0; a
-turn whose parent is missing is a root; turns on a cycle of parents belong
-to no path; ties of rank go to the smaller leaf; rows repeated in a
+turn whose parent is missing is a root; turns on a cycle of parents, and those
+below one, belong to no path; ties of rank go to the smaller leaf; rows repeated in a
 conversation are turns of their own, in order of turn, role and text; rows
 without a conversation id are one conversation without an id.
 """
@@ -41,14 +42,19 @@ def paths(nodes: DataFrame, per_tree: int | None = None) -> DataFrame:
     up = nodes.select("tree", F.col("node").alias("parent")).distinct()
     jump = stage(nodes.where("parent is not null").join(up, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("to")), "jump")
     leaves = nodes.join(jump.select("tree", F.col("to").alias("node")).distinct(), ["tree", "node"], "left_anti")
-    at = stage(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
-    step, most = 1, nodes.count()
+    most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    jumps, step = [], 1
     while step <= most and not jump.isEmpty():
-        further = at.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
-        at = stage(at.unionByName(further), "paths")
+        jumps.append(jump)
         hop = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("next"))
         jump = stage(jump.join(hop, ["tree", "to"]).select("tree", "node", F.col("next").alias("to")), "jump")
         step *= 2
+    # an ancestor further up than a tree has nodes: on a cycle or below one
+    leaves = leaves.join(jump.select("tree", "node").distinct(), ["tree", "node"], "left_anti")
+    at = stage(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
+    for k, jump in enumerate(jumps):
+        further = at.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up"))
+        at = stage(at.unionByName(further), "paths")
     at = at.join(nodes.select("tree", "node", "score"), ["tree", "node"])
     branch = at.groupBy("tree", "leaf").agg(F.sum("score").alias("total"), F.max("up").alias("last"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf"))
