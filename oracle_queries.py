@@ -8,12 +8,40 @@ rounded to 6 places and integers cast to fixed widths on both sides.
 
 from __future__ import annotations
 
-from cagetrace.functions.stats import signif_label_sql, t_two_sided_p_sql
 from cagetrace.params import FIXTURE_CLEAN, FIXTURE_SWEEP
 from cagetrace.sources.fixture import FRAMES_SQL, SUBJECTS_SQL
 
 FPS = FIXTURE_CLEAN.fps
 
+# The p value of Student's t as a numeric integral: with t = sqrt(df) * tan(theta) it is
+# the integral of cos^(df-1) from atan(|t| / sqrt(df)) to pi/2 over that from 0.
+SIMPSON_STEPS = 2000
+CAP = 40.0
+# Significance labels.
+LABELS = ((0.001, "***"), (0.01, "**"), (0.05, "*"))
+
+
+def t_two_sided_p_sql(t: str, df: str) -> str:
+    n = SIMPSON_STEPS
+
+    def simpson(a: str, b: str) -> str:
+        h = f"(({b}) - ({a})) / {float(n)}"
+        f = (f"power(greatest(cos(({a}) + i * {h}), 0.0), ({df}) - 1.0)")
+        wgt = f"(CASE WHEN i = 0 OR i = {n} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END)"
+        return f"(list_sum(list_transform(range({n + 1}), lambda i: {wgt} * {f})) * {h} / 3.0)"
+
+    th = f"atan(abs({t}) / sqrt({df}))"
+    cap = f"{CAP} / sqrt({df})"
+    num = simpson(th, f"least(pi() / 2, {th} + {cap})")
+    den = simpson("0.0", f"least(pi() / 2, {cap})")
+    return (f"(CASE WHEN ({t}) IS NOT NULL AND ({df}) IS NOT NULL AND ({df}) > 0 "
+            f"THEN least(1.0, {num} / {den}) END)")
+
+
+def signif_label_sql(p: str) -> str:
+    whens = " ".join(f"WHEN {p} < {below} THEN '{label}'" for below, label in LABELS)
+    return f"(CASE WHEN {p} IS NULL THEN NULL {whens} ELSE 'NS.' END)"
+
 
 def r6(expr: str, alias: str) -> str:
     return f"round(CAST({expr} AS DOUBLE), 6) AS {alias}"
