@@ -504,6 +504,14 @@ def q_events_roll_zscore(spark, sf):
     return z.select("event_id", "event_type", r6("roll_mean"), r6("roll_sd"), "z_flag")
 
 
+@query
+def q_events_roll_zscore_wide(spark, sf):
+    # windows of 2,000 rows cost no more than windows of 40
+    ev = FX.table(spark, sf, "events").selectExpr("event_id", EVENT_ORDER, "event_type", "value", "to_date(ts) AS day")
+    z = SR.rolling_zscore_chunked(ev, ["event_type"], "at", "value", n=2000, z=FIXTURE_CLEAN.z_threshold, chunk="day")
+    return z.select("event_id", "event_type", r6("roll_mean"), r6("roll_sd"), "z_flag")
+
+
 @query
 def q_events_lerp(spark, sf):
     ev = FX.table(spark, sf, "events").selectExpr(

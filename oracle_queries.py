@@ -507,6 +507,11 @@ oracle("events_roll_zscore", f"""SELECT event_id, event_type, {r6('m', 'roll_mea
     SELECT *, CASE WHEN count(*) OVER w = {_zn} THEN avg(value) OVER w END AS m,
               CASE WHEN count(*) OVER w = {_zn} THEN stddev_samp(value) OVER w END AS s
     FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN {_zlo} PRECEDING AND {_zhi} FOLLOWING)) t""")
+oracle("events_roll_zscore_wide", f"""SELECT event_id, event_type, {r6('m', 'roll_mean')}, {r6('s', 'roll_sd')},
+    coalesce(abs(value - m) > s * 3.0, false) AS z_flag FROM (
+    SELECT *, CASE WHEN count(*) OVER w = 2000 THEN avg(value) OVER w END AS m,
+              CASE WHEN count(*) OVER w = 2000 THEN stddev_samp(value) OVER w END AS s
+    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND 1000 FOLLOWING)) t""")
 oracle("events_lerp", f"""WITH v AS (SELECT event_id, ts, event_type, CASE WHEN event_id % 7 <> 0 THEN value END AS x FROM events),
     ix AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM v),
     lp AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN i END) OVER wu AS pi, last_value(x IGNORE NULLS) OVER wu AS pv,
