@@ -161,7 +161,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         cur = stage(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "cc")
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u") % 1000003)).first()
+        # two unreduced sums of hashes: equal for the same edges, and for no others but by a chance of 2**-128
+        now = cur.agg(F.count(F.lit(1)), *(F.sum(F.xxhash64(F.lit(k), "v", "u").cast("decimal(38,0)")) for k in (0, 1))).first()
         if now == seen:
             break
         seen = now
