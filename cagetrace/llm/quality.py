@@ -1,10 +1,13 @@
 """Compression quality classifier.
 
 Two zstandard dictionaries are built from good and from bad labelled texts.
-A text's sizes when compressed with either one and with none, normalised,
-become a calibrated score: a logistic curve over the normalised size
-difference, the sizes per byte, the length and their products, fitted on
-labelled texts that the dictionaries have not seen.
+A text is compressed with either one, whole and in even pieces of about SPANS
+bytes, and each pair of sizes gives a normalised difference (bad - good) /
+(bad + good).  Pieces show what a dictionary knows where a long or repetitive
+text would soon compress by itself; of the smallest ones the least, the
+largest difference and their spread count too.  A logistic curve over these
+differences and their products, fitted on labelled texts that the
+dictionaries have not seen, is the score.  Nothing else of a text is used.
 
 Labels are learnt from a bounded sample: of each class the SAMPLE_DOCS
 documents with the smallest hash of the id, and of those as many whole texts
@@ -29,6 +32,8 @@ from cagetrace.llm.store import only, stage
 from cagetrace.llm.words import slices
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 5000, 24 << 20, 112 << 10, 3
+#: Bytes of a piece; the whole text comes first, the spread is taken of the last
+SPANS = (256, 64)
 THRESHOLD = 0.3
 
 
@@ -46,21 +51,25 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_tools": None}
 
-    def _sizes(self, text: bytes) -> tuple[int, int, int]:
+    def _differences(self, pieces: list[bytes]) -> tuple[np.ndarray, float]:
+        """Normalised size difference of each piece, and of all together."""
         if self._tools is None:
-            opts = dict(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
-            made = []
+            self._tools = []
             for d in self.dictionaries:
                 d = zstandard.ZstdCompressionDict(d)
                 d.precompute_compress(level=LEVEL)
-                made.append(zstandard.ZstdCompressor(dict_data=d, **opts))
-            self._tools = (*made, zstandard.ZstdCompressor(**opts))
-        return tuple(len(z.compress(text)) for z in self._tools)
+                self._tools.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+        good, bad = (np.array([len(z(p)) for p in pieces], float) for z in self._tools)
+        return (bad - good) / (bad + good), (bad.sum() - good.sum()) / (bad.sum() + good.sum())
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        s = np.array([self._sizes(t) for t in texts], float).reshape(-1, 3)
-        n = np.array([max(1, len(t)) for t in texts], float)
-        return np.stack([(s[:, 1] - s[:, 0]) / (s[:, 0] + s[:, 1]), s[:, 2] / n, s[:, 0] / n, np.log(n)], axis=1)
+        out = np.empty((len(texts), len(SPANS) + 4))
+        for row, text in zip(out, texts):
+            row[0] = self._differences([text])[1]
+            for k, span in enumerate(SPANS):
+                each, row[k + 1] = self._differences(_pieces(text, span))
+            row[len(SPANS) + 1:] = each.min(), each.max(), each.std()
+        return out
 
     def _design(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
@@ -89,6 +98,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self._design(self.features(texts)) @ self.weights, -30, 30)))
 
 
+def _pieces(text: bytes, span: int) -> list[bytes]:
+    """*text* cut evenly into pieces of *span* bytes or little more; a shorter one is one piece."""
+    n = max(1, len(text) // span)
+    cuts = [len(text) * i // n for i in range(n + 1)]
+    return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 def _sample(docs: DataFrame, labels: DataFrame) -> dict[int, tuple[int, list[bytes]]]:
     """Per class: number of labelled documents, and a bounded sample of whole texts.
 
