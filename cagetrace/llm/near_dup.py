@@ -15,7 +15,7 @@ banded buckets, star-shaped candidate edges, exact confirmation.
    holds several components, members of different components are compared
    too, block by block, by their signatures and then on full sets.  A link
    inside a component can change nothing, so no group is expanded into all its
-   pairs.  What can lose a link is chance only: its bands (BANDS) and the
+   pairs.  What can lose a link is chance only: its bands (MISS) and the
    signature filter (SLACK), at the rates given there.
 
 Defined results: a null or wordless text has ``n_shingles`` 0 and is its own
@@ -35,16 +35,33 @@ from cagetrace.llm import words as W
 from cagetrace.llm.store import stage
 
 BINS_LOG2 = 8
-#: 42 bands of 6 of the 256 bins: at a similarity of 0.85 all bands miss with a chance of 2e-9, at 0.8 of 3e-6
-BAND_ROWS, BANDS = 6, 42
+#: At most 6 of the 256 bins a band (42 bands): at a similarity of 0.85 all bands miss with a chance of 2e-9, at 0.8 of
+#: 3e-6.  Lower thresholds take fewer bins a band, so that the chance stays below MISS
+BAND_ROWS, MISS = 6, 5e-6
 #: Pairs whose signatures agree less than the threshold by more than this are dropped unseen: of 122,397 simulated
-#: pairs at exactly 0.8 (unions of 10 to 300 shingles) none was, the lowest agreement being 0.66; 0.1 dropped 26
+#: pairs at exactly 0.8 (unions of 10 to 300 shingles) none was, the lowest agreement being 0.66; 0.1 dropped 26.
+#: Below 0.8 it widens with the standard deviation of the agreement
 SLACK = 0.15
 #: Members of a block of a bucket
 BLOCK = 512
 _U = np.uint64
 
 
+def bands_of(percent: int) -> tuple[int, int]:
+    """(bins a band, bands) for links of *percent* or more; ValueError where even single bins would lose too many."""
+    for rows in range(BAND_ROWS, 0, -1):
+        bands = (1 << BINS_LOG2) // rows
+        if (1 - (percent / 100) ** rows) ** bands <= MISS:
+            return rows, bands
+    raise ValueError(f"links of {percent} % are too weak for {1 << BINS_LOG2} bins")
+
+
+def least_agreement(percent: int) -> float:
+    """Share of equal bins below which a pair is dropped unseen."""
+    t = percent / 100
+    return t - SLACK * max(1.0, (t * (1 - t)) ** 0.5 / 0.4)
+
+
 def shingle_hashes(h: np.ndarray, first: np.ndarray, size: int):
     """(hash, row) of every shingle of a slice; a short text is one shingle."""
     row = W.text_of_word(first)
@@ -96,9 +113,10 @@ def signature(s: np.ndarray) -> np.ndarray:
     return sig
 
 
-def _sketch(size: int):
-    coef = W._COEF[:BAND_ROWS]
-    band_no = W.mix(np.arange(1, BANDS + 1, dtype=_U))
+def _sketch(size: int, percent: int):
+    rows, count = bands_of(percent)
+    coef = W._COEF[:rows]
+    band_no = W.mix(np.arange(1, count + 1, dtype=_U))
 
     def run(batches):
         for batch in batches:
@@ -109,7 +127,7 @@ def _sketch(size: int):
                         key.append(None), sigs.append(None), bands.append(None)
                         continue
                     sig = signature(s)
-                    m = sig[:BAND_ROWS * BANDS].reshape(BANDS, BAND_ROWS)
+                    m = sig[:rows * count].reshape(count, rows)
                     with np.errstate(over="ignore"):
                         bands.append(W.mix((m * np.array(coef, _U)).sum(axis=1, dtype=_U) + band_no).view(np.int64))
                         key.append(int(W.mix(np.array([W.mix(s).sum(dtype=_U) + _U(len(s))], _U)).view(np.int64)[0]))
@@ -170,13 +188,13 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("v").alias("id"), "root").unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree about as often as the threshold asks."""
     sig = reps.select(F.col("doc_id").alias("id"), "sig", "n_shingles")
     x = (pairs.join(sig.toDF("a", "sig_a", "n_a"), "a").join(sig.toDF("b", "sig_b", "n_b"), "b")
-         .where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6)
+         .where(F.least("n_a", "n_b") >= percent / 100 * F.greatest("n_a", "n_b") - 1e-6)
          .select("a", "b", "sig_a", "sig_b"))
-    return x.mapInArrow(_agreement, "a long, b long, agree double").where(F.col("agree") >= threshold - SLACK).select("a", "b")
+    return x.mapInArrow(_agreement, "a long, b long, agree double").where(F.col("agree") >= least_agreement(percent)).select("a", "b")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,7 +222,7 @@ def _compare(percent: int):
                 here = int((bands[0] == g["bucket"]).argmax())
                 for i in range(len(m) - 1):
                     j = np.flatnonzero((roots[i + 1:] != roots[i]) & ((block[i + 1:] != block[i]) | (g["lo"] == g["hi"]))) + i + 1
-                    j = j[(sig[j] == sig[i]).mean(axis=1) >= percent / 100 - SLACK]
+                    j = j[(sig[j] == sig[i]).mean(axis=1) >= least_agreement(percent)]
                     j = j[(bands[j] == bands[i]).argmax(axis=1) == here]
                     for n in j:
                         if linked(sets[i], sets[n], percent):
@@ -236,8 +254,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     100 * intersection >= percent * union.
     """
     docs = docs.select("doc_id", "text")
-    threshold = percent / 100
-    sk = stage(docs.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, set_key long, sig binary, bands array<long>"), "sketch")
+    sk = stage(docs.mapInArrow(_sketch(shingle, percent), "doc_id long, n_shingles long, set_key long, sig binary, bands array<long>"), "sketch")
     known = sk.where("n_shingles > 0 and doc_id is not null")
     cls = stage(known.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"),
                                                            F.min_by("bands", "doc_id").alias("bands")), "classes")
@@ -245,7 +262,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     member = cls.select("rep", F.explode("bands").alias("bucket"))
     many = member.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last").select("bucket", "center")
     member = stage(member.join(many, "bucket"), "buckets")
-    star = stage(_likely(member.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), reps, threshold), "star")
+    star = stage(_likely(member.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), reps, percent), "star")
     needed = member.select(F.col("rep").alias("doc_id")).distinct()
     sets = stage(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets_of(shingle), "id long, set binary"), "sets")
     links = stage(_confirm(star, sets, percent), "links")
