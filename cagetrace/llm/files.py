@@ -1,8 +1,11 @@
 """Deterministic sharded files in the shared folder, with a two-step commit.
 
-Rows are dealt to shards by ranges of an integer key: the key range is cut
-into at most 4,097 even buckets, and runs of buckets of about equal weight
-are shards, so the shards depend on the rows alone.  A task writes whole
+Rows are dealt to shards by ranges of an integer key: the weight is summed
+per run of keys with equal leading bits, runs heavier than a shard are summed
+again by more bits, down to single keys, and the prefix sum of the runs gives
+the shard, so shards are of even weight wherever the keys lie, as many as the
+rows need, and depend on the rows alone.  A key heavier than a shard is split
+by a hash of its rows.  A task writes whole
 shards in key order under temporary names of its own attempt and reports
 each file; the reported files, written as a manifest by Spark's own commit,
 are then moved to their final names (again if a task is lost: a move that
@@ -12,6 +15,7 @@ in no manifest and never get a final name.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import pyarrow as pa
@@ -20,31 +24,75 @@ from pyspark.sql import functions as F
 
 from cagetrace.llm.store import open_fs, shared_folder, stage
 
-BUCKETS = 4096
+#: Runs of keys: so many to a shard, and so many at least; tables of up to so many runs are broadcast (28 bytes a row)
+RUNS, LEAST_RUNS, BROADCAST_RUNS = 16, 4096, 200_000
 MANIFEST = "shard long, roll long, name string, tmp string, records long, units long, bytes long, keys array<long>"
 
 
+def running(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Adds *out*: the sum of *value* over all rows before, in *order* (0 for the first); stored.
+
+    Sums inside ranges of rows, then over one row a range, so no task holds all rows.
+    """
+    from pyspark.sql import Window
+    cut = stage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    here = F.coalesce(F.sum(value).over(before(Window.partitionBy("__range").orderBy(*order))), F.lit(0))
+    ranges = cut.groupBy("__range").agg(F.sum(value).alias("__sum")).select(
+        "__range", F.coalesce(F.sum("__sum").over(before(Window.orderBy("__range"))), F.lit(0)).alias("__start"))
+    # at most a row for each shuffle partition
+    return cut.withColumn("__here", here).join(F.broadcast(ranges), "__range").withColumn(out, F.col("__here") + F.col("__start")).drop("__here", "__range", "__start")
+
+
+def _run(key: Column, shift: int) -> Column:
+    """The leading bits of a key, in unsigned order."""
+    return F.shiftrightunsigned(key.cast("long").bitwiseXOR(F.lit(-2**63)), shift)
+
+
+def _shift(span: int, runs: int) -> int:
+    """Trailing bits to leave out so that keys over *span* lie in at most about *runs* runs."""
+    return (span // runs).bit_length()
+
+
 def with_shards(df: DataFrame, key: str, weight: Column, shard_bytes: int, least: int = 64) -> DataFrame:
-    """Adds ``shard``: consecutive key ranges of about *shard_bytes* weight, at least *least* of them.
+    """Adds ``shard``: consecutive key ranges of at most three times *shard_bytes* weight, at least about *least* of them.
 
-    Rows without a key are spread over 64 shards below zero.
+    A key of more weight is split over shards of its own by a hash of its rows
+    (rows equal in all columns stay together); rows without a key likewise, over
+    64 shards or more below zero.
     """
-    k = F.col(key).cast("double")
-    lo, hi, total = df.agg(F.min(k), F.max(k), F.sum(weight)).first()
-    lo, hi, total = lo or 0.0, hi or 0.0, int(total or 0)
-    width = max(1.0, (hi - lo) / BUCKETS)
-    bucket = F.floor((k - F.lit(lo)) / F.lit(width))
+    weights = stage(df.groupBy(F.col(key).cast("long").alias("k")).agg(F.sum(weight).cast("long").alias("w")), "weights")
+    total, stray, lo, hi = weights.agg(F.sum("w"), F.sum(F.when(F.col("k").isNull(), F.col("w"))), F.min("k"), F.max("k")).first()
+    total = total or 0
     per = max(1, min(shard_bytes, total // least))
-    rows, shard, filled = [], 0, 0
-    for b, w in sorted(tuple(r) for r in df.where(k.isNotNull()).groupBy(bucket.alias("b")).agg(F.sum(weight)).collect()):
-        if filled >= per:
-            shard, filled = shard + 1, 0
-        rows.append((b, shard))
-        filled += w or 0
-    of = df.sparkSession.createDataFrame(rows, "__bucket long, __shard long")
-    stray = -1 - F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(64))
-    return (df.withColumn("__bucket", bucket).join(F.broadcast(of), "__bucket", "left")  # at most BUCKETS + 1 rows
-            .withColumn("shard", F.coalesce("__shard", stray)).drop("__bucket", "__shard"))
+    row = F.xxhash64(*[c for c in df.columns if c != key])
+    shard = -1 - F.pmod(row, F.lit(max(64, -(-(stray or 0) // per))))
+    if lo is None:
+        return df.withColumn("shard", shard)
+    left, shift, levels = weights.where("k is not null"), _shift(hi - lo, max(LEAST_RUNS, RUNS * (total // per + 1))), []
+    while True:
+        runs = stage(left.groupBy(_run(F.col("k"), shift).alias("run")).agg(F.sum("w").alias("w"), F.min("k").alias("lo"), F.max("k").alias("hi")), "runs")
+        levels.append((shift, runs))
+        heavy = (F.col("w") > per) & (F.col("lo") < F.col("hi"))
+        span, most = runs.where(heavy).agg(F.max(F.col("hi").cast("decimal(20,0)") - F.col("lo")), F.max("w")).first()
+        if span is None:
+            break
+        left = left.join(runs.where(heavy).select("run"), _run(F.col("k"), shift) == F.col("run"), "left_semi")
+        # at least two bits more, so this ends
+        shift = max(0, min(shift - 2, _shift(int(span), RUNS * (most // per + 1))))
+    closed = [r.where(~heavy if i + 1 < len(levels) else F.lit(True)).select(F.lit(i).alias("level"), "run", "lo", "w") for i, (_, r) in enumerate(levels)]
+    closed = running(functools.reduce(DataFrame.unionByName, closed), ["lo"], "w", "before")
+    at = lambda c: F.floor(c / F.lit(per).cast("decimal(20,0)")).cast("long")
+    first, end = at(F.col("before").cast("decimal(20,0)")), at((F.col("before") + F.col("w")).cast("decimal(20,0)"))
+    table = stage(closed.select("level", "run", first.alias("first"), F.greatest(F.lit(1), end - first).alias("parts")), "shards")
+    small = table.count() <= BROADCAST_RUNS
+    out = df
+    for i, (shift, _) in enumerate(levels):
+        of = table.where(F.col("level") == i).select(F.col("run").alias(f"__run{i}"), F.struct("first", "parts").alias(f"__at{i}"))
+        out = out.withColumn(f"__run{i}", _run(F.col(key), shift)).join(F.broadcast(of) if small else of, f"__run{i}", "left")
+    found = F.coalesce(*[F.col(f"__at{i}") for i in range(len(levels))])
+    return (out.withColumn("__at", found).withColumn("shard", F.coalesce(F.col("__at.first") + F.pmod(row, F.col("__at.parts")), shard))
+            .select(*df.columns, "shard"))
 
 
 class _File:
@@ -74,7 +122,7 @@ def write_files(df: DataFrame, order: list[str], columns: list[str], folder: str
                 roll_records: int = 1 << 17, index=None) -> DataFrame:
     """Write *df* and commit; the manifest: one row per file.
 
-    With a column ``shard`` whole shards are dealt to tasks and sorted by
+    With a column ``shard`` whole shards are dealt to tasks in turn and sorted by
     *order*; without one, each partition is written where it is, unshuffled.
     ``make()`` gives a task's function from the values of *columns*, the first
     of them the record's key, to (bytes, units).
@@ -108,7 +156,8 @@ def write_files(df: DataFrame, order: list[str], columns: list[str], folder: str
             yield pa.RecordBatch.from_arrays([b.column("name")], names=["name"])
 
     if "shard" in df.columns:
-        dealt = df.select("shard", *dict.fromkeys([*columns, *order])).repartition("shard").sortWithinPartitions("shard", *order)
+        n = _tasks(df.sparkSession)
+        dealt = df.select("shard", *dict.fromkeys([*columns, *order])).repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).sortWithinPartitions("shard", *order)
     else:
         dealt = df.select(F.spark_partition_id().cast("long").alias("shard"), *columns)
     wrote = stage(dealt.select("shard", *columns).mapInArrow(run, MANIFEST), "manifest")
@@ -123,14 +172,14 @@ def new_folder(df: DataFrame, name: str) -> str:
 
 
 def starts(manifest: DataFrame) -> DataFrame:
-    """Adds ``file_start``: units in all files before, in shard order (a window over one row per file)."""
-    from pyspark.sql import Window
-    w = Window.orderBy("shard", "roll").rowsBetween(Window.unboundedPreceding, -1)
-    slim = manifest.select("name", "shard", "roll", "units", "records", "bytes")
-    return slim.withColumn("file_start", F.coalesce(F.sum("units").over(w), F.lit(0)))
+    """Adds ``file_start``: units in all files before, in shard order."""
+    return running(manifest.select("name", "shard", "roll", "units", "records", "bytes"), ["shard", "roll"], "units", "file_start")
 
 
 def spread(files: DataFrame) -> DataFrame:
     """Deal files (or blocks of files) out to tasks."""
-    spark = files.sparkSession
-    return files.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return files.repartition(_tasks(files.sparkSession))
+
+
+def _tasks(spark) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -8,7 +8,9 @@ constant, little-endian).  The payload: document id (64 bits), a flag byte
 64-bit integers), so records can be read in any order.
 
 Defined results: a null or empty text is just the end id; repeated rows are
-all written, next to each other; rows without an id sort first.
+all written, next to each other; rows without an id sort first; the rows of one
+id are in order of their text, unless they fill more than a shard, when a hash
+of the text comes before it.
 """
 
 from __future__ import annotations

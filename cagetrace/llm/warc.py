@@ -82,14 +82,13 @@ def write_archives(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame
     big = pages.where(F.col("size") >= LEAST_PAYLOAD)
     firsts = stage(big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
                    .select("digest", "first"), "firsts")
-    pages = pages.join(firsts, "digest", "left")
+    pages = files.with_shards(pages, "page_id", F.col("size") + 512, SHARD_BYTES).join(firsts, "digest", "left")
 
     def make():
         def one(page_id, url, html, digest, first):
             return record(page_id, url, html, digest, first, date), 1
         return one
 
-    pages = files.with_shards(pages, "page_id", F.col("size") + 512, SHARD_BYTES)
     return files.write_files(pages, ["page_id", "url", "digest"], ["page_id", "url", "html", "digest", "first"], folder, ".warc.gz", make, ROLL_BYTES)
 
 
