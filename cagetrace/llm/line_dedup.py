@@ -247,7 +247,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, r
     # the index holds a word's classes, their sizes, the word's positions and a map folded to 64 bits; whole maps are joined to pairs only
     index = classes.select("c", "n", F.col("m0").bitwiseOR(F.col("m1")).alias("m"), F.explode(F.arrays_zip("tokens", "pos")).alias("t"))
     index = index.select(F.col("t.tokens").alias("token"), "c", "n", "m", F.col("t.pos").alias("pos"))
-    many = index.groupBy("token").agg(F.min(F.struct("c", "n", "m", "pos")).alias("e"), F.max("c").alias("last")).where("e.c < last").select("token", "e")
+    many = index.groupBy("token").agg(F.min(F.struct("c", "n", "m", "pos")).alias("e"), F.max("c").alias("last"), F.count(F.lit(1)).alias("k")).where("k > 1")
     index = postings = stage(index.join(many, "token"), "postings")
     drop(spark)
     # a pair that its earliest class at another word rules out here comes back in the second round
@@ -260,9 +260,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, r
     drop(spark, early)
     settled = _verified(likely, classes, rows, percent)
     drop(spark, likely)
-    index = index.drop("e")
-    open_ = index.join(settled, "c", "left_anti")
-    rest = open_.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.c") < F.col("x.c")) & near)
+    # a word's earliest class has met all the others by now: what is left are words of three classes or more, without it
+    index = index.where("k > 2 and c <> e.c").drop("e", "k")
+    open_ = index.drop("last").join(settled, "c", "left_anti")
+    rest = open_.alias("x").join(index.where("c < last").drop("last").alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.c") < F.col("x.c")) & near)
     rest = stage(rest.select(F.col("x.c").alias("c"), F.col("y.c").alias("other")).distinct(), "rest")
     drop(spark, postings)
     likely = stage(_likely(rest, facts, percent), "likely")
