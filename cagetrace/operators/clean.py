@@ -6,11 +6,16 @@ The masks and the gap fill of the pipeline run on wide frames, in
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cagetrace.functions.rolling import running
+from cagetrace.session import stage
 
 S = "session"
 
@@ -55,7 +60,43 @@ def _cover(hist: DataFrame, keys: list[str], width: Column) -> DataFrame:
     return rows.filter(~own).select(*keys, "v", "c", "cum", (F.col("_upto") - F.col("cum") + F.col("c")).alias("cover"), "hi")
 
 
-def densest_interval(values: DataFrame, keys: list[str], value: str, width: float) -> DataFrame:
+def _cover_ranges(hist: DataFrame, keys: list[str], width: float, ranges: int) -> DataFrame:
+    """What ``_cover`` adds, with each key's values spread over *ranges* tasks.
+
+    The bounds are approximate quantiles of the distinct values of all keys,
+    so no range of a key holds much more than an even share of all rows.
+    Running counts are taken in a range; the counts and the last value of the
+    ranges before it come from a table of one row a key and range.  A probe is
+    dealt by its own place, v + width, so an interval may end in any range.
+    """
+    from pyspark.ml.feature import Bucketizer
+    hist = stage(hist.withColumn("p", F.col("v").cast("double")), "histogram")
+    bounds = sorted(set(hist.approxQuantile("p", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="p", outputCol="_range") if bounds else None
+    dealt = lambda df: cut.transform(df) if cut else df.withColumn("_range", F.lit(0.0))
+
+    def earlier(rows, count, value):
+        """Count and last value in the ranges before, joined to *rows*."""
+        per = rows.groupBy(*keys, "_range").agg(F.sum(count).alias("_c"), F.max(value).alias("_v"))
+        w = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+        per = per.select(*keys, "_range", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_count0"), F.max("_v").over(w).alias("_last0"))
+        per = per.withColumnsRenamed({k: f"_of_{k}" for k in [*keys, "_range"]})
+        same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "_range"]]
+        return rows.join(per, functools.reduce(operator.and_, same)).select(*rows.columns, "_count0", "_last0")
+
+    w = W.partitionBy(*keys, "_range").orderBy("p")
+    hist = earlier(dealt(hist), F.col("c"), F.col("v"))
+    hist = hist.select(*keys, "v", "c", "p", (F.sum("c").over(running(w)) + F.col("_count0")).alias("cum"))
+    rows = hist.select(*keys, "v", "c", "cum", F.inline(F.array(F.struct("p", F.lit(0).alias("probe")), F.struct((F.col("p") + F.lit(width)).alias("p"), F.lit(1).alias("probe")))))
+    own = F.col("probe") == 0
+    rows = earlier(dealt(rows), F.when(own, F.col("c")), F.when(own, F.col("v")))
+    w = W.partitionBy(*keys, "_range").orderBy("p", "probe")
+    rows = rows.select("*", (F.coalesce(F.sum(F.when(own, F.col("c"))).over(running(w)), F.lit(0)) + F.col("_count0")).alias("_upto"),
+                       F.coalesce(F.last(F.when(own, F.col("v")), ignorenulls=True).over(running(w)), "_last0").alias("hi"))
+    return rows.filter(~own).select(*keys, "v", "c", "cum", (F.col("_upto") - F.col("cum") + F.col("c")).alias("cover"), "hi")
+
+
+def densest_interval(values: DataFrame, keys: list[str], value: str, width: float, ranges: int = 1) -> DataFrame:
     """Closed interval [lo, lo + width] covering the most values, per key.
 
     Exact: an optimal interval can always slide right until its left end
@@ -65,10 +106,16 @@ def densest_interval(values: DataFrame, keys: list[str], value: str, width: floa
     ``lo``.  Returns keys, lo, hi (largest covered value), cover,
     center = (lo + hi) / 2 (the middle of all centres with that cover),
     n, vmin, vmax.
+
+    A key's distinct values are one task; with ``ranges`` above 1 they are
+    spread over that many, for few keys of very many values (the counts are
+    then stored once).  NaN is no value.
     """
-    hist = (values.filter(F.col(value).isNotNull())
-            .groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    cov = _cover(hist, keys, F.lit(float(width)))
+    v = F.col(value)
+    v = F.when(~F.isnan(v), v) if dict(values.dtypes)[value] in ("double", "float") else v
+    hist = (values.withColumn("v", v).filter(F.col("v").isNotNull())
+            .groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c")))
+    cov = _cover_ranges(hist, keys, float(width), ranges) if ranges > 1 else _cover(hist, keys, F.lit(float(width)))
     best = F.max(F.struct(F.col("cover"), (-F.col("v")).alias("neg"), F.col("v"), F.col("hi")))
     return (cov.groupBy(*keys)
             .agg(best.alias("b"), F.sum("c").alias("n"), F.min("v").alias("vmin"),

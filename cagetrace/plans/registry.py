@@ -560,6 +560,14 @@ def q_lineitem_densest_window(spark, sf):
     return d.select("l_returnflag", r6("lo"), r6("hi"), "cover", r6("center"), "n", r6("vmin"), r6("vmax"))
 
 
+@query
+def q_lineitem_densest_price(spark, sf):
+    # three keys of many distinct values: each is spread over 32 ranges
+    li = FX.table(spark, sf, "lineitem")
+    d = C.densest_interval(li, ["l_returnflag"], "l_extendedprice", 1000, ranges=32)
+    return d.select("l_returnflag", r6("lo"), r6("hi"), "cover", r6("center"), "n", r6("vmin"), r6("vmax"))
+
+
 # ------------------------------------------- chunked plan, same oracles
 @query
 def q_motion_chunked(spark, sf):

@@ -536,11 +536,12 @@ oracle("orders_paired_ttest", with_([
     "po AS (SELECT o_custkey, o_orderpriority, 1 AS g, avg(o_totalprice) AS value FROM orders GROUP BY o_custkey, o_orderpriority)",
     f"pa AS {paired_sql('po', 'o_orderpriority', '1-URGENT', '5-LOW', 'o_custkey', 'g')}"],
     f"SELECT {test_cols(('n', 'n_unpaired', 'n_duplicate'), ('mean_a', 'mean_b', 'mean_diff', 'sd_diff'))} FROM pa"))
-oracle("lineitem_densest_window", f"""WITH h AS (SELECT l_returnflag, l_quantity AS v, count(*) AS c FROM lineitem
-        WHERE l_quantity IS NOT NULL GROUP BY l_returnflag, l_quantity),
+for _n, _v, _w in (("window", "l_quantity", 10), ("price", "l_extendedprice", 1000)):
+    oracle(f"lineitem_densest_{_n}", f"""WITH h AS (SELECT l_returnflag, {_v} AS v, count(*) AS c FROM lineitem
+        WHERE {_v} IS NOT NULL GROUP BY l_returnflag, {_v}),
     cv AS (SELECT *, sum(c) OVER w AS cover, max(v) OVER w AS hi FROM h
-        WINDOW w AS (PARTITION BY l_returnflag ORDER BY v RANGE BETWEEN CURRENT ROW AND 10 FOLLOWING)),
-    b AS (SELECT l_returnflag, arg_max(v, cover * 1e9 - v) AS lo, arg_max(hi, cover * 1e9 - v) AS hi,
+        WINDOW w AS (PARTITION BY l_returnflag ORDER BY v RANGE BETWEEN CURRENT ROW AND {_w} FOLLOWING)),
+    b AS (SELECT l_returnflag, arg_max(v, (cover, -v)) AS lo, arg_max(hi, (cover, -v)) AS hi,
         max(cover) AS cover, sum(c) AS n, min(v) AS vmin, max(v) AS vmax FROM cv GROUP BY l_returnflag)
     SELECT l_returnflag, {r6('lo', 'lo')}, {r6('hi', 'hi')}, CAST(cover AS BIGINT) AS cover, {r6('(lo + hi) / 2', 'center')},
         CAST(n AS BIGINT) AS n, {r6('vmin', 'vmin')}, {r6('vmax', 'vmax')} FROM b""")
