@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cagetrace.llm.bpe import encoder, vocabulary
-from cagetrace.llm.store import stage
+from cagetrace.llm.store import only, stage
+from cagetrace.llm.words import slices
 
 LIMIT, END = 4096, 1
 PROBLEM, ISLANDS, ROUNDS = 2048, 2, 2
@@ -40,7 +41,7 @@ def cut(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END) ->
     """Pieces of (doc_id, text): doc_id, piece, start, length, ids_crc32."""
     def run(batches):
         enc = encoder(tokenizer)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, "text")):
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 ids = np.append(np.frombuffer(enc.encode(text or ""), enc.dtype).astype("<u4"), np.array([end], "<u4"))
@@ -139,6 +140,7 @@ def evolve(sizes, limit, genes: list[bytes], rng: random.Random) -> list[Packing
 
 def _round(number: int, limit: int):
     def run(key, pieces: pd.DataFrame, elite: pd.DataFrame) -> pd.DataFrame:
+        only("packing")  # the encoder of the texts is not needed any more
         if not len(pieces):
             return pd.DataFrame({"problem": [], "island": [], "bins": [], "fit": [], "genes": []})
         sizes = pieces.sort_values("row")["length"].tolist()
@@ -152,6 +154,7 @@ def _round(number: int, limit: int):
 
 def _place(limit: int):
     def run(key, pieces: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
+        only("packing")
         names = ["row", "bin", "offset", "filled"]
         if not len(pieces):
             return pd.DataFrame({n: [] for n in names})

@@ -77,11 +77,16 @@ def only(owner: str, free=None) -> None:
     if _holder[1]:
         _holder[1]()
     _holder[:] = owner, free
-    import ctypes
     import gc
+    gc.collect()
+    tidy()
+
+
+def tidy() -> None:
+    """Give memory that nothing holds back to the system: Arrow's pool and the C library keep it, also while the worker idles."""
+    import ctypes
 
     import pyarrow as pa
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

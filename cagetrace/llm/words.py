@@ -13,7 +13,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from cagetrace.llm.store import only
+from cagetrace.llm.store import only, tidy
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
@@ -69,7 +69,7 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
-    """Cut a batch into row slices of about *most* text bytes (one row at least)."""
+    """Cut a batch into row slices of about *most* text bytes (one row at least); then memory left unused goes back."""
     if not batch.num_rows:
         return
     _, off = text_bytes(batch.column(column))
@@ -78,6 +78,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    tidy()
 
 
 def words(data: np.ndarray, off: np.ndarray, cls: np.ndarray, fold: np.ndarray = LOWER):
