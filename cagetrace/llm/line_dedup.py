@@ -26,6 +26,8 @@ makes each a document of its own; rows without an id come last in order.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -43,6 +45,8 @@ PERCENT, LEAST = 80, 5
 EVERY = 1
 #: Buckets of the rarity table (one byte each, sent to every task)
 TABLE_LOG2 = 24
+#: The postings are joined in so many parts by word, so that only one part's shuffle files are on disk
+PARTS = 3
 _FLUSH = 1 << 22
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -247,9 +251,13 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, r
     # the index holds a word's classes, their sizes, the word's positions and a map folded to 64 bits; whole maps are joined to pairs only
     index = classes.select("c", "n", F.col("m0").bitwiseOR(F.col("m1")).alias("m"), F.explode(F.arrays_zip("tokens", "pos")).alias("t"))
     index = index.select(F.col("t.tokens").alias("token"), "c", "n", "m", F.col("t.pos").alias("pos"))
-    many = index.groupBy("token").agg(F.min(F.struct("c", "n", "m", "pos")).alias("e"), F.max("c").alias("last"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    index = postings = stage(index.join(many, "token"), "postings")
-    drop(spark)
+    postings = []
+    for part in range(PARTS):
+        some = index.where(F.pmod(F.col("token"), F.lit(PARTS)) == part)
+        many = some.groupBy("token").agg(F.min(F.struct("c", "n", "m", "pos")).alias("e"), F.max("c").alias("last"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        postings.append(stage(some.join(many, "token"), "postings"))
+        drop(spark)
+    index = functools.reduce(DataFrame.unionByName, postings)
     # a pair that its earliest class at another word rules out here comes back in the second round
     near = ((F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
             & (F.bit_count(F.col("x.m").bitwiseXOR(F.col("y.m"))) <= F.col("x.n") + F.col("y.n") - 2 * _need("x", "y", percent))
@@ -261,13 +269,15 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, r
     settled = _verified(likely, classes, rows, percent)
     drop(spark, likely)
     # a word's earliest class has met all the others by now: what is left are words of three classes or more, without it
-    index = index.where("k > 2 and c <> e.c").drop("e", "k")
-    open_ = index.drop("last").join(settled, "c", "left_anti")
-    rest = open_.alias("x").join(index.where("c < last").drop("last").alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.c") < F.col("x.c")) & near)
-    rest = stage(rest.select(F.col("x.c").alias("c"), F.col("y.c").alias("other")).distinct(), "rest")
-    drop(spark, postings)
-    likely = stage(_likely(rest, facts, percent), "likely")
-    drop(spark, rest)
+    pairs = []
+    for some in postings:
+        index = some.where("k > 2 and c <> e.c").drop("e", "k")
+        open_ = index.drop("last").join(settled, "c", "left_anti")
+        rest = open_.alias("x").join(index.where("c < last").drop("last").alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.c") < F.col("x.c")) & near)
+        pairs.append(stage(rest.select(F.col("x.c").alias("c"), F.col("y.c").alias("other")).distinct(), "rest"))
+        drop(spark, some)
+    likely = stage(_likely(functools.reduce(DataFrame.unionByName, pairs).distinct(), facts, percent), "likely")
+    drop(spark, *pairs)
     similar = settled.unionByName(_verified(likely, classes, rows, percent))
     # a class without a similar earlier one keeps its first line
     kept = stage(classes.select("c", "key", "first").join(similar, "c", "left_anti").select("key", "first"), "keptlines")
