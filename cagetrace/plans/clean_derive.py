@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cagetrace.functions.rolling import centred, edge_null_mean, edge_null_sd, leading, strict_sum, trailing
+from cagetrace.functions.rolling import centred, edge_null_mean, edge_null_sd, strict_sum, trailing
 from cagetrace.operators import clean as C
 from cagetrace.operators import contacts as CT
 from cagetrace.operators import motion as M
@@ -320,6 +320,7 @@ def behavior(frames: DataFrame, p: CleanParams, session: str = S, chunk_ms: int
 
     rows = rows.selectExpr("*", *[step(k) for k in p.ids])
     w = W.partitionBy(session, "_ic").orderBy("_gi")
-    rows = rows.select("*", *[strict_sum(f"id_{k}_move", w, fr).alias(f"id_{k}_{n}")
-                              for k in p.ids for n, fr in (("roll_r", trailing(p.fps)), ("roll_f", leading(p.fps)))])
+    rows = rows.select("*", *[strict_sum(f"id_{k}_move", w, trailing(p.fps)).alias(f"id_{k}_roll_r") for k in p.ids])
+    # the frames that start here are those that end fps - 1 frames later
+    rows = rows.select("*", *[F.lead(f"id_{k}_roll_r", p.fps - 1).over(w).alias(f"id_{k}_roll_f") for k in p.ids])
     return Behavior(rows.drop("_gi"), p.ids, session)
