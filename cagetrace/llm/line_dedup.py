@@ -4,18 +4,20 @@ Lines are sets of words (split at white space, A-Z lower-cased).  A line goes
 if an earlier line - by document id, then line number - has a Jaccard
 similarity of at least *percent* with it, whether or not that one went too.
 
-1. Document frequencies of all words are counted (per task first, then
-   summed).  A table of fixed size keeps, per hash bucket, the largest
-   frequency class of its words: a total order of words by rarity that every
-   task can compute.  The order decides only speed, not the result.
-2. Lines with equal sets are one class.  Each class is indexed under the
-   rarest words that any partner must share (the prefix); words seen in one
-   line only are left out.
-3. Each class is first compared with the earliest class of its index words;
+1. Lines with equal sets are one class.
+2. Sizes are cut into levels so that similar sets lie in one level or in two
+   next to each other.  In a level at most d words tell similar sets apart.  The
+   words are dealt by hash to more than d parts; two similar sets have all but
+   d parts in common, so that of either's parts, strongest first (most bytes of
+   words), the first d + 1 hold one that both have.  These are the signatures.
+   Where d is 1, a set must be another less one word: the signatures are the
+   set itself and the set less each of its words.
+3. Signatures are dealt to buckets; a bucket's task brings equal ones together.
+   Each class is first compared with the earliest class of its signatures;
    classes that match are settled, which dissolves large groups of variants
    without pairing them up.  The others are compared with all earlier classes
-   under their index words.  Length, position and a 128-bit map of the words
-   bound the overlap from above; pairs that pass are verified on full sets.
+   under their signatures.  A map of the parity of 64 word hashes bounds the
+   words that differ from below; pairs that pass are verified on full sets.
 
 Defined results: lines of fewer than *least* distinct words are never
 removed and remove none (the query and the pipeline take EVERY line with a
@@ -27,6 +29,7 @@ makes each a document of its own; rows without an id come last in order.
 from __future__ import annotations
 
 import functools
+import operator
 
 import numpy as np
 import pandas as pd
@@ -43,18 +46,27 @@ _U = np.uint64
 PERCENT, LEAST = 80, 5
 #: The *least* with which every line that has a word takes part
 EVERY = 1
-#: Buckets of the rarity table (one byte each, sent to every task)
-TABLE_LOG2 = 24
-#: The postings are joined in so many parts by word, so that only one part's shuffle files are on disk
+#: Buckets of signatures: one is held by a task at a time, 26 bytes a signature
+BUCKETS_LOG2 = 13
+#: The postings are joined in so many parts by signature, so that only one part's shuffle files are on disk
 PARTS = 3
-_FLUSH = 1 << 22
+#: Classes under one signature that are compared by their maps where they are; more are joined
+_NEAR, _FEW = 4096, 48
+_FLUSH = 1 << 16
+#: Low bits of the signature (the bucket has the rest), class, place, word parities, size up to _MOST and kind (_ONE: d is 1, _WHOLE: the set itself)
+_ENTRY = np.dtype([("s", "<u4"), ("k", "<i8"), ("o", "<f4"), ("m", "<u8"), ("n", "<u2")])
+_WHOLE, _ONE, _MOST = 1 << 15, 1 << 14, (1 << 14) - 1
+#: A line, with its size and its word parities in four maps; lines go through the same shuffle, in buckets below zero
+_LINE = np.dtype([("rid", "<i8"), ("ord", "<i8"), ("line", "<i4"), ("key", "<i8"), ("n", "<i4"), *((f"m{i}", "<i8") for i in range(4))])
+_LINE_BUCKETS = 256
+_SHARED = "sig long, key long, lead long, star boolean, rest boolean, rid long, ord long, line int, n int, m0 long, m1 long, m2 long, m3 long"
 _WORD = r"[^\x20\x09-\x0D]"
 
 
 def line_sets(part: pa.RecordBatch):
-    """(token hashes, line of each, row of each line, number of each line): distinct words per line of a slice."""
+    """(token hashes, line of each, row of each line, number of each line, bytes of each): distinct words per line of a slice."""
     data, off = W.text_bytes(part.column("text"))
-    h, _, st, _ = W.words(data, off, W.NON_SPACE)
+    h, _, st, en = W.words(data, off, W.NON_SPACE)
     nl = np.flatnonzero(data == 10)
     row = np.concatenate([np.arange(part.num_rows), np.searchsorted(off, nl, side="right") - 1])
     start = np.concatenate([off[:-1], nl + 1])
@@ -67,7 +79,7 @@ def line_sets(part: pa.RecordBatch):
     h, line = h[by], line[by]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    return h[new], line[new], row, number
+    return h[new], line[new], row, number, (en - st)[by[new]]
 
 
 def _by_line(h: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -79,76 +91,190 @@ def _by_line(h: np.ndarray, line: np.ndarray) -> np.ndarray:
     return np.lexsort((h, line)) if (h[by[tie]] != h[by[tie + 1]]).any() else by
 
 
-def _frequencies(least: int):
-    """Partial (token, lines) counts of the lines that take part."""
-    def out(parts):
-        t, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(t.view(np.int32)), pa.array(n, pa.int32())], names=["token", "n"])
-
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for part in W.slices(batch, "text"):
-                h, line, row, _ = line_sets(part)
-                h = h[np.bincount(line, minlength=len(row))[line] >= least]
-                held.append((h & _U(0xFFFFFFFF)).astype(np.uint32))  # 32 bits do for an order
-                size += len(h)
-                if size >= _FLUSH:
-                    yield out(held)
-                    held, size = [], 0
-        if size:
-            yield out(held)
-    return run
-
-
-def _index(rare: np.ndarray, percent: int, least: int):
-    """A row per class of lines in a slice: first place, size, index words with their positions, bit map."""
-    mask = _U((1 << TABLE_LOG2) - 1)
-
+@functools.cache
+def _levels(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least size, greatest size, most words that differ) of each level."""
+    low, high = [1], []
+    while low[-1] < 1 << 31:
+        high.append(100 * low[-1] // percent)
+        if low[-1] >= 8:  # wider ones: more sets lie in one level only
+            high[-1] = max(high[-1], 100 * high[-1] // percent, low[-1] * 65 // 64)
+        low.append(high[-1] + 1)
+    most = [_apart(2 * low[max(0, i - 1)], 2 * h, percent) for i, h in enumerate(high)]
+    return np.array(low[:-1]), np.array(high), np.array(most)
+
+
+def _apart(a: int, b: int, percent: int) -> int:
+    """The most words in just one of two similar sets of *a* to *b* words together."""
+    both = np.arange(max(a, b - 99 - percent), b + 1)  # it grows from one such span to the next
+    return int((both + 2 * (-percent * both // (100 + percent))).max(initial=-1))
+
+
+@functools.cache
+def _budget(n: int, level: int, percent: int) -> int:
+    """The most words that differ between a set of *n* and a similar one of a size in *level* (or in its own, if that is lower)."""
+    low, high, _ = _levels(percent)
+    own = int(np.searchsorted(low, n, side="right")) - 1
+    first = int(low[level if level > own else max(0, level - 1)])
+    return _apart(n + max(first, -(-percent * n // 100)), n + min(int(high[level]), 100 * n // percent), percent)
+
+
+def _parts(h: np.ndarray, line: np.ndarray, size: np.ndarray, weight: np.ndarray, shift: int, percent: int):
+    """(signature, its line, its kind) of every line, in the level of its size (*shift* 0) or the next (1)."""
+    low, high, most = _levels(percent)
+    level = np.minimum(np.searchsorted(low, np.maximum(size, 1), side="right") - 1 + shift, len(low) - 1)
+    sizes, at = np.unique(size, return_inverse=True)
+    budget = np.array([_budget(int(n), int(np.searchsorted(low, n, side="right")) - 1 + shift, percent) if n else -1 for n in sizes])[at]
+    most = most[level]
+    # one word more or less: the whole set, and the set less each word
+    one = (budget >= 1) & (most == 1)
+    with np.errstate(over="ignore"):
+        w = one[line]
+        total = np.zeros(len(size), _U)
+        np.add.at(total, line[w], W.mix(h[w]))
+        salt = W.mix(level.astype(_U) + _U(1))
+        ones = np.flatnonzero(one)
+        found = [(W.mix(total[ones] + salt[ones]), ones, np.full(len(ones), _ONE | _WHOLE)),
+                 (W.mix(total[line[w]] - W.mix(h[w]) + salt[line[w]]), line[w], np.full(int(w.sum()), _ONE))]
+        many = (budget >= 1) & (most > 1)
+        lines = np.flatnonzero(many)
+        k = (most + 1 + np.maximum(1, (most + 1) // 4))[lines]
+        first = np.zeros(len(size), np.int64)
+        first[lines] = np.cumsum(k) - k
+        w = many[line]
+        lw = line[w]
+        hw = W.mix(h[w] ^ salt[lw])
+        pieces = np.zeros(len(size), _U)
+        pieces[lines] = k.astype(_U)
+        cell = first[lw] + (((hw >> _U(32)) * pieces[lw]) >> _U(32)).astype(np.int64)
+        token = np.zeros(int(k.sum()), _U)
+        np.add.at(token, cell, hw)
+        strong = np.minimum(np.bincount(cell, weight[w], minlength=len(token)), 255).astype(_U)
+        of = np.repeat(lines, k)
+        place = (np.arange(len(token)) - first[of]).astype(_U)
+        # the strongest first, then by hash: an order of parts that all lines share
+        token = ((_U(255) - strong) << _U(56)) | (W.mix(token + W.mix(salt[of] + place)) >> _U(8))
+        by = np.lexsort((token, of))
+        use = by[place <= budget[of]]  # the places of a line's parts in its own order
+        found.append((W.mix(token[use]), of[use], np.zeros(len(use), np.int64)))
+    return [np.concatenate(c) for c in zip(*found)]
+
+
+def _signatures(percent: int, least: int):
+    """The signatures of the classes of a slice, packed by bucket, and its lines."""
     def run(batches):
         for batch in batches:
             for part in W.slices(batch, "text"):
-                h, line, row, number = line_sets(part)
+                h, line, row, number, weight = line_sets(part)
                 size, key = _classes(h, line, len(row))
-                q = rare[(h & mask).astype(np.int64)]
-                by = np.lexsort((q, line))  # h is in order already: by rarity, then hash
-                h, line, q = h[by], line[by], q[by]
-                first = np.searchsorted(line, np.arange(len(row)))
-                pos = np.arange(len(h)) - first[line]
-                prefix = size - -(-percent * size // 100) + 1
-                # a set too small to match with one word more or less matches only its equals, which are its class
-                alone = size * 100 < percent * (size + 1)
-                use = (pos < prefix[line]) & (q > 0) & (size[line] >= least) & ~alone[line]
-                b = (W.mix(h) >> _U(57)).astype(np.int64)
-                maps = np.zeros((2, len(row)), _U)
-                for k in (0, 1):
-                    here = (b >> 6) == k
-                    np.bitwise_or.at(maps[k], line[here], _U(1) << (b[here] & 63).astype(_U))
+                place = part.column("ord").to_numpy()[row].astype(np.float32)
                 rows = np.flatnonzero(size >= least)
-                rows = rows[np.lexsort((number[rows], part.column("rid").to_numpy()[row[rows]], part.column("ord").to_numpy()[row[rows]]))]
-                rows = np.sort(rows[np.unique(key[rows], return_index=True)[1]])
-                use &= np.isin(line, rows)
-                count = np.bincount(line[use], minlength=len(row))[rows]
-                yield pa.RecordBatch.from_arrays([
-                    part.column("rid").take(pa.array(row[rows])), part.column("ord").take(pa.array(row[rows])),
-                    pa.array(number[rows], pa.int32()), pa.array(key[rows]), pa.array(size[rows], pa.int32()),
-                    W.array_column(h[use], count), W.array_column(pos[use].astype(np.int32), count, pa.int32()),
-                    *(pa.array(m[rows].view(np.int64)) for m in maps)],
-                    names=["rid", "ord", "line", "key", "n", "tokens", "pos", "m0", "m1"])
+                b = (W.mix(h) >> _U(56)).astype(np.int64)
+                maps = np.zeros(4 * len(row), _U)
+                np.bitwise_xor.at(maps, 4 * line + (b >> 6), _U(1) << (b & 63).astype(_U))
+                maps = maps.reshape(-1, 4)
+                lines = np.empty(len(rows), _LINE)
+                lines["rid"], lines["ord"] = (part.column(c).to_numpy()[row[rows]] for c in ("rid", "ord"))
+                lines["line"], lines["key"], lines["n"] = number[rows], key[rows], size[rows]
+                for i in range(4):
+                    lines[f"m{i}"] = maps[rows, i].view(np.int64)
+                rows = rows[np.argsort(place[rows], kind="stable")]
+                rows = rows[np.unique(key[rows], return_index=True)[1]]
+                own = np.zeros(len(row), bool)
+                own[rows] = True
+                size = np.where(own, size, 0)
+                w = own[line]
+                h, line, weight = h[w], line[w], weight[w]
+                odd = np.bitwise_xor.reduce(maps, axis=1)
+                sig, of, kind = (np.concatenate(c) for c in zip(*(_parts(h, line, size, weight, shift, percent) for shift in (0, 1))))
+                by = np.argsort(sig)
+                sig, of = sig[by], of[by]
+                out = np.empty(len(sig), _ENTRY)
+                out["s"], out["k"], out["o"], out["m"] = sig & _U(0xFFFFFFFF), key[of], place[of], odd[of]
+                out["n"] = np.minimum(size[of], _MOST) | kind[by]
+                bucket = (sig >> _U(64 - BUCKETS_LOG2)).astype(np.int32)
+                there, start = np.unique(bucket, return_index=True)
+                off = (np.append(start, len(sig)) * _ENTRY.itemsize).astype(np.int32)
+                blob = pa.Array.from_buffers(pa.binary(), len(there), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(out.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), blob], names=["bucket", "entries"])
+                if len(lines):
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - int(lines["key"][0]) % _LINE_BUCKETS], pa.int32()), pa.array([lines.tobytes()], pa.binary())], names=["bucket", "entries"])
     return run
 
 
-def _keys(least: int):
-    """The class of every line that takes part."""
+def _batch(rows: int, **columns) -> pa.RecordBatch:
+    """Columns of _SHARED; null where not given."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    names = [c.split() for c in _SHARED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(columns[n]), kinds[k]) if n in columns else pa.nulls(rows, kinds[k]) for n, k in names], names=[n for n, _ in names])
+
+
+def _shared(percent: int):
+    """Of rows in order of bucket: the lines, and classes that share a signature, and whether one is to be compared with the earliest of them, or with others."""
+    def found(bucket, held):
+        e = np.frombuffer(b"".join(held), _ENTRY)
+        s = np.ascontiguousarray(e["s"])
+        by = np.argsort(s)
+        s = s[by]
+        same = s[1:] == s[:-1]
+        e = e[by[np.append(same, False) | np.append(False, same)]]
+        if not len(e):
+            return None
+        # a class comes once, from its earliest place
+        e = e[np.lexsort((e["o"], e["k"], e["n"] < _WHOLE, e["s"]))]
+        e = e[np.append(True, (e["s"][1:] != e["s"][:-1]) | (e["k"][1:] != e["k"][:-1]) | (e["n"][1:] != e["n"][:-1]))]
+        e = e[np.lexsort((e["k"], e["o"], e["n"] < _WHOLE, e["s"]))]
+        start = np.flatnonzero(np.append(True, e["s"][1:] != e["s"][:-1]))
+        count = np.diff(np.append(start, len(e)))
+        lead, end = np.repeat(start, count), np.repeat(start + count, count)
+        n, odd, i = (e["n"] & _MOST).astype(np.int64), e["m"].copy(), np.arange(len(e))
+        whole, one = e["n"] >= _WHOLE, (e["n"] & _ONE) > 0
+
+        def near(x, y):
+            both = n[x] + n[y]
+            allowed = (np.bitwise_count(odd[x] ^ odd[y]) <= both + 2 * (-percent * both // (100 + percent))) & (np.minimum(n[x], n[y]) * 100 >= percent * np.maximum(n[x], n[y]))
+            return allowed | (n[x] >= _MOST) | (n[y] >= _MOST)
+        star = (i > lead) & near(i, lead) & (~one | (whole[lead] & ~whole))
+        rest = (i > lead) & ~one & (end - lead > 2)
+        size = end - lead
+        x = i[rest & (size <= _FEW)]
+        some = np.flatnonzero(rest & (size > _FEW) & (size <= _NEAR) & (i == lead + 1))
+        rest &= size > _NEAR
+        for step in range(1, _FEW):
+            x = x[x + step < end[x]]
+            if not len(x):
+                break
+            ok = x[near(x, x + step)]
+            rest[ok] = rest[ok + step] = True
+        for first in some.tolist():
+            y = np.arange(first, end[first])
+            for block in np.array_split(y, 1 + len(y) // 512):
+                ok = near(block[:, None], y[None, :])
+                ok[np.arange(len(block)), block - first] = False
+                rest[block] |= ok.any(axis=1)
+        use = star | rest
+        sig = (np.int64(bucket) << np.int64(32)) | e["s"].astype(np.int64)
+        return _batch(int(use.sum()), sig=sig[use], key=e["k"][use], lead=e["k"][lead][use], star=star[use], rest=rest[use])
+
     def run(batches):
+        held, now, out, size = [], None, [], 0
         for batch in batches:
-            for part in W.slices(batch, "text"):
-                h, line, row, number = line_sets(part)
-                size, key = _classes(h, line, len(row))
-                rows = np.flatnonzero(size >= least)
-                at = pa.array(row[rows])
-                yield pa.RecordBatch.from_arrays([part.column("rid").take(at), part.column("ord").take(at), pa.array(number[rows], pa.int32()), pa.array(key[rows])],
-                                                 names=["rid", "ord", "line", "key"])
+            for bucket, entries in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist()):
+                if bucket < 0:
+                    lines = np.frombuffer(entries, _LINE)
+                    yield _batch(len(lines), **{c: lines[c] for c in _LINE.names})
+                    continue
+                if bucket != now and held:
+                    out.append(found(now, held))
+                    held, size = [], size + (len(out[-1]) if out[-1] else 0)
+                    if size >= _FLUSH:
+                        yield pa.Table.from_batches([b for b in out if b]).combine_chunks().to_batches()[0]
+                        out, size = [], 0
+                now = bucket
+                held.append(entries)
+        out = [b for b in [*out, found(now, held) if held else None] if b]
+        if size or out:
+            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
     return run
 
 
@@ -162,51 +288,22 @@ def _classes(h: np.ndarray, line: np.ndarray, lines: int):
 
 
 def _sets(batches):
+    """The word sets of the lines whose classes (key, c) are wanted of a document."""
     for batch in batches:
         for part in W.slices(batch, "text"):
-            h, line, row, _ = line_sets(part)
+            h, line, row, _, _ = line_sets(part)
             _, key = _classes(h, line, len(row))
             cuts = np.searchsorted(line, np.arange(len(row) + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["key", "set"])
-
-
-def rarity(docs: DataFrame, least: int) -> np.ndarray:
-    """Per hash bucket the largest frequency class of its words, 0 where none is in two lines."""
-    n = docs.mapInArrow(_frequencies(least), "token int, n int").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
-    cls = F.least(F.lit(255), F.ceil(F.log2("n") * 8)).cast("short")
-    top = n.groupBy(F.col("token").bitwiseAND((1 << TABLE_LOG2) - 1).alias("b")).agg(F.max(cls).alias("c"))
-    # at most 2**TABLE_LOG2 rows of six bytes, packed by bucket range
-    packed = top.groupBy((F.col("b") / 4096).cast("int").alias("p")).agg(F.collect_list(F.struct("b", "c")).alias("r"))
-    packed = packed.select(F.transform("r", lambda x: x["b"]).alias("b"), F.transform("r", lambda x: x["c"]).alias("c"))
-    out = np.zeros(1 << TABLE_LOG2, np.uint8)
-    t = packed.toArrow()
-    for b, c in zip(t.column("b").chunks, t.column("c").chunks):
-        out[b.flatten().to_numpy()] = c.flatten().to_numpy().astype(np.uint8)
-    return out
-
-
-def _need(x: str, y: str, percent: int) -> F.Column:
-    """Words that two lines must share."""
-    return F.ceil((F.col(f"{x}.n") + F.col(f"{y}.n")) * percent / (100 + percent) - 1e-9)
-
-
-def _bounded(x: str, y: str, percent: int) -> F.Column:
-    """Whether lengths and bit maps allow the similarity."""
-    c = lambda s, n: F.col(f"{s}.{n}")
-    both = c(x, "n") + c(y, "n")
-    apart = F.bit_count(c(x, "m0").bitwiseXOR(c(y, "m0"))) + F.bit_count(c(x, "m1").bitwiseXOR(c(y, "m1")))
-    return ((F.least(c(x, "n"), c(y, "n")) * 100 >= F.greatest(c(x, "n"), c(y, "n")) * percent) & (apart <= both - 2 * _need(x, y, percent)))
+            wanted = {(i, w["key"]): w["c"] for i, ws in enumerate(part.column("wanted").to_pylist()) for w in ws}
+            found = {wanted[at]: i for i, at in enumerate(zip(row.tolist(), key.tolist())) if at in wanted}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([h[cuts[i]:cuts[i + 1]].tobytes() for i in found.values()], pa.binary())], names=["c", "set"])
 
 
-def _placed(x: str, y: str, percent: int) -> F.Column:
-    """Whether enough words follow the shared one, were it the first that is shared."""
-    return F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos")) >= _need(x, y, percent)
-
-
-def _likely(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """The *pairs* (c, other) whose lengths and bit maps allow the similarity."""
-    x = pairs.alias("p").join(facts.alias("x"), F.col("p.c") == F.col("x.c")).join(facts.alias("y"), F.col("p.other") == F.col("y.c"))
-    return x.where(_bounded("x", "y", percent)).select("p.c", "p.other")
+def _near(percent: int) -> F.Column:
+    """Whether the sizes and maps of x and y allow the similarity."""
+    both = F.col("x.n") + F.col("y.n")
+    apart = functools.reduce(operator.add, (F.bit_count(F.col(f"x.m{i}").bitwiseXOR(F.col(f"y.m{i}"))) for i in range(4)))
+    return (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (apart <= both - 2 * F.ceil(both * percent / (100 + percent) - 1e-9))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -217,8 +314,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
             yield pa.RecordBatch.from_arrays([b.column("c").filter(pa.array(ok, pa.bool_()))], names=["c"])
     needed = pairs.select("c").unionByName(pairs.select(F.col("other").alias("c"))).distinct()
     needed = stage(classes.select("c", "key", F.col("first.rid").alias("rid")).join(needed, "c", "left_semi"), "needed")
-    sets = docs.join(needed.select("rid").distinct(), "rid", "left_semi").select("text").mapInArrow(_sets, "key long, set binary")
-    sets = stage(sets.join(needed.select("key", "c"), "key").groupBy("c").agg(F.any_value("set").alias("set")), "linesets")
+    wanted = needed.groupBy("rid").agg(F.collect_list(F.struct("key", "c")).alias("wanted"))
+    sets = docs.join(wanted, "rid").select("text", "wanted").mapInArrow(_sets, "c long, set binary")
+    sets = stage(sets.groupBy("c").agg(F.any_value("set").alias("set")), "linesets")
     x = pairs.select("c", "other").join(sets.toDF("c", "set_a"), "c").join(sets.toDF("other", "set_b"), "other")
     out = stage(x.select("c", "set_a", "set_b").mapInArrow(run, "c long").distinct(), "similar")
     drop(docs.sparkSession, needed, sets)
@@ -237,52 +335,38 @@ def _rows(docs: DataFrame, row: str | None) -> DataFrame:
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, row: str | None = None) -> DataFrame:
     """(rid, gone) for each row of *docs* (doc_id, text) that loses lines: their numbers."""
-    rows = _rows(docs, row)
-    rare = rarity(rows.select("text"), least)
-    schema = "rid long, ord long, line int, key long, n int, tokens array<long>, pos array<int>, m0 long, m1 long"
+    rows, spark = _rows(docs, row), docs.sparkSession
     place = F.struct("ord", "rid", "line")
-    classes = rows.mapInArrow(_index(rare, percent, least), schema).groupBy("key").agg(
-        F.min(place).alias("first"), *(F.any_value(c).alias(c) for c in ("n", "m0", "m1", "tokens", "pos")))
+    packed = rows.mapInArrow(_signatures(percent, least), "bucket int, entries binary")
+    shared = stage(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(percent), _SHARED), "shared")
+    drop(spark)
+    facts = ["n", *(f"m{i}" for i in range(4))]
+    lines, shared = shared.where("line is not null"), shared.where("line is null")
+    classes = lines.groupBy("key").agg(F.min(place).alias("first"), *(F.any_value(c).alias(c) for c in facts))
     # the running number of range-sorted rows: a class number in order of first place
     classes = classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("c", F.monotonically_increasing_id())
     classes = stage(classes, "lineclasses")
-    spark, facts = docs.sparkSession, classes.select("c", "n", "m0", "m1")
     drop(spark)
-    # the index holds a word's classes, their sizes, the word's positions and a map folded to 64 bits; whole maps are joined to pairs only
-    index = classes.select("c", "n", F.col("m0").bitwiseOR(F.col("m1")).alias("m"), F.explode(F.arrays_zip("tokens", "pos")).alias("t"))
-    index = index.select(F.col("t.tokens").alias("token"), "c", "n", "m", F.col("t.pos").alias("pos"))
-    postings = []
-    for part in range(PARTS):
-        some = index.where(F.pmod(F.col("token"), F.lit(PARTS)) == part)
-        many = some.groupBy("token").agg(F.min(F.struct("c", "n", "m", "pos")).alias("e"), F.max("c").alias("last"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        postings.append(stage(some.join(many, "token"), "postings"))
-        drop(spark)
-    index = functools.reduce(DataFrame.unionByName, postings)
-    # a pair that its earliest class at another word rules out here comes back in the second round
-    near = ((F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-            & (F.bit_count(F.col("x.m").bitwiseXOR(F.col("y.m"))) <= F.col("x.n") + F.col("y.n") - 2 * _need("x", "y", percent))
-            & _placed("x", "y", percent))
-    early = index.where("c <> e.c").select(F.struct("c", "n", "m", "pos").alias("x"), F.col("e").alias("y")).where(near)
-    early = stage(early.select("x.c", F.col("y.c").alias("other")).distinct(), "early")
-    likely = stage(_likely(early, facts, percent), "likely")
-    drop(spark, early)
+    facts = classes.select("key", "c", *facts)
+    early = shared.where("star").select("key", "lead").distinct().alias("p").join(facts.alias("x"), F.col("p.key") == F.col("x.key"))
+    early = early.join(facts.alias("y"), F.col("p.lead") == F.col("y.key")).where(_near(percent))
+    likely = stage(early.select(F.greatest("x.c", "y.c").alias("c"), F.least("x.c", "y.c").alias("other")), "likely")
     settled = _verified(likely, classes, rows, percent)
     drop(spark, likely)
-    # a word's earliest class has met all the others by now: what is left are words of three classes or more, without it
+    # a signature's earliest class has met all the others by now: what is left are the others among themselves
     pairs = []
-    for some in postings:
-        index = some.where("k > 2 and c <> e.c").drop("e", "k")
-        open_ = index.drop("last").join(settled, "c", "left_anti")
-        rest = open_.alias("x").join(index.where("c < last").drop("last").alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("y.c") < F.col("x.c")) & near)
+    for part in range(PARTS):
+        some = shared.where("rest").where(F.pmod(F.col("sig"), F.lit(PARTS)) == part)
+        some = stage(some.select("sig", "key").join(facts, "key").drop("key"), "postings")
+        rest = some.join(settled, "c", "left_anti").alias("x").join(some.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("y.c") < F.col("x.c")) & _near(percent))
         pairs.append(stage(rest.select(F.col("x.c").alias("c"), F.col("y.c").alias("other")).distinct(), "rest"))
         drop(spark, some)
-    likely = stage(_likely(functools.reduce(DataFrame.unionByName, pairs).distinct(), facts, percent), "likely")
+    likely = stage(functools.reduce(DataFrame.unionByName, pairs).distinct(), "likely")
     drop(spark, *pairs)
     similar = settled.unionByName(_verified(likely, classes, rows, percent))
     # a class without a similar earlier one keeps its first line
     kept = stage(classes.select("c", "key", "first").join(similar, "c", "left_anti").select("key", "first"), "keptlines")
     goes = F.col("first").isNull() | (F.col("first") != F.col("at"))
-    lines = rows.mapInArrow(_keys(least), "rid long, ord long, line int, key long")
     marked = lines.select("rid", "line", "key", place.alias("at")).join(kept, "key", "left").select("rid", "line", goes.alias("goes"))
     return marked.groupBy("rid").agg(F.sort_array(F.collect_set(F.when(F.col("goes"), F.col("line")))).alias("gone")).where("size(gone) > 0")
 
