@@ -18,6 +18,8 @@ from cagetrace.functions.rolling import running
 from cagetrace.session import stage
 
 S = "session"
+#: Rows of a histogram that a task takes at most, unless one key has more
+HIST_ROWS = 1_000_000
 
 
 def dedup_time(frames: DataFrame, session: str = S, within_sessions: bool = False) -> DataFrame:
@@ -133,6 +135,10 @@ def axis_summary(frames: DataFrame, widths: dict[str, float], session: str = S)
         F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("v")) for a in widths])))
     hist = (vals.filter(F.col("v").isNotNull())
             .groupBy(session, "axis", "v").agg(F.count(F.lit(1)).alias("c")))
+    # stored, so that its rows are known: they set the number of tasks, which the setting for shuffles would fix whatever the rows
+    hist = stage(hist, "histogram")
+    tasks = max(int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hist.count() // HIST_ROWS))
+    hist = hist.repartition(tasks, session, "axis")
     width = F.element_at(F.create_map(*[F.lit(x) for a, wd in widths.items() for x in (a, float(wd))]), F.col("axis"))
     cov = _cover(hist, [session, "axis"], width)
     cov = cov.withColumn("n", F.sum("c").over(W.partitionBy(session, "axis")))
