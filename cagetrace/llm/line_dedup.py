@@ -371,8 +371,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, r
     return marked.groupBy("rid").agg(F.sort_array(F.collect_set(F.when(F.col("goes"), F.col("line")))).alias("gone")).where("size(gone) > 0")
 
 
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+def _left(text: pd.Series, gone: pd.Series) -> pd.Series:
     out = []
     for t, g in zip(text, gone):
         if t is not None and g is not None and len(g):
@@ -382,6 +381,10 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+#: Declared not deterministic so that a filter on what it leaves does not run it a second time, with workers of its own
+_without = F.pandas_udf(_left, StringType()).asNondeterministic()
+
+
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, removed: str = "lines_removed", emptied: str = "emptied",
                 row: str | None = None) -> DataFrame:
     """*docs* with later matching lines taken out of ``text``.
