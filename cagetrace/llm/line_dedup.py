@@ -15,9 +15,11 @@ similarity of at least *percent* with it, whether or not that one went too.
 3. Signatures are dealt to buckets; a bucket's task brings equal ones together.
    Each class is first compared with the earliest class of its signatures;
    classes that match are settled, which dissolves large groups of variants
-   without pairing them up.  The others are compared with all earlier classes
-   under their signatures.  A map of the parity of 64 word hashes bounds the
-   words that differ from below; pairs that pass are verified on full sets.
+   without pairing them up.  The others are compared with the _CLOSEST earlier
+   classes by map under each signature, and with all of them if there are more
+   and none of these is similar.  A map of the parity of 64 word hashes (256
+   later) bounds the words that differ from below; pairs that pass are verified
+   on full sets.
 
 Defined results: lines of fewer than *least* distinct words are never
 removed and remove none (the query and the pipeline take EVERY line with a
@@ -49,16 +51,18 @@ EVERY = 1
 #: Buckets of signatures: one is held by a task at a time, 26 bytes a signature
 BUCKETS_LOG2 = 13
 #: The postings are joined in so many parts by signature, so that only one part's shuffle files are on disk
-PARTS = 3
+PARTS = 1
 #: Classes under one signature that are compared by their maps where they are; more are joined
 _NEAR, _FEW = 4096, 48
+#: Earlier classes under a signature, nearest first by map, that a class is compared with before it is with all
+_CLOSEST = 4
 _FLUSH = 1 << 16
 #: Low bits of the signature (the bucket has the rest), class, place, word parities, size up to _MOST and kind (_ONE: d is 1, _WHOLE: the set itself)
 _ENTRY = np.dtype([("s", "<u4"), ("k", "<i8"), ("o", "<f4"), ("m", "<u8"), ("n", "<u2")])
 _WHOLE, _ONE, _MOST = 1 << 15, 1 << 14, (1 << 14) - 1
-#: A line, with its size and its word parities in four maps; lines go through the same shuffle, in buckets below zero
+#: A class's first line in a slice, with its size and its word parities in four maps; they go through the same shuffle, in buckets below zero by class
 _LINE = np.dtype([("rid", "<i8"), ("ord", "<i8"), ("line", "<i4"), ("key", "<i8"), ("n", "<i4"), *((f"m{i}", "<i8") for i in range(4))])
-_LINE_BUCKETS = 256
+_LINE_BUCKETS = 1024
 _SHARED = "sig long, key long, lead long, star boolean, rest boolean, rid long, ord long, line int, n int, m0 long, m1 long, m2 long, m3 long"
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -160,8 +164,26 @@ def _parts(h: np.ndarray, line: np.ndarray, size: np.ndarray, weight: np.ndarray
     return [np.concatenate(c) for c in zip(*found)]
 
 
+def _packed(bucket: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+    """A row per bucket of *entries*, which are in its order."""
+    there, start = np.unique(bucket, return_index=True)
+    off = (np.append(start, len(entries)) * entries.itemsize).astype(np.int32)
+    blob = pa.Array.from_buffers(pa.binary(), len(there), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(entries.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), blob], names=["bucket", "entries"])
+
+
+def _firsts(lines: np.ndarray):
+    """(first line of each class, later lines of theirs); a repeated row's line is the same line."""
+    lines = lines[np.lexsort((lines["line"], lines["rid"], lines["ord"], lines["key"]))]
+    new = np.append(True, lines["key"][1:] != lines["key"][:-1])
+    first = np.flatnonzero(new)
+    of = first[np.cumsum(new) - 1]
+    later = (lines["ord"] != lines["ord"][of]) | (lines["rid"] != lines["rid"][of]) | (lines["line"] != lines["line"][of])
+    return lines[first], lines[later]
+
+
 def _signatures(percent: int, least: int):
-    """The signatures of the classes of a slice, packed by bucket, and its lines."""
+    """The signatures of the classes of a slice, packed by bucket, and its lines: the first of each class by class, those that go for it as they are."""
     def run(batches):
         for batch in batches:
             for part in W.slices(batch, "text"):
@@ -188,17 +210,20 @@ def _signatures(percent: int, least: int):
                 odd = np.bitwise_xor.reduce(maps, axis=1)
                 sig, of, kind = (np.concatenate(c) for c in zip(*(_parts(h, line, size, weight, shift, percent) for shift in (0, 1))))
                 by = np.argsort(sig)
-                sig, of = sig[by], of[by]
+                sig, of, kind = sig[by], of[by], kind[by]
                 out = np.empty(len(sig), _ENTRY)
                 out["s"], out["k"], out["o"], out["m"] = sig & _U(0xFFFFFFFF), key[of], place[of], odd[of]
-                out["n"] = np.minimum(size[of], _MOST) | kind[by]
-                bucket = (sig >> _U(64 - BUCKETS_LOG2)).astype(np.int32)
-                there, start = np.unique(bucket, return_index=True)
-                off = (np.append(start, len(sig)) * _ENTRY.itemsize).astype(np.int32)
-                blob = pa.Array.from_buffers(pa.binary(), len(there), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(out.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), blob], names=["bucket", "entries"])
-                if len(lines):
-                    yield pa.RecordBatch.from_arrays([pa.array([-1 - int(lines["key"][0]) % _LINE_BUCKETS], pa.int32()), pa.array([lines.tobytes()], pa.binary())], names=["bucket", "entries"])
+                out["n"] = np.minimum(size[of], _MOST) | kind
+                yield _packed((sig >> _U(64 - BUCKETS_LOG2)).astype(np.int32), out)
+                if not len(lines):
+                    continue
+                lines, later = _firsts(lines)
+                bucket = (-1 - lines["key"] % _LINE_BUCKETS).astype(np.int32)
+                by = np.argsort(bucket, kind="stable")
+                yield _packed(bucket[by], lines[by])
+                if len(later):
+                    later["n"] = 0
+                    yield _packed(np.full(len(later), -1 - int(lines["key"][0]) % _LINE_BUCKETS, np.int32), later)
     return run
 
 
@@ -210,8 +235,19 @@ def _batch(rows: int, **columns) -> pa.RecordBatch:
 
 
 def _shared(percent: int):
-    """Of rows in order of bucket: the lines, and classes that share a signature, and whether one is to be compared with the earliest of them, or with others."""
+    """Of rows in order of bucket: the first line of each class, the others without their key, and classes that share a signature, and whether one is to be compared with the earliest of them, or with others."""
+    def told(held):
+        lines = np.frombuffer(b"".join(held), _LINE)
+        gone = lines["n"] == 0
+        first, later = _firsts(lines[~gone])
+        later = np.concatenate([later, lines[gone]])
+        yield _batch(len(first), **{c: first[c] for c in _LINE.names})
+        if len(later):
+            yield _batch(len(later), rid=later["rid"], line=later["line"])
+
     def found(bucket, held):
+        if bucket < 0:
+            return pa.Table.from_batches(list(told(held))).combine_chunks().to_batches()[0]
         e = np.frombuffer(b"".join(held), _ENTRY)
         s = np.ascontiguousarray(e["s"])
         by = np.argsort(s)
@@ -260,10 +296,6 @@ def _shared(percent: int):
         held, now, out, size = [], None, [], 0
         for batch in batches:
             for bucket, entries in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist()):
-                if bucket < 0:
-                    lines = np.frombuffer(entries, _LINE)
-                    yield _batch(len(lines), **{c: lines[c] for c in _LINE.names})
-                    continue
                 if bucket != now and held:
                     out.append(found(now, held))
                     held, size = [], size + (len(out[-1]) if out[-1] else 0)
@@ -288,14 +320,14 @@ def _classes(h: np.ndarray, line: np.ndarray, lines: int):
 
 
 def _sets(batches):
-    """The word sets of the lines whose classes (key, c) are wanted of a document."""
+    """The word sets of the lines whose classes are wanted of a document."""
     for batch in batches:
         for part in W.slices(batch, "text"):
             h, line, row, _, _ = line_sets(part)
             _, key = _classes(h, line, len(row))
             cuts = np.searchsorted(line, np.arange(len(row) + 1))
-            wanted = {(i, w["key"]): w["c"] for i, ws in enumerate(part.column("wanted").to_pylist()) for w in ws}
-            found = {wanted[at]: i for i, at in enumerate(zip(row.tolist(), key.tolist())) if at in wanted}
+            wanted = [set(ws) for ws in part.column("wanted").to_pylist()]
+            found = {k: i for i, (r, k) in enumerate(zip(row.tolist(), key.tolist())) if k in wanted[r]}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([h[cuts[i]:cuts[i + 1]].tobytes() for i in found.values()], pa.binary())], names=["c", "set"])
 
 
@@ -306,20 +338,108 @@ def _near(percent: int) -> F.Column:
     return (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (apart <= both - 2 * F.ceil(both * percent / (100 + percent) - 1e-9))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The later classes (c) of *pairs* (c, other) that are similar to the earlier one; stored."""
+def _place(x: str) -> F.Column:
+    """The place of a class's first line."""
+    return F.struct(f"{x}.ord", f"{x}.rid", f"{x}.line")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """(c, other) of the classes x and y of *met*, the later one first, and where their lines are."""
+    later = _place("x") > _place("y")
+    a, b = (F.when(later, F.struct(f"{x}.key", f"{x}.rid", f"{x}.line")).otherwise(F.struct(f"{y}.key", f"{y}.rid", f"{y}.line")) for x, y in ("xy", "yx"))
+    return met.select(a.alias("a"), b.alias("b")).select(F.col("a.key").alias("c"), F.col("b.key").alias("other"), "a.rid", "a.line", F.col("b.rid").alias("there"))
+
+
+def _closest(percent: int):
+    """Of postings in order of signature and place: each open class with the nearest earlier ones by map, and whether there are more."""
+    names = ["key", "rid", "line", "n", "m0", "m1", "m2", "m3", "sig", "open"]
+
+    def near(t, x, y):
+        both = t["n"][x] + t["n"][y]
+        apart = np.bitwise_count(t["m0"][x] ^ t["m0"][y]).astype(np.int64)
+        for m in ("m1", "m2", "m3"):
+            apart += np.bitwise_count(t[m][x] ^ t[m][y])
+        small, great = np.minimum(t["n"][x], t["n"][y]), np.maximum(t["n"][x], t["n"][y])
+        return apart, (apart <= both + 2 * (-percent * both // (100 + percent))) & (small * 100 >= great * percent)
+
+    def found(t, old, cut):
+        """Pairs of the rows from *old* on, which follow on *cut* rows of the first signature that are not held any more."""
+        total = len(t["sig"])
+        i = np.arange(total)
+        start = np.flatnonzero(np.append(True, t["sig"][1:] != t["sig"][:-1]))
+        count = np.diff(np.append(start, total))
+        start, count = np.repeat(start, count), np.repeat(count, count)
+        xs, ys, ds = [], [], []
+        x = i[t["open"] & (i >= old) & (count <= _FEW)]
+        for step in range(1, _FEW):
+            x = x[x - step >= start[x]]
+            if not len(x):
+                break
+            d, ok = near(t, x, x - step)
+            xs.append(x[ok]), ys.append(x[ok] - step), ds.append(d[ok])
+        x = i[t["open"] & (i >= old) & (count > _FEW)]
+        at = 0
+        while at < len(x):
+            block = x[at:at + 256]
+            block = block[start[block] == start[block[0]]]
+            at += len(block)
+            y = np.arange(max(start[block[0]], block[0] - _NEAR), block[-1])
+            d, ok = near(t, block[:, None], y[None, :])
+            r, c = np.nonzero(ok & (y[None, :] < block[:, None]) & (block[:, None] - y[None, :] <= _NEAR))
+            xs.append(block[r]), ys.append(y[c]), ds.append(d[r, c])
+        passed = t["open"] & (i >= old) & (i - start + np.where(start == 0, cut, 0) > _NEAR)
+        x, y, d = (np.concatenate([*p, i[:0]]) for p in (xs, ys, ds))
+        by = np.lexsort((y, d, x))
+        x, y = x[by], y[by]
+        rank = np.arange(len(x)) - np.searchsorted(x, x)
+        more = np.bincount(x, minlength=total) > _CLOSEST
+        more |= passed
+        use = rank < _CLOSEST
+        x, y = x[use], y[use]
+        alone = np.setdiff1d(i[passed], x)
+        other, there = (pa.concat_arrays([pa.array(t[k][y], pa.int64()), pa.nulls(len(alone), pa.int64())]) for k in ("key", "rid"))
+        x = np.append(x, alone)
+        return pa.RecordBatch.from_arrays([pa.array(t["key"][x], pa.int64()), other, pa.array(t["rid"][x], pa.int64()), pa.array(t["line"][x], pa.int32()), there, pa.array(more[x])],
+                                          names=["c", "other", "rid", "line", "there", "more"])
+
+    def run(batches):
+        held, cut = None, 0
+        for b in batches:
+            t = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names}
+            for k in names[4:8]:
+                t[k] = t[k].view(_U)
+            t["n"] = t["n"].astype(np.int64)
+            if not len(t["sig"]):
+                continue
+            old = 0
+            if held and held["sig"][-1] == t["sig"][0]:
+                old = len(held["sig"])
+                t = {k: np.concatenate([held[k], t[k]]) for k in names}
+            else:
+                cut = 0
+            out = found(t, old, cut)
+            if out.num_rows:
+                yield out
+            last = int(np.searchsorted(-(t["sig"] != t["sig"][-1]).astype(np.int8), 0))
+            keep = max(last, len(t["sig"]) - _NEAR)
+            cut = keep - last + (cut if last == 0 else 0)
+            held = {k: v[keep:] for k, v in t.items()}
+    return run
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The later classes of *pairs* (c, other, and where their lines are) that are similar to the earlier one, with their first lines; stored."""
     def run(batches):
         for b in batches:
             ok = [linked(np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("c").filter(pa.array(ok, pa.bool_()))], names=["c"])
-    needed = pairs.select("c").unionByName(pairs.select(F.col("other").alias("c"))).distinct()
-    needed = stage(classes.select("c", "key", F.col("first.rid").alias("rid")).join(needed, "c", "left_semi"), "needed")
-    wanted = needed.groupBy("rid").agg(F.collect_list(F.struct("key", "c")).alias("wanted"))
+            yield b.select(["c", "rid", "line"]).filter(pa.array(ok, pa.bool_()))
+    needed = pairs.select("c", "rid").unionByName(pairs.select(F.col("other").alias("c"), F.col("there").alias("rid")))
+    wanted = needed.groupBy("rid").agg(F.collect_set("c").alias("wanted"))
     sets = docs.join(wanted, "rid").select("text", "wanted").mapInArrow(_sets, "c long, set binary")
     sets = stage(sets.groupBy("c").agg(F.any_value("set").alias("set")), "linesets")
-    x = pairs.select("c", "other").join(sets.toDF("c", "set_a"), "c").join(sets.toDF("other", "set_b"), "other")
-    out = stage(x.select("c", "set_a", "set_b").mapInArrow(run, "c long").distinct(), "similar")
-    drop(docs.sparkSession, needed, sets)
+    x = pairs.select("c", "other", "rid", "line").join(sets.toDF("c", "set_a"), "c").join(sets.toDF("other", "set_b"), "other")
+    out = stage(x.select("c", "rid", "line", "set_a", "set_b").mapInArrow(run, "c long, rid long, line int").distinct(), "similar")
+    drop(docs.sparkSession, sets)
     return out
 
 
@@ -336,39 +456,42 @@ def _rows(docs: DataFrame, row: str | None) -> DataFrame:
 def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, row: str | None = None) -> DataFrame:
     """(rid, gone) for each row of *docs* (doc_id, text) that loses lines: their numbers."""
     rows, spark = _rows(docs, row), docs.sparkSession
-    place = F.struct("ord", "rid", "line")
     packed = rows.mapInArrow(_signatures(percent, least), "bucket int, entries binary")
     shared = stage(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(percent), _SHARED), "shared")
     drop(spark)
-    facts = ["n", *(f"m{i}" for i in range(4))]
     lines, shared = shared.where("line is not null"), shared.where("line is null")
-    classes = lines.groupBy("key").agg(F.min(place).alias("first"), *(F.any_value(c).alias(c) for c in facts))
-    # the running number of range-sorted rows: a class number in order of first place
-    classes = classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("c", F.monotonically_increasing_id())
-    classes = stage(classes, "lineclasses")
-    drop(spark)
-    facts = classes.select("key", "c", *facts)
+    facts = lines.where("key is not null").select("key", "ord", "rid", "line", "n", *(f"m{i}" for i in range(4)))
     early = shared.where("star").select("key", "lead").distinct().alias("p").join(facts.alias("x"), F.col("p.key") == F.col("x.key"))
     early = early.join(facts.alias("y"), F.col("p.lead") == F.col("y.key")).where(_near(percent))
-    likely = stage(early.select(F.greatest("x.c", "y.c").alias("c"), F.least("x.c", "y.c").alias("other")), "likely")
-    settled = _verified(likely, classes, rows, percent)
+    likely = stage(_pairs(early).distinct(), "likely")
+    settled = _verified(likely, rows, percent)
     drop(spark, likely)
     # a signature's earliest class has met all the others by now: what is left are the others among themselves
-    pairs = []
+    postings, pairs = [], []
     for part in range(PARTS):
         some = shared.where("rest").where(F.pmod(F.col("sig"), F.lit(PARTS)) == part)
-        some = stage(some.select("sig", "key").join(facts, "key").drop("key"), "postings")
-        rest = some.join(settled, "c", "left_anti").alias("x").join(some.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("y.c") < F.col("x.c")) & _near(percent))
-        pairs.append(stage(rest.select(F.col("x.c").alias("c"), F.col("y.c").alias("other")).distinct(), "rest"))
-        drop(spark, some)
-    likely = stage(functools.reduce(DataFrame.unionByName, pairs).distinct(), "likely")
-    drop(spark, *pairs)
-    similar = settled.unionByName(_verified(likely, classes, rows, percent))
-    # a class without a similar earlier one keeps its first line
-    kept = stage(classes.select("c", "key", "first").join(similar, "c", "left_anti").select("key", "first"), "keptlines")
-    goes = F.col("first").isNull() | (F.col("first") != F.col("at"))
-    marked = lines.select("rid", "line", "key", place.alias("at")).join(kept, "key", "left").select("rid", "line", goes.alias("goes"))
-    return marked.groupBy("rid").agg(F.sort_array(F.collect_set(F.when(F.col("goes"), F.col("line")))).alias("gone")).where("size(gone) > 0")
+        some = some.select("sig", "key").join(facts, "key").join(settled.select(F.col("c").alias("key"), F.lit(False).alias("open")), "key", "left")
+        some = stage(some.withColumn("open", F.coalesce("open", F.lit(True))), "postings")
+        rest = some.repartition("sig").sortWithinPartitions("sig", "ord", "rid", "line").mapInArrow(_closest(percent), "c long, other long, rid long, line int, there long, more boolean")
+        pairs.append(stage(rest.distinct(), "rest"))
+        postings.append(some)
+        drop(spark)
+    likely = functools.reduce(DataFrame.unionByName, pairs)
+    closest = _verified(stage(likely.where("other is not null").drop("more").distinct(), "likely"), rows, percent)
+    similar = settled.unionByName(closest)
+    # those with more that are similar to none of the nearest
+    left = stage(likely.where("more").select("c").distinct().join(closest, "c", "left_anti"), "left")
+    if not left.isEmpty():
+        met = []
+        for some in postings:
+            x, y = some.join(left.select(F.col("c").alias("key")), "key", "left_semi").alias("x"), some.alias("y")
+            met.append(stage(_pairs(x.join(y, (F.col("x.sig") == F.col("y.sig")) & (_place("y") < _place("x")) & _near(percent))).distinct(), "met"))
+            drop(spark)
+        similar = similar.unionByName(_verified(functools.reduce(DataFrame.unionByName, met).distinct(), rows, percent))
+    drop(spark, *postings, *pairs)
+    # lines that are not their class's first, and first ones of classes with a similar earlier one
+    gone = lines.where("key is null").select("rid", "line").unionByName(similar.select("rid", "line"))
+    return gone.groupBy("rid").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
 def _left(text: pd.Series, gone: pd.Series) -> pd.Series:
