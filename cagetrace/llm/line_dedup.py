@@ -454,12 +454,12 @@ def _rows(docs: DataFrame, row: str | None) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, row: str | None = None) -> DataFrame:
-    """(rid, gone) for each row of *docs* (doc_id, text) that loses lines: their numbers."""
+    """(rid, gone) for each row of *docs* (doc_id, text) that loses lines: their numbers; stored, with nothing else left on disk."""
     rows, spark = _rows(docs, row), docs.sparkSession
     packed = rows.mapInArrow(_signatures(percent, least), "bucket int, entries binary")
-    shared = stage(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(percent), _SHARED), "shared")
+    held = stage(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(percent), _SHARED), "shared")
     drop(spark)
-    lines, shared = shared.where("line is not null"), shared.where("line is null")
+    lines, shared = held.where("line is not null"), held.where("line is null")
     facts = lines.where("key is not null").select("key", "ord", "rid", "line", "n", *(f"m{i}" for i in range(4)))
     early = shared.where("star").select("key", "lead").distinct().alias("p").join(facts.alias("x"), F.col("p.key") == F.col("x.key"))
     early = early.join(facts.alias("y"), F.col("p.lead") == F.col("y.key")).where(_near(percent))
@@ -477,21 +477,24 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, r
         postings.append(some)
         drop(spark)
     likely = functools.reduce(DataFrame.unionByName, pairs)
-    closest = _verified(stage(likely.where("other is not null").drop("more").distinct(), "likely"), rows, percent)
-    similar = settled.unionByName(closest)
+    near = stage(likely.where("other is not null").drop("more").distinct(), "likely")
+    closest = _verified(near, rows, percent)
+    similar = [settled, closest]
     # those with more that are similar to none of the nearest
     left = stage(likely.where("more").select("c").distinct().join(closest, "c", "left_anti"), "left")
+    met = []
     if not left.isEmpty():
-        met = []
         for some in postings:
             x, y = some.join(left.select(F.col("c").alias("key")), "key", "left_semi").alias("x"), some.alias("y")
             met.append(stage(_pairs(x.join(y, (F.col("x.sig") == F.col("y.sig")) & (_place("y") < _place("x")) & _near(percent))).distinct(), "met"))
             drop(spark)
-        similar = similar.unionByName(_verified(functools.reduce(DataFrame.unionByName, met).distinct(), rows, percent))
-    drop(spark, *postings, *pairs)
+        similar.append(_verified(functools.reduce(DataFrame.unionByName, met).distinct(), rows, percent))
+    drop(spark, near, left, *postings, *pairs, *met)
     # lines that are not their class's first, and first ones of classes with a similar earlier one
-    gone = lines.where("key is null").select("rid", "line").unionByName(similar.select("rid", "line"))
-    return gone.groupBy("rid").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    gone = functools.reduce(DataFrame.unionByName, [x.select("rid", "line") for x in (lines.where("key is null"), *similar)])
+    gone = stage(gone.groupBy("rid").agg(F.sort_array(F.collect_set("line")).alias("gone")), "gone")
+    drop(spark, held, *similar)
+    return gone
 
 
 def _left(text: pd.Series, gone: pd.Series) -> pd.Series:
@@ -519,11 +522,11 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST, rem
     numbers.
     """
     of = docs.select("doc_id", "text", *([row] if row else []))
-    gone = stage(removed_lines(of, percent, least, row), "gone").toDF("__rid", "__gone")
+    gone = removed_lines(of, percent, least, row).toDF("__rid", "__gone")
     out = docs.withColumn("__rid", _identity(row)).join(gone, "__rid", "left").withColumn("__left", _without("text", "__gone"))
     left = "__left"
     if least > EVERY:  # the lines that *least* spares may be repeats too
-        again = stage(removed_lines(of, percent, EVERY, row), "again").toDF("__rid", "__again")
+        again = removed_lines(of, percent, EVERY, row).toDF("__rid", "__again")
         out, left = out.join(again, "__rid", "left").withColumn("__new", _without("text", "__again")), "__new"
     none = F.col("text").rlike(_WORD) & ~F.col(left).rlike(_WORD)
     out = out.withColumns({removed: F.coalesce(F.size("__gone"), F.lit(0)), emptied: F.coalesce(none, F.lit(False)), "text": F.col("__left")})

@@ -1,5 +1,7 @@
 """Near copies that are not like the earliest of their group are not paired with all the others."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -8,8 +10,16 @@ from cagetrace.llm import line_dedup as L
 
 
 def test_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
-    base, n = [f"word{i}" for i in range(30)], 300
-    texts = [" ".join([*base[:27], "x", "y", "z"])] + [" ".join([*base[1:], f"own{i}"]) for i in range(n)]
+    rng, n = random.Random(5), 150
+    base = [f"word{i}" for i in range(30)]
+
+    def near(k, edits):
+        words = list(base)
+        for i in rng.sample(range(30), edits):
+            words[i] = f"own{k}x{i}"
+        return " ".join(words)
+    # the earliest ones, and the last n, differ from the base in two words: they are like the n in the middle, with one, and rarely like each other
+    texts = [near(k, 2 if k < 12 or k >= 12 + n else 1) for k in range(12 + 2 * n)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     made, keep = {}, L.stage
 
@@ -19,8 +29,22 @@ def test_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
         return out
     monkeypatch.setattr(L, "stage", stage)
     out = {r.doc_id: r.n_removed for r in L.line_report(docs).collect()}
-    assert sorted(d for d, gone in out.items() if gone == 0) == [0, 1]  # the first one differs in four words from each, they in one
-    assert 0 < made["rest"] < 10 * n and made.get("met", 0) < 10 * n
+    sets = [set(t.split()) for t in texts]
+    assert out == {d: int(any(100 * len(s & e) >= 80 * len(s | e) for e in sets[:d])) for d, s in enumerate(sets)}
+    assert 0 < made["rest"] <= 2 * n and made.get("met", 0) <= 2 * n
+
+
+def test_nothing_but_the_result_stays_on_disk(spark, monkeypatch):
+    kept, keep, drop = set(), L.stage, L.drop
+
+    def stage(df, name):
+        out = keep(df, name)
+        kept.add(out.staged_at)
+        return out
+    monkeypatch.setattr(L, "stage", stage)
+    monkeypatch.setattr(L, "drop", lambda spark, *tables: kept.difference_update(t.staged_at for t in tables) or drop(spark, *tables))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g"), (3, "g h")], "doc_id long, text string")
+    assert [(r.gone) for r in L.removed_lines(docs).collect()] == [[0]] and len(kept) == 1
 
 
 @pytest.mark.parametrize("near, few, rows", [(4096, 48, 10**6), (4096, 2, 7), (6, 3, 5), (6, 3, 1000)])
