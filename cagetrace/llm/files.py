@@ -119,20 +119,21 @@ class _File:
 
 
 def write_files(df: DataFrame, order: list[str], columns: list[str], folder: str, ext: str, make, roll_bytes: int,
-                roll_records: int = 1 << 17, index=None) -> DataFrame:
+                roll_records: int = 1 << 17, index=None, prepare=None) -> DataFrame:
     """Write *df* and commit; the manifest: one row per file.
 
     With a column ``shard`` whole shards are dealt to tasks in turn and sorted by
     *order*; without one, each partition is written where it is, unshuffled.
     ``make()`` gives a task's function from the values of *columns*, the first
-    of them the record's key, to (bytes, units).
+    of them the record's key, to (bytes, units); *prepare* changes a task's
+    batches before.
     """
     def run(batches):
         fs, root = open_fs(folder)
         tmp = f"_temporary/{uuid.uuid4().hex}"
         fs.create_dir(f"{root}/{tmp}", recursive=True)
         record, cur = make(), None
-        for b in batches:
+        for b in prepare(batches) if prepare else batches:
             for shard, *row in zip(b.column("shard").to_pylist(), *(b.column(c).to_pylist() for c in columns)):
                 if cur is None or shard != cur.shard or cur.bytes >= roll_bytes or cur.records >= roll_records:
                     roll = cur.roll + 1 if cur and cur.shard == shard else 0
