@@ -1,19 +1,13 @@
-"""Whole-text encoding with a tokenizers file, sped up by a word cache.
+"""Whole-text encoding with a tokenizers file, a column of texts at a time.
 
 Both pre-tokenizers used here never let a token cross from a non-space
-character into white space, so a text may be cut before any white space
-that follows a non-space character, and the parts encoded on their own.
-Distinct parts are encoded once per worker and kept as packed ids.
-Texts where a cut would fall inside a run of white space are encoded whole,
-and so are texts that hold a special token's literal, which has its own id
-unless the encoder is told to split it like any other text.
-
-A column of texts is cut further, between ASCII or Latin-1 letters, ASCII
-digits and ASCII punctuation, where every pre-token of both files ends, but
-not inside a special token's literal; runs of white space stay in one part
-with what follows.  Arrow finds a column's distinct parts, and those that are
-one pre-token go to the file's BPE model many at a time, with a byte between
-them that no text holds and no merge takes.
+character into white space, nor between ASCII or Latin-1 letters, ASCII digits
+and ASCII punctuation (the apostrophe aside), so a text may be cut there, but
+not inside a special token's literal, and the parts encoded on their own; runs
+of white space stay in one part with what follows.  Arrow finds a column's
+distinct parts, and a worker keeps their packed ids.  New parts that are one
+pre-token go to the file's BPE model, many at a time where a byte that no text
+holds and no merge takes can stand between them; others to the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -26,15 +20,15 @@ import numpy as np
 import pyarrow as pa
 
 from cagetrace.llm.store import only
-from cagetrace.llm.words import text_bytes
+from cagetrace.llm.words import slices, text_bytes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _encoders: dict = {}
-#: Parts and words in each of a worker's two cache generations (under 200 MB in all), and the longest kept
-_MOST_PARTS, _MOST_WORDS, _LONGEST_PART = 250_000, 150_000, 48
-#: A Latin word, then ASCII punctuation: two pre-tokens under either pattern
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&$#*|()-]*)")
+#: Parts in each of a worker's two cache generations (under 150 MB in all), and the longest kept
+_MOST_PARTS, _LONGEST_PART = 300_000, 48
+#: Text bytes encoded at a time
+SLICE_BYTES = 4 << 20
 
 
 def _byte_chars() -> dict[int, int]:
@@ -45,10 +39,8 @@ def _byte_chars() -> dict[int, int]:
 
 
 _CHARS = _byte_chars()
-_CHAR_TABLE = np.array([_byte_chars()[b] for b in range(256)], "<u2")
+_CHAR_TABLE = np.array([_CHARS[b] for b in range(256)], "<u2")
 
-#: Parts in each of the two cache generations of a worker that encodes columns (under 150 MB in all)
-_MOST_COLUMN_PARTS = 300_000
 #: A byte that is in no UTF-8 text, between pre-tokens that go to the model together, and how many do
 _BETWEEN, _TOGETHER = 0xFF, 16
 _LETTERS, _PUNCT = rb"(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+", rb"[!-&(-/:-@\[-`{-~]+"
@@ -135,10 +127,6 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         # A normalizer that folds white space drops it: any cut at a space is safe.
         self.drops_space = self.tok.normalizer is not None
-        self.cache: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-        self.known: dict[str, bytes] = {}
-        self.known_older: dict[str, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
         self.parts_older: dict[bytes, bytes] = {}
         self.between = None
@@ -154,74 +142,6 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self._pack(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pretoken(self, text: str) -> bytes:
-        """Ids of one pre-token by the file's BPE model."""
-        ids = self.known.get(text)
-        if ids is None:
-            if len(self.known) > _MOST_WORDS:
-                self.known, self.known_older = {}, self.known
-            ids = self.known_older.get(text)
-            if ids is None:
-                chars = text.encode().decode("latin1").translate(_CHARS)
-                ids = self._pack([t.id for t in self.model.tokenize(chars)])
-            self.known[text] = ids
-        return ids
-
-    def _learn(self, parts) -> None:
-        cache, rest = self.cache, []
-        for p in parts:
-            led = p[:1] == "\n"
-            m = _WORD.fullmatch(p, led) if len(p) <= _LONGEST_PART else None
-            if not m:
-                rest.append(p)
-                continue
-            word, tail = m.groups()
-            ids = self._pretoken(word.lower()) if self.drops_space else self._pretoken("\n") + self._pretoken(word) if led else self._pretoken(" " + word)
-            cache[p] = ids + self._pretoken(tail) if tail else ids
-        plain = rest if self.drops_space else [p if p[:1] == "\n" else " " + p for p in rest]
-        for p, ids in zip(rest, self._whole(plain)):
-            # an empty part or one ending in white space: the next cut is inside a run
-            cache[p] = ids if self.drops_space or p and not p[-1].isspace() else None
-
-    def encode(self, text: str) -> bytes:
-        """Packed ids of one text; empty for an empty text."""
-        if not text:
-            return b""
-        for literal in self.literals:
-            if literal in text:
-                return self._whole([text])[0]
-        cache = self.cache
-        if self.drops_space:
-            parts, head = text.replace("\n", " ").split(" "), b""
-        else:
-            parts = text.replace("\n", " \n").split(" ")
-            first = parts.pop(0)
-            if not parts or first[-1:].isspace():
-                return self._whole([text])[0]
-            last = parts.pop()
-            head = b""
-        missing = set(parts).difference(cache)
-        long = ()
-        if missing:
-            if len(cache) > _MOST_PARTS:
-                cache, self.older = {}, cache
-                self.cache, missing = cache, set(parts)
-            if self.older:
-                again = [p for p in missing if p in self.older]
-                cache.update(zip(again, map(self.older.__getitem__, again)))
-                missing.difference_update(again)
-            long = [p for p in missing if len(p) > _LONGEST_PART]
-            self._learn(missing)
-        ids = list(map(cache.__getitem__, parts))
-        for p in long:
-            del cache[p]
-        if self.drops_space:
-            return b"".join(ids)
-        if None in ids:
-            return self._whole([text])[0]
-        edge = self._whole([first, last if last[:1] == "\n" else " " + last])
-        return b"".join([edge[0], *ids, edge[1]])
-
     def _models(self, parts: list[bytes]):
         """Ids of parts that are one pre-token each, by the file's BPE model."""
         tokenize = self.model.tokenize
@@ -245,7 +165,7 @@ class Encoder:
 
     def _look_up(self, parts: list[bytes]) -> list[bytes]:
         """Ids of distinct parts: known, or by the library now."""
-        if len(self.parts) > _MOST_COLUMN_PARTS:
+        if len(self.parts) > _MOST_PARTS:
             self.parts, self.parts_older = {}, self.parts
         found = list(map(self.parts.get, parts))
         one, rest = [], []
@@ -280,6 +200,10 @@ class Encoder:
         ends = np.frombuffer(ends, np.int64)[:len(ids) + 1]
         return _binary(ends[np.searchsorted(bounds, off)], data)
 
+    def encode(self, text: str) -> bytes:
+        """Packed ids of one text; empty for an empty text."""
+        return self.encode_column(pa.array([text]))[0].as_py()
+
 
 def _binary(off: np.ndarray, data) -> pa.Array:
     """Byte strings from offsets and bytes."""
@@ -292,3 +216,10 @@ def encoder(path: str, split_special: bool = False) -> Encoder:
     if (path, split_special) not in _encoders:
         _encoders[path, split_special] = Encoder(path, split_special)
     return _encoders[path, split_special]
+
+
+def encode_batches(batches, tokenizer: str, split_special: bool = False):
+    """Slices of a task's batches with packed ids in place of ``text``."""
+    enc = encoder(tokenizer, split_special)
+    for b in (part for batch in batches for part in slices(batch, "text", SLICE_BYTES)):
+        yield b.set_column(b.schema.get_field_index("text"), "text", enc.encode_column(b.column("text")))

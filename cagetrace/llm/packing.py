@@ -43,8 +43,8 @@ def cut(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END) ->
         enc = encoder(tokenizer)
         for b in (part for batch in batches for part in slices(batch, "text")):
             rows = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = np.append(np.frombuffer(enc.encode(text or ""), enc.dtype).astype("<u4"), np.array([end], "<u4"))
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode_column(b.column("text")).to_pylist()):
+                ids = np.append(np.frombuffer(ids, enc.dtype).astype("<u4"), np.array([end], "<u4"))
                 rows += [(doc_id, i, i * limit, len(p), zlib.crc32(p.tobytes())) for i, p in enumerate(np.split(ids, range(limit, len(ids), limit)))]
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],

@@ -24,13 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cagetrace.llm import files
-from cagetrace.llm.bpe import encoder, vocabulary
+from cagetrace.llm.bpe import encode_batches, encoder, vocabulary
 from cagetrace.llm.store import open_fs
-from cagetrace.llm.words import slices
 
 SHARD_BYTES, ROLL_BYTES = 256 << 20, 64 << 20
-#: Text bytes encoded at a time
-SLICE_BYTES = 4 << 20
 END = 2
 
 
@@ -71,11 +68,6 @@ def _index(offsets, keys) -> bytes:
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> DataFrame:
     """Encode (doc_id, text) and write records in ascending doc_id order; the manifest."""
-    def encoded(batches):
-        enc = encoder(tokenizer)
-        for b in (part for batch in batches for part in slices(batch, "text", SLICE_BYTES)):
-            yield b.set_column(b.schema.get_field_index("text"), "text", enc.encode_column(b.column("text")))
-
     def make():
         kind = encoder(tokenizer).dtype
         tail = np.array([end], kind)
@@ -86,7 +78,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end: int = END)
         return record
 
     docs = files.with_shards(docs.select("doc_id", "text"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 16, SHARD_BYTES)
-    return files.write_files(docs, ["doc_id", "text"], ["doc_id", "text"], folder, ".rec", make, ROLL_BYTES, index=_index, prepare=encoded)
+    return files.write_files(docs, ["doc_id", "text"], ["doc_id", "text"], folder, ".rec", make, ROLL_BYTES, index=_index, prepare=lambda batches: encode_batches(batches, tokenizer))
 
 
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cagetrace.llm import files
-from cagetrace.llm.bpe import encoder, vocabulary
+from cagetrace.llm.bpe import encode_batches, encoder, vocabulary
 from cagetrace.llm.store import open_fs, stage
 
 ROLL_BYTES = 64 << 20
@@ -29,15 +29,16 @@ BLOCK_TOKENS = 1 << 20
 def write_flat(docs: DataFrame, folder: str, tokenizer: str, end: int) -> DataFrame:
     """Encode (doc_id, text) into flat files, in the rows' order and without a shuffle; the manifest keeps the order of the ids."""
     def make():
-        enc = encoder(tokenizer, split_special=True)  # the separator is in no document
-        tail = np.array([end], enc.dtype).tobytes()
+        kind = encoder(tokenizer, split_special=True).dtype
+        tail = np.array([end], kind).tobytes()
 
-        def record(doc_id, text):
-            data = enc.encode(text or "") + tail
-            return data, len(data) // enc.dtype.itemsize
+        def record(doc_id, ids):
+            data = ids + tail
+            return data, len(data) // kind.itemsize
         return record
 
-    return files.write_files(docs.select("doc_id", "text"), [], ["doc_id", "text"], folder, ".bin", make, ROLL_BYTES)
+    return files.write_files(docs.select("doc_id", "text"), [], ["doc_id", "text"], folder, ".bin", make, ROLL_BYTES,
+                             prepare=lambda batches: encode_batches(batches, tokenizer, split_special=True))  # the separator is in no document
 
 
 def scan(listing: DataFrame, folder: str, end: int, width: int, block: int = BLOCK_TOKENS) -> DataFrame:

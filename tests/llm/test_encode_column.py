@@ -17,7 +17,7 @@ ATOMS = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2003"
 @pytest.mark.parametrize("split", [False, True])
 def test_column_equals_the_library(name, split, monkeypatch):
     from tokenizers import Tokenizer
-    monkeypatch.setattr(bpe, "_MOST_COLUMN_PARTS", 40)
+    monkeypatch.setattr(bpe, "_MOST_PARTS", 40)
     rng = random.Random(5)
     texts = ["".join(rng.choices(ATOMS, k=rng.randrange(14))) for _ in range(3000)] + [None, "", "x" * 90 + " é" * 90]
     tok, e = Tokenizer.from_file(bpe.vocabulary(name)), bpe.Encoder(bpe.vocabulary(name), split_special=split)
